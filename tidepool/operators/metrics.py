@@ -52,17 +52,16 @@ def rolling_metrics(
     pos = keyed_positions(df, keys, order, time_col, bucket_seconds, index_col="_pos")
     v = F.col(value)
     exprs = {
-        "history_size": lambda w, x: F.count(v).over(w),
-        "average_value": lambda w, x: F.avg(v).over(w),
-        "_var": lambda w, x: F.var_pop(v).over(w),
-        "_slope": lambda w, x: F.regr_slope(v, x).over(w),
+        "history_size": lambda f, x: F.count(v).over(f()),
+        "average_value": lambda f, x: F.avg(v).over(f()),
+        "_var": lambda f, x: F.var_pop(v).over(f()),
+        "_slope": lambda f, x: F.regr_slope(v, x).over(f()),
     }
     if regression:
-        exprs["_icpt"] = lambda w, x: F.regr_intercept(v, x).over(w)
-        exprs["_r2"] = lambda w, x: F.regr_r2(v, x).over(w)
-        exprs["_x"] = lambda w, x: x
-        exprs["_x0"] = lambda w, x: F.min(x).over(w)
-        exprs["window_start"] = lambda w, x: F.min(F.col(time_col)).over(w)
+        exprs["_icpt"] = lambda f, x: F.regr_intercept(v, x).over(f())
+        exprs["_r2"] = lambda f, x: F.regr_r2(v, x).over(f())
+        exprs["_x0"] = lambda f, x: F.min(x).over(f())
+        exprs["window_start"] = lambda f, x: F.min(F.col(time_col)).over(f())
     out = chunked_rolling(pos, keys, "_pos", n, exprs, chunk_rows)
 
     size = F.col("history_size")
@@ -87,7 +86,7 @@ def rolling_metrics(
                                .otherwise(F.col("average_value")))
                   .withColumn("r2", F.when(size > 2, F.coalesce(F.col("_r2"), F.lit(0.0)))
                                      .otherwise(F.lit(0.0))))
-        out = out.drop("_icpt", "_r2", "_x", "_x0")
+        out = out.drop("_icpt", "_r2", "_x0")
     return out.drop("_var", "_slope", "_pos")
 
 

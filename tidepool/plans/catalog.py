@@ -55,3 +55,90 @@ def q_rolling_metrics(spark, sf_dir):
                     F.col("value").alias("original_value"),
                     F.col("history_size").cast("long").alias("history_size"),
                     *[rnd(c).alias(c) for c in M.METRIC_COLUMNS])
+
+
+# --------------------------------------------------------------------------
+# Validation and cleaning
+# --------------------------------------------------------------------------
+
+from tidepool.operators import validate as V  # noqa: E402
+
+VALIDATED_COLUMNS = ["original_value", "cleaned_value", "was_modified", "validation_message"]
+
+
+def _validated(spark, sf_dir):
+    r = FX.readings(spark, sf_dir, with_nan=True)
+    return V.validate_readings(r, rules=FX.FIXTURE_RULES)
+
+
+@query("clean_readings")
+def q_clean_readings(spark, sf_dir):
+    """Rule lookup (unknown type unbounded), clamp, flag, message."""
+    r = FX.readings(spark, sf_dir, with_nan=True)
+    c = V.clean_readings(r, rules=FX.fixture_rules(spark))
+    return c.select("device_id", "data_type", "seq", F.col("value").alias("original_value"),
+                    "min_value", "max_value", "cleaned_value", "was_modified", "validation_message")
+
+
+@query("history_anomaly")
+def q_history_anomaly(spark, sf_dir):
+    """Valid-only history (99/100 rule), its mean and sigma before
+    the reading, and the 3-sigma flag."""
+    v = _validated(spark, sf_dir)
+    return v.select("device_id", "data_type", "seq", "was_modified", "history_size",
+                    rnd("history_mean").alias("history_mean"), rnd("history_std").alias("history_std"),
+                    "is_anomaly")
+
+
+@query("replace_nonfinite")
+def q_replace_nonfinite(spark, sf_dir):
+    """Non-finite values replaced by the live cross-device average of
+    the type (0.0 without history); full cleaned output."""
+    v = _validated(spark, sf_dir)
+    return v.select("device_id", "data_type", "seq", "original_value",
+                    rnd("cleaned_value").alias("cleaned_value"), "was_modified",
+                    "validation_message", rnd("type_average").alias("type_average"))
+
+
+@query("history_pool")
+def q_history_pool(spark, sf_dir):
+    """Average per type over the union of all devices' current histories."""
+    r = FX.readings(spark, sf_dir, with_nan=True)
+    a = V.type_averages(r, rules=FX.FIXTURE_RULES)
+    return a.select("data_type", F.col("pool_values").cast("long").alias("pool_values"),
+                    rnd("pool_sum").alias("pool_sum"), rnd("type_average").alias("type_average"))
+
+
+def _batches(spark, sf_dir):
+    """Validated readings with their batch (event_id div 8) plus one empty
+    batch (-1), as a request without items."""
+    v = _validated(spark, sf_dir).withColumn("batch_id", F.floor(F.col("seq") / FX.BATCH_SIZE).cast("long"))
+    empty = (spark.range(1).select(F.lit(-1).cast("long").alias("batch_id"))
+             .withColumn("data_type", F.lit(None).cast("string"))
+             .withColumn("was_modified", F.lit(None).cast("boolean")))
+    return v.select("batch_id", "data_type", "was_modified").unionByName(empty)
+
+
+@query("batch_status")
+def q_batch_status(spark, sf_dir):
+    """Per batch item and modified counts, status, code and message."""
+    s = V.batch_status(_batches(spark, sf_dir), ["batch_id"])
+    return s.select("batch_id", F.col("total_items").cast("long").alias("total_items"),
+                    F.col("modified_items").cast("long").alias("modified_items"),
+                    "status", F.col("status_code").cast("long").alias("status_code"), "status_message")
+
+
+@query("batch_summary")
+def q_batch_summary(spark, sf_dir):
+    """Batches and items per status; items of INVALID batches are
+    dropped (kept_items counts what goes on)."""
+    b = _batches(spark, sf_dir)
+    s = V.batch_status(b, ["batch_id"])
+    kept = V.drop_invalid_batches(b.filter(F.col("data_type").isNotNull()), s, ["batch_id"])
+    kept_per = kept.groupBy("batch_id").agg(F.count(F.lit(1)).alias("kept"))
+    j = s.join(kept_per, "batch_id", "left")
+    return j.groupBy("status").agg(
+        F.count(F.lit(1)).cast("long").alias("batches"),
+        F.sum("total_items").cast("long").alias("total_items"),
+        F.sum("modified_items").cast("long").alias("modified_items"),
+        F.coalesce(F.sum("kept"), F.lit(0)).cast("long").alias("kept_items"))

@@ -47,3 +47,127 @@ SELECT device_id, data_type, seq, ts, value AS original_value, n AS history_size
        {R('a')} AS average_value, {R('var')} AS variance, {R('sqrt(var)')} AS std_dev,
        {R('trend')} AS trend_coefficient, {R('z')} AS normalized_value, {R('abs(z)')} AS anomaly_score
 FROM g"""
+
+
+def _bound_text(c: str) -> str:
+    return (f"CASE WHEN {c} = floor({c}) THEN CAST(CAST({c} AS BIGINT) AS VARCHAR) "
+            f"ELSE CAST({c} AS VARCHAR) END")
+
+
+CLEAN = f"""
+c AS (SELECT r.*, ru.min_value, ru.max_value, (isnan(r.value) OR isinf(r.value)) AS nonfinite
+      FROM readings r LEFT JOIN rules ru ON r.data_type = ru.data_type),
+c2 AS (SELECT *,
+         CASE WHEN nonfinite THEN 'nonfinite' WHEN value < min_value THEN 'below'
+              WHEN value > max_value THEN 'above' ELSE 'ok' END AS verdict
+       FROM c),
+c3 AS (SELECT *, verdict <> 'ok' AS modified,
+         CASE verdict WHEN 'nonfinite' THEN 'Invalid value (NaN or Infinity), replaced with average'
+                      WHEN 'below' THEN 'Value below minimum (' || {_bound_text('min_value')} || '), set to minimum'
+                      WHEN 'above' THEN 'Value above maximum (' || {_bound_text('max_value')} || '), set to maximum'
+                      ELSE 'Valid data' END AS message,
+         CASE verdict WHEN 'nonfinite' THEN NULL WHEN 'below' THEN min_value
+                      WHEN 'above' THEN max_value ELSE value END AS clamped
+       FROM c2)"""
+
+ORACLE["clean_readings"] = f"""
+WITH {READINGS_NAN}, {RULES}, {CLEAN}
+SELECT device_id, data_type, seq, value AS original_value, min_value, max_value,
+       clamped AS cleaned_value, modified AS was_modified, message AS validation_message
+FROM c3"""
+
+# History before each reading: the last k unmodified values, k = c below 100,
+# else 100 after an unmodified reading and 99 after a modified one.
+HISTORY = f"""
+o AS (SELECT *,
+        coalesce(sum(CASE WHEN modified THEN 0 ELSE 1 END) OVER (
+          PARTITION BY device_id, data_type ORDER BY ts, seq
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cnt,
+        lag(modified) OVER (PARTITION BY device_id, data_type ORDER BY ts, seq) AS prev_mod
+      FROM c3),
+h AS (SELECT device_id AS hd, data_type AS ht,
+        row_number() OVER (PARTITION BY device_id, data_type ORDER BY ts, seq) AS vn,
+        avg(value) OVER (PARTITION BY device_id, data_type ORDER BY ts, seq
+                         ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS m100,
+        stddev_pop(value) OVER (PARTITION BY device_id, data_type ORDER BY ts, seq
+                                ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS s100,
+        avg(value) OVER (PARTITION BY device_id, data_type ORDER BY ts, seq
+                         ROWS BETWEEN 98 PRECEDING AND CURRENT ROW) AS m99,
+        stddev_pop(value) OVER (PARTITION BY device_id, data_type ORDER BY ts, seq
+                                ROWS BETWEEN 98 PRECEDING AND CURRENT ROW) AS s99,
+        first_value(value) OVER (PARTITION BY device_id, data_type ORDER BY ts, seq
+                                 ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS oldest
+      FROM c3 WHERE NOT modified),
+k AS (SELECT o.*, h.*, CASE WHEN cnt < 100 THEN cnt WHEN prev_mod THEN 99 ELSE 100 END AS hk
+      FROM o LEFT JOIN h ON h.hd = o.device_id AND h.ht = o.data_type AND h.vn = o.cnt),
+s AS (SELECT *,
+        CASE WHEN hk = 0 THEN NULL WHEN cnt >= 100 AND hk = 99 THEN m99 ELSE m100 END AS hmean,
+        CASE WHEN hk = 0 THEN NULL WHEN cnt >= 100 AND hk = 99 THEN s99 ELSE s100 END AS hstd,
+        (CASE WHEN modified THEN 0.0 ELSE value END) - (CASE WHEN hk = 100 THEN oldest ELSE 0.0 END) AS dsum,
+        (CASE WHEN modified THEN 0 ELSE 1 END) - (CASE WHEN hk = 100 THEN 1 ELSE 0 END) AS dn
+      FROM k),
+a AS (SELECT *, coalesce(hk >= 5 AND NOT isnan(value) AND abs(value - hmean) > 3 * hstd, false) AS anomaly,
+        sum(dsum) OVER (PARTITION BY data_type ORDER BY ts, seq
+                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS psum,
+        sum(dn) OVER (PARTITION BY data_type ORDER BY ts, seq
+                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pn
+      FROM s),
+va AS (SELECT *, CASE WHEN pn > 0 THEN psum / pn END AS tavg FROM a)"""
+
+ORACLE["history_anomaly"] = f"""
+WITH {READINGS_NAN}, {RULES}, {CLEAN}, {HISTORY}
+SELECT device_id, data_type, seq, modified AS was_modified, CAST(hk AS BIGINT) AS history_size,
+       {R('hmean')} AS history_mean, {R('hstd')} AS history_std, anomaly AS is_anomaly
+FROM va"""
+
+ORACLE["replace_nonfinite"] = f"""
+WITH {READINGS_NAN}, {RULES}, {CLEAN}, {HISTORY}
+SELECT device_id, data_type, seq, value AS original_value,
+       {R("CASE WHEN nonfinite THEN coalesce(tavg, 0.0) ELSE clamped END")} AS cleaned_value,
+       modified AS was_modified, message AS validation_message, {R('tavg')} AS type_average
+FROM va"""
+
+# End state of every history: size after the last reading of the key, then
+# the last `size` unmodified values.
+ORACLE["history_pool"] = f"""
+WITH {READINGS_NAN}, {RULES}, {CLEAN}, {HISTORY},
+last AS (SELECT device_id, data_type,
+           cnt + (CASE WHEN modified THEN 0 ELSE 1 END) AS cnt_after,
+           hk - (CASE WHEN hk = 100 THEN 1 ELSE 0 END) + (CASE WHEN modified THEN 0 ELSE 1 END) AS size_after
+         FROM (SELECT *, row_number() OVER (PARTITION BY device_id, data_type ORDER BY ts DESC, seq DESC) AS rk
+               FROM va) WHERE rk = 1),
+kept AS (SELECT device_id, data_type, value,
+           row_number() OVER (PARTITION BY device_id, data_type ORDER BY ts, seq) AS vn
+         FROM c3 WHERE NOT modified),
+pool AS (SELECT kept.data_type, kept.value FROM kept JOIN last
+           ON kept.device_id = last.device_id AND kept.data_type = last.data_type
+          AND kept.vn > last.cnt_after - last.size_after)
+SELECT t.data_type, CAST(count(pool.value) AS BIGINT) AS pool_values, {R('sum(pool.value)')} AS pool_sum,
+       {R('avg(pool.value)')} AS type_average
+FROM (SELECT DISTINCT data_type FROM readings) t LEFT JOIN pool ON pool.data_type = t.data_type
+GROUP BY t.data_type"""
+
+BATCHES = f"""
+bi AS (SELECT CAST(seq // 8 AS BIGINT) AS batch_id, modified FROM va),
+bs AS (SELECT batch_id, CAST(count(*) AS BIGINT) AS total_items,
+              CAST(count(*) FILTER (WHERE modified) AS BIGINT) AS modified_items
+       FROM bi GROUP BY batch_id
+       UNION ALL SELECT -1, 0, 0),
+st AS (SELECT *, CASE WHEN total_items = 0 THEN 'INVALID' WHEN modified_items > 0 THEN 'PARTIALLY_VALID'
+                      ELSE 'OK' END AS status,
+              CAST(CASE WHEN total_items = 0 THEN 1 WHEN modified_items > 0 THEN 2 ELSE 0 END AS BIGINT) AS status_code,
+              CASE WHEN total_items = 0 THEN 'Invalid data detected'
+                   WHEN modified_items > 0 THEN 'Some data items required correction'
+                   ELSE 'All data valid' END AS status_message
+       FROM bs)"""
+
+ORACLE["batch_status"] = f"""
+WITH {READINGS_NAN}, {RULES}, {CLEAN}, {HISTORY}, {BATCHES}
+SELECT batch_id, total_items, modified_items, status, status_code, status_message FROM st"""
+
+ORACLE["batch_summary"] = f"""
+WITH {READINGS_NAN}, {RULES}, {CLEAN}, {HISTORY}, {BATCHES}
+SELECT status, CAST(count(*) AS BIGINT) AS batches, CAST(sum(total_items) AS BIGINT) AS total_items,
+       CAST(sum(modified_items) AS BIGINT) AS modified_items,
+       CAST(sum(CASE WHEN status = 'INVALID' THEN 0 ELSE total_items END) AS BIGINT) AS kept_items
+FROM st GROUP BY status"""

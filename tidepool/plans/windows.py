@@ -108,15 +108,16 @@ def chunked_rolling(
     keys: Sequence[str],
     index_col: str,
     n: int,
-    exprs: dict[str, Callable[[WindowSpec, Column], Column]],
+    exprs: dict[str, Callable[[Callable[..., WindowSpec], Column], Column]],
     chunk_rows: int = DEFAULT_CHUNK_ROWS,
 ) -> DataFrame:
     """Evaluate sliding-frame aggregates over the last ``n`` rows of each key.
 
     ``index_col`` is a dense 0-based position inside the key (from
     ``keyed_positions``).  ``exprs`` maps an output name to a function
-    ``(window_spec, x) -> Column`` where ``x`` is a double position usable as a
-    regression abscissa (shift-invariant statistics only).
+    ``(frame, x) -> Column``: ``frame(m=n)`` is the window spec over the last
+    ``m <= n`` rows and ``x`` a double position usable as a regression abscissa
+    (shift-invariant statistics only).
     """
     if chunk_rows < n:
         raise ValueError("chunk_rows must be at least the frame length")
@@ -126,10 +127,15 @@ def chunked_rolling(
     d = (df.withColumn("_home", home)
            .withColumn("_chunk", F.explode(F.when(halo, F.array(home, home + 1))
                                             .otherwise(F.array(home)))))
-    w = (Window.partitionBy(*keys, "_chunk").orderBy(index_col)
-         .rowsBetween(-(n - 1), Window.currentRow))
+    base = Window.partitionBy(*keys, "_chunk").orderBy(index_col)
+
+    def frame(m: int = n) -> WindowSpec:
+        if not 1 <= m <= n:
+            raise ValueError("frame length must be between 1 and n")
+        return base.rowsBetween(-(m - 1), Window.currentRow)
+
     x = (pos - F.col("_chunk") * F.lit(chunk_rows)).cast("double")
-    cols = [fn(w, x).alias(name) for name, fn in exprs.items()]
+    cols = [fn(frame, x).alias(name) for name, fn in exprs.items()]
     return (d.select("*", *cols)
              .filter(F.col("_chunk") == F.col("_home"))
              .drop("_chunk", "_home"))
