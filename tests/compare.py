@@ -21,7 +21,7 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def _canon(v):
-    if v is None:
+    if v is None or v is pd.NA or v is pd.NaT:
         return None
     if isinstance(v, float):
         if math.isnan(v):
@@ -36,24 +36,24 @@ def _canon(v):
     return v
 
 
-def rows(pdf: pd.DataFrame) -> list[tuple]:
-    cols = sorted(pdf.columns)
-    out = []
-    for rec in pdf[cols].itertuples(index=False, name=None):
-        out.append(tuple(repr(_canon(x)) for x in rec))
-    return sorted(out)
+def rows(columns: list[str], records) -> list[tuple]:
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    return sorted(tuple(repr(_canon(rec[i])) for i in order) for rec in records)
 
 
 def compare(spark_df, con, sql: str) -> tuple[bool, str]:
-    s = spark_df.toPandas()
-    d = con.execute(sql).df()
-    if sorted(s.columns) != sorted(d.columns):
-        return False, f"columns differ: {sorted(s.columns)} vs {sorted(d.columns)}"
-    if len(s) != len(d):
-        return False, f"row count differs: spark {len(s)} vs duckdb {len(d)}"
-    rs, rd = rows(s), rows(d)
+    s_cols = spark_df.columns
+    s_rows = [tuple(r) for r in spark_df.collect()]
+    cur = con.execute(sql)
+    d_cols = [c[0] for c in cur.description]
+    d_rows = cur.fetchall()
+    if sorted(s_cols) != sorted(d_cols):
+        return False, f"columns differ: {sorted(s_cols)} vs {sorted(d_cols)}"
+    if len(s_rows) != len(d_rows):
+        return False, f"row count differs: spark {len(s_rows)} vs duckdb {len(d_rows)}"
+    rs, rd = rows(s_cols, s_rows), rows(d_cols, d_rows)
     if rs != rd:
         bad = [(a, b) for a, b in zip(rs, rd) if a != b][:3]
         nbad = sum(1 for a, b in zip(rs, rd) if a != b)
         return False, f"{nbad} rows differ, e.g. {bad}"
-    return True, f"{len(s)} rows match"
+    return True, f"{len(s_rows)} rows match"

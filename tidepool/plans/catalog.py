@@ -142,3 +142,61 @@ def q_batch_summary(spark, sf_dir):
         F.sum("total_items").cast("long").alias("total_items"),
         F.sum("modified_items").cast("long").alias("modified_items"),
         F.coalesce(F.sum("kept"), F.lit(0)).cast("long").alias("kept_items"))
+
+
+# --------------------------------------------------------------------------
+# Metric extras: regression, long form, classes, context, snapshot, fallback
+# --------------------------------------------------------------------------
+
+@query("rolling_regression")
+def q_rolling_regression(spark, sf_dir):
+    """Rolling least-squares line over the last 100 readings (x = position
+    in the frame, 0 = oldest): slope, intercept, r2."""
+    m = M.rolling_metrics(FX.readings(spark, sf_dir), regression=True)
+    return m.select("device_id", "data_type", "seq", F.col("history_size").cast("long").alias("history_size"),
+                    rnd("slope").alias("slope"), rnd("intercept").alias("intercept"), rnd("r2").alias("r2"))
+
+
+@query("metrics_long")
+def q_metrics_long(spark, sf_dir):
+    """Metrics unpivoted to (metric_type, metric_value) with the frame's
+    time range."""
+    m = M.rolling_metrics(FX.readings(spark, sf_dir), regression=True)
+    lf = M.metrics_long(m)
+    return lf.select("device_id", "data_type", "seq", ntz("window_start"), ntz("window_end"),
+                     "metric_type", rnd("metric_value").alias("metric_value"))
+
+
+@query("anomaly_class")
+def q_anomaly_class(spark, sf_dir):
+    """Anomaly / warning / normal from the rolling z-score."""
+    m = M.classify_anomaly(M.rolling_metrics(FX.readings(spark, sf_dir)))
+    return m.select("device_id", "data_type", "seq", rnd("anomaly_score").alias("anomaly_score"),
+                    "anomaly_class")
+
+
+@query("contextual_anomaly")
+def q_contextual_anomaly(spark, sf_dir):
+    """Each reading against the previous day's statistics of its key."""
+    c = M.contextual_anomaly(FX.readings(spark, sf_dir))
+    return c.select("device_id", "data_type", "seq", ntz("period_start"),
+                    F.coalesce(F.col("prev_n"), F.lit(0)).cast("long").alias("prev_n"),
+                    rnd("prev_mean").alias("prev_mean"), rnd("prev_std").alias("prev_std"),
+                    "contextual_anomaly")
+
+
+@query("last_100")
+def q_last_100(spark, sf_dir):
+    """The bounded history snapshot (last 100 readings per key)."""
+    h = M.last_n_history(FX.readings(spark, sf_dir))
+    return h.select("device_id", "data_type", "seq", ntz("ts"), "value", "recency_rank")
+
+
+@query("metrics_with_fallback")
+def q_metrics_with_fallback(spark, sf_dir):
+    """Every measurement kept; metrics NULL where they cannot be computed."""
+    m = M.metrics_with_fallback(FX.readings(spark, sf_dir, with_nan=True))
+    return m.select("device_id", "gateway_id", "data_type", "seq", F.col("value").alias("original_value"),
+                    F.col("history_size").cast("long").alias("history_size"),
+                    rnd("average_value").alias("average_value"), rnd("variance").alias("variance"),
+                    rnd("anomaly_score").alias("anomaly_score"), "metrics_ok")

@@ -171,3 +171,77 @@ SELECT status, CAST(count(*) AS BIGINT) AS batches, CAST(sum(total_items) AS BIG
        CAST(sum(modified_items) AS BIGINT) AS modified_items,
        CAST(sum(CASE WHEN status = 'INVALID' THEN 0 ELSE total_items END) AS BIGINT) AS kept_items
 FROM st GROUP BY status"""
+
+ROLLING_REG = f"""
+p AS (SELECT *, CAST(row_number() OVER (PARTITION BY device_id, data_type ORDER BY ts, seq) AS DOUBLE) AS rn
+      FROM readings),
+m AS (SELECT *, count(value) OVER w AS n, avg(value) OVER w AS a, var_pop(value) OVER w AS vp,
+             regr_slope(value, rn) OVER w AS sl, regr_intercept(value, rn) OVER w AS ic,
+             regr_r2(value, rn) OVER w AS r2, min(rn) OVER w AS x0, min(ts) OVER w AS wstart
+      FROM p WINDOW w AS (PARTITION BY device_id, data_type ORDER BY ts, seq
+                          ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)),
+f AS (SELECT *, CASE WHEN n > 1 THEN vp ELSE 0.0 END AS var FROM m),
+g AS (SELECT *, CASE WHEN n > 1 AND var > 0 THEN (value - a) / sqrt(var) ELSE 0.0 END AS z,
+             CASE WHEN n > 2 THEN coalesce(sl, 0.0) ELSE 0.0 END AS trend,
+             CASE WHEN n > 2 THEN ic + sl * x0 ELSE a END AS icpt,
+             CASE WHEN n > 2 THEN coalesce(r2, 0.0) ELSE 0.0 END AS rsq
+      FROM f)"""
+
+ORACLE["rolling_regression"] = f"""
+WITH {READINGS}, {ROLLING_REG}
+SELECT device_id, data_type, seq, n AS history_size, {R('trend')} AS slope, {R('icpt')} AS intercept,
+       {R('rsq')} AS r2
+FROM g"""
+
+ORACLE["metrics_long"] = f"""
+WITH {READINGS}, {ROLLING_REG}
+SELECT device_id, data_type, seq, wstart AS window_start, ts AS window_end, metric_type,
+       {R('metric_value')} AS metric_value
+FROM (
+  SELECT device_id, data_type, seq, wstart, ts, 'average_value' AS metric_type, a AS metric_value FROM g
+  UNION ALL SELECT device_id, data_type, seq, wstart, ts, 'variance', var FROM g
+  UNION ALL SELECT device_id, data_type, seq, wstart, ts, 'std_dev', sqrt(var) FROM g
+  UNION ALL SELECT device_id, data_type, seq, wstart, ts, 'trend_coefficient', trend FROM g
+  UNION ALL SELECT device_id, data_type, seq, wstart, ts, 'normalized_value', z FROM g
+  UNION ALL SELECT device_id, data_type, seq, wstart, ts, 'anomaly_score', abs(z) FROM g)"""
+
+ORACLE["anomaly_class"] = f"""
+WITH {READINGS}, {ROLLING}
+SELECT device_id, data_type, seq, {R('abs(z)')} AS anomaly_score,
+       CASE WHEN abs(z) > 3 THEN 'anomaly' WHEN abs(z) > 2 THEN 'warning' ELSE 'normal' END AS anomaly_class
+FROM g"""
+
+ORACLE["contextual_anomaly"] = f"""
+WITH {READINGS},
+d AS (SELECT *, date_trunc('day', ts) AS period_start FROM readings),
+st AS (SELECT device_id, data_type, period_start + INTERVAL 1 DAY AS next_start,
+              count(value) AS pn, avg(value) AS pm, stddev_pop(value) AS ps
+       FROM d GROUP BY device_id, data_type, period_start)
+SELECT d.device_id, d.data_type, d.seq, d.period_start, CAST(coalesce(st.pn, 0) AS BIGINT) AS prev_n,
+       {R('st.pm')} AS prev_mean, {R('st.ps')} AS prev_std,
+       coalesce(coalesce(st.pn, 0) >= 5 AND NOT isnan(d.value) AND abs(d.value - st.pm) > 3 * st.ps, false)
+         AS contextual_anomaly
+FROM d LEFT JOIN st ON st.device_id = d.device_id AND st.data_type = d.data_type
+                   AND st.next_start = d.period_start"""
+
+ORACLE["last_100"] = f"""
+WITH {READINGS}
+SELECT device_id, data_type, seq, ts, value, recency_rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY device_id, data_type ORDER BY ts DESC, seq DESC) AS recency_rank
+  FROM readings) WHERE recency_rank <= 100"""
+
+ORACLE["metrics_with_fallback"] = f"""
+WITH {READINGS_NAN},
+ok AS (SELECT * FROM readings WHERE NOT isnan(value) AND NOT isinf(value)),
+m AS (SELECT *, count(value) OVER w AS n, avg(value) OVER w AS a, var_pop(value) OVER w AS vp
+      FROM ok WINDOW w AS (PARTITION BY device_id, data_type ORDER BY ts, seq
+                           ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)),
+f AS (SELECT *, CASE WHEN n > 1 THEN vp ELSE 0.0 END AS var FROM m)
+SELECT device_id, gateway_id, data_type, seq, value AS original_value, n AS history_size,
+       {R('a')} AS average_value, {R('var')} AS variance,
+       {R('abs(CASE WHEN n > 1 AND var > 0 THEN (value - a) / sqrt(var) ELSE 0.0 END)')} AS anomaly_score,
+       true AS metrics_ok
+FROM f
+UNION ALL
+SELECT device_id, gateway_id, data_type, seq, value, NULL, NULL, NULL, NULL, false
+FROM readings WHERE isnan(value) OR isinf(value)"""

@@ -90,8 +90,8 @@ def keyed_positions(
     if keep_first is not None:
         local = local.filter(F.col("_li") < F.lit(keep_first))
     if keep_last is not None:
-        bn = F.count(F.lit(1)).over(Window.partitionBy(*keys, "_bkt"))
-        local = local.filter(F.col("_li") >= bn - F.lit(keep_last))
+        local = (local.withColumn("_lbn", F.count(F.lit(1)).over(Window.partitionBy(*keys, "_bkt")))
+                      .filter(F.col("_li") >= F.col("_lbn") - F.lit(keep_last)).drop("_lbn"))
     for s in sums:
         local = local.withColumn(f"_ls_{s}", F.coalesce(F.sum(F.col(s)).over(wprev), F.lit(0)))
 
