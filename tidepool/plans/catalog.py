@@ -200,3 +200,150 @@ def q_metrics_with_fallback(spark, sf_dir):
                     F.col("history_size").cast("long").alias("history_size"),
                     rnd("average_value").alias("average_value"), rnd("variance").alias("variance"),
                     rnd("anomaly_score").alias("anomaly_score"), "metrics_ok")
+
+
+# --------------------------------------------------------------------------
+# Batching, registry, presence, retention, subscriptions
+# --------------------------------------------------------------------------
+
+from tidepool.operators import batching as B  # noqa: E402
+from tidepool.operators import registry as G  # noqa: E402
+from tidepool.operators import retention as RT  # noqa: E402
+from tidepool.operators import subscriptions as SB  # noqa: E402
+
+
+@query("interval_sum")
+def q_interval_sum(spark, sf_dir):
+    """Per device, type and interval the sum of truncated values
+    (7 s on the wire; 1 hour on this sparse table)."""
+    s = B.interval_sum(FX.readings(spark, sf_dir), interval="1 hour")
+    return s.select("device_id", "data_type", ntz("interval_start"), ntz("interval_end"),
+                    F.col("total").cast("long").alias("total"), F.col("items").cast("long").alias("items"))
+
+
+@query("batch_by_type")
+def q_batch_by_type(spark, sf_dir):
+    """Readings per gateway, 30 s flush and type (non-empty groups only)."""
+    s = B.batch_by_type(FX.readings(spark, sf_dir))
+    return s.select("gateway_id", ntz("flush_start"), "data_type",
+                    F.col("items").cast("long").alias("items"), rnd("value_sum").alias("value_sum"))
+
+
+@query("type_counts")
+def q_type_counts(spark, sf_dir):
+    """A3: readings per type."""
+    return B.type_counts(FX.readings(spark, sf_dir)).select(
+        "data_type", F.col("readings").cast("long").alias("readings"))
+
+
+@query("type_sample")
+def q_type_sample(spark, sf_dir):
+    """First 5 readings per type and how many more there are."""
+    s = B.type_sample(FX.readings(spark, sf_dir))
+    return s.select("data_type", "seq", "value", "sample_rank", "more")
+
+
+def _registries(spark, sf_dir):
+    r = FX.readings(spark, sf_dir)
+    early = r.filter(F.col("ts") < F.to_timestamp(F.lit(FX.REGISTRY_SPLIT)))
+    late = r.filter(F.col("ts") >= F.to_timestamp(F.lit(FX.REGISTRY_SPLIT)))
+    gw = G.registry_upsert(G.registry_upsert(None, early, ["gateway_id"]), late, ["gateway_id"])
+    dv = G.registry_upsert(G.registry_upsert(None, early, ["device_id"]), late, ["device_id"])
+    mp = G.mapping_upsert(G.mapping_upsert(None, early), late)
+    return r, gw, dv, mp
+
+
+@query("registry_upsert")
+def q_registry_upsert(spark, sf_dir):
+    """Gateway and device registries, loaded in two upserts."""
+    _, gw, dv, _ = _registries(spark, sf_dir)
+    g = gw.select(F.lit("gateway").alias("entity"), F.col("gateway_id").alias("id"), "last_seen", "last_seq")
+    d = dv.select(F.lit("device").alias("entity"), F.col("device_id").alias("id"), "last_seen", "last_seq")
+    return g.unionByName(d).select("entity", "id", ntz("last_seen"), "last_seq")
+
+
+@query("mapping_upsert")
+def q_mapping_upsert(spark, sf_dir):
+    """A10: device-gateway mapping with first and last connection."""
+    _, _, _, mp = _registries(spark, sf_dir)
+    return mp.select("device_id", "gateway_id", ntz("first_connected"), "first_seq",
+                     ntz("last_connected"), "last_seq")
+
+
+@query("presence")
+def q_presence(spark, sf_dir):
+    """Current connection state per device (signup = connect, error = disconnect)."""
+    p = G.presence(FX.presence_events(spark, sf_dir))
+    return p.select("device_id", "state", ntz("since"), "connected")
+
+
+@query("connected_for")
+def q_connected_for(spark, sf_dir):
+    """Connected devices at the table's last time, with h/m/s text."""
+    r = FX.readings(spark, sf_dir)
+    now = r.select(F.max("ts")).scalar()
+    c = G.connected_for(G.presence(FX.presence_events(spark, sf_dir)), now)
+    return c.select("device_id", ntz("since"), "elapsed_seconds", "elapsed_text")
+
+
+def _now(r):
+    return r.select(F.max("ts")).scalar()
+
+
+@query("inactive_counts")
+def q_inactive_counts(spark, sf_dir):
+    """Devices and gateways not seen in the hour before the table's last time."""
+    r, gw, dv, _ = _registries(spark, sf_dir)
+    c = RT.inactive_counts(dv, gw, _now(r))
+    return c.select("entity", F.col("inactive").cast("long").alias("inactive"))
+
+
+def _retention(spark, sf_dir):
+    r, gw, dv, mp = _registries(spark, sf_dir)
+    before = {"measurements": r, "mappings": mp, "devices": dv, "gateways": gw}
+    return before, RT.apply_retention(r, mp, dv, gw, _now(r))
+
+
+@query("retention")
+def q_retention(spark, sf_dir):
+    """Measurements that survive the cascaded retention delete."""
+    _, after = _retention(spark, sf_dir)
+    return after["measurements"].select("seq", "device_id", "gateway_id", "data_type")
+
+
+@query("retention_report")
+def q_retention_report(spark, sf_dir):
+    """Rows removed per table by the retention run."""
+    before, after = _retention(spark, sf_dir)
+    rep = RT.retention_report(before, after)
+    return rep.select("table_name", *[F.col(c).cast("long").alias(c)
+                                      for c in ["before_rows", "after_rows", "removed_rows"]])
+
+
+@query("current_subscriptions")
+def q_current_subscriptions(spark, sf_dir):
+    """The set after folding the control actions over the default
+    list, restricted to the types present in the readings."""
+    s = SB.current_subscriptions(FX.control_events(spark), spark, FX.FIXTURE_DEFAULT_SUBSCRIPTIONS)
+    types = FX.readings(spark, sf_dir).select("data_type").distinct()
+    return s.join(types, "data_type", "left_semi")
+
+
+@query("subscribed_readings")
+def q_subscribed_readings(spark, sf_dir):
+    """Readings on subscribed topics, as (topic, message)."""
+    r = FX.readings(spark, sf_dir)
+    s = SB.current_subscriptions(FX.control_events(spark), spark, FX.FIXTURE_DEFAULT_SUBSCRIPTIONS)
+    hit = SB.subscribed_readings(r, s)
+    msg = hit.withColumn("payload", F.to_json(F.struct(F.col("data_type").alias("DataType"),
+                                                       F.col("value").cast("long").alias("Value"),
+                                                       F.col("device_id").alias("WavyId"))))
+    return SB.publish_messages(msg.withColumn("fmt", F.lit("JSON")), "payload", "fmt", keep=["seq"])
+
+
+@query("subscription_gate")
+def q_subscription_gate(spark, sf_dir):
+    """As-of gate -- the last control action of the type at or before the reading."""
+    g = SB.subscription_gate(FX.readings(spark, sf_dir), FX.control_events(spark),
+                             default=FX.FIXTURE_DEFAULT_SUBSCRIPTIONS)
+    return g.select("seq", "data_type", "gate_action", "subscribed")

@@ -47,3 +47,33 @@ def readings(spark: SparkSession, sf_dir: str, with_nan: bool = False) -> DataFr
 
 def fixture_rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(FIXTURE_RULES, "data_type string, min_value double, max_value double")
+
+
+# Control actions on the events types (data_type, time, action); the fixture's
+# default subscription set is ["signup"].
+FIXTURE_CONTROL = [
+    ("click", "2024-01-03 00:00:00", "subscribe"),
+    ("view", "2024-01-05 00:00:00", "subscribe"),
+    ("click", "2024-01-10 00:00:00", "unsubscribe"),
+    ("purchase", "2024-01-12 00:00:00", "subscribe"),
+    ("view", "2024-01-20 00:00:00", "unsubscribe"),
+    ("click", "2024-01-25 00:00:00", "subscribe"),
+    ("error", "2024-01-28 12:00:00", "subscribe"),
+    ("error", "2024-01-29 00:00:00", "unsubscribe"),
+]
+FIXTURE_DEFAULT_SUBSCRIPTIONS = ["signup"]
+# Registries are built in two loads: rows before this time, then the rest.
+REGISTRY_SPLIT = "2024-01-16 00:00:00"
+
+
+def control_events(spark: SparkSession) -> DataFrame:
+    rows = [(t, ts, i, a) for i, (t, ts, a) in enumerate(FIXTURE_CONTROL)]
+    return (spark.createDataFrame(rows, "data_type string, ts string, seq long, action string")
+                 .withColumn("ts", F.to_timestamp("ts")))
+
+
+def presence_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """signup = connect, error = disconnect, per device."""
+    r = readings(spark, sf_dir)
+    kind = F.when(F.col("data_type") == "signup", "connect").when(F.col("data_type") == "error", "disconnect")
+    return r.withColumn("kind", kind).filter(F.col("kind").isNotNull())

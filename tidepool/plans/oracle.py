@@ -245,3 +245,123 @@ FROM f
 UNION ALL
 SELECT device_id, gateway_id, data_type, seq, value, NULL, NULL, NULL, NULL, false
 FROM readings WHERE isnan(value) OR isinf(value)"""
+
+ORACLE["interval_sum"] = f"""
+WITH {READINGS}
+SELECT device_id, data_type, time_bucket(INTERVAL 1 HOUR, ts) AS interval_start,
+       time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS interval_end,
+       CAST(sum(CAST(trunc(value) AS BIGINT)) AS BIGINT) AS total, CAST(count(*) AS BIGINT) AS items
+FROM readings GROUP BY ALL"""
+
+ORACLE["batch_by_type"] = f"""
+WITH {READINGS}
+SELECT gateway_id, time_bucket(INTERVAL 30 SECOND, ts) AS flush_start, data_type,
+       CAST(count(*) AS BIGINT) AS items, {R('sum(value)')} AS value_sum
+FROM readings GROUP BY ALL"""
+
+ORACLE["type_counts"] = f"""
+WITH {READINGS}
+SELECT data_type, CAST(count(*) AS BIGINT) AS readings FROM readings GROUP BY data_type"""
+
+ORACLE["type_sample"] = f"""
+WITH {READINGS}
+SELECT data_type, seq, value, sample_rank, CAST(greatest(n - 5, 0) AS BIGINT) AS more FROM (
+  SELECT *, row_number() OVER (PARTITION BY data_type ORDER BY ts, seq) AS sample_rank,
+         count(*) OVER (PARTITION BY data_type) AS n
+  FROM readings) WHERE sample_rank <= 5"""
+
+ORACLE["registry_upsert"] = f"""
+WITH {READINGS}
+SELECT 'gateway' AS entity, gateway_id AS id, arg_max(ts, seq) AS last_seen, max(seq) AS last_seq
+FROM readings GROUP BY gateway_id
+UNION ALL
+SELECT 'device', device_id, arg_max(ts, seq), max(seq) FROM readings GROUP BY device_id"""
+
+ORACLE["mapping_upsert"] = f"""
+WITH {READINGS}
+SELECT device_id, gateway_id, arg_min(ts, seq) AS first_connected, min(seq) AS first_seq,
+       arg_max(ts, seq) AS last_connected, max(seq) AS last_seq
+FROM readings GROUP BY device_id, gateway_id"""
+
+PRESENCE = f"""
+pe AS (SELECT *, CASE data_type WHEN 'signup' THEN 'connect' WHEN 'error' THEN 'disconnect' END AS kind
+       FROM readings WHERE data_type IN ('signup', 'error')),
+pr AS (SELECT device_id, arg_max(kind, (ts, seq)) AS state, arg_max(ts, (ts, seq)) AS since
+       FROM pe GROUP BY device_id)"""
+
+ORACLE["presence"] = f"""
+WITH {READINGS}, {PRESENCE}
+SELECT device_id, state, since, state = 'connect' AS connected FROM pr"""
+
+ORACLE["connected_for"] = f"""
+WITH {READINGS}, {PRESENCE},
+e AS (SELECT device_id, since,
+             CAST(floor((epoch_us((SELECT max(ts) FROM readings)) - epoch_us(since)) / 1000000) AS BIGINT) AS s
+      FROM pr WHERE state = 'connect')
+SELECT device_id, since, s AS elapsed_seconds,
+       printf('%dh %dm %ds', (s % 86400) // 3600, (s % 3600) // 60, s % 60) AS elapsed_text
+FROM e"""
+
+REGS = f"""
+dv AS (SELECT device_id, arg_max(ts, seq) AS last_seen FROM readings GROUP BY device_id),
+gw AS (SELECT gateway_id, arg_max(ts, seq) AS last_seen FROM readings GROUP BY gateway_id),
+mp AS (SELECT DISTINCT device_id, gateway_id FROM readings),
+nowt AS (SELECT max(ts) - INTERVAL 1 HOUR AS t FROM readings),
+dead_d AS (SELECT device_id FROM dv WHERE last_seen < (SELECT t FROM nowt)),
+dead_g AS (SELECT gateway_id FROM gw WHERE last_seen < (SELECT t FROM nowt))"""
+
+ORACLE["inactive_counts"] = f"""
+WITH {READINGS}, {REGS}
+SELECT 'device' AS entity, CAST(count(*) AS BIGINT) AS inactive FROM dead_d
+UNION ALL SELECT 'gateway', CAST(count(*) AS BIGINT) FROM dead_g"""
+
+ORACLE["retention"] = f"""
+WITH {READINGS}, {REGS}
+SELECT seq, device_id, gateway_id, data_type FROM readings
+WHERE device_id NOT IN (SELECT device_id FROM dead_d) AND gateway_id NOT IN (SELECT gateway_id FROM dead_g)"""
+
+ORACLE["retention_report"] = f"""
+WITH {READINGS}, {REGS},
+c AS (
+  SELECT 'measurements' AS table_name, (SELECT count(*) FROM readings) AS b,
+         (SELECT count(*) FROM readings WHERE device_id NOT IN (SELECT device_id FROM dead_d)
+                                          AND gateway_id NOT IN (SELECT gateway_id FROM dead_g)) AS a
+  UNION ALL SELECT 'mappings', (SELECT count(*) FROM mp),
+         (SELECT count(*) FROM mp WHERE device_id NOT IN (SELECT device_id FROM dead_d)
+                                    AND gateway_id NOT IN (SELECT gateway_id FROM dead_g))
+  UNION ALL SELECT 'devices', (SELECT count(*) FROM dv), (SELECT count(*) FROM dv) - (SELECT count(*) FROM dead_d)
+  UNION ALL SELECT 'gateways', (SELECT count(*) FROM gw), (SELECT count(*) FROM gw) - (SELECT count(*) FROM dead_g))
+SELECT table_name, CAST(b AS BIGINT) AS before_rows, CAST(a AS BIGINT) AS after_rows,
+       CAST(b - a AS BIGINT) AS removed_rows FROM c"""
+
+CONTROL = """control(data_type, ts, seq, action) AS (VALUES
+  ('click', TIMESTAMP '2024-01-03 00:00:00', 0, 'subscribe'),
+  ('view', TIMESTAMP '2024-01-05 00:00:00', 1, 'subscribe'),
+  ('click', TIMESTAMP '2024-01-10 00:00:00', 2, 'unsubscribe'),
+  ('purchase', TIMESTAMP '2024-01-12 00:00:00', 3, 'subscribe'),
+  ('view', TIMESTAMP '2024-01-20 00:00:00', 4, 'unsubscribe'),
+  ('click', TIMESTAMP '2024-01-25 00:00:00', 5, 'subscribe'),
+  ('error', TIMESTAMP '2024-01-28 12:00:00', 6, 'subscribe'),
+  ('error', TIMESTAMP '2024-01-29 00:00:00', 7, 'unsubscribe')),
+subs AS (
+  SELECT t.data_type FROM (SELECT DISTINCT data_type FROM readings) t
+  LEFT JOIN (SELECT data_type, arg_max(action, seq) AS last_action FROM control GROUP BY data_type) l
+    ON l.data_type = t.data_type
+  WHERE coalesce(l.last_action = 'subscribe', t.data_type IN ('signup')))"""
+
+ORACLE["current_subscriptions"] = f"""
+WITH {READINGS}, {CONTROL}
+SELECT data_type FROM subs"""
+
+ORACLE["subscribed_readings"] = f"""
+WITH {READINGS}, {CONTROL}
+SELECT seq, data_type AS topic,
+       'JSON:{{"DataType":"' || data_type || '","Value":' || CAST(CAST(trunc(value) AS BIGINT) AS VARCHAR)
+         || ',"WavyId":"' || device_id || '"}}' AS message
+FROM readings WHERE data_type IN (SELECT data_type FROM subs)"""
+
+ORACLE["subscription_gate"] = f"""
+WITH {READINGS}, {CONTROL}
+SELECT r.seq, r.data_type, c.action AS gate_action,
+       coalesce(c.action = 'subscribe', r.data_type IN ('signup')) AS subscribed
+FROM readings r ASOF LEFT JOIN control c ON r.data_type = c.data_type AND r.ts >= c.ts"""
