@@ -347,3 +347,179 @@ def q_subscription_gate(spark, sf_dir):
     g = SB.subscription_gate(FX.readings(spark, sf_dir), FX.control_events(spark),
                              default=FX.FIXTURE_DEFAULT_SUBSCRIPTIONS)
     return g.select("seq", "data_type", "gate_action", "subscribed")
+
+
+# --------------------------------------------------------------------------
+# Sources: frames, routing, batches, tagged messages, encoders, extraction
+# --------------------------------------------------------------------------
+
+from tidepool.sources import decode as D  # noqa: E402
+from tidepool.sources import encode as EN  # noqa: E402
+
+
+def _frames(spark, sf_dir):
+    """Frames built from readings: signup -> connect (101, id text), error ->
+    disconnect (501), others -> device data (201, one-item device batch); plus
+    a 3-byte frame and an unknown code."""
+    r = FX.readings(spark, sf_dir)
+    code = (F.when(F.col("data_type") == "signup", 101).when(F.col("data_type") == "error", 501)
+             .otherwise(201))
+    batch = F.to_json(F.struct(F.col("device_id").alias("WavyId"),
+                               F.array(F.struct(F.col("data_type").alias("DataType"),
+                                                F.col("value").cast("long").alias("Value"))).alias("Data")))
+    payload = F.when(code == 201, batch).otherwise(F.col("device_id"))
+    f = r.select("seq", EN.encode_frame(code, payload).alias("frame"))
+    extra = spark.createDataFrame([(-1, bytes([1, 2, 3])), (-2, bytes([0xE7, 3, 0, 0]) + b"x")],
+                                  "seq long, frame binary")
+    return f.unionByName(extra)
+
+
+@query("decode_frames")
+def q_decode_frames(spark, sf_dir):
+    """Code and payload of each frame; short frames rejected."""
+    d = D.decode_frames(_frames(spark, sf_dir))
+    return d.select("seq", F.col("code").cast("long").alias("code"), "payload", "reject_reason")
+
+
+@query("route_messages")
+def q_route_messages(spark, sf_dir):
+    """Message kind by code; unknown codes and malformed frames go to
+    the dead letters with a reason."""
+    d = D.route_messages(D.decode_frames(_frames(spark, sf_dir)))
+    return d.select("seq", "kind", "reject_reason")
+
+
+def _batch_id():
+    return F.floor(F.col("seq") / FX.BATCH_SIZE).cast("long").alias("batch_id")
+
+
+@query("parse_device_batch")
+def q_parse_device_batch(spark, sf_dir):
+    """S3, F1, F2: device batches (one per batch and device) decoded back to
+    items; malformed batches and items without a type are left out."""
+    r = FX.readings(spark, sf_dir).withColumn("batch_id", _batch_id())
+    b = EN.device_batches(r, ["batch_id"]).select("batch_id", "payload")
+    bad = spark.createDataFrame([(-1, '{"Data":[]}'), (-2, '{"WavyId":"x","Data":{}}'),
+                                 (-3, '{"WavyId":"x","Data":[{"Value":1}]}'), (-4, "garbage")],
+                                "batch_id long, payload string")
+    p = D.parse_device_batch(b.unionByName(bad))
+    return p.select("batch_id", "device_id", "data_type", "value")
+
+
+@query("parse_optional_batch")
+def q_parse_optional_batch(spark, sf_dir):
+    """Batches whose id may be absent (every fifth batch); each item
+    keeps its properties with the batch id attached (empty when absent)."""
+    r = FX.readings(spark, sf_dir).withColumn("batch_id", _batch_id())
+    item = F.struct(F.col("seq").alias("_o"), F.col("data_type").alias("DataType"),
+                    F.col("value").alias("Value"), F.lit("item-own").alias("WavyId"))
+    g = r.groupBy("batch_id", "device_id").agg(F.array_sort(F.collect_list(item)).alias("_i"))
+    data = F.transform("_i", lambda x: F.struct(x["DataType"].alias("DataType"), x["Value"].alias("Value"),
+                                                x["WavyId"].alias("WavyId"))).alias("Data")
+    payload = F.when(F.col("batch_id") % 5 == 0, F.to_json(F.struct(data))).otherwise(
+        F.to_json(F.struct(F.col("device_id").alias("WavyId"), data)))
+    p = D.parse_optional_batch(g.select("batch_id", payload.alias("payload")))
+    return p.select("batch_id", F.col("item").getItem("WavyId").alias("device_id"),
+                    F.col("item").getItem("DataType").alias("data_type"),
+                    F.col("item").getItem("Value").cast("double").alias("value"))
+
+
+@query("parse_gateway_batch")
+def q_parse_gateway_batch(spark, sf_dir):
+    """Gateway envelopes (inner data as arrays, as JSON text of a
+    single item, items as JSON text) decoded to measurements; bad groups and
+    items are kept as rejects with a reason."""
+    r = FX.readings(spark, sf_dir).withColumn("batch_id", _batch_id())
+    g = EN.gateway_batches(r, ["batch_id"], text_items=(F.col("seq") % 2 == 1))
+    bad = spark.createDataFrame([
+        (-1, '{"AggregatorId":"9","Timestamp":"2024-01-01T00:00:00Z","Data":[{"DataType":"view"}]}'),
+        (-2, '{"AggregatorId":"9","Timestamp":"2024-01-01T00:00:00Z","Data":[{"DataType":"view","Data":[5,'
+             '{"Value":"x","value":1,"WavyId":"d"},{"wavyId":"","Value":"2.5"}]}]}'),
+        (-3, "garbage")], "batch_id long, payload string")
+    p = D.parse_gateway_batch(g.select("batch_id", "payload").unionByName(bad))
+    return p.select("aggregator_id", ntz("batch_time"), "data_type", "device_id", "value", "reject_reason")
+
+
+def _tagged(spark, sf_dir):
+    """Tagged messages from readings: XML (seq % 3 = 0), JSON with prefix
+    (1), JSON without prefix (2); plus one undecodable message."""
+    r = FX.readings(spark, sf_dir)
+    xml = EN.reading_xml("data_type", EN.number_text("value"), "device_id")
+    js = EN.reading_json("data_type", "value", "device_id")
+    k = F.col("seq") % 3
+    msg = F.when(k == 0, EN.tag_message(F.lit("XML"), xml)).when(k == 1, EN.tag_message(F.lit("JSON"), js)) \
+        .otherwise(js)
+    m = r.select("seq", msg.alias("message"))
+    return m.unionByName(spark.createDataFrame([(-1, "JSON:{not json")], "seq long, message string"))
+
+
+@query("detect_format")
+def q_detect_format(spark, sf_dir):
+    """Format from the prefix (default JSON) and the content after it."""
+    d = D.detect_format(_tagged(spark, sf_dir))
+    return d.select("seq", "format", "content")
+
+
+@query("decode_xml")
+def q_decode_xml(spark, sf_dir):
+    """XML messages decoded (attributes + child elements) to readings."""
+    d = D.decode_tagged(_tagged(spark, sf_dir)).filter(F.col("format") == "XML")
+    good, _ = D.split_rejects(D.reading_from_fields(d))
+    return good.select("seq", "device_id", "data_type", "value")
+
+
+@query("decode_json")
+def q_decode_json(spark, sf_dir):
+    """JSON messages decoded to readings (the malformed one goes to
+    the dead letters); the events' own ``props`` JSON decoded the same way."""
+    d = D.decode_tagged(_tagged(spark, sf_dir)).filter(F.col("format") == "JSON")
+    good, _ = D.split_rejects(D.reading_from_fields(d))
+    props = FX.table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("seq"), D.json_to_map("props").getItem("k").cast("long").alias("k"))
+    return good.select("seq", "device_id", "data_type", "value").join(props, "seq", "left")
+
+
+@query("encode_json")
+def q_encode_json(spark, sf_dir):
+    """The JSON text of each reading."""
+    r = FX.readings(spark, sf_dir)
+    return r.select("seq", EN.reading_json("data_type", "value", "device_id").alias("payload"))
+
+
+@query("encode_xml")
+def q_encode_xml(spark, sf_dir):
+    """The XML document of each reading (id as attribute)."""
+    r = FX.readings(spark, sf_dir)
+    return r.select("seq", EN.reading_xml("data_type", EN.number_text("value"), "device_id").alias("payload"))
+
+
+def _items(spark, sf_dir):
+    """Measurement items in six shapes, chosen by seq % 6."""
+    r = FX.readings(spark, sf_dir)
+    v = F.col("value").cast("string")
+    dev = EN.json_string("device_id")
+    k = F.col("seq") % 6
+    text = (F.when(k == 0, F.concat(F.lit('{"WavyId":'), dev, F.lit(',"Value":'), v, F.lit("}")))
+             .when(k == 1, F.concat(F.lit('{"wavyId":'), dev, F.lit(',"Value":"'), v, F.lit('"}')))
+             .when(k == 2, F.concat(F.lit('{"WavyId":"","value":'), v, F.lit("}")))
+             .when(k == 3, F.concat(F.lit('{"WavyId":'), dev, F.lit(',"Value":"x","value":'), v, F.lit("}")))
+             .when(k == 4, F.lit('{"Value":null}'))
+             .otherwise(F.concat(F.lit('{"WavyId":7,"Value":'), v, F.lit("}"))))
+    return r.select("seq", F.try_parse_json(text).alias("item"))
+
+
+@query("extract_strict")
+def q_extract_strict(spark, sf_dir):
+    """Server-side id and strict value extraction (bad value -> rejected)."""
+    i = _items(spark, sf_dir)
+    return i.select("seq", D.device_id_of(F.col("item")).alias("device_id"),
+                    D.strict_value_of(F.col("item")).alias("value"))
+
+
+@query("extract_lenient")
+def q_extract_lenient(spark, sf_dir):
+    """Gateway-side lenient extraction (bad or missing value -> 0.0; a
+    non-text id makes the item unreadable)."""
+    i = _items(spark, sf_dir)
+    return i.select("seq", D.lenient_device_of(F.col("item")).alias("device_id"),
+                    D.lenient_value_of(F.col("item")).alias("value"))

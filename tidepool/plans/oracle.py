@@ -365,3 +365,90 @@ WITH {READINGS}, {CONTROL}
 SELECT r.seq, r.data_type, c.action AS gate_action,
        coalesce(c.action = 'subscribe', r.data_type IN ('signup')) AS subscribed
 FROM readings r ASOF LEFT JOIN control c ON r.data_type = c.data_type AND r.ts >= c.ts"""
+
+VTEXT = "CASE WHEN value = floor(value) THEN CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE CAST(value AS VARCHAR) END"
+JSON_READING = ("""'{"DataType":"' || data_type || '","Value":' || CAST(value AS VARCHAR) || ',"WavyId":"' """
+                """|| device_id || '"}'""")
+XML_READING = (f"""'<?xml version="1.0" encoding="utf-16"?>' || chr(10) || '<SensorData WavyId="' || device_id """
+               f"""|| '">' || chr(10) || '  <DataType>' || data_type || '</DataType>' || chr(10) || '  <Value>' """
+               f"""|| {VTEXT} || '</Value>' || chr(10) || '</SensorData>'""")
+DEVICE_ITEM = ("""'{"WavyId":"' || device_id || '","Data":[{"DataType":"' || data_type || '","Value":' """
+               """|| CAST(CAST(trunc(value) AS BIGINT) AS VARCHAR) || '}]}'""")
+
+ORACLE["decode_frames"] = f"""
+WITH {READINGS},
+f AS (SELECT *, CASE data_type WHEN 'signup' THEN 101 WHEN 'error' THEN 501 ELSE 201 END AS code FROM readings)
+SELECT seq, CAST(code AS BIGINT) AS code,
+       CASE WHEN code = 201 THEN {DEVICE_ITEM} ELSE device_id END AS payload,
+       CAST(NULL AS VARCHAR) AS reject_reason
+FROM f
+UNION ALL SELECT -1, NULL, NULL, 'malformed frame'
+UNION ALL SELECT -2, 999, 'x', NULL"""
+
+ORACLE["route_messages"] = f"""
+WITH {READINGS}
+SELECT seq, CASE data_type WHEN 'signup' THEN 'connect' WHEN 'error' THEN 'disconnect'
+                 ELSE 'device_data' END AS kind, CAST(NULL AS VARCHAR) AS reject_reason
+FROM readings
+UNION ALL SELECT -1, NULL, 'malformed frame'
+UNION ALL SELECT -2, NULL, 'unknown code'"""
+
+ORACLE["parse_device_batch"] = f"""
+WITH {READINGS}
+SELECT seq // 8 AS batch_id, device_id, data_type, value FROM readings"""
+
+ORACLE["parse_optional_batch"] = f"""
+WITH {READINGS}
+SELECT seq // 8 AS batch_id, CASE WHEN (seq // 8) % 5 = 0 THEN '' ELSE device_id END AS device_id,
+       data_type, value
+FROM readings"""
+
+ORACLE["parse_gateway_batch"] = f"""
+WITH {READINGS}
+SELECT gateway_id AS aggregator_id, min(ts) OVER (PARTITION BY gateway_id, seq // 8) AS batch_time,
+       data_type, device_id, value, CAST(NULL AS VARCHAR) AS reject_reason
+FROM readings
+UNION ALL SELECT '9', TIMESTAMP '2024-01-01 00:00:00', 'view', NULL, NULL, 'missing Data'
+UNION ALL SELECT '9', TIMESTAMP '2024-01-01 00:00:00', 'view', 'Unknown', NULL, 'item is not an object'
+UNION ALL SELECT '9', TIMESTAMP '2024-01-01 00:00:00', 'view', 'd', NULL, 'no valid value'
+UNION ALL SELECT '9', TIMESTAMP '2024-01-01 00:00:00', 'view', 'Unknown', 2.5, NULL
+UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, 'malformed json'"""
+
+ORACLE["detect_format"] = f"""
+WITH {READINGS}
+SELECT seq, CASE WHEN seq % 3 = 0 THEN 'XML' ELSE 'JSON' END AS format,
+       CASE WHEN seq % 3 = 0 THEN {XML_READING} ELSE {JSON_READING} END AS content
+FROM readings
+UNION ALL SELECT -1, 'JSON', '{{not json'"""
+
+ORACLE["decode_xml"] = f"""
+WITH {READINGS}
+SELECT seq, device_id, data_type, value FROM readings WHERE seq % 3 = 0"""
+
+ORACLE["decode_json"] = f"""
+WITH {READINGS}
+SELECT r.seq, r.device_id, r.data_type, r.value, CAST(json_extract(e.props, '$.k') AS BIGINT) AS k
+FROM readings r JOIN events e ON e.event_id = r.seq WHERE r.seq % 3 <> 0"""
+
+ORACLE["encode_json"] = f"""
+WITH {READINGS}
+SELECT seq, {JSON_READING} AS payload FROM readings"""
+
+ORACLE["encode_xml"] = f"""
+WITH {READINGS}
+SELECT seq, {XML_READING} AS payload FROM readings"""
+
+ORACLE["extract_strict"] = f"""
+WITH {READINGS}
+SELECT seq,
+       CASE seq % 6 WHEN 0 THEN device_id WHEN 1 THEN device_id WHEN 3 THEN device_id ELSE 'Unknown' END AS device_id,
+       CASE WHEN seq % 6 IN (3, 4) THEN NULL ELSE value END AS value
+FROM readings"""
+
+ORACLE["extract_lenient"] = f"""
+WITH {READINGS}
+SELECT seq,
+       CASE seq % 6 WHEN 0 THEN device_id WHEN 1 THEN 'Unknown' WHEN 2 THEN '' WHEN 3 THEN device_id
+                    WHEN 4 THEN 'Unknown' ELSE NULL END AS device_id,
+       CASE WHEN seq % 6 IN (2, 3, 4) THEN 0.0 ELSE value END AS value
+FROM readings"""
