@@ -523,3 +523,48 @@ def q_extract_lenient(spark, sf_dir):
     i = _items(spark, sf_dir)
     return i.select("seq", D.lenient_device_of(F.col("item")).alias("device_id"),
                     D.lenient_value_of(F.col("item")).alias("value"))
+
+
+# --------------------------------------------------------------------------
+# Tables: counts, ranged history, resends
+# --------------------------------------------------------------------------
+
+from tidepool.session import scratch_dir  # noqa: E402
+from tidepool.sources import history as H  # noqa: E402
+
+GIVEN_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+                "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
+
+
+@query("table_counts")
+def q_table_counts(spark, sf_dir):
+    """A4: rows per table; a table that does not exist reports -1."""
+    names = GIVEN_TABLES + ["measurements"]
+    c = H.table_counts(spark, names, lambda n: f"{sf_dir.rstrip('/')}/{n}.parquet")
+    return c.select("table_name", F.col("row_count").cast("long").alias("row_count"))
+
+
+@query("history_range")
+def q_history_range(spark, sf_dir):
+    """Measurements written as a table partitioned by type and
+    day, read back for one device and a ten-day range (partition pruning and
+    pushed filters), with the epoch-millisecond wire time."""
+    path = scratch_dir(spark, "measurements")
+    H.write_measurements(FX.readings(spark, sf_dir), path, mode="overwrite")
+    h = H.read_history(spark, path, "3", "2024-01-10 00:00:00", "2024-01-20 00:00:00")
+    h = H.with_epoch_millis(h)
+    return h.select("seq", "device_id", "data_type", "value", "ts_ms", ntz("ts_roundtrip"))
+
+
+@query("resend_dedupe")
+def q_resend_dedupe(spark, sf_dir):
+    """Device batches sent with code 201, every fourth batch resent with
+    202 (same payload); one row per distinct batch with its copies."""
+    r = FX.readings(spark, sf_dir).withColumn("batch_id", _batch_id())
+    b = EN.device_batches(r, ["batch_id"])
+    sends = b.select("batch_id", "device_id", "payload", F.lit(201).alias("code"), F.lit(0).alias("seq"))
+    resends = (b.filter(F.col("batch_id") % 4 == 0)
+                .select("batch_id", "device_id", "payload", F.lit(202).alias("code"), F.lit(1).alias("seq")))
+    d = H.dedupe_resends(sends.unionByName(resends), key_cols=["batch_id", "device_id"])
+    return d.select("batch_id", "device_id", F.col("copies").cast("long").alias("copies"),
+                    F.col("code").cast("long").alias("kept_code"))

@@ -452,3 +452,33 @@ SELECT seq,
                     WHEN 4 THEN 'Unknown' ELSE NULL END AS device_id,
        CASE WHEN seq % 6 IN (2, 3, 4) THEN 0.0 ELSE value END AS value
 FROM readings"""
+
+ORACLE["table_counts"] = """
+SELECT 'region' AS table_name, CAST(count(*) AS BIGINT) AS row_count FROM region
+UNION ALL SELECT 'nation', count(*) FROM nation
+UNION ALL SELECT 'customer', count(*) FROM customer
+UNION ALL SELECT 'supplier', count(*) FROM supplier
+UNION ALL SELECT 'part', count(*) FROM part
+UNION ALL SELECT 'orders', count(*) FROM orders
+UNION ALL SELECT 'lineitem', count(*) FROM lineitem
+UNION ALL SELECT 'events', count(*) FROM events
+UNION ALL SELECT 'documents', count(*) FROM documents
+UNION ALL SELECT 'embeddings', count(*) FROM embeddings
+UNION ALL SELECT 'pages', count(*) FROM pages
+UNION ALL SELECT 'benchmark', count(*) FROM benchmark
+UNION ALL SELECT 'labels', count(*) FROM labels
+UNION ALL SELECT 'conversations', count(*) FROM conversations
+UNION ALL SELECT 'measurements', -1"""
+
+ORACLE["history_range"] = f"""
+WITH {READINGS}
+SELECT seq, device_id, data_type, value, epoch_us(ts) // 1000 AS ts_ms,
+       epoch_ms(epoch_us(ts) // 1000) AS ts_roundtrip
+FROM readings
+WHERE device_id = '3' AND ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts < TIMESTAMP '2024-01-20 00:00:00'"""
+
+ORACLE["resend_dedupe"] = f"""
+WITH {READINGS}
+SELECT DISTINCT seq // 8 AS batch_id, device_id,
+       CAST(CASE WHEN (seq // 8) % 4 = 0 THEN 2 ELSE 1 END AS BIGINT) AS copies, CAST(201 AS BIGINT) AS kept_code
+FROM readings"""
