@@ -62,8 +62,8 @@ def attach_rules(df: DataFrame, rules=None, type_col: str = "data_type") -> Data
         return (df.join(r, F.col(type_col) == F.col("_rt"), "left").drop("_rt"))
     lo = F.create_map(*[x for t, a, _ in rules for x in (F.lit(t), F.lit(float(a)))])
     hi = F.create_map(*[x for t, _, b in rules for x in (F.lit(t), F.lit(float(b)))])
-    return (df.withColumn("min_value", lo.getItem(F.col(type_col)))
-              .withColumn("max_value", hi.getItem(F.col(type_col))))
+    return (df.withColumn("min_value", lo[F.col(type_col)])
+              .withColumn("max_value", hi[F.col(type_col)]))
 
 
 def clean_readings(df: DataFrame, rules=None, value: str = "value",

@@ -25,7 +25,8 @@ READINGS_NAN = """readings AS (
   FROM events)"""
 
 RULES = """rules(data_type, min_value, max_value) AS (
-  VALUES ('signup', 1.0, 150.0), ('purchase', 1.0, 150.0), ('error', 0.0, 150.0), ('view', 0.0, 140.0))"""
+  VALUES ('signup', CAST(1 AS DOUBLE), CAST(150 AS DOUBLE)), ('purchase', CAST(1 AS DOUBLE), CAST(150 AS DOUBLE)),
+         ('error', CAST(0 AS DOUBLE), CAST(150 AS DOUBLE)), ('view', CAST(0 AS DOUBLE), CAST(140 AS DOUBLE)))"""
 
 ORACLE: dict[str, str] = {}
 
@@ -411,7 +412,7 @@ FROM readings
 UNION ALL SELECT '9', TIMESTAMP '2024-01-01 00:00:00', 'view', NULL, NULL, 'missing Data'
 UNION ALL SELECT '9', TIMESTAMP '2024-01-01 00:00:00', 'view', 'Unknown', NULL, 'item is not an object'
 UNION ALL SELECT '9', TIMESTAMP '2024-01-01 00:00:00', 'view', 'd', NULL, 'no valid value'
-UNION ALL SELECT '9', TIMESTAMP '2024-01-01 00:00:00', 'view', 'Unknown', 2.5, NULL
+UNION ALL SELECT '9', TIMESTAMP '2024-01-01 00:00:00', 'view', 'Unknown', CAST(2.5 AS DOUBLE), NULL
 UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, 'malformed json'"""
 
 ORACLE["detect_format"] = f"""

@@ -44,7 +44,7 @@ def route_messages(df: DataFrame, code_col: str = "code") -> DataFrame:
     """Message kind by code (a fixed table inlined as a map literal);
     unknown codes are rejected with a reason."""
     table = F.create_map(*[x for c, k in MESSAGE_CODES for x in (F.lit(c), F.lit(k))])
-    kind = table.getItem(F.col(code_col))
+    kind = table[F.col(code_col)]
     reason = F.col("reject_reason") if "reject_reason" in df.columns else F.lit(None).cast("string")
     return (df.withColumn("kind", kind)
               .withColumn("reject_reason",
