@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 INF = float("inf")
 
 
+def evaluated_once(df, exprs: dict):
+    """Add computed columns as the output of a generator.  Later filters on
+    them cannot be pushed below it (the optimizer pushes predicates through
+    projections by re-inlining the expression), so an expensive decode runs
+    once per row instead of once per predicate and projection."""
+    packed = F.struct(*[e.alias(n) for n, e in exprs.items()])
+    return df.select("*", F.inline(F.array(packed)))
+
+
 def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 

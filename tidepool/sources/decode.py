@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidepool.functions.scalar import evaluated_once
 from tidepool.schema import MESSAGE_CODES, UNKNOWN_ID
 
 NUMERIC_TEXT = r"^\s*[+-]?((\d+\.?\d*)|(\.\d+))([eE][+-]?\d+)?\s*$"
@@ -115,14 +116,43 @@ def xml_to_map(col: str | Column) -> Column:
     return F.when(has_root, m)
 
 
-def decode_tagged(df: DataFrame, col: str = "message") -> DataFrame:
+# Fields of a sensor reading document: (name, is_attribute).
+SENSOR_XML_FIELDS = (("WavyId", True), ("DataType", False), ("Value", False))
+
+
+def xml_fields_struct(col: str | Column, fields=SENSOR_XML_FIELDS) -> Column:
+    """S7 with a known field list: Spark's XML reader (``from_xml``) with a
+    flat schema, attributes as ``_name``."""
+    c = F.col(col) if isinstance(col, str) else col
+    schema = ", ".join(f"`{'_' if attr else ''}{name}` string" for name, attr in fields)
+    return F.from_xml(c, schema, {"mode": "PERMISSIVE"})
+
+
+def xml_struct_to_map(s: Column, fields=SENSOR_XML_FIELDS) -> Column:
+    """The fields present in a parsed document as a key/value map; NULL when
+    no field could be read (undecodable text)."""
+    m = F.map_filter(F.create_map(*[x for name, attr in fields
+                                    for x in (F.lit(name), s.getField(("_" if attr else "") + name))]),
+                     lambda k, v: v.isNotNull())
+    return F.when(F.size(m) > 0, m)
+
+
+def decode_tagged(df: DataFrame, col: str = "message", xml_fields=SENSOR_XML_FIELDS) -> DataFrame:
     """S6 + S7 + S8: format detection then the flat decoder of that format;
     ``fields`` is the key/value map, NULL (with a reject reason) when the
-    content does not parse."""
+    content does not parse.  XML documents are read with Spark's XML reader
+    for the given field list, or with the schema-less ``xml_to_map`` when
+    ``xml_fields`` is None (slower: regular expressions)."""
     d = detect_format(df, col)
-    fields = F.when(F.col("format") == "XML", xml_to_map("content")).otherwise(json_to_map("content"))
-    return (d.withColumn("fields", fields)
-             .withColumn("reject_reason", F.when(F.col("fields").isNull(), F.lit("undecodable message"))))
+    if xml_fields is None:
+        xml = xml_to_map("content")
+    else:
+        # parse once per row into a struct column, then read its fields
+        d = d.withColumn("_xml", F.when(F.col("format") == "XML", xml_fields_struct("content", xml_fields)))
+        xml = xml_struct_to_map(F.col("_xml"), xml_fields)
+    fields = F.when(F.col("format") == "XML", xml).otherwise(json_to_map("content"))
+    d = evaluated_once(d, {"fields": fields}).drop("_xml")
+    return d.withColumn("reject_reason", F.when(F.col("fields").isNull(), F.lit("undecodable message")))
 
 
 def reading_from_fields(df: DataFrame, fields: str = "fields", compat: bool = False) -> DataFrame:
@@ -216,11 +246,11 @@ def parse_device_batch(df: DataFrame, col: str = "payload") -> DataFrame:
     Batches without a text id or an array ``Data`` are rejected (F1); items
     without ``DataType`` are dropped (F2); a non-number ``Value`` drops the
     item.  One row per item: ``device_id, data_type, value, item_index``."""
-    v = F.try_parse_json(F.col(col))
+    d = evaluated_once(df, {"_v": F.try_parse_json(F.col(col))})
+    v = F.col("_v")
     ok = (_vtype(v, "$.WavyId") == "STRING") & F.try_variant_get(v, "$.Data", "array<variant>").isNotNull()
-    d = (df.withColumn("_v", v)
-           .withColumn("reject_reason", F.when(v.isNull(), F.lit("malformed json"))
-                                         .when(~ok, F.lit("missing WavyId or Data"))))
+    d = d.withColumn("reject_reason", F.when(v.isNull(), F.lit("malformed json"))
+                                       .when(~ok, F.lit("missing WavyId or Data")))
     good = d.filter(F.col("reject_reason").isNull())
     items = good.select("*", F.posexplode(F.try_variant_get("_v", "$.Data", "array<variant>"))
                         .alias("item_index", "_it"))
@@ -259,8 +289,7 @@ def parse_gateway_batch(df: DataFrame, col: str = "payload") -> DataFrame:
     Returns one row per accepted measurement (``aggregator_id, batch_time,
     data_type, device_id, value``) and, with ``reject_reason`` set, one row per
     rejected group or item."""
-    v = F.try_parse_json(F.col(col))
-    head = df.select("*", v.alias("_v"))
+    head = evaluated_once(df, {"_v": F.try_parse_json(F.col(col))})
     groups = head.select("*", F.posexplode_outer(F.try_variant_get("_v", "$.Data", "array<variant>"))
                          .alias("group_index", "_g"))
     g = F.col("_g")
@@ -268,11 +297,14 @@ def parse_gateway_batch(df: DataFrame, col: str = "payload") -> DataFrame:
     inner = F.try_variant_get(g, "$.Data", "variant")
     as_list = (F.when(kind.startswith("ARRAY"), F.try_variant_get(inner, "$", "array<variant>"))
                 .when(kind == "STRING", F.array(F.try_parse_json(F.try_variant_get(inner, "$", "string")))))
-    groups = (groups.withColumn("aggregator_id", F.try_variant_get("_v", "$.AggregatorId", "string"))
-                    .withColumn("batch_time", F.to_timestamp(F.try_variant_get("_v", "$.Timestamp", "string")))
-                    .withColumn("data_type", F.try_variant_get(g, "$.DataType", "string"))
-                    .withColumn("_glist", as_list)
-                    .withColumn("reject_reason",
+    groups = evaluated_once(groups, {
+        "aggregator_id": F.try_variant_get("_v", "$.AggregatorId", "string"),
+        "batch_time": F.to_timestamp(F.try_variant_get("_v", "$.Timestamp", "string")),
+        "data_type": F.try_variant_get(g, "$.DataType", "string"),
+        "_kind": kind,
+        "_glist": as_list})
+    kind = F.col("_kind")
+    groups = (groups.withColumn("reject_reason",
                                 F.when(F.col("_v").isNull(), F.lit("malformed json"))
                                  .when(g.isNull(), F.lit("no data groups"))
                                  .when(kind.isNull(), F.lit("missing Data"))
@@ -284,14 +316,14 @@ def parse_gateway_batch(df: DataFrame, col: str = "payload") -> DataFrame:
     # an item given as JSON text is parsed once more
     item = F.when(F.schema_of_variant(i0) == "STRING",
                   F.try_parse_json(F.try_variant_get(i0, "$", "string"))).otherwise(i0)
-    items = items.withColumn("_it", item)
+    items = evaluated_once(items, {"_it": item})
     it = F.col("_it")
-    items = (items.withColumn("device_id", device_id_of(it))
-                  .withColumn("value", strict_value_of(it))
-                  .withColumn("reject_reason",
-                              F.when(it.isNull(), F.lit("unparsable item"))
-                               .when(~_is_object(it), F.lit("item is not an object"))
-                               .when(F.col("value").isNull(), F.lit("no valid value"))))
+    items = evaluated_once(items, {"device_id": device_id_of(it), "value": strict_value_of(it),
+                                   "_obj": _is_object(it)})
+    items = items.withColumn("reject_reason",
+                             F.when(it.isNull(), F.lit("unparsable item"))
+                              .when(~F.col("_obj"), F.lit("item is not an object"))
+                              .when(F.col("value").isNull(), F.lit("no valid value")))
     keep = ["aggregator_id", "batch_time", "data_type", "device_id", "value", "group_index",
             "item_index", "reject_reason"]
     base_cols = [c for c in df.columns]
