@@ -101,10 +101,12 @@ def _history_core(
     sigmas: float = ANOMALY_SIGMAS,
     bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
     chunk_rows: int = DEFAULT_CHUNK_ROWS,
+    internals: bool = False,
 ) -> DataFrame:
     """Cleaning, history statistics, anomaly flag and the signed pool deltas
     ``_dsum``/``_dn`` of each reading (what it adds to / evicts from the
-    history pool of its type)."""
+    history pool of its type).  ``internals`` keeps ``_keep`` (1 if the value
+    entered the history) and ``_c`` (values kept before the reading)."""
     type_col = keys[-1]
     base = clean_readings(df, rules, value, type_col)
     base = base.withColumn("_keep", (~F.col("was_modified")).cast("long"))
@@ -153,8 +155,8 @@ def _history_core(
     j = (j.withColumn("_dsum", F.when(keep, v).otherwise(F.lit(0.0)) -
                       F.when(evict, F.col("_oldest")).otherwise(F.lit(0.0)))
           .withColumn("_dn", keep.cast("long") - evict.cast("long")))
-    drop = ["_keep", "_pos", "_c", "_u", "_snap_pos", "_n_full", "_m_full", "_s_full", "_m_short",
-            "_s_short", "_oldest"]
+    drop = ["_pos", "_u", "_snap_pos", "_n_full", "_m_full", "_s_full", "_m_short",
+            "_s_short", "_oldest"] + ([] if internals else ["_keep", "_c"])
     return j.drop(*drop)
 
 
@@ -170,6 +172,8 @@ def validate_readings(
     sigmas: float = ANOMALY_SIGMAS,
     bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
     chunk_rows: int = DEFAULT_CHUNK_ROWS,
+    pool_offset: DataFrame | None = None,
+    internals: bool = False,
 ) -> DataFrame:
     """U2 per reading: cleaning (P9-P11), valid-only history statistics (W7),
     the 3-sigma flag (W8, P12) and non-finite replacement by the live
@@ -178,13 +182,24 @@ def validate_readings(
     Adds ``original_value``, ``cleaned_value``, ``was_modified``,
     ``validation_message``, ``history_size``, ``history_mean``,
     ``history_std``, ``is_anomaly``, ``anomaly_message``, ``type_average``
-    (average of the type's pool before the reading)."""
+    (average of the type's pool before the reading).
+
+    ``pool_offset`` ``(data_type, pool_sum, pool_values)`` adds histories that
+    are not among the input rows (devices without readings in an incremental
+    run) to the cross-device pool; it has one row per type."""
     type_col = keys[-1]
     v = F.col(value)
     j = _history_core(df, rules, keys, order, value, time_col, history, min_history, sigmas,
-                      bucket_seconds, chunk_rows)
+                      bucket_seconds, chunk_rows, internals=internals)
     typed = keyed_positions(j, [type_col], order, time_col, bucket_seconds,
                             sums=["_dsum", "_dn"], index_col="_tpos")
+    if pool_offset is not None:
+        off = pool_offset.select(F.col(type_col), F.col("pool_sum").alias("_osum"),
+                                 F.col("pool_values").alias("_on"))
+        typed = (typed.join(off, type_col, "left")
+                      .withColumn("_dsum_before", F.col("_dsum_before") + F.coalesce("_osum", F.lit(0.0)))
+                      .withColumn("_dn_before", F.col("_dn_before") + F.coalesce("_on", F.lit(0)))
+                      .drop("_osum", "_on"))
     avg = F.when(F.col("_dn_before") > 0, F.col("_dsum_before") / F.col("_dn_before"))
     out = (typed.withColumn("type_average", avg)
                 .withColumn("original_value", v)
@@ -234,6 +249,25 @@ def drop_invalid_batches(validated: DataFrame, status: DataFrame,
     return validated.join(ok, on=list(batch_cols), how="left_semi")
 
 
+def current_histories(validated: DataFrame, keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER,
+                      value: str = "value", history: int = HISTORY_SIZE) -> DataFrame:
+    """The history of every key after its last reading, as rows (keys, order
+    columns, value): the last ``size`` kept values, where ``size`` follows the
+    eviction rule from the last reading's ``history_size`` and whether it was
+    kept.  Needs ``validate_readings(..., internals=True)`` output.  One
+    partial aggregation per key plus an equi join; at most ``history`` rows
+    per key come out."""
+    last = validated.groupBy(*keys).agg(
+        F.max_by(F.struct("history_size", "_keep"), F.struct(*order)).alias("_l"),
+        F.sum("_keep").alias("_kept_total"))
+    size = (F.col("_l.history_size") - F.when(F.col("_l.history_size") == history, 1).otherwise(0)
+            + F.col("_l._keep"))
+    ends = last.select(*keys, (F.col("_kept_total") - size).alias("_from"))
+    kept = validated.filter(F.col("_keep") == 1).select(*keys, *order, value, "_c")
+    return (kept.join(ends, list(keys), "inner").filter(F.col("_c") >= F.col("_from"))
+                .drop("_c", "_from"))
+
+
 def type_averages(df: DataFrame, rules=None, keys: Sequence[str] = KEYS, **kw) -> DataFrame:
     """Average per type over the union of all devices' current
     (end-state) histories.  The pool of a type is the sum of the signed deltas

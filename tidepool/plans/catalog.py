@@ -568,3 +568,125 @@ def q_resend_dedupe(spark, sf_dir):
     d = H.dedupe_resends(sends.unionByName(resends), key_cols=["batch_id", "device_id"])
     return d.select("batch_id", "device_id", F.col("copies").cast("long").alias("copies"),
                     F.col("code").cast("long").alias("kept_code"))
+
+
+# --------------------------------------------------------------------------
+# Streaming twins: replay the readings as time-ordered files, run the stream
+# with availableNow, return what it wrote (a batch DataFrame)
+# --------------------------------------------------------------------------
+
+from tidepool.streaming import replay as SR  # noqa: E402
+from tidepool.streaming import sinks as SS  # noqa: E402
+from tidepool.streaming import stateful as ST  # noqa: E402
+from tidepool.streaming import validation as SV  # noqa: E402
+from tidepool.streaming import windows as SW  # noqa: E402
+
+
+def _stream_source(spark, sf_dir, name, with_nan=False):
+    base = scratch_dir(spark, name)
+    r = FX.readings(spark, sf_dir, with_nan=with_nan)
+    SR.replay_files(r, f"{base}/source")
+    return base, SR.read_replay(spark, f"{base}/source", r.schema)
+
+
+def _run_to_parquet(spark, sdf, base, mode="append"):
+    SR.run_available_now(SR.to_parquet(sdf, f"{base}/out", f"{base}/checkpoint", mode))
+    return spark.read.parquet(f"{base}/out")
+
+
+@query("stream_flush")
+def q_stream_flush(spark, sf_dir):
+    """30 s gateway flush on a stream (watermark 1 minute, append)."""
+    base, s = _stream_source(spark, sf_dir, "stream-flush")
+    out = _run_to_parquet(spark, SW.stream_flush(s), base)
+    return out.select("gateway_id", ntz("flush_start"), "data_type",
+                      F.col("items").cast("long").alias("items"), rnd("value_sum").alias("value_sum"))
+
+
+@query("stream_interval_sum")
+def q_stream_interval_sum(spark, sf_dir):
+    """Interval sums on a stream (1 hour on this sparse table)."""
+    base, s = _stream_source(spark, sf_dir, "stream-interval")
+    out = _run_to_parquet(spark, SW.stream_interval_sum(s, interval="1 hour"), base)
+    return out.select("device_id", "data_type", ntz("interval_start"), ntz("interval_end"),
+                      F.col("total").cast("long").alias("total"), F.col("items").cast("long").alias("items"))
+
+
+@query("stream_metrics")
+def q_stream_metrics(spark, sf_dir):
+    """Rolling metrics with bounded keyed state (last 100 values)."""
+    base, s = _stream_source(spark, sf_dir, "stream-metrics")
+    out = _run_to_parquet(spark, ST.stream_rolling_metrics(s), base)
+    return out.select("device_id", "data_type", "seq", ntz("ts"), "original_value",
+                      F.col("history_size").cast("long").alias("history_size"),
+                      *[rnd(c).alias(c) for c in M.METRIC_COLUMNS])
+
+
+def _validation_stream(spark, sf_dir):
+    base, s = _stream_source(spark, sf_dir, "stream-validate", with_nan=True)
+    SR.run_available_now(lambda: SV.start_validation_stream(
+        s, f"{base}/out", f"{base}/state", f"{base}/checkpoint", rules=FX.FIXTURE_RULES))
+    return base
+
+
+@query("stream_validate")
+def q_stream_validate(spark, sf_dir):
+    """T4: validation with the valid-only history and non-finite replacement
+    on a stream, micro-batch by micro-batch; equals the batch result."""
+    base = _validation_stream(spark, sf_dir)
+    v = spark.read.parquet(f"{base}/out")
+    return v.select("device_id", "data_type", "seq", "original_value",
+                    rnd("cleaned_value").alias("cleaned_value"), "was_modified",
+                    "validation_message", rnd("type_average").alias("type_average"))
+
+
+@query("stream_type_average")
+def q_stream_type_average(spark, sf_dir):
+    """T5: the per-type pool average held by the stream's state at the end."""
+    base = _validation_stream(spark, sf_dir)
+    a = SV.pool_averages(SV.latest_histories(spark, f"{base}/state"))
+    return a.select("data_type", F.col("pool_values").cast("long").alias("pool_values"),
+                    rnd("pool_sum").alias("pool_sum"), rnd("type_average").alias("type_average"))
+
+
+@query("stream_gate")
+def q_stream_gate(spark, sf_dir):
+    """Readings on subscribed types, stream-static semi join."""
+    base, s = _stream_source(spark, sf_dir, "stream-gate")
+    subs = SB.current_subscriptions(FX.control_events(spark), spark, FX.FIXTURE_DEFAULT_SUBSCRIPTIONS)
+    out = _run_to_parquet(spark, SS.gate_stream(s, subs).select("seq", "data_type", "device_id"), base)
+    return out.select("seq", "data_type", "device_id")
+
+
+@query("stream_inactivity")
+def q_stream_inactivity(spark, sf_dir):
+    """Inactivity periods (1 h) from an event-time timer per device."""
+    base, s = _stream_source(spark, sf_dir, "stream-inactivity")
+    out = _run_to_parquet(spark, ST.stream_inactivity(s), base)
+    return out.select("device_id", ntz("inactive_since"))
+
+
+@query("stream_atomic_write")
+def q_stream_atomic_write(spark, sf_dir):
+    """Device batches (every fourth one resent) streamed,
+    de-duplicated within the watermark, decoded and written one micro-batch
+    per partition; the measurements are read back."""
+    base = scratch_dir(spark, "stream-atomic")
+    r = FX.readings(spark, sf_dir).withColumn("envelope_id", F.floor(F.col("seq") / FX.BATCH_SIZE).cast("long"))
+    b = EN.device_batches(r, ["envelope_id"]).join(
+        r.groupBy("envelope_id", "device_id").agg(F.max("ts").alias("ts"), F.max("seq").alias("seq")),
+        ["envelope_id", "device_id"])
+    sends = b.withColumn("code", F.lit(201)).unionByName(
+        b.filter(F.col("envelope_id") % 4 == 0).withColumn("code", F.lit(202)))
+    SR.replay_files(sends, f"{base}/source")
+    s = SR.read_replay(spark, f"{base}/source", sends.schema)
+    d = SS.dedupe_stream(s.withColumnRenamed("ts", "batch_time"), ["envelope_id", "device_id"])
+
+    def decode(df):
+        items = D.parse_device_batch(df.select("envelope_id", "payload", "batch_time"))
+        return items.withColumnRenamed("batch_time", "ts").select("envelope_id", "device_id", "data_type",
+                                                                  "value", "ts")
+
+    SR.run_available_now(lambda: SS.start_batch_writer(d, f"{base}/out", f"{base}/checkpoint", decode))
+    m = spark.read.parquet(f"{base}/out")
+    return m.select(F.col("envelope_id").alias("batch_id"), "device_id", "data_type", "value")

@@ -483,3 +483,44 @@ WITH {READINGS}
 SELECT DISTINCT seq // 8 AS batch_id, device_id,
        CAST(CASE WHEN (seq // 8) % 4 = 0 THEN 2 ELSE 1 END AS BIGINT) AS copies, CAST(201 AS BIGINT) AS kept_code
 FROM readings"""
+
+# Streams: the same statements as the batch twins.  Append-mode windows are
+# written once the watermark (max event time - 1 minute, in ms) reaches
+# their end, so the last open windows are not part of the output.
+WM = "(SELECT epoch_us(max(ts)) // 1000 - 60000 FROM readings)"
+
+ORACLE["stream_flush"] = f"""
+WITH {READINGS},
+w AS (SELECT gateway_id, time_bucket(INTERVAL 30 SECOND, ts) AS flush_start, data_type,
+             CAST(count(*) AS BIGINT) AS items, {R('sum(value)')} AS value_sum
+      FROM readings GROUP BY gateway_id, time_bucket(INTERVAL 30 SECOND, ts), data_type)
+SELECT * FROM w WHERE epoch_us(flush_start + INTERVAL 30 SECOND) // 1000 <= {WM}"""
+
+ORACLE["stream_interval_sum"] = f"""
+WITH {READINGS},
+w AS (SELECT device_id, data_type, time_bucket(INTERVAL 1 HOUR, ts) AS interval_start,
+             time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS interval_end,
+             CAST(sum(CAST(trunc(value) AS BIGINT)) AS BIGINT) AS total, CAST(count(*) AS BIGINT) AS items
+      FROM readings GROUP BY device_id, data_type, time_bucket(INTERVAL 1 HOUR, ts))
+SELECT * FROM w WHERE epoch_us(interval_end) // 1000 <= {WM}"""
+
+ORACLE["stream_metrics"] = ORACLE["rolling_metrics"]
+ORACLE["stream_validate"] = ORACLE["replace_nonfinite"]
+ORACLE["stream_type_average"] = ORACLE["history_pool"]
+
+ORACLE["stream_gate"] = f"""
+WITH {READINGS}, {CONTROL}
+SELECT seq, data_type, device_id FROM readings WHERE data_type IN (SELECT data_type FROM subs)"""
+
+# An inactivity period is reported once: the next reading comes more than an
+# hour later, or there is none and the final watermark passed last + 1 h.
+ORACLE["stream_inactivity"] = f"""
+WITH {READINGS},
+d AS (SELECT device_id, ts, lead(ts) OVER (PARTITION BY device_id ORDER BY ts, seq) AS nxt FROM readings)
+SELECT device_id, ts AS inactive_since FROM d
+WHERE (nxt IS NOT NULL AND nxt - ts > INTERVAL 1 HOUR)
+   OR (nxt IS NULL AND epoch_us(ts) // 1000 + 3600000 < {WM})"""
+
+ORACLE["stream_atomic_write"] = f"""
+WITH {READINGS}
+SELECT seq // 8 AS batch_id, device_id, data_type, value FROM readings"""

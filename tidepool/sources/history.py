@@ -31,13 +31,14 @@ def write_metrics(df: DataFrame, path: str, mode: str = "append", time_col: str
     _with_day(df, time_col).write.mode(mode).partitionBy(*PARTITIONS).parquet(path)
 
 
-def write_batch(df: DataFrame, path: str, batch_id: int, time_col: str = "ts") -> None:
+def write_batch(df: DataFrame, path: str, batch_id: int, time_col: str = "ts",
+                part_col: str = "stream_batch") -> None:
     """All-or-nothing, idempotent write of one batch: the batch lands in
-    its own ``batch_id=`` partition, replaced as a whole on a re-run (dynamic
-    partition overwrite), so a resent batch never duplicates rows."""
-    out = _with_day(df, time_col).withColumn("batch_id", F.lit(int(batch_id)).cast("long"))
+    its own ``stream_batch=`` partition, replaced as a whole on a re-run
+    (dynamic partition overwrite), so a resent batch never duplicates rows."""
+    out = _with_day(df, time_col).withColumn(part_col, F.lit(int(batch_id)).cast("long"))
     (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id", *PARTITIONS).parquet(path))
+        .partitionBy(part_col, *PARTITIONS).parquet(path))
 
 
 def history_range(df: DataFrame, device: str | Column | None, start, end,

@@ -1,0 +1,16 @@
+"""Structured Streaming twins of the live paths.
+
+* ``windows``     T1 flush and T2 interval sums: watermark + tumbling windows
+* ``stateful``    T3 rolling metrics and T6/T7 presence with inactivity timers
+                  (``applyInPandasWithState``, bounded per-key state)
+* ``validation``  T4/T5 validation with the valid-only history and the
+                  cross-device average, micro-batch by micro-batch through the
+                  batch plan (``foreachBatch`` + a versioned history table)
+* ``sinks``       T8 resend de-duplication, T9 idempotent batch writes, T10
+                  stream-static subscription gate
+* ``replay``      file replay used by tests and the catalogue
+
+Every query keeps its checkpoint, state and output under the session's
+checkpoint folder (``spark.checkpoint.dir``), so a restarted or re-run query
+resumes from its own files.
+"""

@@ -1,0 +1,100 @@
+"""T4/T5: validation on a stream, exact and skew-safe.
+
+The validation state is (a) the history of every (device, type) -- at most
+100 kept values -- and (b) the cross-device pool per type, which is the sum of
+those histories.  Each micro-batch runs the *batch* plan
+(``operators.validate``) on
+
+    new readings  +  the stored histories of the keys that have new readings
+
+with the histories of all other keys folded into a per-type constant
+(``pool_offset``).  Feeding a key's current history as kept readings
+reproduces its state exactly (the 99/100 rule included), so a stream gives the
+same result as one batch over all data, while no key is ever ordered inside
+one task.
+
+The history table is versioned by micro-batch id under the query's state
+folder: batch N reads version N-1 and writes version N; the output lands in
+partition ``stream_batch=N``, overwritten as a whole.  A re-run of batch N
+after a failure therefore reads the same input state and replaces its own
+output -- idempotent, no partial writes visible.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidepool.operators import validate as V
+from tidepool.sources.history import path_exists
+
+HISTORY_COLUMNS = ("device_id", "data_type", "ts", "seq", "value")
+
+
+def _state_path(state_dir: str, version: int) -> str:
+    return f"{state_dir.rstrip('/')}/v={version}"
+
+
+def validate_micro_batch(spark: SparkSession, new: DataFrame, histories: DataFrame | None,
+                         rules=None, keys: Sequence[str] = ("device_id", "data_type"),
+                         **kw) -> tuple[DataFrame, DataFrame]:
+    """One step: (validated new readings, histories after the step)."""
+    type_col = keys[-1]
+    new = new.withColumn("_replay", F.lit(False))
+    if histories is None:
+        combined, offset, untouched = new, None, None
+    else:
+        touched = new.select(*keys).distinct()
+        hist_in = histories.join(touched, list(keys), "left_semi")
+        untouched = histories.join(touched, list(keys), "left_anti")
+        offset = untouched.groupBy(type_col).agg(F.sum("value").alias("pool_sum"),
+                                                 F.count(F.lit(1)).alias("pool_values"))
+        combined = new.unionByName(hist_in.withColumn("_replay", F.lit(True)), allowMissingColumns=True)
+    validated = V.validate_readings(combined, rules=rules, keys=keys, pool_offset=offset,
+                                    internals=True, **kw)
+    out = validated.filter(~F.col("_replay")).drop("_replay", "_keep", "_c")
+    after = V.current_histories(validated, keys=keys).select(*HISTORY_COLUMNS)
+    if untouched is not None:
+        after = after.unionByName(untouched.select(*HISTORY_COLUMNS))
+    return out, after
+
+
+def start_validation_stream(readings: DataFrame, out_path: str, state_dir: str, checkpoint: str,
+                            rules=None, trigger_available_now: bool = True, **kw):
+    """Start the stream; returns the StreamingQuery."""
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        prev = _state_path(state_dir, batch_id - 1)
+        histories = spark.read.parquet(prev) if batch_id > 0 and path_exists(spark, prev) else None
+        out, after = validate_micro_batch(spark, batch, histories, rules=rules, **kw)
+        # state first (a crash before the output leaves batch N to be redone
+        # from version N-1, which is untouched)
+        after.write.mode("overwrite").parquet(_state_path(state_dir, batch_id))
+        (out.withColumn("stream_batch", F.lit(batch_id).cast("long"))
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .partitionBy("stream_batch").parquet(out_path))
+
+    w = (readings.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint))
+    if trigger_available_now:
+        w = w.trigger(availableNow=True)
+    return w.start()
+
+
+def latest_histories(spark: SparkSession, state_dir: str) -> DataFrame:
+    """The newest complete history version (the end state of the stream)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(state_dir)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    versions = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(p)
+                if s.getPath().getName().startswith("v=")]
+    return spark.read.parquet(_state_path(state_dir, max(versions)))
+
+
+def pool_averages(histories: DataFrame, type_col: str = "data_type") -> DataFrame:
+    """T5 / A8 on the stream state: average per type over all histories."""
+    g = histories.groupBy(type_col).agg(F.sum("value").alias("pool_sum"),
+                                        F.count(F.lit(1)).alias("pool_values"))
+    return g.withColumn("type_average", F.col("pool_sum") / F.col("pool_values"))
