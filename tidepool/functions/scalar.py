@@ -45,8 +45,10 @@ def plain_number_text(c: str | Column) -> Column:
 
 
 def fixed2(c: str | Column) -> Column:
-    """Two-decimal text of a double (``%.2f``)."""
-    return F.format_string("%.2f", col(c))
+    """Two-decimal text of a double, rounded from its exact binary value
+    (``format_number``; ``format_string('%.2f')`` would round the shortest
+    decimal form half-up and differ on values such as 1.015)."""
+    return F.regexp_replace(F.format_number(col(c), 2), ",", "")
 
 
 def elapsed_hms(seconds: str | Column) -> Column:

@@ -87,7 +87,7 @@ def q_history_anomaly(spark, sf_dir):
     v = _validated(spark, sf_dir)
     return v.select("device_id", "data_type", "seq", "was_modified", "history_size",
                     rnd("history_mean").alias("history_mean"), rnd("history_std").alias("history_std"),
-                    "is_anomaly")
+                    "is_anomaly", "anomaly_message")
 
 
 @query("replace_nonfinite")
@@ -690,3 +690,41 @@ def q_stream_atomic_write(spark, sf_dir):
     SR.run_available_now(lambda: SS.start_batch_writer(d, f"{base}/out", f"{base}/checkpoint", decode))
     m = spark.read.parquet(f"{base}/out")
     return m.select(F.col("envelope_id").alias("batch_id"), "device_id", "data_type", "value")
+
+
+@query("metrics_table")
+def q_metrics_table(spark, sf_dir):
+    """Calculated metrics appended to a table partitioned by type and
+    day, read back whole."""
+    path = scratch_dir(spark, "metrics")
+    H.write_metrics(M.rolling_metrics(FX.readings(spark, sf_dir)), path, mode="overwrite")
+    m = spark.read.parquet(path)
+    return m.select("device_id", "data_type", "seq", ntz("ts"), F.col("value").alias("original_value"),
+                    F.col("history_size").cast("long").alias("history_size"),
+                    *[rnd(c).alias(c) for c in M.METRIC_COLUMNS])
+
+
+@query("subscription_file")
+def q_subscription_file(spark, sf_dir):
+    """The subscription list file -- the default list while no file
+    exists, then the saved current set read back."""
+    path = scratch_dir(spark, "subscriptions")
+    first = SB.load_subscriptions(spark, path, FX.FIXTURE_DEFAULT_SUBSCRIPTIONS)
+    types = FX.readings(spark, sf_dir).select("data_type").distinct()
+    cur = SB.current_subscriptions(FX.control_events(spark), spark, FX.FIXTURE_DEFAULT_SUBSCRIPTIONS)
+    SB.save_subscriptions(cur.join(types, "data_type", "left_semi"), path)
+    saved = SB.load_subscriptions(spark, path, FX.FIXTURE_DEFAULT_SUBSCRIPTIONS)
+    return (first.select(F.lit("default").alias("stage"), "data_type")
+                 .unionByName(saved.select(F.lit("saved").alias("stage"), "data_type")))
+
+
+@query("topic_prefix_gate")
+def q_topic_prefix_gate(spark, sf_dir):
+    """socket-style topic matching -- a subscription matches every topic
+    it is a prefix of.  Topics: the first letter of each subscribed type plus
+    the prefix "v"."""
+    r = FX.readings(spark, sf_dir)
+    cur = SB.current_subscriptions(FX.control_events(spark), spark, FX.FIXTURE_DEFAULT_SUBSCRIPTIONS)
+    topics = cur.select(F.substring("data_type", 1, 1).alias("data_type")).unionByName(
+        spark.createDataFrame([("v",)], "data_type string"))
+    return SB.subscribed_readings(r, topics, prefix=True).select("seq", "data_type")

@@ -97,13 +97,18 @@ h AS (SELECT device_id AS hd, data_type AS ht,
         stddev_pop(value) OVER (PARTITION BY device_id, data_type ORDER BY ts, seq
                                 ROWS BETWEEN 98 PRECEDING AND CURRENT ROW) AS s99,
         first_value(value) OVER (PARTITION BY device_id, data_type ORDER BY ts, seq
-                                 ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS oldest
+                                 ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS oldest,
+        list(value) OVER (PARTITION BY device_id, data_type ORDER BY ts, seq
+                          ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS l100,
+        list(value) OVER (PARTITION BY device_id, data_type ORDER BY ts, seq
+                          ROWS BETWEEN 98 PRECEDING AND CURRENT ROW) AS l99
       FROM c3 WHERE NOT modified),
 k AS (SELECT o.*, h.*, CASE WHEN cnt < 100 THEN cnt WHEN prev_mod THEN 99 ELSE 100 END AS hk
       FROM o LEFT JOIN h ON h.hd = o.device_id AND h.ht = o.data_type AND h.vn = o.cnt),
 s AS (SELECT *,
         CASE WHEN hk = 0 THEN NULL WHEN cnt >= 100 AND hk = 99 THEN m99 ELSE m100 END AS hmean,
         CASE WHEN hk = 0 THEN NULL WHEN cnt >= 100 AND hk = 99 THEN s99 ELSE s100 END AS hstd,
+        CASE WHEN hk = 0 THEN NULL WHEN cnt >= 100 AND hk = 99 THEN l99 ELSE l100 END AS hlist,
         (CASE WHEN modified THEN 0.0 ELSE value END) - (CASE WHEN hk = 100 THEN oldest ELSE 0.0 END) AS dsum,
         (CASE WHEN modified THEN 0 ELSE 1 END) - (CASE WHEN hk = 100 THEN 1 ELSE 0 END) AS dn
       FROM k),
@@ -113,13 +118,22 @@ a AS (SELECT *, coalesce(hk >= 5 AND NOT isnan(value) AND abs(value - hmean) > 3
         sum(dn) OVER (PARTITION BY data_type ORDER BY ts, seq
                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pn
       FROM s),
-va AS (SELECT *, CASE WHEN pn > 0 THEN psum / pn END AS tavg FROM a)"""
+va AS (SELECT *, CASE WHEN pn > 0 THEN psum / pn END AS tavg,
+         -- the message states mean and sigma as the service computes them:
+         -- a left-to-right sum over the history, then a two-pass variance
+         list_reduce(hlist, lambda x, y: x + y) / len(hlist) AS seq_mean
+       FROM a),
+vm AS (SELECT *, sqrt(list_reduce(list_transform(hlist, lambda x: (x - seq_mean) * (x - seq_mean)),
+                                   lambda x, y: x + y) / len(hlist)) AS seq_std
+       FROM va)"""
 
 ORACLE["history_anomaly"] = f"""
 WITH {READINGS_NAN}, {RULES}, {CLEAN}, {HISTORY}
 SELECT device_id, data_type, seq, modified AS was_modified, CAST(hk AS BIGINT) AS history_size,
-       {R('hmean')} AS history_mean, {R('hstd')} AS history_std, anomaly AS is_anomaly
-FROM va"""
+       {R('hmean')} AS history_mean, {R('hstd')} AS history_std, anomaly AS is_anomaly,
+       CASE WHEN anomaly THEN 'Possible anomaly: value deviates significantly from history (mean: '
+            || printf('%.2f', seq_mean) || ', stddev: ' || printf('%.2f', seq_std) || ')' END AS anomaly_message
+FROM vm"""
 
 ORACLE["replace_nonfinite"] = f"""
 WITH {READINGS_NAN}, {RULES}, {CLEAN}, {HISTORY}
@@ -524,3 +538,16 @@ WHERE (nxt IS NOT NULL AND nxt - ts > INTERVAL 1 HOUR)
 ORACLE["stream_atomic_write"] = f"""
 WITH {READINGS}
 SELECT seq // 8 AS batch_id, device_id, data_type, value FROM readings"""
+
+ORACLE["metrics_table"] = ORACLE["rolling_metrics"]
+
+ORACLE["subscription_file"] = f"""
+WITH {READINGS}, {CONTROL}
+SELECT 'default' AS stage, 'signup' AS data_type
+UNION ALL SELECT 'saved', data_type FROM subs"""
+
+ORACLE["topic_prefix_gate"] = f"""
+WITH {READINGS}, {CONTROL},
+topics AS (SELECT substr(data_type, 1, 1) AS t FROM subs UNION ALL SELECT 'v')
+SELECT seq, data_type FROM readings r
+WHERE EXISTS (SELECT 1 FROM topics WHERE starts_with(r.data_type, topics.t))"""
