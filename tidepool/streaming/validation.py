@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,8 +40,9 @@ def _state_path(state_dir: str, version: int) -> str:
 
 def validate_micro_batch(spark: SparkSession, new: DataFrame, histories: DataFrame | None,
                          rules=None, keys: Sequence[str] = ("device_id", "data_type"),
-                         **kw) -> tuple[DataFrame, DataFrame]:
-    """One step: (validated new readings, histories after the step)."""
+                         **kw) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One step: (validated new readings, histories after the step, the
+    persisted frame both come from -- unpersist it when both are written)."""
     type_col = keys[-1]
     new = new.withColumn("_replay", F.lit(False))
     if histories is None:
@@ -54,11 +56,14 @@ def validate_micro_batch(spark: SparkSession, new: DataFrame, histories: DataFra
         combined = new.unionByName(hist_in.withColumn("_replay", F.lit(True)), allowMissingColumns=True)
     validated = V.validate_readings(combined, rules=rules, keys=keys, pool_offset=offset,
                                     internals=True, **kw)
+    # both the output and the next state derive from it: compute it once per
+    # micro-batch (a cache, not a lineage cut: a lost block is recomputed)
+    validated = validated.persist(StorageLevel.MEMORY_AND_DISK)
     out = validated.filter(~F.col("_replay")).drop("_replay", "_keep", "_c")
     after = V.current_histories(validated, keys=keys).select(*HISTORY_COLUMNS)
     if untouched is not None:
         after = after.unionByName(untouched.select(*HISTORY_COLUMNS))
-    return out, after
+    return out, after, validated
 
 
 def start_validation_stream(readings: DataFrame, out_path: str, state_dir: str, checkpoint: str,
@@ -69,13 +74,16 @@ def start_validation_stream(readings: DataFrame, out_path: str, state_dir: str,
         spark = batch.sparkSession
         prev = _state_path(state_dir, batch_id - 1)
         histories = spark.read.parquet(prev) if batch_id > 0 and path_exists(spark, prev) else None
-        out, after = validate_micro_batch(spark, batch, histories, rules=rules, **kw)
-        # state first (a crash before the output leaves batch N to be redone
-        # from version N-1, which is untouched)
-        after.write.mode("overwrite").parquet(_state_path(state_dir, batch_id))
-        (out.withColumn("stream_batch", F.lit(batch_id).cast("long"))
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("stream_batch").parquet(out_path))
+        out, after, cached = validate_micro_batch(spark, batch, histories, rules=rules, **kw)
+        try:
+            # state first (a crash before the output leaves batch N to be
+            # redone from version N-1, which is untouched)
+            after.write.mode("overwrite").parquet(_state_path(state_dir, batch_id))
+            (out.withColumn("stream_batch", F.lit(batch_id).cast("long"))
+                .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+                .partitionBy("stream_batch").parquet(out_path))
+        finally:
+            cached.unpersist()
 
     w = (readings.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint))
     if trigger_available_now:
