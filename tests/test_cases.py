@@ -194,3 +194,22 @@ def test_interval_sum(spark):
     got = {r["data_type"]: r["total"] for r in B.interval_sum(df).collect()}
     assert got == {"T": 7, "W": 5}
     assert not math.isnan(got["T"])
+
+
+def test_request_xml_roundtrip(spark):
+    df = spark.createDataFrame([("subscribe", "Temperature")], "action string, data_type string")
+    x = df.select(EN.request_xml("action", "data_type").alias("x"))
+    fields = (("action", False), ("dataType", False))
+    tagged = x.select(EN.tag_message(F.lit("XML"), F.col("x")).alias("message"))
+    m = D.decode_tagged(tagged, xml_fields=fields).first()["fields"]
+    assert m == {"action": "subscribe", "dataType": "Temperature"}
+    assert x.select(D.xml_to_map("x")).first()[0] == {"action": "subscribe", "dataType": "Temperature"}
+
+
+def test_topic_sink(spark, tmp_path):
+    from tidepool.operators.subscriptions import write_topics
+
+    msgs = spark.createDataFrame([("T", "JSON:{}"), ("W", "XML:<a/>")], "topic string, message string")
+    write_topics(msgs, str(tmp_path / "topics"))
+    back = spark.read.text(str(tmp_path / "topics")).collect()
+    assert sorted((r["topic"], r["value"]) for r in back) == [("T", "JSON:{}"), ("W", "XML:<a/>")]

@@ -122,3 +122,9 @@ def subscription_gate(readings: DataFrame, control: DataFrame,
     return (out.withColumn("gate_action", act)
                .withColumn("subscribed", F.coalesce(act == F.lit(SUBSCRIBE), default_member))
                .drop("_bkt", "_prio", "action", "_in_bkt", "_carry"))
+
+
+def write_topics(messages: DataFrame, path: str, mode: str = "append") -> None:
+    """S12 sink: ``(topic, message)`` rows written as text files, one folder
+    per topic (a Kafka sink takes the same two columns as key/value)."""
+    messages.select("topic", F.col("message").alias("value")).write.mode(mode).partitionBy("topic").text(path)

@@ -28,31 +28,33 @@ METRICS_OUT = ("device_id string, data_type string, seq long, ts timestamp, orig
 METRICS_STATE = "history array<double>"
 
 
-def _window_metrics(hist: np.ndarray, vals: np.ndarray, n: int) -> dict[str, np.ndarray]:
-    """Metrics of each new value over the last ``n`` values including it,
-    given the previous history ``hist`` (oldest first)."""
-    arr = np.concatenate([hist, vals])
-    pad = np.concatenate([np.zeros(n - 1), arr])
-    win = np.lib.stride_tricks.sliding_window_view(pad, n)[len(hist):]      # (m, n)
-    cnt = np.minimum(np.arange(len(hist) + 1, len(arr) + 1), n)             # values per window
-    mask = np.arange(n)[None, :] >= (n - cnt)[:, None]
-    w = np.where(mask, win, 0.0)
-    mean = w.sum(1) / cnt
-    dev = np.where(mask, win - mean[:, None], 0.0)
-    var = np.where(cnt > 1, (dev * dev).sum(1) / cnt, 0.0)
-    x = np.arange(n)[None, :] - (n - cnt)[:, None]
-    xm = (cnt - 1) / 2.0
-    xd = np.where(mask, x - xm[:, None], 0.0)
-    sxx = (xd * xd).sum(1)
-    slope = np.where(cnt > 2, (xd * dev).sum(1) / np.where(sxx > 0, sxx, 1.0), 0.0)
-    std = np.sqrt(var)
-    z = np.where((cnt > 1) & (var > 0), (vals - mean) / np.where(std > 0, std, 1.0), 0.0)
-    return {"history_size": cnt.astype("int64"), "average_value": mean, "variance": var, "std_dev": std,
-            "trend_coefficient": slope, "normalized_value": z, "anomaly_score": np.abs(z)}
-
-
 def _metrics_fn(n: int):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state):
+    """The state function.  Everything it calls is defined inside this
+    factory, so it is shipped to the Python workers by value and needs no
+    import of this package there."""
+
+    def window_metrics(hist: np.ndarray, vals: np.ndarray) -> dict:
+        """Metrics of each new value over the last ``n`` values including
+        it, given the previous history ``hist`` (oldest first)."""
+        arr = np.concatenate([hist, vals])
+        pad = np.concatenate([np.zeros(n - 1), arr])
+        win = np.lib.stride_tricks.sliding_window_view(pad, n)[len(hist):]      # (m, n)
+        cnt = np.minimum(np.arange(len(hist) + 1, len(arr) + 1), n)             # values per window
+        mask = np.arange(n)[None, :] >= (n - cnt)[:, None]
+        mean = np.where(mask, win, 0.0).sum(1) / cnt
+        dev = np.where(mask, win - mean[:, None], 0.0)
+        var = np.where(cnt > 1, (dev * dev).sum(1) / cnt, 0.0)
+        x = np.arange(n)[None, :] - (n - cnt)[:, None]
+        xd = np.where(mask, x - ((cnt - 1) / 2.0)[:, None], 0.0)
+        sxx = (xd * xd).sum(1)
+        slope = np.where(cnt > 2, (xd * dev).sum(1) / np.where(sxx > 0, sxx, 1.0), 0.0)
+        std = np.sqrt(var)
+        z = np.where((cnt > 1) & (var > 0), (vals - mean) / np.where(std > 0, std, 1.0), 0.0)
+        return {"history_size": cnt.astype("int64"), "average_value": mean, "variance": var,
+                "std_dev": std, "trend_coefficient": slope, "normalized_value": z,
+                "anomaly_score": np.abs(z)}
+
+    def fn(key, pdfs, state):
         pdf = pd.concat(list(pdfs), ignore_index=True)
         if pdf.empty:
             return
@@ -60,11 +62,10 @@ def _metrics_fn(n: int):
         pdf = pdf.sort_values(["ts", "seq"], kind="mergesort").reset_index(drop=True)
         hist = np.asarray(state.get[0] if state.exists else [], dtype="float64")
         vals = pdf["value"].to_numpy(dtype="float64")
-        m = _window_metrics(hist, vals, n)
+        m = window_metrics(hist, vals)
         state.update((np.concatenate([hist, vals])[-n:].tolist(),))
-        out = pd.DataFrame({"device_id": pdf["device_id"], "data_type": pdf["data_type"],
+        yield pd.DataFrame({"device_id": pdf["device_id"], "data_type": pdf["data_type"],
                             "seq": pdf["seq"].astype("int64"), "ts": pdf["ts"], "original_value": vals, **m})
-        yield out
     return fn
 
 

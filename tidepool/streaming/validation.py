@@ -74,7 +74,15 @@ def start_validation_stream(readings: DataFrame, out_path: str, state_dir: str,
         spark = batch.sparkSession
         prev = _state_path(state_dir, batch_id - 1)
         histories = spark.read.parquet(prev) if batch_id > 0 and path_exists(spark, prev) else None
+        # the plan reads its inputs several times (keys, history branch,
+        # offsets): keep this micro-batch's rows and the previous state at hand
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        inputs = [batch]
+        if histories is not None:
+            histories = histories.persist(StorageLevel.MEMORY_AND_DISK)
+            inputs.append(histories)
         out, after, cached = validate_micro_batch(spark, batch, histories, rules=rules, **kw)
+        inputs.append(cached)
         try:
             # state first (a crash before the output leaves batch N to be
             # redone from version N-1, which is untouched)
@@ -83,7 +91,8 @@ def start_validation_stream(readings: DataFrame, out_path: str, state_dir: str,
                 .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
                 .partitionBy("stream_batch").parquet(out_path))
         finally:
-            cached.unpersist()
+            for df in inputs:
+                df.unpersist()
 
     w = (readings.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint))
     if trigger_available_now:
