@@ -51,20 +51,22 @@ def rolling_metrics(
     ``history_size`` to every reading."""
     pos = keyed_positions(df, keys, order, time_col, bucket_seconds, index_col="_pos")
     v = F.col(value)
+    # Positions inside a frame are consecutive, so the abscissa's mean and
+    # variance are closed forms ((n-1)/2 from the oldest, (n^2-1)/12): one
+    # covariance per frame gives slope, intercept and r2.
     exprs = {
         "history_size": lambda f, x: F.count(v).over(f()),
         "average_value": lambda f, x: F.avg(v).over(f()),
         "_var": lambda f, x: F.var_pop(v).over(f()),
-        "_slope": lambda f, x: F.regr_slope(v, x).over(f()),
+        "_cov": lambda f, x: F.covar_pop(v, x).over(f()),
     }
     if regression:
-        exprs["_icpt"] = lambda f, x: F.regr_intercept(v, x).over(f())
-        exprs["_r2"] = lambda f, x: F.regr_r2(v, x).over(f())
-        exprs["_x0"] = lambda f, x: F.min(x).over(f())
         exprs["window_start"] = lambda f, x: F.min(F.col(time_col)).over(f())
     out = chunked_rolling(pos, keys, "_pos", n, exprs, chunk_rows)
 
     size = F.col("history_size")
+    var_x = (size.cast("double") * size - F.lit(1.0)) / F.lit(12.0)
+    slope = F.when(size > 2, F.coalesce(F.col("_cov") / var_x, F.lit(0.0))).otherwise(F.lit(0.0))
     var = F.when(size > 1, F.col("_var")).otherwise(F.lit(0.0))
     out = out.withColumn("variance", var)
     # NaN compares above everything in Spark; the reference's comparisons are
@@ -73,21 +75,18 @@ def rolling_metrics(
     z = F.when((size > 1) & pos_var,
                (v - F.col("average_value")) / F.sqrt(F.col("variance"))).otherwise(F.lit(0.0))
     out = (out.withColumn("std_dev", F.sqrt(F.col("variance")))
-              .withColumn("trend_coefficient",
-                          F.when(size > 2, F.coalesce(F.col("_slope"), F.lit(0.0)))
-                           .otherwise(F.lit(0.0)))
+              .withColumn("trend_coefficient", slope)
               .withColumn("normalized_value", z)
               .withColumn("anomaly_score", F.abs(z)))
     if regression:
-        # Intercept re-based so that x = 0 is the oldest value in the frame.
+        # x = 0 is the oldest value in the frame; r2 is 1 for a flat frame
+        r2 = (F.when(F.col("variance") == 0, F.lit(1.0))
+               .otherwise(F.col("_cov") * F.col("_cov") / (var_x * F.col("variance"))))
         out = (out.withColumn("slope", F.col("trend_coefficient"))
-                  .withColumn("intercept",
-                              F.when(size > 2, F.col("_icpt") + F.col("_slope") * F.col("_x0"))
-                               .otherwise(F.col("average_value")))
-                  .withColumn("r2", F.when(size > 2, F.coalesce(F.col("_r2"), F.lit(0.0)))
-                                     .otherwise(F.lit(0.0))))
-        out = out.drop("_icpt", "_r2", "_x0")
-    return out.drop("_var", "_slope", "_pos")
+                  .withColumn("intercept", F.col("average_value")
+                              - F.col("slope") * (size - F.lit(1)).cast("double") / F.lit(2.0))
+                  .withColumn("r2", F.when(size > 2, F.coalesce(r2, F.lit(0.0))).otherwise(F.lit(0.0))))
+    return out.drop("_var", "_cov", "_pos")
 
 
 def classify_anomaly(df: DataFrame, score: str = "anomaly_score",
