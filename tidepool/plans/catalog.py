@@ -728,3 +728,19 @@ def q_topic_prefix_gate(spark, sf_dir):
     topics = cur.select(F.substring("data_type", 1, 1).alias("data_type")).unionByName(
         spark.createDataFrame([("v",)], "data_type string"))
     return SB.subscribed_readings(r, topics, prefix=True).select("seq", "data_type")
+
+
+from tidepool.streaming import incremental as SI  # noqa: E402
+
+
+@query("stream_metrics_batched")
+def q_stream_metrics_batched(spark, sf_dir):
+    """T3 without per-key grouping: each micro-batch runs the skew-safe batch
+    plan over its rows plus the last 99 values of the keys it touches."""
+    base, s = _stream_source(spark, sf_dir, "stream-metrics-batched")
+    SR.run_available_now(lambda: SI.start_metrics_stream(s, f"{base}/out", f"{base}/state",
+                                                         f"{base}/checkpoint"))
+    out = spark.read.parquet(f"{base}/out")
+    return out.select("device_id", "data_type", "seq", ntz("ts"), F.col("value").alias("original_value"),
+                      F.col("history_size").cast("long").alias("history_size"),
+                      *[rnd(c).alias(c) for c in M.METRIC_COLUMNS])

@@ -551,3 +551,4 @@ WITH {READINGS}, {CONTROL},
 topics AS (SELECT substr(data_type, 1, 1) AS t FROM subs UNION ALL SELECT 'v')
 SELECT seq, data_type FROM readings r
 WHERE EXISTS (SELECT 1 FROM topics WHERE starts_with(r.data_type, topics.t))"""
+ORACLE["stream_metrics_batched"] = ORACLE["rolling_metrics"]

@@ -1,0 +1,115 @@
+"""Incremental micro-batch runner: a stream processed by the *batch* plan.
+
+For operators whose state is "the last few rows of each key" (rolling
+metrics: 99 values; validation: the <=100-value history), each micro-batch is
+
+    new rows  +  stored tails of the keys present in the batch
+
+run through the skew-safe batch operator; the new rows' results are written
+and the tails are refreshed.  A hot key is split by the batch plan like any
+other data -- nothing is grouped into one task -- and the result equals one
+batch run over all data (the tails reproduce the state exactly).
+
+State and output are versioned by micro-batch id under the query's folders:
+batch N reads tails version N-1, writes tails version N, then its output into
+``stream_batch=N`` (dynamic overwrite), so a retried batch is idempotent.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Sequence
+
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidepool.operators import metrics as M
+from tidepool.plans.windows import last_k_per_key
+from tidepool.schema import HISTORY_SIZE
+from tidepool.sources.history import path_exists
+
+# step(spark, new_rows, previous_tails_or_None) -> (output, new_tails, frames_to_unpersist)
+Step = Callable[[SparkSession, DataFrame, DataFrame | None], tuple[DataFrame, DataFrame, list]]
+
+
+def state_path(state_dir: str, version: int) -> str:
+    return f"{state_dir.rstrip('/')}/v={version}"
+
+
+def latest_state(spark: SparkSession, state_dir: str) -> DataFrame:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(state_dir)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    versions = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(p)
+                if s.getPath().getName().startswith("v=")]
+    return spark.read.parquet(state_path(state_dir, max(versions)))
+
+
+def start_incremental(readings: DataFrame, step: Step, out_path: str, state_dir: str, checkpoint: str,
+                      available_now: bool = True):
+    """Start the stream with ``foreachBatch``; returns the StreamingQuery."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        prev = state_path(state_dir, batch_id - 1)
+        tails = spark.read.parquet(prev) if batch_id > 0 and path_exists(spark, prev) else None
+        # the batch plan reads its inputs several times: keep them at hand
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        held = [batch]
+        if tails is not None:
+            tails = tails.persist(StorageLevel.MEMORY_AND_DISK)
+            held.append(tails)
+        out, new_tails, extra = step(spark, batch, tails)
+        held += extra
+        try:
+            # state first: a crash before the output redoes batch N from
+            # version N-1, which is untouched
+            new_tails.write.mode("overwrite").parquet(state_path(state_dir, batch_id))
+            (out.withColumn("stream_batch", F.lit(batch_id).cast("long"))
+                .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+                .partitionBy("stream_batch").parquet(out_path))
+        finally:
+            for df in held:
+                df.unpersist()
+
+    w = readings.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    if available_now:
+        w = w.trigger(availableNow=True)
+    return w.start()
+
+
+def split_tails(new: DataFrame, tails: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(tails of keys present in the batch, tails of the other keys)."""
+    touched = new.select(*keys).distinct()
+    return (tails.join(touched, list(keys), "left_semi"), tails.join(touched, list(keys), "left_anti"))
+
+
+TAIL_COLUMNS = ("device_id", "data_type", "ts", "seq", "value")
+
+
+def metrics_step(n: int = HISTORY_SIZE, keys: Sequence[str] = ("device_id", "data_type"), **kw) -> Step:
+    """T3, skew-safe: rolling metrics of the new rows over the last ``n``
+    values; the tails are the last ``n - 1`` values of each key."""
+
+    def step(spark, new, tails):
+        new = new.select(*TAIL_COLUMNS).withColumn("_replay", F.lit(False))
+        if tails is None:
+            combined, untouched = new, None
+        else:
+            hot, untouched = split_tails(new, tails, keys)
+            combined = new.unionByName(hot.withColumn("_replay", F.lit(True)))
+        m = M.rolling_metrics(combined, n=n, keys=keys, **kw)
+        out = m.filter(~F.col("_replay")).drop("_replay")
+        after = last_k_per_key(combined, keys, ("ts", "seq"), n - 1).select(*TAIL_COLUMNS)
+        if untouched is not None:
+            after = after.unionByName(untouched.select(*TAIL_COLUMNS))
+        return out, after, []
+
+    return step
+
+
+def start_metrics_stream(readings: DataFrame, out_path: str, state_dir: str, checkpoint: str,
+                         n: int = HISTORY_SIZE, **kw):
+    """T3 on a stream without per-key grouping (see module doc)."""
+    r = readings.select(*[F.col(c) for c in TAIL_COLUMNS])
+    return start_incremental(r, metrics_step(n, **kw), out_path, state_dir, checkpoint)

@@ -14,10 +14,10 @@ same result as one batch over all data, while no key is ever ordered inside
 one task.
 
 The history table is versioned by micro-batch id under the query's state
-folder: batch N reads version N-1 and writes version N; the output lands in
-partition ``stream_batch=N``, overwritten as a whole.  A re-run of batch N
-after a failure therefore reads the same input state and replaces its own
-output -- idempotent, no partial writes visible.
+folder (``streaming.incremental``): batch N reads version N-1 and writes
+version N; the output lands in partition ``stream_batch=N``, overwritten as a
+whole.  A re-run of batch N after a failure reads the same input state and
+replaces its own output -- idempotent, no partial writes visible.
 """
 
 from __future__ import annotations
@@ -29,15 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.operators import validate as V
-from tidepool.sources.history import path_exists
+from tidepool.streaming.incremental import latest_state, start_incremental
 
 HISTORY_COLUMNS = ("device_id", "data_type", "ts", "seq", "value")
 
 
-def _state_path(state_dir: str, version: int) -> str:
-    return f"{state_dir.rstrip('/')}/v={version}"
-
-
 def validate_micro_batch(spark: SparkSession, new: DataFrame, histories: DataFrame | None,
                          rules=None, keys: Sequence[str] = ("device_id", "data_type"),
                          **kw) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -68,46 +64,20 @@ def validate_micro_batch(spark: SparkSession, new: DataFrame, histories: DataFra
 
 def start_validation_stream(readings: DataFrame, out_path: str, state_dir: str, checkpoint: str,
                             rules=None, trigger_available_now: bool = True, **kw):
-    """Start the stream; returns the StreamingQuery."""
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        prev = _state_path(state_dir, batch_id - 1)
-        histories = spark.read.parquet(prev) if batch_id > 0 and path_exists(spark, prev) else None
-        # the plan reads its inputs several times (keys, history branch,
-        # offsets): keep this micro-batch's rows and the previous state at hand
-        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
-        inputs = [batch]
-        if histories is not None:
-            histories = histories.persist(StorageLevel.MEMORY_AND_DISK)
-            inputs.append(histories)
+    """Start the stream (``streaming.incremental`` runner); returns the
+    StreamingQuery."""
+
+    def step(spark, batch, histories):
         out, after, cached = validate_micro_batch(spark, batch, histories, rules=rules, **kw)
-        inputs.append(cached)
-        try:
-            # state first (a crash before the output leaves batch N to be
-            # redone from version N-1, which is untouched)
-            after.write.mode("overwrite").parquet(_state_path(state_dir, batch_id))
-            (out.withColumn("stream_batch", F.lit(batch_id).cast("long"))
-                .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-                .partitionBy("stream_batch").parquet(out_path))
-        finally:
-            for df in inputs:
-                df.unpersist()
-
-    w = (readings.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint))
-    if trigger_available_now:
-        w = w.trigger(availableNow=True)
-    return w.start()
+        return out, after, [cached]
+
+    return start_incremental(readings, step, out_path, state_dir, checkpoint,
+                             available_now=trigger_available_now)
 
 
 def latest_histories(spark: SparkSession, state_dir: str) -> DataFrame:
     """The newest complete history version (the end state of the stream)."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(state_dir)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    versions = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(p)
-                if s.getPath().getName().startswith("v=")]
-    return spark.read.parquet(_state_path(state_dir, max(versions)))
+    return latest_state(spark, state_dir)
 
 
 def pool_averages(histories: DataFrame, type_col: str = "data_type") -> DataFrame:
