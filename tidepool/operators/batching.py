@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.plans.windows import DEFAULT_BUCKET_SECONDS, first_k_per_key
-from tidepool.schema import DEVICE_INTERVAL, GATEWAY_FLUSH, UNKNOWN_ID
+from tidepool.schema import ID_FIELD, TYPE_FIELD, VALUE_FIELD, DATA_FIELD, GATEWAY_FIELD, DEVICE_INTERVAL, GATEWAY_FLUSH, UNKNOWN_ID
 
 
 def interval_sum(df: DataFrame, interval: str = DEVICE_INTERVAL,
@@ -45,18 +45,18 @@ def batch_envelopes(df: DataFrame, interval: str = GATEWAY_FLUSH, gateway: str =
     Items are ordered by (ts, seq) for a stable encoding."""
     w = F.window(F.col(time_col).cast("timestamp"), interval)
     item = F.struct(F.col(time_col).alias("_t"), F.col("seq").alias("_s"),
-                    F.col(value).cast("double").alias("Value"),
-                    F.coalesce(F.col(device), F.lit(UNKNOWN_ID)).alias("WavyId"))
+                    F.col(value).cast("double").alias(VALUE_FIELD),
+                    F.coalesce(F.col(device), F.lit(UNKNOWN_ID)).alias(ID_FIELD))
     per_type = (df.groupBy(gateway, w.alias("flush"), type_col)
                   .agg(F.array_sort(F.collect_list(item)).alias("_items"))
-                  .select(gateway, "flush", F.struct(F.col(type_col).alias("DataType"),
-                          F.transform("_items", lambda x: F.struct(x["Value"].alias("Value"),
-                                                                   x["WavyId"].alias("WavyId")))
-                          .alias("Data")).alias("group")))
+                  .select(gateway, "flush", F.struct(F.col(type_col).alias(TYPE_FIELD),
+                          F.transform("_items", lambda x: F.struct(x[VALUE_FIELD].alias(VALUE_FIELD),
+                                                                   x[ID_FIELD].alias(ID_FIELD)))
+                          .alias(DATA_FIELD)).alias("group")))
     return (per_type.groupBy(gateway, "flush")
-                    .agg(F.array_sort(F.collect_list("group")).alias("Data"))
-                    .select(F.col(gateway).alias("AggregatorId"),
-                            F.col("flush.start").alias("flush_start"), "Data"))
+                    .agg(F.array_sort(F.collect_list("group")).alias(DATA_FIELD))
+                    .select(F.col(gateway).alias(GATEWAY_FIELD),
+                            F.col("flush.start").alias("flush_start"), DATA_FIELD))
 
 
 def type_counts(df: DataFrame, type_col: str = "data_type") -> DataFrame:
@@ -85,5 +85,5 @@ def tag_reading(df: DataFrame, arrival=None, time_col: str = "ts") -> DataFrame:
 
 def slim_items(df: DataFrame, value: str = "value", device: str = "device_id") -> DataFrame:
     """The slim item forwarded upstream, (Value, WavyId)."""
-    return df.withColumn("item", F.struct(F.col(value).cast("double").alias("Value"),
-                                          F.coalesce(F.col(device), F.lit(UNKNOWN_ID)).alias("WavyId")))
+    return df.withColumn("item", F.struct(F.col(value).cast("double").alias(VALUE_FIELD),
+                                          F.coalesce(F.col(device), F.lit(UNKNOWN_ID)).alias(ID_FIELD)))

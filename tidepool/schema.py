@@ -50,6 +50,21 @@ STATUS_OK = ("OK", 0, "All data valid")
 STATUS_INVALID = ("INVALID", 1, "Invalid data detected")
 STATUS_PARTIAL = ("PARTIALLY_VALID", 2, "Some data items required correction")
 
+# Wire-format names of the messages (JSON properties, XML elements).
+ID_FIELD = "WavyId"                 # device id
+ID_FIELD_ALT = "wavyId"             # device id, second spelling accepted by the server
+TYPE_FIELD = "DataType"
+VALUE_FIELD = "Value"
+VALUE_FIELD_ALT = "value"           # value, second spelling accepted by the server
+DATA_FIELD = "Data"
+GATEWAY_FIELD = "AggregatorId"
+TIME_FIELD = "Timestamp"
+XML_READING_ROOT = "SensorData"
+XML_REQUEST_ROOT = "Request"
+REQUEST_ACTION_FIELD = "action"
+REQUEST_TYPE_FIELD = "dataType"
+XML_DECLARATION = '<?xml version="1.0" encoding="utf-16"?>'
+
 # Default subscription set of a gateway.
 DEFAULT_SUBSCRIPTIONS = ["Temperature", "Frequency"]
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.functions.scalar import evaluated_once
-from tidepool.schema import MESSAGE_CODES, UNKNOWN_ID
+from tidepool.schema import ID_FIELD, ID_FIELD_ALT, TYPE_FIELD, VALUE_FIELD, VALUE_FIELD_ALT, DATA_FIELD, GATEWAY_FIELD, TIME_FIELD, MESSAGE_CODES, UNKNOWN_ID
 
 NUMERIC_TEXT = r"^\s*[+-]?((\d+\.?\d*)|(\.\d+))([eE][+-]?\d+)?\s*$"
 SPECIAL_TEXT = r"(?i)^\s*[+-]?(nan|infinity)\s*$"
@@ -117,7 +117,7 @@ def xml_to_map(col: str | Column) -> Column:
 
 
 # Fields of a sensor reading document: (name, is_attribute).
-SENSOR_XML_FIELDS = (("WavyId", True), ("DataType", False), ("Value", False))
+SENSOR_XML_FIELDS = ((ID_FIELD, True), (TYPE_FIELD, False), (VALUE_FIELD, False))
 
 
 def xml_fields_struct(col: str | Column, fields=SENSOR_XML_FIELDS) -> Column:
@@ -164,10 +164,10 @@ def reading_from_fields(df: DataFrame, fields: str = "fields", compat: bool = Fa
     if compat:
         m = F.coalesce(m, F.create_map().cast("map<string,string>"))
         df = df.withColumn("reject_reason", F.lit(None).cast("string"))
-    dev = F.coalesce(m.getItem("WavyId"), F.lit(UNKNOWN_ID))
+    dev = F.coalesce(m.getItem(ID_FIELD), F.lit(UNKNOWN_ID))
     return (df.withColumn("device_id", dev)
-              .withColumn("data_type", m.getItem("DataType"))
-              .withColumn("value", lenient_number_text(m.getItem("Value"))))
+              .withColumn("data_type", m.getItem(TYPE_FIELD))
+              .withColumn("value", lenient_number_text(m.getItem(VALUE_FIELD))))
 
 
 # --------------------------------------------------------------------------
@@ -198,10 +198,10 @@ def lenient_number_text(c: Column) -> Column:
 def device_id_of(item: Column) -> Column:
     """``WavyId`` if it is a JSON string, else ``wavyId`` if it is a
     string; empty or missing -> "Unknown"."""
-    a = F.try_variant_get(item, "$.WavyId", "string")
-    b = F.try_variant_get(item, "$.wavyId", "string")
-    pick = (F.when(_vtype(item, "$.WavyId") == "STRING", a)
-             .when(_vtype(item, "$.wavyId") == "STRING", b))
+    a = F.try_variant_get(item, f"$.{ID_FIELD}", "string")
+    b = F.try_variant_get(item, f"$.{ID_FIELD_ALT}", "string")
+    pick = (F.when(_vtype(item, f"$.{ID_FIELD}") == "STRING", a)
+             .when(_vtype(item, f"$.{ID_FIELD_ALT}") == "STRING", b))
     return F.when((pick.isNull()) | (pick == ""), F.lit(UNKNOWN_ID)).otherwise(pick)
 
 
@@ -214,23 +214,23 @@ def _number_of(item: Column, path: str) -> Column:
 def strict_value_of(item: Column) -> Column:
     """``Value`` if present (only it), else ``value``; a JSON number or a
     numeric text; anything else -> NULL (the item is rejected)."""
-    has_upper = F.try_variant_get(item, "$.Value", "variant").isNotNull()
-    has_lower = F.try_variant_get(item, "$.value", "variant").isNotNull()
-    return (F.when(has_upper, _number_of(item, "$.Value"))
-             .when(has_lower, _number_of(item, "$.value")))
+    has_upper = F.try_variant_get(item, f"$.{VALUE_FIELD}", "variant").isNotNull()
+    has_lower = F.try_variant_get(item, f"$.{VALUE_FIELD_ALT}", "variant").isNotNull()
+    return (F.when(has_upper, _number_of(item, f"$.{VALUE_FIELD}"))
+             .when(has_lower, _number_of(item, f"$.{VALUE_FIELD_ALT}")))
 
 
 def lenient_value_of(item: Column) -> Column:
     """``Value`` as a number or numeric text, else 0.0."""
-    return F.coalesce(_number_of(item, "$.Value"), F.lit(0.0))
+    return F.coalesce(_number_of(item, f"$.{VALUE_FIELD}"), F.lit(0.0))
 
 
 def lenient_device_of(item: Column) -> Column:
     """P3 companion: ``WavyId`` text as is (empty kept), missing/null ->
     "Unknown"; a non-text id makes the item unreadable (NULL)."""
-    t = _vtype(item, "$.WavyId")
+    t = _vtype(item, f"$.{ID_FIELD}")
     return (F.when(t.isNull() | (t == "NULL_TYPE") | (t == "VOID"), F.lit(UNKNOWN_ID))
-             .when(t == "STRING", F.try_variant_get(item, "$.WavyId", "string")))
+             .when(t == "STRING", F.try_variant_get(item, f"$.{ID_FIELD}", "string")))
 
 
 def _is_object(v: Column) -> Column:
@@ -242,24 +242,24 @@ def _is_object(v: Column) -> Column:
 # --------------------------------------------------------------------------
 
 def parse_device_batch(df: DataFrame, col: str = "payload") -> DataFrame:
-    """S3 + F1 + F2: ``{"WavyId": text, "Data": [{"DataType", "Value"}]}``.
+    """S3 + F1 + F2: a device batch (text device id, list of type/value items).
     Batches without a text id or an array ``Data`` are rejected (F1); items
     without ``DataType`` are dropped (F2); a non-number ``Value`` drops the
     item.  One row per item: ``device_id, data_type, value, item_index``."""
     d = evaluated_once(df, {"_v": F.try_parse_json(F.col(col))})
     v = F.col("_v")
-    ok = (_vtype(v, "$.WavyId") == "STRING") & F.try_variant_get(v, "$.Data", "array<variant>").isNotNull()
+    ok = (_vtype(v, f"$.{ID_FIELD}") == "STRING") & F.try_variant_get(v, f"$.{DATA_FIELD}", "array<variant>").isNotNull()
     d = d.withColumn("reject_reason", F.when(v.isNull(), F.lit("malformed json"))
                                        .when(~ok, F.lit("missing WavyId or Data")))
     good = d.filter(F.col("reject_reason").isNull())
-    items = good.select("*", F.posexplode(F.try_variant_get("_v", "$.Data", "array<variant>"))
+    items = good.select("*", F.posexplode(F.try_variant_get("_v", f"$.{DATA_FIELD}", "array<variant>"))
                         .alias("item_index", "_it"))
     it = F.col("_it")
-    t = _vtype(it, "$.Value")
-    return (items.withColumn("device_id", F.try_variant_get("_v", "$.WavyId", "string"))
-                 .withColumn("data_type", F.when(_vtype(it, "$.DataType") == "STRING",
-                                                 F.try_variant_get(it, "$.DataType", "string")))
-                 .withColumn("value", F.when(_is_number_type(t), F.try_variant_get(it, "$.Value", "double")))
+    t = _vtype(it, f"$.{VALUE_FIELD}")
+    return (items.withColumn("device_id", F.try_variant_get("_v", f"$.{ID_FIELD}", "string"))
+                 .withColumn("data_type", F.when(_vtype(it, f"$.{TYPE_FIELD}") == "STRING",
+                                                 F.try_variant_get(it, f"$.{TYPE_FIELD}", "string")))
+                 .withColumn("value", F.when(_is_number_type(t), F.try_variant_get(it, f"$.{VALUE_FIELD}", "double")))
                  .filter(F.col("data_type").isNotNull() & F.col("value").isNotNull())
                  .drop("_v", "_it", "reject_reason"))
 
@@ -269,38 +269,38 @@ def parse_optional_batch(df: DataFrame, col: str = "payload") -> DataFrame:
     kept as its full property map with ``WavyId`` attached (the batch id
     replaces an item's own).  Items without ``DataType`` are dropped."""
     v = F.try_parse_json(F.col(col))
-    wid = F.when(_vtype(v, "$.WavyId") == "STRING", F.try_variant_get(v, "$.WavyId", "string")) \
+    wid = F.when(_vtype(v, f"$.{ID_FIELD}") == "STRING", F.try_variant_get(v, f"$.{ID_FIELD}", "string")) \
         .otherwise(F.lit(""))
     d = df.withColumn("_v", v).withColumn("_wid", wid)
-    items = d.select("*", F.posexplode(F.try_variant_get("_v", "$.Data", "array<variant>"))
+    items = d.select("*", F.posexplode(F.try_variant_get("_v", f"$.{DATA_FIELD}", "array<variant>"))
                      .alias("item_index", "_it"))
     props = F.try_variant_get("_it", "$", "map<string,string>")
-    props = F.map_filter(props, lambda k, _: k != F.lit("WavyId"))
-    attached = F.map_concat(props, F.create_map(F.lit("WavyId"), F.col("_wid")))
+    props = F.map_filter(props, lambda k, _: k != F.lit(ID_FIELD))
+    attached = F.map_concat(props, F.create_map(F.lit(ID_FIELD), F.col("_wid")))
     return (items.withColumn("item", attached)
-                 .filter(F.col("item").getItem("DataType").isNotNull())
+                 .filter(F.col("item").getItem(TYPE_FIELD).isNotNull())
                  .drop("_v", "_it", "_wid"))
 
 
 def parse_gateway_batch(df: DataFrame, col: str = "payload") -> DataFrame:
-    """S5 + P1 + P2: ``{"AggregatorId", "Timestamp", "Data": [{"DataType",
-    "Data": [...] or JSON text}]}``.  Inner ``Data`` may be an array of items
+    """S5 + P1 + P2: a gateway batch (gateway id, ISO time, groups of type and
+    inner data).  The inner data may be an array of items
     (each an object or the JSON text of one) or the JSON text of a single item.
     Returns one row per accepted measurement (``aggregator_id, batch_time,
     data_type, device_id, value``) and, with ``reject_reason`` set, one row per
     rejected group or item."""
     head = evaluated_once(df, {"_v": F.try_parse_json(F.col(col))})
-    groups = head.select("*", F.posexplode_outer(F.try_variant_get("_v", "$.Data", "array<variant>"))
+    groups = head.select("*", F.posexplode_outer(F.try_variant_get("_v", f"$.{DATA_FIELD}", "array<variant>"))
                          .alias("group_index", "_g"))
     g = F.col("_g")
-    kind = _vtype(g, "$.Data")
-    inner = F.try_variant_get(g, "$.Data", "variant")
+    kind = _vtype(g, f"$.{DATA_FIELD}")
+    inner = F.try_variant_get(g, f"$.{DATA_FIELD}", "variant")
     as_list = (F.when(kind.startswith("ARRAY"), F.try_variant_get(inner, "$", "array<variant>"))
                 .when(kind == "STRING", F.array(F.try_parse_json(F.try_variant_get(inner, "$", "string")))))
     groups = evaluated_once(groups, {
-        "aggregator_id": F.try_variant_get("_v", "$.AggregatorId", "string"),
-        "batch_time": F.to_timestamp(F.try_variant_get("_v", "$.Timestamp", "string")),
-        "data_type": F.try_variant_get(g, "$.DataType", "string"),
+        "aggregator_id": F.try_variant_get("_v", f"$.{GATEWAY_FIELD}", "string"),
+        "batch_time": F.to_timestamp(F.try_variant_get("_v", f"$.{TIME_FIELD}", "string")),
+        "data_type": F.try_variant_get(g, f"$.{TYPE_FIELD}", "string"),
         "_kind": kind,
         "_glist": as_list})
     kind = F.col("_kind")
