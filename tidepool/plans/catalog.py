@@ -63,9 +63,6 @@ def q_rolling_metrics(spark, sf_dir):
 
 from tidepool.operators import validate as V  # noqa: E402
 
-VALIDATED_COLUMNS = ["original_value", "cleaned_value", "was_modified", "validation_message"]
-
-
 def _validated(spark, sf_dir):
     r = FX.readings(spark, sf_dir, with_nan=True)
     return V.validate_readings(r, rules=FX.FIXTURE_RULES)

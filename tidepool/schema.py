@@ -95,14 +95,6 @@ RULES = T.StructType([
     T.StructField("max_value", T.DoubleType()),
 ])
 
-# {"WavyId": ..., "Data": [{"DataType": ..., "Value": ...}]}; values kept as text
-DEVICE_BATCH_JSON = ("struct<WavyId:string, Data:array<map<string,string>>>")
-
-# {"AggregatorId", "Timestamp", "Data": [{"DataType", "Data": <array or JSON text>}]}
-GATEWAY_BATCH_JSON = ("struct<AggregatorId:string, Timestamp:string, "
-                      "Data:array<struct<DataType:string, Data:string>>>")
-
-
 def rules_frame(spark: SparkSession, rules=None) -> DataFrame:
     """Rule table as a DataFrame (a handful of rows, safe to broadcast)."""
     rows = [(t, float(lo), float(hi)) for t, lo, hi in (rules or DEFAULT_RULES)]
