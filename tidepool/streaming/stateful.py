@@ -55,9 +55,10 @@ def _metrics_fn(n: int):
                 "anomaly_score": np.abs(z)}
 
     def fn(key, pdfs, state):
-        pdf = pd.concat(list(pdfs), ignore_index=True)
-        if pdf.empty:
+        frames = [p for p in pdfs if len(p)]
+        if not frames:
             return
+        pdf = pd.concat(frames, ignore_index=True)
         # rows of one trigger may arrive in several Arrow chunks: order first
         pdf = pdf.sort_values(["ts", "seq"], kind="mergesort").reset_index(drop=True)
         hist = np.asarray(state.get[0] if state.exists else [], dtype="float64")
@@ -94,10 +95,10 @@ def _inactivity_fn(hours: float):
             yield pd.DataFrame({"device_id": [dev], "inactive_since": [pd.Timestamp(last_us, unit="us")],
                                 "detected_by": ["timer"]})
             return
-        pdf = pd.concat(list(pdfs), ignore_index=True)
-        if pdf.empty:
+        frames = [p for p in pdfs if len(p)]
+        if not frames:
             return
-        pdf = pdf.sort_values(["ts", "seq"], kind="mergesort")
+        pdf = pd.concat(frames, ignore_index=True).sort_values(["ts", "seq"], kind="mergesort")
         ts_us = pdf["ts"].astype("datetime64[us]").astype("int64").to_numpy()
         prev = state.get[0] if state.exists else None
         seq = ts_us if prev is None else np.concatenate([[prev], ts_us])
