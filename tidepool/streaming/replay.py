@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -22,11 +23,14 @@ def replay_files(df: DataFrame, path: str, time_col: str = "ts",
     """Write ``df`` under ``path`` as one file per time chunk, oldest first.
     Returns the number of chunks."""
     chunk = F.floor(F.unix_seconds(F.col(time_col).cast("timestamp")) / F.lit(chunk_seconds)).cast("long")
-    d = df.withColumn("_chunk", chunk)
-    ids = [r[0] for r in d.select("_chunk").distinct().orderBy("_chunk").collect()]
-    for c in ids:
-        (d.filter(F.col("_chunk") == c).drop("_chunk").coalesce(1)
-          .sortWithinPartitions(*order).write.mode("append").parquet(path))
+    d = df.withColumn("_chunk", chunk).persist(StorageLevel.MEMORY_AND_DISK)   # one scan, many writes
+    try:
+        ids = [r[0] for r in d.select("_chunk").distinct().orderBy("_chunk").collect()]
+        for c in ids:
+            (d.filter(F.col("_chunk") == c).drop("_chunk").coalesce(1)
+              .sortWithinPartitions(*order).write.mode("append").parquet(path))
+    finally:
+        d.unpersist()
     return len(ids)
 
 
