@@ -20,15 +20,33 @@ def _with_day(df: DataFrame, time_col: str = "ts") -> DataFrame:
     return df.withColumn("day", F.to_date(F.col(time_col).cast("timestamp")))
 
 
-def write_measurements(df: DataFrame, path: str, mode: str = "append", time_col: str = "ts") -> None:
+FILES_PER_PARTITION = 8
+
+
+def _clustered(df: DataFrame, time_col: str, files_per_partition: int) -> DataFrame:
+    """Rows grouped by table partition before writing: each (type, day) is
+    spread over ``files_per_partition`` tasks by a hash salt, so a partition
+    gets at most that many files and a hot partition is not one task."""
+    d = _with_day(df, time_col)
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in d.columns if c not in PARTITIONS]),
+                  F.lit(files_per_partition))
+    return (d.repartition(*[F.col(c) for c in PARTITIONS], salt)
+             .sortWithinPartitions(*PARTITIONS))
+
+
+def write_measurements(df: DataFrame, path: str, mode: str = "append", time_col: str = "ts",
+                       files_per_partition: int = FILES_PER_PARTITION) -> None:
     """Append measurements (device, gateway, type, value, time and the
     validation flags when present), partitioned by type and day."""
-    _with_day(df, time_col).write.mode(mode).partitionBy(*PARTITIONS).parquet(path)
+    (_clustered(df, time_col, files_per_partition)
+        .write.mode(mode).partitionBy(*PARTITIONS).parquet(path))
 
 
-def write_metrics(df: DataFrame, path: str, mode: str = "append", time_col: str = "ts") -> None:
+def write_metrics(df: DataFrame, path: str, mode: str = "append", time_col: str = "ts",
+                  files_per_partition: int = FILES_PER_PARTITION) -> None:
     """Append calculated metrics, same layout as the measurements."""
-    _with_day(df, time_col).write.mode(mode).partitionBy(*PARTITIONS).parquet(path)
+    (_clustered(df, time_col, files_per_partition)
+        .write.mode(mode).partitionBy(*PARTITIONS).parquet(path))
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int, time_col: str = "ts",
