@@ -54,7 +54,7 @@ def write_batch(df: DataFrame, path: str, batch_id: int, time_col: str = "ts",
     """All-or-nothing, idempotent write of one batch: the batch lands in
     its own ``stream_batch=`` partition, replaced as a whole on a re-run
     (dynamic partition overwrite), so a resent batch never duplicates rows."""
-    out = _with_day(df, time_col).withColumn(part_col, F.lit(int(batch_id)).cast("long"))
+    out = _clustered(df, time_col, FILES_PER_PARTITION).withColumn(part_col, F.lit(int(batch_id)).cast("long"))
     (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(part_col, *PARTITIONS).parquet(path))
 
