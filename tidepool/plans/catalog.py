@@ -15,6 +15,21 @@ from pyspark.sql import functions as F
 
 from tidepool.operators import metrics as M
 from tidepool.plans import fixtures as FX
+from tidepool.operators import batching as B
+from tidepool.operators import registry as G
+from tidepool.operators import retention as RT
+from tidepool.operators import subscriptions as SB
+from tidepool.operators import validate as V
+from tidepool.session import scratch_dir
+from tidepool.sources import decode as D
+from tidepool.sources import encode as EN
+from tidepool.sources import history as H
+from tidepool.streaming import incremental as SI
+from tidepool.streaming import replay as SR
+from tidepool.streaming import sinks as SS
+from tidepool.streaming import stateful as ST
+from tidepool.streaming import validation as SV
+from tidepool.streaming import windows as SW
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -61,7 +76,6 @@ def q_rolling_metrics(spark, sf_dir):
 # Validation and cleaning
 # --------------------------------------------------------------------------
 
-from tidepool.operators import validate as V  # noqa: E402
 
 def _validated(spark, sf_dir):
     r = FX.readings(spark, sf_dir, with_nan=True)
@@ -203,11 +217,6 @@ def q_metrics_with_fallback(spark, sf_dir):
 # Batching, registry, presence, retention, subscriptions
 # --------------------------------------------------------------------------
 
-from tidepool.operators import batching as B  # noqa: E402
-from tidepool.operators import registry as G  # noqa: E402
-from tidepool.operators import retention as RT  # noqa: E402
-from tidepool.operators import subscriptions as SB  # noqa: E402
-
 
 @query("interval_sum")
 def q_interval_sum(spark, sf_dir):
@@ -350,9 +359,6 @@ def q_subscription_gate(spark, sf_dir):
 # Sources: frames, routing, batches, tagged messages, encoders, extraction
 # --------------------------------------------------------------------------
 
-from tidepool.sources import decode as D  # noqa: E402
-from tidepool.sources import encode as EN  # noqa: E402
-
 
 def _frames(spark, sf_dir):
     """Frames built from readings: signup -> connect (101, id text), error ->
@@ -526,8 +532,6 @@ def q_extract_lenient(spark, sf_dir):
 # Tables: counts, ranged history, resends
 # --------------------------------------------------------------------------
 
-from tidepool.session import scratch_dir  # noqa: E402
-from tidepool.sources import history as H  # noqa: E402
 
 GIVEN_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
                 "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -572,12 +576,6 @@ def q_resend_dedupe(spark, sf_dir):
 # with availableNow, return what it wrote (a batch DataFrame)
 # --------------------------------------------------------------------------
 
-from tidepool.streaming import replay as SR  # noqa: E402
-from tidepool.streaming import sinks as SS  # noqa: E402
-from tidepool.streaming import stateful as ST  # noqa: E402
-from tidepool.streaming import validation as SV  # noqa: E402
-from tidepool.streaming import windows as SW  # noqa: E402
-
 
 def _stream_source(spark, sf_dir, name, with_nan=False):
     base = scratch_dir(spark, name)
@@ -727,9 +725,6 @@ def q_topic_prefix_gate(spark, sf_dir):
     return SB.subscribed_readings(r, topics, prefix=True).select("seq", "data_type")
 
 
-from tidepool.streaming import incremental as SI  # noqa: E402
-
-
 @query("stream_metrics_batched")
 def q_stream_metrics_batched(spark, sf_dir):
     """T3 without per-key grouping: each micro-batch runs the skew-safe batch
