@@ -3,13 +3,15 @@
 The library never creates a session by itself; these helpers are for scripts,
 tests and the bench.  The checkpoint folder is read from the session
 (``spark.checkpoint.dir``, which a cluster points at shared storage); a private
-folder is set only when the session has none, as in local tests.
+folder is set only for ``local[...]`` sessions that have none, as in tests.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -41,24 +43,25 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder, setting a private one only if unset."""
+    """The session's shared folder, ``spark.checkpoint.dir``.
+
+    A cluster names it; a session on ``local[...]`` that has none gets a folder of
+    its own (driver and executors are one process there).  Any other session
+    without the setting is an error: a machine-local folder would lose data.
+    """
     sc = spark.sparkContext
-    current = spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir()
-    if hasattr(current, "isDefined"):  # scala Option
-        current = current.get() if current.isDefined() else None
-    if current:
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
-            sc.setCheckpointDir(current)
-        return current
-    path = tempfile.mkdtemp(prefix="tidepool-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    sc.setCheckpointDir(path)
-    return path
+    current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not current:
+        if not re.match(r"local(\[[^,\]]*\])?$", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        current = tempfile.mkdtemp(prefix="tidepool-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", current)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(current)
+    return current
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the session's checkpoint folder (shared on a cluster)."""
-    import uuid
-
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
