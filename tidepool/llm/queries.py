@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepool.llm import bpe, exact_dedup, mixing, sharding
+from tidepool.llm import bpe, exact_dedup, mixing, near_dedup, repeats, sharding
 from tidepool.llm.common import documents
 from tidepool.llm.oracle import ORACLE as _SQL
 
@@ -30,15 +30,25 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(documents(spark, sf_dir))
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(documents(spark, sf_dir))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), *tokenizer())
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(documents(spark, sf_dir), words=4)
+
+
 QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_sharding": op4_sharding,
+    "op8_repeats": op8_repeats,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 ORACLE = {k: v for k, v in _SQL.items() if k in QUERIES}
