@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepool.llm import bpe, exact_dedup, language, mixing, near_dedup, quality, repeats, sharding
+from tidepool.llm import bpe, exact_dedup, language, mixing, near_dedup, pii, quality, repeats, sharding
 from tidepool.llm.common import documents
 from tidepool.llm.oracle import ORACLE as _SQL
 
@@ -39,6 +39,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(documents(spark, sf_dir))
+
+
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.without_repeats(documents(spark, sf_dir))
 
@@ -57,6 +61,7 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_sharding": op4_sharding,
     "op6_quality": op6_quality,
+    "op7_pii": op7_pii,
     "op8_repeats": op8_repeats,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_near_dedup": op10_near_dedup,
