@@ -85,27 +85,25 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, raw binary")
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", with_ids: bool = False) -> DataFrame:
     """Encode, decode and digest in one pass: ``doc_id, n_tokens, ids_sha256,
-    decoded_sha256``, without moving ids between the JVM and Python."""
+    decoded_sha256`` and, if asked for, ``ids``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(ranks_path, pattern)
         names = [str(i) for i in range(enc.n_vocab)]
         for batch in batches:
             for part in _parts(batch):
-                out: list[tuple] = []
-                for t in part.column(1).to_pylist():
-                    ids = encode_text(t, enc)
-                    out.append((len(ids), hashlib.sha256(" ".join([names[i] for i in ids]).encode()).hexdigest(),
-                                hashlib.sha256(enc.decode_bytes(ids)).hexdigest()))
-                n, a, b = zip(*out) if out else ((), (), ())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())],
-                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select(docs["doc_id"].cast("long"), docs[text]).mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+                all_ids = [encode_text(t, enc) for t in part.column(1).to_pylist()]
+                ids_sha = [hashlib.sha256(" ".join([names[i] for i in ids]).encode()).hexdigest() for ids in all_ids]
+                raw_sha = [hashlib.sha256(enc.decode_bytes(ids)).hexdigest() for ids in all_ids]
+                columns = [part.column(0), pa.array(map(len, all_ids), pa.int64()), pa.array(ids_sha, pa.string()), pa.array(raw_sha, pa.string())]
+                if with_ids:
+                    columns.append(pa.array(all_ids, pa.list_(pa.int32())))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][:len(columns)])
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return docs.select(docs["doc_id"].cast("long"), docs[text]).mapInArrow(run, schema)
 
 
 def _parts(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:

@@ -17,27 +17,28 @@ from tidepool.llm.common import staged
 
 def _hang(links: DataFrame) -> DataFrame:
     """``u, v, m``: the links with the smallest node among u and its partners v."""
-    links = staged(links, "links")
     low = links.groupBy("u").agg(F.min("v").alias("low"))
     low = staged(low.select(F.col("u").alias("m_u"), F.least("u", "low").alias("m")), "lowest")
     return links.join(low, F.col("u") == F.col("m_u")).drop("m_u")
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every child ``u`` has one parent ``v``, which is no child itself."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up + down > 1").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, root`` (the smallest node reachable) for every node of ``links`` (``a, b``, longs)
     that is not itself a root."""
     edges = staged(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                    .distinct(), "edges")
-    state = None
-    while True:
+    while not _settled(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _hang(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = staged(_hang(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         hung = _hang(large)
         own = hung.select("u", F.col("m").alias("v"))
         others = hung.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = staged(own.unionByName(others).distinct(), "edges")
-        # unchanged number of links and sums of their ends: every node hangs under its root
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state or not now[0]:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        state = now
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -234,7 +234,8 @@ def near_groups(docs: DataFrame, words: int = 5, threshold: float = 0.8, bands:
              .groupBy("band", "bucket", "left", "right")
              .applyInArrow(_compare_blocks(bands, rows, threshold), "a long, b long"))
     more = confirmed(pairs, texts, words, threshold)
-    tree = components(links.unionByName(more))
+    if not more.isEmpty():
+        tree = components(links.unionByName(more))
 
     named = (classes.select("set_key", "rep").join(tree.withColumnRenamed("node", "t_node"), F.col("rep") == F.col("t_node"), "left")
              .select(F.col("set_key").alias("c_key"), F.coalesce("root", "rep").alias("component"),

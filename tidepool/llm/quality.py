@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
 from tidepool.llm.common import staged
 
@@ -210,32 +211,34 @@ def _judge(refs: dict, limits: dict):
             columns = list(zip(*out)) if out else [()] * 9
             types = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
             yield pa.RecordBatch.from_arrays(
-                [*(pa.array(c, t) for c, t in zip(columns, types)), *batch.columns[3:], batch.column(0)], NAMES + batch.schema.names[3:] + ["doc_id"])
+                [*(pa.array(c, t) for c, t in zip(columns, types)), *batch.columns[3:], batch.column(0)], NAMES + batch.schema.names[3:] + batch.schema.names[:1])
     return run
 
 
 NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance"]
-_TYPES = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
-          "kept boolean, class_distance double, word_distance double")
+_TYPES = [LongType()] * 5 + [BooleanType()] * 2 + [DoubleType()] * 2
+
+
+def _judged(rows: DataFrame, refs: dict, class_limit: float, word_limit: float) -> DataFrame:
+    """``doc_id, lang, text`` and further columns -> the findings, the further columns, doc_id."""
+    limits = {"class": class_limit, "class_chars": CLASS_MIN_CHARS, "word": word_limit, "word_words": WORD_MIN_WORDS}
+    found = [StructField(n, t) for n, t in zip(NAMES, _TYPES)]
+    schema = StructType([*found, *rows.schema.fields[3:], rows.schema.fields[0]])
+    return rows.mapInArrow(_judge(refs, limits), schema)
 
 
 def judge(docs: DataFrame, refs: dict | None = None, class_limit: float = CLASS_LIMIT, word_limit: float = WORD_LIMIT,
           text: str = "text") -> DataFrame:
     """One row per document: ``doc_id``, the base counts, ``base_failed, kept`` and the two distances."""
     refs = references(docs, text=text) if refs is None else refs
-    limits = {"class": class_limit, "class_chars": CLASS_MIN_CHARS, "word": word_limit, "word_words": WORD_MIN_WORDS}
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.col(text).alias("text"))
-    return rows.mapInArrow(_judge(refs, limits), _TYPES + ", doc_id long").select("doc_id", *NAMES)
+    return _judged(rows, refs, class_limit, word_limit).select("doc_id", *NAMES)
 
 
-def keep_rows(docs: DataFrame, text: str = "text", **options) -> DataFrame:
+def keep_rows(docs: DataFrame, class_limit: float = CLASS_LIMIT, word_limit: float = WORD_LIMIT, text: str = "text") -> DataFrame:
     """The documents, all columns, that the rules keep: judged where they are, without a join."""
-    refs = references(docs, text=text)
-    limits = {"class": options.get("class_limit", CLASS_LIMIT), "class_chars": CLASS_MIN_CHARS,
-              "word": options.get("word_limit", WORD_LIMIT), "word_words": WORD_MIN_WORDS}
     names = [f"_row_{i}" for i in range(len(docs.columns))]
-    rows = docs.select("doc_id", F.col("lang").alias("_lang"), F.col(text).alias("_text"),
+    rows = docs.select(F.lit(0).alias("_id"), F.col("lang").alias("_lang"), F.col(text).alias("_text"),
                        *[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)])
-    inner = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(docs.columns, names))
-    judged = rows.mapInArrow(_judge(refs, limits), f"{_TYPES}, {inner}, doc_id {docs.schema['doc_id'].dataType.simpleString()}")
-    return judged.filter("kept").select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names)])
+    kept = _judged(rows, references(docs, text=text), class_limit, word_limit).filter("kept")
+    return kept.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names)])

@@ -4,19 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from tidepool.llm import bpe, exact_dedup, language, mixing, near_dedup, pii, quality, repeats, sharding
 from tidepool.llm.common import documents
 from tidepool.llm.oracle import ORACLE as _SQL
 
-RANKS = "byte_bpe_50k.tiktoken"
-
-
-def tokenizer() -> tuple[str, str]:
-    """Place of the rank file and the pre-splitting pattern of the public tokenizers."""
-    import public_tokenizers
-
-    return public_tokenizers.path(RANKS), public_tokenizers.PATTERN
-
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
@@ -48,7 +40,7 @@ def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(documents(spark, sf_dir), *tokenizer())
+    return bpe.round_trip(documents(spark, sf_dir), *corpus_pipeline.tokenizer())
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +57,7 @@ QUERIES = {
     "op8_repeats": op8_repeats,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_near_dedup": op10_near_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE = {k: v for k, v in _SQL.items() if k in QUERIES}
