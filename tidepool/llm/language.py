@@ -76,7 +76,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LA
     # a share of each language's hash range, with room for chance and texts without letters
     h = F.xxhash64(F.col("doc_id").cast("string"), F.lit("language"))
     share = {lang: min(1.0, 1.5 * per_language / n) for lang, n in counts.items()}
-    limit = F.create_map(*[x for lang, s in share.items() for x in (F.lit(lang), F.lit(int((2 * s - 1) * (2 ** 63 - 1))))])
+    limit = F.create_map(*[x for lang, s in share.items() for x in (F.lit(lang), F.lit(min(2 ** 63 - 1, int((2 * s - 1) * 2 ** 63))))])
     picked = rows.withColumn("h", h).filter(F.col("h") <= limit[F.col("lang")]).select("lang", "h", "text")
     by_lang: dict[str, list] = {}
     for r in sorted(picked.mapInArrow(_sets, "lang string, h long, bits binary").collect(), key=lambda r: (r["lang"], r["h"], r["bits"])):

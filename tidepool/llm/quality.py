@@ -1,15 +1,15 @@
 """Quality rules: base counts, and the distance of a document from its language.
 
 For every language (column ``lang``) two reference histograms are gathered from
-the whole corpus: character classes, and common words, i.e. the words with a letter
-that make up at least ``COMMON`` of the language's words, with one bin for all
-others.  A document is rejected if the Jensen-Shannon distance (base 2, 0 to 1) of
+the whole corpus, in which documents weigh alike: character classes, and common
+words, i.e. the words with a letter whose mean share of a document's words is at
+least ``COMMON``, with one bin for all others.  A document is rejected if the Jensen-Shannon distance (base 2, 0 to 1) of
 its own histograms is above a limit, provided that it is long enough for the
 histogram to mean something.  A document whose language is null or has too few
-words for a reference is compared with the nearest reference.
+documents for a reference is compared with the nearest reference.
 
 Common words are exact, without a shuffle of the vocabulary: a task reports, per
-chunk of words, those with at least half the share; a word that is common in the
+chunk of documents, those with at least half the share; a word that is common in the
 whole must then make up for the chunks that do not report it, which leaves at most
 ``2 / COMMON`` words per language; a second pass counts those.
 
@@ -32,8 +32,9 @@ from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, St
 
 from tidepool.llm.common import staged
 
-COMMON = 0.002               # share of a language's words that makes a word common
-REFERENCE_WORDS = 2_000      # words a language needs for a reference
+COMMON = 0.002               # mean share of a document's words that makes a word common
+REFERENCE_DOCS = 10          # documents with words that a language needs for a reference
+SCALE = 1_000_000            # a document's weight, in whole numbers so that sums do not depend on their order
 CHUNK_WORDS = 1_000_000
 CLASS_LIMIT, CLASS_MIN_CHARS = 0.30, 200
 WORD_LIMIT, WORD_MIN_WORDS = 0.52, 80
@@ -103,21 +104,33 @@ def repeated_lines(text: str) -> int:
     return again
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, dict]]:
-    """Word counts and class counts by language, per chunk of words."""
-    words, classes, n = defaultdict(Counter), defaultdict(lambda: np.zeros(CLASSES)), 0
+class _Tally:
+    """Of the documents of a language: their number, weighted word shares, class shares."""
+
+    def __init__(self):
+        self.docs, self.words, self.classes = 0, Counter(), np.zeros(CLASSES, np.int64)
+
+    def add(self, raw: bytes, tokens: list[bytes]) -> None:
+        self.docs += 1
+        for word, n in Counter(tokens).items():
+            self.words[word] += n * SCALE // len(tokens)
+        self.classes += class_counts(raw) * SCALE // len(raw)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, _Tally]]:
+    """Tallies by language, per chunk of words."""
+    tallies, n = defaultdict(_Tally), 0
     for batch in batches:
         for lang, text in zip(*(c.to_pylist() for c in batch.columns)):
             raw = text.encode()
             tokens = raw.lower().split()
-            words[lang].update(tokens)
             if tokens:
-                classes[lang] += class_counts(raw) / len(raw)     # documents weigh alike
+                tallies[lang].add(raw, tokens)
             n += len(tokens)
             if n >= CHUNK_WORDS:
-                yield words, classes
-                words, classes, n = defaultdict(Counter), defaultdict(lambda: np.zeros(CLASSES)), 0
-    yield words, classes
+                yield tallies
+                tallies, n = defaultdict(_Tally), 0
+    yield tallies
 
 
 def _common_forms(words: Counter) -> Counter:
@@ -129,36 +142,36 @@ def _common_forms(words: Counter) -> Counter:
 
 def _report(share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words, classes in _chunks(batches):
+        for tallies in _chunks(batches):
             out = []
-            for lang, counts in words.items():
-                total = sum(counts.values())
-                out.append((lang, None, 0, total, classes[lang].tolist()))
-                out += [(lang, w, n, total, None) for w, n in _common_forms(counts).items()
+            for lang, tally in tallies.items():
+                total = tally.docs * SCALE
+                out.append((lang, None, 0, total, tally.classes.tolist()))
+                out += [(lang, w, n, total, None) for w, n in _common_forms(tally.words).items()
                         if n >= share / 2 * total and _has_letter(w)]
             yield pa.RecordBatch.from_pylist([dict(zip(("lang", "word", "n", "chunk", "classes"), r)) for r in out], pa.schema(
-                [("lang", pa.string()), ("word", pa.binary()), ("n", pa.int64()), ("chunk", pa.int64()), ("classes", pa.list_(pa.float64()))]))
+                [("lang", pa.string()), ("word", pa.binary()), ("n", pa.int64()), ("chunk", pa.int64()), ("classes", pa.list_(pa.int64()))]))
     return run
 
 
 def _count(candidates: dict[str, set[bytes]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words, _ in _chunks(batches):
-            out = [(lang, w, n) for lang, counts in words.items() if lang in candidates
-                   for w, n in _common_forms(counts).items() if w in candidates[lang]]
+        for tallies in _chunks(batches):
+            out = [(lang, w, n) for lang, tally in tallies.items() if lang in candidates
+                   for w, n in _common_forms(tally.words).items() if w in candidates[lang]]
             yield pa.RecordBatch.from_pylist([dict(zip(("lang", "word", "n"), r)) for r in out], pa.schema(
                 [("lang", pa.string()), ("word", pa.binary()), ("n", pa.int64())]))
     return run
 
 
-def references(docs: DataFrame, common: float = COMMON, min_words: int = REFERENCE_WORDS,
+def references(docs: DataFrame, common: float = COMMON, min_docs: int = REFERENCE_DOCS,
                text: str = "text") -> dict[str, tuple[np.ndarray, dict[bytes, int], np.ndarray]]:
     """By language: class histogram, bins of the common words, histogram of the words
     (last bin: all others).  At most ``1 / common`` words per language."""
     rows = docs.select("lang", F.col(text).alias("text")).filter("lang is not null and text is not null")
-    seen = staged(rows.mapInArrow(_report(common), "lang string, word binary, n long, chunk long, classes array<double>"), "report")
+    seen = staged(rows.mapInArrow(_report(common), "lang string, word binary, n long, chunk long, classes array<long>"), "report")
     shape = [F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(CLASSES)]
-    langs = seen.filter("word is null").groupBy("lang").agg(F.sum("chunk").alias("total"), *shape).filter(F.col("total") >= min_words)
+    langs = seen.filter("word is null").groupBy("lang").agg(F.sum("chunk").alias("total"), *shape).filter(F.col("total") >= min_docs * SCALE)
     langs = staged(langs, "langs")
     unseen = (F.col("total") - F.col("chunks")) * (common / 2)
     likely = (seen.filter("word is not null").groupBy("lang", "word").agg(F.sum("n").alias("n"), F.sum("chunk").alias("chunks"))
@@ -174,7 +187,7 @@ def references(docs: DataFrame, common: float = COMMON, min_words: int = REFEREN
     for r in langs.collect():
         words = sorted((x for x in counted[r["lang"]] if x[0] >= common * r["total"]), reverse=True)
         counts = [n for n, _ in words]
-        out[r["lang"]] = (np.array([r[f"c{i}"] for i in range(CLASSES)]), {w: i for i, (_, w) in enumerate(words)},
+        out[r["lang"]] = (np.array([r[f"c{i}"] for i in range(CLASSES)], float), {w: i for i, (_, w) in enumerate(words)},
                           np.array([*counts, r["total"] - sum(counts)], float))
     return out
 
