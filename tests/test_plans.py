@@ -3,8 +3,8 @@ no cartesian products, no row-at-a-time Python in batch queries."""
 
 import pytest
 
-import __spark_entry__ as E
 from conftest import SF_SMALL
+from tidepool.plans.catalog import QUERIES
 from tidepool.plans import fixtures as FX
 from tidepool.session import scratch_dir
 from tidepool.sources import history as H
@@ -26,12 +26,12 @@ def test_history_read_prunes_partitions_and_pushes_filters(spark):
     assert "ReadSchema: struct<device_id:string,value:double,ts:timestamp,seq:bigint>" in scan
 
 
-BATCH = sorted(k for k in E.queries() if not k.startswith("stream_")
+BATCH = sorted(k for k in QUERIES if not k.startswith("stream_")
                and k not in ("history_range", "metrics_table", "subscription_file"))
 
 
 @pytest.mark.parametrize("name", BATCH)
 def test_no_cartesian_or_python_rows(spark, name):
-    plan = _plan(E.queries()[name](spark, SF_SMALL))
+    plan = _plan(QUERIES[name](spark, SF_SMALL))
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
         assert bad not in plan, f"{name}: {bad}"

@@ -27,10 +27,6 @@ def is_nonfinite(c: str | Column) -> Column:
     return F.isnan(c) | (F.abs(c) == F.lit(INF))
 
 
-def is_finite(c: str | Column) -> Column:
-    return ~is_nonfinite(c)
-
-
 def plain_number_text(c: str | Column) -> Column:
     """Render a double the way a shortest-form formatter prints it without a
     forced decimal part: ``-10.0`` -> ``-10``, ``0.5`` -> ``0.5``, ``inf`` ->
@@ -60,17 +56,3 @@ def elapsed_hms(seconds: str | Column) -> Column:
     m = F.floor((s % 3600) / 60).cast("long")
     sec = (s % 60).cast("long")
     return F.format_string("%dh %dm %ds", h, m, sec)
-
-
-def epoch_millis(ts: str | Column) -> Column:
-    """Timestamp -> epoch milliseconds (ms precision on the wire)."""
-    return F.unix_millis(col(ts).cast("timestamp"))
-
-
-def from_epoch_millis(ms: str | Column) -> Column:
-    return F.timestamp_millis(col(ms))
-
-
-def truncate_to_long(c: str | Column) -> Column:
-    """A double truncated toward zero, as an integer cast does."""
-    return col(c).cast("long")

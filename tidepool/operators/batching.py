@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.plans.windows import DEFAULT_BUCKET_SECONDS, first_k_per_key
+from tidepool.plans.windows import first_k_per_key
 from tidepool.schema import ID_FIELD, TYPE_FIELD, VALUE_FIELD, DATA_FIELD, GATEWAY_FIELD, DEVICE_INTERVAL, GATEWAY_FLUSH, UNKNOWN_ID
 
 
@@ -15,10 +15,12 @@ def interval_sum(df: DataFrame, interval: str = DEVICE_INTERVAL,
                  keys: Sequence[str] = ("device_id", "data_type"),
                  value: str = "value", time_col: str = "ts") -> DataFrame:
     """A1 + P4: per device, type and tumbling interval, the sum of the values
-    truncated to integers (the device sends one summed item per type)."""
+    truncated to integers (the device sends one summed item per type).  A value
+    that is no integer after truncation (NaN, infinite, out of range) counts as
+    an item and adds nothing."""
     w = F.window(F.col(time_col).cast("timestamp"), interval)
     return (df.groupBy(*keys, w.alias("interval"))
-              .agg(F.sum(F.col(value).cast("long")).alias("total"),
+              .agg(F.coalesce(F.sum(F.col(value).try_cast("long")), F.lit(0)).alias("total"),
                    F.count(F.lit(1)).alias("items"))
               .select(*keys, F.col("interval.start").alias("interval_start"),
                       F.col("interval.end").alias("interval_end"), "total", "items"))
@@ -66,7 +68,7 @@ def type_counts(df: DataFrame, type_col: str = "data_type") -> DataFrame:
 
 def type_sample(df: DataFrame, k: int = 5, type_col: str = "data_type",
                 order: Sequence[str] = ("ts", "seq"), time_col: str = "ts",
-                bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
+                bucket_seconds: int = 60) -> DataFrame:
     """The first ``k`` readings per type (by time) and how many more the
     type holds (``more`` = rows - k, at least 0).  Skew-safe: the few types
     are never ordered inside one task."""

@@ -15,7 +15,6 @@ from tidepool.plans.windows import DEFAULT_BUCKET_SECONDS, time_bucket
 from tidepool.schema import DEFAULT_SUBSCRIPTIONS
 
 SUBSCRIBE = "subscribe"
-MAX_BROADCAST_TOPICS = 100_000
 
 
 def default_subscriptions(spark: SparkSession, types: Sequence[str] = DEFAULT_SUBSCRIPTIONS) -> DataFrame:
@@ -57,25 +56,19 @@ def current_subscriptions(control: DataFrame, spark: SparkSession | None = None,
     return merged.filter(member).select(type_col)
 
 
-def _maybe_broadcast(df: DataFrame, limit: int = MAX_BROADCAST_TOPICS) -> DataFrame:
-    return F.broadcast(df) if df.count() <= limit else df
-
-
 def subscribed_readings(readings: DataFrame, subs: DataFrame, type_col: str = "data_type",
                         prefix: bool = False) -> DataFrame:
     """Readings whose type is in the set.  ``prefix=True`` gives the
-    pub/sub socket rule (a subscription matches every topic it prefixes),
-    planned as an equi semi join on the exploded prefixes of the topic."""
+    pub/sub socket rule (a subscription matches every topic it prefixes): the
+    distinct types are matched by their prefixes first, then the readings by
+    type, so every reading of a matching type passes, once."""
     s = subs.select(F.col(type_col).alias("_topic")).distinct()
-    if not prefix:
-        return readings.join(_maybe_broadcast(s), F.col(type_col) == F.col("_topic"), "left_semi")
-    t = F.col(type_col)
-    prefixes = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1))),
-                           lambda i: F.substring(t, 1, i))
-    ex = readings.withColumn("_pfx", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), prefixes))))
-    hit = ex.join(_maybe_broadcast(s), F.col("_pfx") == F.col("_topic"), "left_semi")
-    return hit.dropDuplicates(["seq"]).drop("_pfx") if "seq" in readings.columns else \
-        hit.drop("_pfx").distinct()
+    if prefix:
+        t = F.col("_type")
+        prefixes = F.transform(F.sequence(F.lit(0), F.length(t)), lambda i: F.substring(t, 1, i))
+        types = readings.select(F.col(type_col).alias("_type")).distinct().withColumn("_pfx", F.explode(prefixes))
+        s = types.join(s, F.col("_pfx") == F.col("_topic"), "left_semi").select(F.col("_type").alias("_topic")).distinct()
+    return readings.join(s, F.col(type_col) == F.col("_topic"), "left_semi")
 
 
 def publish_messages(readings: DataFrame, payload_col: str, fmt_col: str,

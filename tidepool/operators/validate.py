@@ -43,7 +43,7 @@ from tidepool.schema import (ANOMALY_SIGMAS, DEFAULT_RULES, HISTORY_SIZE, MIN_AN
 
 KEYS = ("device_id", "data_type")
 ORDER = ("ts", "seq")
-MAX_BROADCAST_RULES = 100_000
+TYPE_BUCKET_SECONDS = 60
 
 
 def attach_rules(df: DataFrame, rules=None, type_col: str = "data_type") -> DataFrame:
@@ -52,13 +52,11 @@ def attach_rules(df: DataFrame, rules=None, type_col: str = "data_type") -> Data
 
     ``rules`` is a list of ``(type, min, max)`` (inlined as a map literal: no
     join at all) or a DataFrame ``(data_type, min_value, max_value)`` (left
-    join, broadcast only after its row count is checked)."""
+    join, for which Spark picks the strategy from its size)."""
     if rules is None:
         rules = DEFAULT_RULES
     if isinstance(rules, DataFrame):
         r = rules.select(F.col("data_type").alias("_rt"), "min_value", "max_value")
-        if rules.count() <= MAX_BROADCAST_RULES:
-            r = F.broadcast(r)
         return (df.join(r, F.col(type_col) == F.col("_rt"), "left").drop("_rt"))
     lo = F.create_map(*[x for t, a, _ in rules for x in (F.lit(t), F.lit(float(a)))])
     hi = F.create_map(*[x for t, _, b in rules for x in (F.lit(t), F.lit(float(b)))])
@@ -89,7 +87,7 @@ def clean_readings(df: DataFrame, rules=None, value: str = "value",
              .withColumn("cleaned_value", cleaned))
 
 
-def _history_core(
+def history_statistics(
     df: DataFrame,
     rules=None,
     keys: Sequence[str] = KEYS,
@@ -189,9 +187,10 @@ def validate_readings(
     run) to the cross-device pool; it has one row per type."""
     type_col = keys[-1]
     v = F.col(value)
-    j = _history_core(df, rules, keys, order, value, time_col, history, min_history, sigmas,
+    j = history_statistics(df, rules, keys, order, value, time_col, history, min_history, sigmas,
                       bucket_seconds, chunk_rows, internals=internals)
-    typed = keyed_positions(j, [type_col], order, time_col, bucket_seconds,
+    # all devices of a type share a bucket here: a narrow one keeps the task small
+    typed = keyed_positions(j, [type_col], order, time_col, min(bucket_seconds, TYPE_BUCKET_SECONDS),
                             sums=["_dsum", "_dn"], index_col="_tpos")
     if pool_offset is not None:
         off = pool_offset.select(F.col(type_col), F.col("pool_sum").alias("_osum"),
@@ -212,12 +211,12 @@ def validate_readings(
 def _join_snapshot(pos: DataFrame, snaps: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Each reading with the snapshot taken after the last kept value before
     it (kept index ``c - 1``)."""
-    s = snaps.withColumnRenamed("_u", "_snap_u")
-    for kcol in keys:
-        s = s.withColumnRenamed(kcol, f"_s_{kcol}")
-    cond = [pos[kcol] == s[f"_s_{kcol}"] for kcol in keys] + [pos["_c"] - 1 == s["_snap_u"]]
-    out = pos.join(s, on=cond, how="left")
-    return out.drop(*[f"_s_{kcol}" for kcol in keys], "_snap_u")
+    key = F.struct(*[F.col(k) for k in keys])   # never NULL itself: NULL keys find their snapshots too
+    s = (snaps.withColumn("_snap_key", key).withColumn("_snap_at", F.col("_u") + 1)
+              .drop(*keys, "_u"))
+    p = pos.withColumn("_pos_key", key)
+    out = p.join(s, on=[p["_pos_key"] == s["_snap_key"], p["_c"] == s["_snap_at"]], how="left")
+    return out.drop("_pos_key", "_snap_key", "_snap_at")
 
 
 def batch_status(validated: DataFrame, batch_cols: Sequence[str],
@@ -273,7 +272,7 @@ def type_averages(df: DataFrame, rules=None, keys: Sequence[str] = KEYS, **kw) -
     (end-state) histories.  The pool of a type is the sum of the signed deltas
     of its readings, so this is a plain aggregation (partial sums map-side)."""
     type_col = keys[-1]
-    core = _history_core(df, rules, keys, **kw)
+    core = history_statistics(df, rules, keys, **kw)
     g = core.groupBy(type_col).agg(F.sum("_dsum").alias("pool_sum"),
                                    F.sum("_dn").alias("pool_values"))
     return g.withColumn("type_average",

@@ -20,6 +20,7 @@ from tidepool.operators import registry as G
 from tidepool.operators import retention as RT
 from tidepool.operators import subscriptions as SB
 from tidepool.operators import validate as V
+from tidepool.schema import DATA_FIELD, GATEWAY_FIELD, ID_FIELD, TIME_FIELD, TYPE_FIELD, VALUE_FIELD
 from tidepool.session import scratch_dir
 from tidepool.sources import decode as D
 from tidepool.sources import encode as EN
@@ -95,7 +96,7 @@ def q_clean_readings(spark, sf_dir):
 def q_history_anomaly(spark, sf_dir):
     """Valid-only history (99/100 rule), its mean and sigma before
     the reading, and the 3-sigma flag."""
-    v = _validated(spark, sf_dir)
+    v = V.history_statistics(FX.readings(spark, sf_dir, with_nan=True), rules=FX.FIXTURE_RULES)
     return v.select("device_id", "data_type", "seq", "was_modified", "history_size",
                     rnd("history_mean").alias("history_mean"), rnd("history_std").alias("history_std"),
                     "is_anomaly", "anomaly_message")
@@ -121,9 +122,10 @@ def q_history_pool(spark, sf_dir):
 
 
 def _batches(spark, sf_dir):
-    """Validated readings with their batch (event_id div 8) plus one empty
-    batch (-1), as a request without items."""
-    v = _validated(spark, sf_dir).withColumn("batch_id", F.floor(F.col("seq") / FX.BATCH_SIZE).cast("long"))
+    """Cleaned readings (whether one was modified needs no history) with their batch
+    (event_id div 8), plus one empty batch (-1), as a request without items."""
+    r = FX.readings(spark, sf_dir, with_nan=True)
+    v = V.clean_readings(r, rules=FX.FIXTURE_RULES).withColumn("batch_id", F.floor(F.col("seq") / FX.BATCH_SIZE).cast("long"))
     empty = (spark.range(1).select(F.lit(-1).cast("long").alias("batch_id"))
              .withColumn("data_type", F.lit(None).cast("string"))
              .withColumn("was_modified", F.lit(None).cast("boolean")))
@@ -235,6 +237,46 @@ def q_batch_by_type(spark, sf_dir):
                     F.col("items").cast("long").alias("items"), rnd("value_sum").alias("value_sum"))
 
 
+@query("batch_envelopes")
+def q_batch_envelopes(spark, sf_dir):
+    """A2: the batch itself, one JSON text per gateway and flush interval."""
+    b = B.batch_envelopes(FX.readings(spark, sf_dir))
+    return b.select(F.col(GATEWAY_FIELD).alias("gateway_id"), ntz("flush_start"), F.to_json(DATA_FIELD).alias("payload"))
+
+
+@query("slim_items")
+def q_slim_items(spark, sf_dir):
+    """The slim item of each reading, as forwarded."""
+    return B.slim_items(FX.readings(spark, sf_dir)).select("seq", F.to_json("item").alias("item"))
+
+
+@query("tag_reading")
+def q_tag_reading(spark, sf_dir):
+    """Typed readings with their source time, or the arrival time where it has none
+    (here: the latest time of the table)."""
+    r = FX.readings_with_gaps(spark, sf_dir)
+    last = FX.readings(spark, sf_dir).select(F.max("ts").alias("arrival"))
+    t = B.tag_reading(r.join(F.broadcast(last)), F.col("arrival"))     # one row
+    return t.select("seq", "data_type", "value", "device_id", ntz("ts"))
+
+
+@query("rolling_metrics_gaps")
+def q_rolling_metrics_gaps(spark, sf_dir):
+    """W1-W3 where ids, types or times are missing: every reading keeps its row."""
+    m = M.rolling_metrics(FX.readings_with_gaps(spark, sf_dir))
+    return m.select("device_id", "data_type", "seq", F.col("history_size").cast("long").alias("history_size"),
+                    rnd("average_value").alias("average_value"), rnd("variance").alias("variance"))
+
+
+@query("validate_gaps")
+def q_validate_gaps(spark, sf_dir):
+    """W7, W10 where ids, types or times are missing."""
+    v = V.validate_readings(FX.readings_with_gaps(spark, sf_dir), rules=FX.FIXTURE_RULES)
+    h = M.last_n_history(FX.readings_with_gaps(spark, sf_dir)).select("seq", "recency_rank")
+    v = v.select("seq", F.col("history_size").cast("long").alias("history_size"), rnd("history_mean").alias("history_mean"))
+    return v.join(h, "seq", "left")
+
+
 @query("type_counts")
 def q_type_counts(spark, sf_dir):
     """A3: readings per type."""
@@ -328,18 +370,15 @@ def q_retention_report(spark, sf_dir):
 
 @query("current_subscriptions")
 def q_current_subscriptions(spark, sf_dir):
-    """The set after folding the control actions over the default
-    list, restricted to the types present in the readings."""
-    s = SB.current_subscriptions(FX.control_events(spark), spark, FX.FIXTURE_DEFAULT_SUBSCRIPTIONS)
-    types = FX.readings(spark, sf_dir).select("data_type").distinct()
-    return s.join(types, "data_type", "left_semi")
+    """The set after folding the control actions over the default list."""
+    return SB.current_subscriptions(FX.control_events(spark, sf_dir), spark, FX.FIXTURE_DEFAULT_SUBSCRIPTIONS)
 
 
 @query("subscribed_readings")
 def q_subscribed_readings(spark, sf_dir):
     """Readings on subscribed topics, as (topic, message)."""
     r = FX.readings(spark, sf_dir)
-    s = SB.current_subscriptions(FX.control_events(spark), spark, FX.FIXTURE_DEFAULT_SUBSCRIPTIONS)
+    s = SB.current_subscriptions(FX.control_events(spark, sf_dir), spark, FX.FIXTURE_DEFAULT_SUBSCRIPTIONS)
     hit = SB.subscribed_readings(r, s)
     msg = hit.withColumn("payload", F.to_json(F.struct(F.col("data_type").alias("DataType"),
                                                        F.col("value").cast("long").alias("Value"),
@@ -350,7 +389,7 @@ def q_subscribed_readings(spark, sf_dir):
 @query("subscription_gate")
 def q_subscription_gate(spark, sf_dir):
     """As-of gate -- the last control action of the type at or before the reading."""
-    g = SB.subscription_gate(FX.readings(spark, sf_dir), FX.control_events(spark),
+    g = SB.subscription_gate(FX.readings(spark, sf_dir), FX.control_events(spark, sf_dir),
                              default=FX.FIXTURE_DEFAULT_SUBSCRIPTIONS)
     return g.select("seq", "data_type", "gate_action", "subscribed")
 
@@ -372,7 +411,8 @@ def _frames(spark, sf_dir):
                                                 F.col("value").cast("long").alias("Value"))).alias("Data")))
     payload = F.when(code == 201, batch).otherwise(F.col("device_id"))
     f = r.select("seq", EN.encode_frame(code, payload).alias("frame"))
-    extra = spark.createDataFrame([(-1, bytes([1, 2, 3])), (-2, bytes([0xE7, 3, 0, 0]) + b"x")],
+    extra = spark.createDataFrame([(-1, bytes([1, 2, 3])), (-2, bytes([0xE7, 3, 0, 0]) + b"x"),
+                                   (-3, bytes([101, 0, 0, 0]) + b"a\xffb")],
                                   "seq long, frame binary")
     return f.unionByName(extra)
 
@@ -398,33 +438,39 @@ def _batch_id():
 
 @query("parse_device_batch")
 def q_parse_device_batch(spark, sf_dir):
-    """S3, F1, F2: device batches (one per batch and device) decoded back to
-    items; malformed batches and items without a type are left out."""
+    """Device batches (one per batch and device) decoded back to
+    items; batches and items that are not accepted come out with a reason."""
     r = FX.readings(spark, sf_dir).withColumn("batch_id", _batch_id())
     b = EN.device_batches(r, ["batch_id"]).select("batch_id", "payload")
-    bad = spark.createDataFrame([(-1, '{"Data":[]}'), (-2, '{"WavyId":"x","Data":{}}'),
-                                 (-3, '{"WavyId":"x","Data":[{"Value":1}]}'), (-4, "garbage")],
-                                "batch_id long, payload string")
+    own = f'"{ID_FIELD}":"x"'
+    item = f'"{TYPE_FIELD}":"view"'
+    bad = spark.createDataFrame([
+        (-1, f'{{"{DATA_FIELD}":[{{{item},"{VALUE_FIELD}":1}}]}}'),
+        (-2, f'{{{own},"{DATA_FIELD}":{{}}}}'),
+        (-3, f'{{{own},"{DATA_FIELD}":[{{"{VALUE_FIELD}":1}},{{{item}}},{{{item},"{VALUE_FIELD}":"7"}},{{"{TYPE_FIELD}":5}}]}}'),
+        (-4, "garbage"), (-5, None), (-6, f'{{{own},"{DATA_FIELD}":[]}}')], "batch_id long, payload string")
     p = D.parse_device_batch(b.unionByName(bad))
-    return p.select("batch_id", "device_id", "data_type", "value")
+    return p.select("batch_id", "device_id", "data_type", "value", "reject_reason")
 
 
 @query("parse_optional_batch")
 def q_parse_optional_batch(spark, sf_dir):
-    """Batches whose id may be absent (every fifth batch); each item
-    keeps its properties with the batch id attached (empty when absent)."""
+    """Batches whose id may be absent (every fifth batch); each item
+    keeps its properties, with the batch id in place of its own if there is one."""
     r = FX.readings(spark, sf_dir).withColumn("batch_id", _batch_id())
-    item = F.struct(F.col("seq").alias("_o"), F.col("data_type").alias("DataType"),
-                    F.col("value").alias("Value"), F.lit("item-own").alias("WavyId"))
+    item = F.struct(F.col("seq").alias("_o"), F.col("data_type").alias(TYPE_FIELD),
+                    F.col("value").alias(VALUE_FIELD), F.lit("item-own").alias(ID_FIELD))
     g = r.groupBy("batch_id", "device_id").agg(F.array_sort(F.collect_list(item)).alias("_i"))
-    data = F.transform("_i", lambda x: F.struct(x["DataType"].alias("DataType"), x["Value"].alias("Value"),
-                                                x["WavyId"].alias("WavyId"))).alias("Data")
+    data = F.transform("_i", lambda x: F.struct(*[x[n].alias(n) for n in (TYPE_FIELD, VALUE_FIELD, ID_FIELD)])).alias(DATA_FIELD)
     payload = F.when(F.col("batch_id") % 5 == 0, F.to_json(F.struct(data))).otherwise(
-        F.to_json(F.struct(F.col("device_id").alias("WavyId"), data)))
-    p = D.parse_optional_batch(g.select("batch_id", payload.alias("payload")))
-    return p.select("batch_id", F.col("item").getItem("WavyId").alias("device_id"),
-                    F.col("item").getItem("DataType").alias("data_type"),
-                    F.col("item").getItem("Value").cast("double").alias("value"))
+        F.to_json(F.struct(F.col("device_id").alias(ID_FIELD), data)))
+    bad = spark.createDataFrame([
+        (-1, f'{{"{DATA_FIELD}":[{{"{VALUE_FIELD}":1}}]}}'),
+        (-2, f'{{"{ID_FIELD}":"x","{DATA_FIELD}":[{{"{TYPE_FIELD}":"view","{VALUE_FIELD}":"z"}}]}}'),
+        (-3, "garbage"), (-4, f'{{"{DATA_FIELD}":[{{"{TYPE_FIELD}":"view"}}]}}')], "batch_id long, payload string")
+    p = D.parse_optional_batch(g.select("batch_id", payload.alias("payload")).unionByName(bad))
+    return p.select("batch_id", F.col("item").getItem(ID_FIELD).alias("device_id"), "data_type",
+                    F.col("item").getItem(VALUE_FIELD).try_cast("double").alias("value"), "reject_reason")
 
 
 @query("parse_gateway_batch")
@@ -438,7 +484,9 @@ def q_parse_gateway_batch(spark, sf_dir):
         (-1, '{"AggregatorId":"9","Timestamp":"2024-01-01T00:00:00Z","Data":[{"DataType":"view"}]}'),
         (-2, '{"AggregatorId":"9","Timestamp":"2024-01-01T00:00:00Z","Data":[{"DataType":"view","Data":[5,'
              '{"Value":"x","value":1,"WavyId":"d"},{"wavyId":"","Value":"2.5"}]}]}'),
-        (-3, "garbage")], "batch_id long, payload string")
+        (-3, "garbage"),
+        (-4, f'{{"{GATEWAY_FIELD}":"9","{TIME_FIELD}":"yesterday","{DATA_FIELD}":[{{"{TYPE_FIELD}":"view","{DATA_FIELD}":[]}}]}}')],
+        "batch_id long, payload string")
     p = D.parse_gateway_batch(g.select("batch_id", "payload").unionByName(bad))
     return p.select("aggregator_id", ntz("batch_time"), "data_type", "device_id", "value", "reject_reason")
 
@@ -471,6 +519,21 @@ def q_decode_xml(spark, sf_dir):
     return good.select("seq", "device_id", "data_type", "value")
 
 
+@query("decode_xml_general")
+def q_decode_xml_general(spark, sf_dir):
+    """Flat XML with any fields: attributes quoted either way, children with
+    CDATA, repeated names (the last wins), empty roots, no root."""
+    r = FX.readings(spark, sf_dir)
+    v = EN.number_text("value")
+    k = F.col("seq") % 4
+    msg = (F.when(k == 0, F.concat(F.lit("<S a='1 &amp; \"2\"' id='"), "device_id", F.lit("'><v>"), v, F.lit("</v><u><![CDATA[<m&]]></u></S>")))
+            .when(k == 1, F.concat(F.lit('<?xml version="1.0"?>\n<S id="'), "device_id", F.lit('" u="x">\n <v> 0</v><v>'), v, F.lit("</v>\n</S>")))
+            .when(k == 2, F.lit("<a></a>")).otherwise(F.lit("no root")))
+    m = r.select("seq", D.xml_to_map(msg).alias("m"))
+    return m.select("seq", F.when(F.col("m").isNotNull(), F.size("m")).cast("long").alias("fields"), F.col("m")["id"].alias("device_id"),
+                    F.col("m")["a"].alias("a"), F.col("m")["u"].alias("unit"), F.col("m")["v"].try_cast("double").alias("value"))
+
+
 @query("decode_json")
 def q_decode_json(spark, sf_dir):
     """JSON messages decoded to readings (the malformed one goes to
@@ -589,11 +652,27 @@ def _run_to_parquet(spark, sdf, base, mode="append"):
     return spark.read.parquet(f"{base}/out")
 
 
+def _run_updates(spark, sdf, base, keys):
+    SR.run_available_now(lambda: SS.start_keyed_updates(sdf, f"{base}/out", f"{base}/checkpoint"))
+    return SS.latest_updates(spark.read.parquet(f"{base}/out"), keys)
+
+
+@query("stream_presence")
+def q_stream_presence(spark, sf_dir):
+    """The current connection state per device, kept by a stream."""
+    base = scratch_dir(spark, "stream-presence")
+    e = FX.presence_events(spark, sf_dir)
+    SR.replay_files(e, f"{base}/source")
+    s = SR.read_replay(spark, f"{base}/source", e.schema)
+    out = _run_updates(spark, SW.stream_presence(s), base, ["device_id"])
+    return out.select("device_id", "state", ntz("since"), "connected")
+
+
 @query("stream_flush")
 def q_stream_flush(spark, sf_dir):
-    """30 s gateway flush on a stream (watermark 1 minute, append)."""
+    """30 s gateway flush on a stream; equals the batch result."""
     base, s = _stream_source(spark, sf_dir, "stream-flush")
-    out = _run_to_parquet(spark, SW.stream_flush(s), base)
+    out = _run_updates(spark, SW.stream_flush(s), base, ["gateway_id", "flush_start", "data_type"])
     return out.select("gateway_id", ntz("flush_start"), "data_type",
                       F.col("items").cast("long").alias("items"), rnd("value_sum").alias("value_sum"))
 
@@ -602,7 +681,8 @@ def q_stream_flush(spark, sf_dir):
 def q_stream_interval_sum(spark, sf_dir):
     """Interval sums on a stream (1 hour on this sparse table)."""
     base, s = _stream_source(spark, sf_dir, "stream-interval")
-    out = _run_to_parquet(spark, SW.stream_interval_sum(s, interval="1 hour"), base)
+    out = _run_updates(spark, SW.stream_interval_sum(s, interval="1 hour"), base,
+                       ["device_id", "data_type", "interval_start", "interval_end"])
     return out.select("device_id", "data_type", ntz("interval_start"), ntz("interval_end"),
                       F.col("total").cast("long").alias("total"), F.col("items").cast("long").alias("items"))
 
@@ -648,7 +728,7 @@ def q_stream_type_average(spark, sf_dir):
 def q_stream_gate(spark, sf_dir):
     """Readings on subscribed types, stream-static semi join."""
     base, s = _stream_source(spark, sf_dir, "stream-gate")
-    subs = SB.current_subscriptions(FX.control_events(spark), spark, FX.FIXTURE_DEFAULT_SUBSCRIPTIONS)
+    subs = SB.current_subscriptions(FX.control_events(spark, sf_dir), spark, FX.FIXTURE_DEFAULT_SUBSCRIPTIONS)
     out = _run_to_parquet(spark, SS.gate_stream(s, subs).select("seq", "data_type", "device_id"), base)
     return out.select("seq", "data_type", "device_id")
 
@@ -678,7 +758,7 @@ def q_stream_atomic_write(spark, sf_dir):
     d = SS.dedupe_stream(s.withColumnRenamed("ts", "batch_time"), ["envelope_id", "device_id"])
 
     def decode(df):
-        items = D.parse_device_batch(df.select("envelope_id", "payload", "batch_time"))
+        items, _ = D.split_rejects(D.parse_device_batch(df.select("envelope_id", "payload", "batch_time")))
         return items.withColumnRenamed("batch_time", "ts").select("envelope_id", "device_id", "data_type",
                                                                   "value", "ts")
 
@@ -705,9 +785,8 @@ def q_subscription_file(spark, sf_dir):
     exists, then the saved current set read back."""
     path = scratch_dir(spark, "subscriptions")
     first = SB.load_subscriptions(spark, path, FX.FIXTURE_DEFAULT_SUBSCRIPTIONS)
-    types = FX.readings(spark, sf_dir).select("data_type").distinct()
-    cur = SB.current_subscriptions(FX.control_events(spark), spark, FX.FIXTURE_DEFAULT_SUBSCRIPTIONS)
-    SB.save_subscriptions(cur.join(types, "data_type", "left_semi"), path)
+    cur = SB.current_subscriptions(FX.control_events(spark, sf_dir), spark, FX.FIXTURE_DEFAULT_SUBSCRIPTIONS)
+    SB.save_subscriptions(cur, path)
     saved = SB.load_subscriptions(spark, path, FX.FIXTURE_DEFAULT_SUBSCRIPTIONS)
     return (first.select(F.lit("default").alias("stage"), "data_type")
                  .unionByName(saved.select(F.lit("saved").alias("stage"), "data_type")))
@@ -719,7 +798,7 @@ def q_topic_prefix_gate(spark, sf_dir):
     it is a prefix of.  Topics: the first letter of each subscribed type plus
     the prefix "v"."""
     r = FX.readings(spark, sf_dir)
-    cur = SB.current_subscriptions(FX.control_events(spark), spark, FX.FIXTURE_DEFAULT_SUBSCRIPTIONS)
+    cur = SB.current_subscriptions(FX.control_events(spark, sf_dir), spark, FX.FIXTURE_DEFAULT_SUBSCRIPTIONS)
     topics = cur.select(F.substring("data_type", 1, 1).alias("data_type")).unionByName(
         spark.createDataFrame([("v",)], "data_type string"))
     return SB.subscribed_readings(r, topics, prefix=True).select("seq", "data_type")

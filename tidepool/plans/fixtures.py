@@ -49,27 +49,30 @@ def fixture_rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(FIXTURE_RULES, "data_type string, min_value double, max_value double")
 
 
-# Control actions on the events types (data_type, time, action); the fixture's
-# default subscription set is ["signup"].
-FIXTURE_CONTROL = [
-    ("click", "2024-01-03 00:00:00", "subscribe"),
-    ("view", "2024-01-05 00:00:00", "subscribe"),
-    ("click", "2024-01-10 00:00:00", "unsubscribe"),
-    ("purchase", "2024-01-12 00:00:00", "subscribe"),
-    ("view", "2024-01-20 00:00:00", "unsubscribe"),
-    ("click", "2024-01-25 00:00:00", "subscribe"),
-    ("error", "2024-01-28 12:00:00", "subscribe"),
-    ("error", "2024-01-29 00:00:00", "unsubscribe"),
-]
+# Control actions come from the sign-ups (subscribe) and errors (unsubscribe) of the
+# table, each for the type that the user picks; the default set is ["signup"].
+CONTROL_TYPES = ["click", "view", "purchase", "signup", "error"]
 FIXTURE_DEFAULT_SUBSCRIPTIONS = ["signup"]
 # Registries are built in two loads: rows before this time, then the rest.
 REGISTRY_SPLIT = "2024-01-16 00:00:00"
 
 
-def control_events(spark: SparkSession) -> DataFrame:
-    rows = [(t, ts, i, a) for i, (t, ts, a) in enumerate(FIXTURE_CONTROL)]
-    return (spark.createDataFrame(rows, "data_type string, ts string, seq long, action string")
-                 .withColumn("ts", F.to_timestamp("ts")))
+def control_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").filter(F.col("event_type").isin("signup", "error"))
+    picked = F.element_at(F.array(*[F.lit(t) for t in CONTROL_TYPES]), (F.col("user_id") % len(CONTROL_TYPES) + 1).cast("int"))
+    action = F.when(F.col("event_type") == "signup", "subscribe").otherwise("unsubscribe")
+    return e.select(picked.alias("data_type"), F.col("ts").cast("timestamp").alias("ts"),
+                    F.col("event_id").alias("seq"), action.alias("action"))
+
+
+def readings_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings of which some have no device, no type or no time."""
+    r = readings(spark, sf_dir)
+
+    def gap(column: str, every: int):
+        return F.when(F.col("seq") % every != 0, F.col(column)).alias(column)
+
+    return r.select(gap("device_id", 11), "gateway_id", gap("data_type", 17), "value", gap("ts", 13), "seq")
 
 
 def presence_events(spark: SparkSession, sf_dir: str) -> DataFrame:

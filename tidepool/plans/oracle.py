@@ -349,20 +349,17 @@ c AS (
 SELECT table_name, CAST(b AS BIGINT) AS before_rows, CAST(a AS BIGINT) AS after_rows,
        CAST(b - a AS BIGINT) AS removed_rows FROM c"""
 
-CONTROL = """control(data_type, ts, seq, action) AS (VALUES
-  ('click', TIMESTAMP '2024-01-03 00:00:00', 0, 'subscribe'),
-  ('view', TIMESTAMP '2024-01-05 00:00:00', 1, 'subscribe'),
-  ('click', TIMESTAMP '2024-01-10 00:00:00', 2, 'unsubscribe'),
-  ('purchase', TIMESTAMP '2024-01-12 00:00:00', 3, 'subscribe'),
-  ('view', TIMESTAMP '2024-01-20 00:00:00', 4, 'unsubscribe'),
-  ('click', TIMESTAMP '2024-01-25 00:00:00', 5, 'subscribe'),
-  ('error', TIMESTAMP '2024-01-28 12:00:00', 6, 'subscribe'),
-  ('error', TIMESTAMP '2024-01-29 00:00:00', 7, 'unsubscribe')),
+CONTROL = """control_ AS (
+  SELECT ['click', 'view', 'purchase', 'signup', 'error'][1 + user_id % 5] AS data_type, ts, event_id AS seq,
+         CASE event_type WHEN 'signup' THEN 'subscribe' ELSE 'unsubscribe' END AS action
+  FROM events WHERE event_type IN ('signup', 'error')),
+control AS (SELECT data_type, ts, arg_max(action, seq) AS action FROM control_ GROUP BY data_type, ts),
 subs AS (
-  SELECT t.data_type FROM (SELECT DISTINCT data_type FROM readings) t
-  LEFT JOIN (SELECT data_type, arg_max(action, seq) AS last_action FROM control GROUP BY data_type) l
+  SELECT coalesce(l.data_type, t.data_type) AS data_type
+  FROM (SELECT 'signup' AS data_type) t
+  FULL JOIN (SELECT data_type, arg_max(action, ts) AS last_action FROM control GROUP BY data_type) l
     ON l.data_type = t.data_type
-  WHERE coalesce(l.last_action = 'subscribe', t.data_type IN ('signup')))"""
+  WHERE coalesce(l.last_action = 'subscribe', true))"""
 
 ORACLE["current_subscriptions"] = f"""
 WITH {READINGS}, {CONTROL}
@@ -398,7 +395,8 @@ SELECT seq, CAST(code AS BIGINT) AS code,
        CAST(NULL AS VARCHAR) AS reject_reason
 FROM f
 UNION ALL SELECT -1, NULL, NULL, 'malformed frame'
-UNION ALL SELECT -2, 999, 'x', NULL"""
+UNION ALL SELECT -2, 999, 'x', NULL
+UNION ALL SELECT -3, 101, 'a' || chr(65533) || 'b', NULL"""
 
 ORACLE["route_messages"] = f"""
 WITH {READINGS}
@@ -406,17 +404,30 @@ SELECT seq, CASE data_type WHEN 'signup' THEN 'connect' WHEN 'error' THEN 'disco
                  ELSE 'device_data' END AS kind, CAST(NULL AS VARCHAR) AS reject_reason
 FROM readings
 UNION ALL SELECT -1, NULL, 'malformed frame'
-UNION ALL SELECT -2, NULL, 'unknown code'"""
+UNION ALL SELECT -2, NULL, 'unknown code'
+UNION ALL SELECT -3, 'connect', NULL"""
 
 ORACLE["parse_device_batch"] = f"""
 WITH {READINGS}
-SELECT seq // 8 AS batch_id, device_id, data_type, value FROM readings"""
+SELECT seq // 8 AS batch_id, device_id, data_type, value, CAST(NULL AS VARCHAR) AS reject_reason FROM readings
+UNION ALL SELECT -1, NULL, NULL, NULL, 'missing WavyId or Data'
+UNION ALL SELECT -2, 'x', NULL, NULL, 'missing WavyId or Data'
+UNION ALL SELECT -3, 'x', NULL, 1, 'missing DataType'
+UNION ALL SELECT -3, 'x', 'view', NULL, NULL
+UNION ALL SELECT -3, 'x', 'view', NULL, 'Value is not a number'
+UNION ALL SELECT -3, 'x', NULL, NULL, 'DataType is not text'
+UNION ALL SELECT -4, NULL, NULL, NULL, 'malformed json'
+UNION ALL SELECT -5, NULL, NULL, NULL, 'malformed json'"""
 
 ORACLE["parse_optional_batch"] = f"""
 WITH {READINGS}
-SELECT seq // 8 AS batch_id, CASE WHEN (seq // 8) % 5 = 0 THEN '' ELSE device_id END AS device_id,
-       data_type, value
-FROM readings"""
+SELECT seq // 8 AS batch_id, CASE WHEN (seq // 8) % 5 = 0 THEN 'item-own' ELSE device_id END AS device_id,
+       data_type, value, CAST(NULL AS VARCHAR) AS reject_reason
+FROM readings
+UNION ALL SELECT -1, NULL, NULL, NULL, 'missing DataType'
+UNION ALL SELECT -2, NULL, 'view', NULL, 'Value is not a number'
+UNION ALL SELECT -3, NULL, NULL, NULL, 'malformed json'
+UNION ALL SELECT -4, NULL, 'view', NULL, NULL"""
 
 ORACLE["parse_gateway_batch"] = f"""
 WITH {READINGS}
@@ -427,7 +438,8 @@ UNION ALL SELECT '9', TIMESTAMP '2024-01-01 00:00:00', 'view', NULL, NULL, 'miss
 UNION ALL SELECT '9', TIMESTAMP '2024-01-01 00:00:00', 'view', 'Unknown', NULL, 'item is not an object'
 UNION ALL SELECT '9', TIMESTAMP '2024-01-01 00:00:00', 'view', 'd', NULL, 'no valid value'
 UNION ALL SELECT '9', TIMESTAMP '2024-01-01 00:00:00', 'view', 'Unknown', CAST(2.5 AS DOUBLE), NULL
-UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, 'malformed json'"""
+UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, 'malformed json'
+UNION ALL SELECT '9', NULL, 'view', NULL, NULL, 'bad Timestamp'"""
 
 ORACLE["detect_format"] = f"""
 WITH {READINGS}
@@ -498,26 +510,10 @@ SELECT DISTINCT seq // 8 AS batch_id, device_id,
        CAST(CASE WHEN (seq // 8) % 4 = 0 THEN 2 ELSE 1 END AS BIGINT) AS copies, CAST(201 AS BIGINT) AS kept_code
 FROM readings"""
 
-# Streams: the same statements as the batch twins.  Append-mode windows are
-# written once the watermark (max event time - 1 minute, in ms) reaches
-# their end, so the last open windows are not part of the output.
-WM = "(SELECT epoch_us(max(ts)) // 1000 - 60000 FROM readings)"
-
-ORACLE["stream_flush"] = f"""
-WITH {READINGS},
-w AS (SELECT gateway_id, time_bucket(INTERVAL 30 SECOND, ts) AS flush_start, data_type,
-             CAST(count(*) AS BIGINT) AS items, {R('sum(value)')} AS value_sum
-      FROM readings GROUP BY gateway_id, time_bucket(INTERVAL 30 SECOND, ts), data_type)
-SELECT * FROM w WHERE epoch_us(flush_start + INTERVAL 30 SECOND) // 1000 <= {WM}"""
-
-ORACLE["stream_interval_sum"] = f"""
-WITH {READINGS},
-w AS (SELECT device_id, data_type, time_bucket(INTERVAL 1 HOUR, ts) AS interval_start,
-             time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS interval_end,
-             CAST(sum(CAST(trunc(value) AS BIGINT)) AS BIGINT) AS total, CAST(count(*) AS BIGINT) AS items
-      FROM readings GROUP BY device_id, data_type, time_bucket(INTERVAL 1 HOUR, ts))
-SELECT * FROM w WHERE epoch_us(interval_end) // 1000 <= {WM}"""
-
+# Streams: the same statements as the batch twins.
+ORACLE["stream_flush"] = ORACLE["batch_by_type"]
+ORACLE["stream_interval_sum"] = ORACLE["interval_sum"]
+ORACLE["stream_presence"] = ORACLE["presence"]
 ORACLE["stream_metrics"] = ORACLE["rolling_metrics"]
 ORACLE["stream_validate"] = ORACLE["replace_nonfinite"]
 ORACLE["stream_type_average"] = ORACLE["history_pool"]
@@ -533,7 +529,8 @@ WITH {READINGS},
 d AS (SELECT device_id, ts, lead(ts) OVER (PARTITION BY device_id ORDER BY ts, seq) AS nxt FROM readings)
 SELECT device_id, ts AS inactive_since FROM d
 WHERE (nxt IS NOT NULL AND nxt - ts > INTERVAL 1 HOUR)
-   OR (nxt IS NULL AND epoch_us(ts) // 1000 + 3600000 < {WM})"""
+   OR (nxt IS NULL AND epoch_us(ts) // 1000 + 3600000
+       < (SELECT epoch_us(max(ts)) // 1000 - 60000 FROM readings))"""
 
 ORACLE["stream_atomic_write"] = f"""
 WITH {READINGS}
@@ -552,3 +549,52 @@ topics AS (SELECT substr(data_type, 1, 1) AS t FROM subs UNION ALL SELECT 'v')
 SELECT seq, data_type FROM readings r
 WHERE EXISTS (SELECT 1 FROM topics WHERE starts_with(r.data_type, topics.t))"""
 ORACLE["stream_metrics_batched"] = ORACLE["rolling_metrics"]
+
+GAPS = """readings AS (
+  SELECT CASE WHEN event_id % 11 <> 0 THEN CAST(user_id % 10 AS VARCHAR) END AS device_id,
+         CAST(event_id % 3 AS VARCHAR) AS gateway_id,
+         CASE WHEN event_id % 17 <> 0 THEN event_type END AS data_type, CAST(value AS DOUBLE) AS value,
+         CASE WHEN event_id % 13 <> 0 THEN ts END AS ts, event_id AS seq
+  FROM events)"""
+
+ORACLE["rolling_metrics_gaps"] = f"""
+WITH {GAPS}
+SELECT device_id, data_type, seq, count(value) OVER w AS history_size, {R('avg(value) OVER w')} AS average_value,
+       {R('CASE WHEN count(value) OVER w > 1 THEN var_pop(value) OVER w ELSE 0.0 END')} AS variance
+FROM readings WINDOW w AS (PARTITION BY device_id, data_type ORDER BY ts NULLS FIRST, seq
+                           ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)"""
+
+GAP_HISTORY = HISTORY.replace("ORDER BY ts, seq", "ORDER BY ts NULLS FIRST, seq").replace(
+    "ON h.hd = o.device_id AND h.ht = o.data_type", "ON h.hd IS NOT DISTINCT FROM o.device_id AND h.ht IS NOT DISTINCT FROM o.data_type")
+
+ORACLE["validate_gaps"] = f"""
+WITH {GAPS}, {RULES}, {CLEAN}, {GAP_HISTORY},
+last AS (SELECT seq, row_number() OVER (PARTITION BY device_id, data_type ORDER BY ts DESC NULLS LAST, seq DESC) AS recency_rank
+         FROM readings)
+SELECT va.seq, CAST(hk AS BIGINT) AS history_size, {R('hmean')} AS history_mean,
+       CASE WHEN recency_rank <= 100 THEN recency_rank END AS recency_rank
+FROM va JOIN last ON last.seq = va.seq"""
+
+ORACLE["tag_reading"] = f"""
+WITH {GAPS}
+SELECT seq, data_type, value, device_id, coalesce(ts, (SELECT max(ts) FROM events)) AS ts FROM readings"""
+
+ORACLE["slim_items"] = f"""
+WITH {READINGS}
+SELECT seq, '{{"Value":' || CAST(value AS VARCHAR) || ',"WavyId":"' || device_id || '"}}' AS item FROM readings"""
+
+ORACLE["batch_envelopes"] = f"""
+WITH {READINGS},
+t AS (SELECT gateway_id, time_bucket(INTERVAL 30 SECOND, ts) AS flush_start, data_type,
+             string_agg('{{"Value":' || CAST(value AS VARCHAR) || ',"WavyId":"' || device_id || '"}}', ',' ORDER BY ts, seq) AS items
+      FROM readings GROUP BY ALL)
+SELECT gateway_id, flush_start,
+       '[' || string_agg('{{"DataType":"' || data_type || '","Data":[' || items || ']}}', ',' ORDER BY data_type) || ']' AS payload
+FROM t GROUP BY gateway_id, flush_start"""
+
+ORACLE["decode_xml_general"] = f"""
+WITH {READINGS}
+SELECT seq, CAST(CASE seq % 4 WHEN 0 THEN 4 WHEN 1 THEN 3 WHEN 2 THEN 0 END AS BIGINT) AS fields,
+       CASE WHEN seq % 4 < 2 THEN device_id END AS device_id, CASE WHEN seq % 4 = 0 THEN '1 & "2"' END AS a,
+       CASE seq % 4 WHEN 0 THEN '<m&' WHEN 1 THEN 'x' END AS unit, CASE WHEN seq % 4 < 2 THEN value END AS value
+FROM readings"""

@@ -19,9 +19,10 @@ order a whole key inside one task:
     rows of the chunk before it (a halo), so every frame is complete while no
     task holds more than ``chunk_rows + n - 1`` rows.
 
-Key columns must be non-null (the decoders map missing ids to "Unknown" and drop
-items without a type), so that joins on them stay plain equi-joins that reuse
-the window's hash partitioning.
+No row is lost to a NULL: NULL is a key value like any other, and rows without a
+time come first in their key.  Keys are packed into one struct, which is never
+NULL itself, so joins on it stay plain equi-joins that reuse the window's hash
+partitioning.
 """
 
 from __future__ import annotations
@@ -39,12 +40,14 @@ UNBOUNDED = Window.unboundedPreceding
 DEFAULT_BUCKET_SECONDS = 3600
 # Rows per chunk of a sliding window (each chunk is one window partition).
 DEFAULT_CHUNK_ROWS = 1 << 20
+# Bucket of rows without a time: before (or, reversed, after) all others.
+NO_TIME = -(1 << 62)
 
 
 def time_bucket(time_col: str, bucket_seconds: int) -> Column:
     """Bucket number of a timestamp column (floor of epoch / width)."""
     micros = F.unix_micros(F.col(time_col).cast("timestamp"))
-    return F.floor(micros / F.lit(int(bucket_seconds) * 1_000_000)).cast("long")
+    return F.coalesce(F.floor(micros / F.lit(int(bucket_seconds) * 1_000_000)).cast("long"), F.lit(NO_TIME))
 
 
 def keyed_positions(
@@ -58,48 +61,44 @@ def keyed_positions(
     total_col: str | None = None,
     bucket: Column | None = None,
     keep_first: int | None = None,
-    keep_last: int | None = None,
 ) -> DataFrame:
     """Add ``index_col`` (0-based position of the row in its key, ordered by
     ``order``), ``<s>_before`` for each column in ``sums`` (sum over the earlier
     rows of the key) and optionally ``total_col`` (rows in the key).
 
     ``order`` must start with ``time_col`` (or be monotone with ``bucket``) and
-    be a total order inside the key.  ``keep_first``/``keep_last`` drop, before
-    the offset join, rows that cannot be among the first/last k of their key.
+    be a total order inside the key.  ``keep_first`` drops, before the shuffle,
+    rows that cannot be among the first k of their key (a plain row-number
+    filter, which Spark turns into a group limit).
     """
-    keys = list(keys)
     bkt = bucket if bucket is not None else time_bucket(time_col, bucket_seconds)
-    d = df.withColumn("_bkt", bkt)
+    d = df.withColumn("_bkt", bkt).withColumn("_key", F.struct(*[F.col(k) for k in keys]))
 
     # Level 2 first: per (key, bucket) totals, partially aggregated map-side.
     tot_aggs = [F.count(F.lit(1)).alias("_bn")]
     tot_aggs += [F.sum(F.col(s)).alias(f"_bs_{s}") for s in sums]
-    totals = d.groupBy(*keys, "_bkt").agg(*tot_aggs)
-    wb = Window.partitionBy(*keys).orderBy("_bkt").rowsBetween(UNBOUNDED, -1)
+    totals = d.groupBy("_key", "_bkt").agg(*tot_aggs)
+    wb = Window.partitionBy("_key").orderBy("_bkt").rowsBetween(UNBOUNDED, -1)
     off_cols = [F.coalesce(F.sum("_bn").over(wb), F.lit(0)).alias("_off")]
     off_cols += [F.coalesce(F.sum(f"_bs_{s}").over(wb), F.lit(0)).alias(f"_os_{s}") for s in sums]
     if total_col:
-        off_cols.append(F.sum("_bn").over(Window.partitionBy(*keys)).alias(total_col))
-    offsets = totals.select(*keys, "_bkt", *off_cols)
+        off_cols.append(F.sum("_bn").over(Window.partitionBy("_key")).alias(total_col))
+    offsets = totals.select("_key", "_bkt", *off_cols)
 
     # Level 1: positions and running sums inside (key, bucket).
-    w = Window.partitionBy(*keys, "_bkt").orderBy(*order)
+    w = Window.partitionBy("_key", "_bkt").orderBy(*order)
     wprev = w.rowsBetween(UNBOUNDED, -1)
-    local = d.withColumn("_li", F.row_number().over(w) - 1)
+    local = d.withColumn("_rn", F.row_number().over(w))
     if keep_first is not None:
-        local = local.filter(F.col("_li") < F.lit(keep_first))
-    if keep_last is not None:
-        local = (local.withColumn("_lbn", F.count(F.lit(1)).over(Window.partitionBy(*keys, "_bkt")))
-                      .filter(F.col("_li") >= F.col("_lbn") - F.lit(keep_last)).drop("_lbn"))
+        local = local.filter(F.col("_rn") <= F.lit(keep_first))
     for s in sums:
         local = local.withColumn(f"_ls_{s}", F.coalesce(F.sum(F.col(s)).over(wprev), F.lit(0)))
 
-    out = local.join(offsets, on=[*keys, "_bkt"], how="inner")
-    out = out.withColumn(index_col, (F.col("_off") + F.col("_li")).cast("long"))
+    out = local.join(offsets, on=["_key", "_bkt"], how="inner")
+    out = out.withColumn(index_col, (F.col("_off") + F.col("_rn") - 1).cast("long"))
     for s in sums:
         out = out.withColumn(f"{s}_before", F.col(f"_os_{s}") + F.col(f"_ls_{s}"))
-    drop = ["_bkt", "_li", "_off"] + [f"_os_{s}" for s in sums] + [f"_ls_{s}" for s in sums]
+    drop = ["_key", "_bkt", "_rn", "_off"] + [f"_os_{s}" for s in sums] + [f"_ls_{s}" for s in sums]
     return out.drop(*drop)
 
 
@@ -151,13 +150,14 @@ def last_k_per_key(
     rank_col: str = "recency_rank",
 ) -> DataFrame:
     """Keep the last ``k`` rows of each key (top-k per group) without ordering a
-    whole key in one task: positions and key totals come from
-    ``keyed_positions``; ``rank_col`` is 1 for the newest row."""
-    p = keyed_positions(df, keys, order, time_col, bucket_seconds,
-                        index_col="_p", total_col="_n", keep_last=k)
-    return (p.filter(F.col("_p") >= F.col("_n") - F.lit(k))
-             .withColumn(rank_col, (F.col("_n") - F.col("_p")).cast("long"))
-             .drop("_p", "_n"))
+    whole key in one task: the first ``k`` in reversed order; ``rank_col`` is 1
+    for the newest row."""
+    newest = [(F.col(c) if isinstance(c, str) else c).desc() for c in order]
+    p = keyed_positions(df, keys, newest, time_col, index_col="_p", keep_first=k,
+                        bucket=-time_bucket(time_col, bucket_seconds))
+    return (p.filter(F.col("_p") < F.lit(k))
+             .withColumn(rank_col, (F.col("_p") + 1).cast("long"))
+             .drop("_p"))
 
 
 def first_k_per_key(

@@ -6,7 +6,6 @@ results to match; they are stated plainly here and nowhere else.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 # ---------------------------------------------------------------------------
@@ -94,12 +93,3 @@ RULES = T.StructType([
     T.StructField("min_value", T.DoubleType()),
     T.StructField("max_value", T.DoubleType()),
 ])
-
-def rules_frame(spark: SparkSession, rules=None) -> DataFrame:
-    """Rule table as a DataFrame (a handful of rows, safe to broadcast)."""
-    rows = [(t, float(lo), float(hi)) for t, lo, hi in (rules or DEFAULT_RULES)]
-    return spark.createDataFrame(rows, RULES)
-
-
-def codes_frame(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(MESSAGE_CODES, "code int, kind string")

@@ -35,7 +35,7 @@ def decode_frames(df: DataFrame, col: str = "frame") -> DataFrame:
     le = F.concat(F.substring(h, 7, 2), F.substring(h, 5, 2), F.substring(h, 3, 2), F.substring(h, 1, 2))
     u = F.conv(le, 16, 10).cast("long")
     code = F.when(u >= F.lit(2 ** 31), u - F.lit(2 ** 32)).otherwise(u).cast("int")
-    payload = F.decode(F.substr(b, F.lit(5)), "UTF-8")
+    payload = F.make_valid_utf8(F.substr(b, F.lit(5)).cast("string"))   # U+FFFD for invalid bytes
     return (df.withColumn("code", F.when(ok, code))
               .withColumn("payload", F.when(ok, payload))
               .withColumn("reject_reason", F.when(~ok, F.lit("malformed frame"))))
@@ -88,32 +88,35 @@ def _xml_unescape(c: Column) -> Column:
     return c
 
 
+_XML_NAME = r"[A-Za-z_][\w.:-]*"
+_XML_ATTRS = r"""((?:\s+[\w.:-]+\s*=\s*(?:"[^"]*"|'[^']*'))*)"""
+_XML_TEXT = r"((?:[^<]++|<!\[CDATA\[[\s\S]*?\]\]>)*+)"
+_CDATA = r"<!\[CDATA\[([\s\S]*?)\]\]>"
+
+
 def xml_to_map(col: str | Column) -> Column:
     """A flat XML document -> ``map<string,string>`` of the root element's
-    attributes and its child elements' text (child elements overwrite
-    attributes of the same name).  Malformed documents (no root element) ->
-    NULL."""
+    attributes (quoted either way) and its child elements' text, CDATA sections
+    taken literally; later entries overwrite earlier ones of the same name.  An
+    empty root gives an empty map, a document without a root NULL."""
     c = F.col(col) if isinstance(col, str) else col
     body = F.regexp_replace(c, r"^\s*<\?xml[^>]*\?>", "")
-    body = F.regexp_replace(body, r"<!--.*?-->", "")
-    root_attrs = F.regexp_extract(body, r"^\s*<[A-Za-z_][\w.:-]*((?:\s+[\w.:-]+\s*=\s*\"[^\"]*\")*)\s*/?>", 1)
-    has_root = body.rlike(r"^\s*<[A-Za-z_][\w.:-]*(\s+[\w.:-]+\s*=\s*\"[^\"]*\")*\s*(/>|>[\s\S]*</[A-Za-z_][\w.:-]*>\s*$)")
-    attr_pat = r"([\w.:-]+)\s*=\s*\"([^\"]*)\""
-    inner = F.regexp_extract(body, r"^\s*<[^>]*>([\s\S]*)</[A-Za-z_][\w.:-]*>\s*$", 1)
-    child_pat = r"<([A-Za-z_][\w.:-]*)(?:\s[^>]*)?(?:/>|>([^<]*)</\1>)"
-    keys = F.concat(F.regexp_extract_all(root_attrs, F.lit(attr_pat), 1),
-                    F.regexp_extract_all(inner, F.lit(child_pat), 1))
-    vals = F.concat(F.regexp_extract_all(root_attrs, F.lit(attr_pat), 2),
-                    F.regexp_extract_all(inner, F.lit(child_pat), 2))
-    vals = F.transform(vals, lambda v: _xml_unescape(v))
-    # later keys win: keep the last occurrence of each key
-    idx = F.sequence(F.lit(1), F.greatest(F.size(keys), F.lit(1)))
-    last_only = F.filter(F.transform(idx, lambda i: F.struct(
-        F.element_at(keys, i).alias("k"), F.element_at(vals, i).alias("v"),
-        (F.array_position(F.reverse(keys), F.element_at(keys, i)) ==
-         F.size(keys) - i + 1).alias("last"))), lambda e: e["last"] & e["k"].isNotNull())
-    m = F.map_from_entries(F.transform(last_only, lambda e: F.struct(e["k"], e["v"])))
-    return F.when(has_root, m)
+    body = F.regexp_replace(body, r"<!--[\s\S]*?-->", "")
+    root = rf"^\s*<{_XML_NAME}{_XML_ATTRS}\s*(?:/>\s*$|>([\s\S]*)</{_XML_NAME}\s*>\s*$)"
+    attr = r"""([\w.:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)')"""
+    child = rf"<({_XML_NAME})(?:\s[^>]*?)?(?:/>|>{_XML_TEXT}</\1\s*>)"
+    attrs, inner = F.regexp_extract(body, root, 1), F.regexp_extract(body, root, 2)
+
+    def all_of(text: Column, pattern: str, group: int) -> Column:
+        return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+
+    quoted = F.zip_with(all_of(attrs, attr, 2), all_of(attrs, attr, 3), lambda x, y: _xml_unescape(F.concat(x, y)))
+    texts = F.transform(all_of(inner, child, 2), lambda v: F.when(
+        v.contains("<![CDATA["), F.regexp_replace(v, _CDATA, "$1")).otherwise(_xml_unescape(v)))
+    keys = F.concat(all_of(attrs, attr, 1), all_of(inner, child, 1))
+    entries = F.zip_with(keys, F.concat(quoted, texts), lambda k, v: F.struct(k.alias("k"), v.alias("v")))
+    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(keys, i + 2, F.size(keys)), lambda k: k == e["k"]))
+    return F.when(body.rlike(root), F.map_from_entries(last))
 
 
 # Fields of a sensor reading document: (name, is_attribute).
@@ -241,45 +244,54 @@ def _is_object(v: Column) -> Column:
 # Batch parsers
 # --------------------------------------------------------------------------
 
-def parse_device_batch(df: DataFrame, col: str = "payload") -> DataFrame:
-    """S3 + F1 + F2: a device batch (text device id, list of type/value items).
-    Batches without a text id or an array ``Data`` are rejected (F1); items
-    without ``DataType`` are dropped (F2); a non-number ``Value`` drops the
-    item.  One row per item: ``device_id, data_type, value, item_index``."""
+def _batch_items(df: DataFrame, col: str, id_required: bool) -> DataFrame:
+    """One row per item of a batch (``_v`` batch, ``_it`` item, ``item_index``), and one
+    per batch that is rejected as a whole; ``reject_reason`` says why (F1, F2, S9)."""
     d = evaluated_once(df, {"_v": F.try_parse_json(F.col(col))})
     v = F.col("_v")
-    ok = (_vtype(v, f"$.{ID_FIELD}") == "STRING") & F.try_variant_get(v, f"$.{DATA_FIELD}", "array<variant>").isNotNull()
-    d = d.withColumn("reject_reason", F.when(v.isNull(), F.lit("malformed json"))
-                                       .when(~ok, F.lit("missing WavyId or Data")))
-    good = d.filter(F.col("reject_reason").isNull())
-    items = good.select("*", F.posexplode(F.try_variant_get("_v", f"$.{DATA_FIELD}", "array<variant>"))
-                        .alias("item_index", "_it"))
+    id_kind = _vtype(v, f"$.{ID_FIELD}")
+    data = F.try_variant_get(v, f"$.{DATA_FIELD}", "array<variant>")
+    id_ok = F.coalesce(id_kind == "STRING", F.lit(not id_required))
+    reason = (F.when(v.isNull(), F.lit("malformed json"))
+               .when(~id_ok | data.isNull(), F.lit(f"missing {ID_FIELD} or {DATA_FIELD}")))
+    d = evaluated_once(d, {"reject_reason": reason, "_data": F.when(reason.isNull(), data),
+                           "_id": F.when(id_kind == "STRING", F.try_variant_get(v, f"$.{ID_FIELD}", "string"))})
+    items = (d.select("*", F.posexplode_outer("_data").alias("item_index", "_it"))
+              .filter(F.col("reject_reason").isNotNull() | F.col("item_index").isNotNull()))
     it = F.col("_it")
-    t = _vtype(it, f"$.{VALUE_FIELD}")
-    return (items.withColumn("device_id", F.try_variant_get("_v", f"$.{ID_FIELD}", "string"))
-                 .withColumn("data_type", F.when(_vtype(it, f"$.{TYPE_FIELD}") == "STRING",
-                                                 F.try_variant_get(it, f"$.{TYPE_FIELD}", "string")))
-                 .withColumn("value", F.when(_is_number_type(t), F.try_variant_get(it, f"$.{VALUE_FIELD}", "double")))
-                 .filter(F.col("data_type").isNotNull() & F.col("value").isNotNull())
-                 .drop("_v", "_it", "reject_reason"))
+    type_kind, value_kind = _vtype(it, f"$.{TYPE_FIELD}"), _vtype(it, f"$.{VALUE_FIELD}")
+    # a value is checked where the item is rebuilt with the batch's id; as is, it is not looked at
+    bad_value = F.col("_id").isNotNull() & value_kind.isNotNull() & ~_is_number_type(value_kind)
+    return (items.withColumn("reject_reason", F.coalesce(
+                "reject_reason",
+                F.when(type_kind.isNull(), F.lit(f"missing {TYPE_FIELD}"))
+                 .when(type_kind != "STRING", F.lit(f"{TYPE_FIELD} is not text"))
+                 .when(bad_value, F.lit(f"{VALUE_FIELD} is not a number"))))
+                 .withColumn("data_type", F.when(type_kind == "STRING", F.try_variant_get(it, f"$.{TYPE_FIELD}", "string")))
+                 .drop("_data"))
+
+
+def parse_device_batch(df: DataFrame, col: str = "payload") -> DataFrame:
+    """S3 + F1 + F2: a device batch (text device id, list of type/value items).
+    One row per item: ``device_id, data_type, value, item_index, reject_reason``.
+    An item without ``Value`` is kept with a NULL value; rejected batches and
+    items come out as rows with their reason (``split_rejects``)."""
+    items = _batch_items(df, col, id_required=True)
+    number = F.when(_is_number_type(_vtype(F.col("_it"), f"$.{VALUE_FIELD}")),
+                    F.try_variant_get("_it", f"$.{VALUE_FIELD}", "double"))
+    return items.withColumn("device_id", F.col("_id")).withColumn("value", number).drop("_v", "_it", "_id")
 
 
 def parse_optional_batch(df: DataFrame, col: str = "payload") -> DataFrame:
-    """S4 + P5: like S3 but the id may be absent (then empty); every item is
-    kept as its full property map with ``WavyId`` attached (the batch id
-    replaces an item's own).  Items without ``DataType`` are dropped."""
-    v = F.try_parse_json(F.col(col))
-    wid = F.when(_vtype(v, f"$.{ID_FIELD}") == "STRING", F.try_variant_get(v, f"$.{ID_FIELD}", "string")) \
-        .otherwise(F.lit(""))
-    d = df.withColumn("_v", v).withColumn("_wid", wid)
-    items = d.select("*", F.posexplode(F.try_variant_get("_v", f"$.{DATA_FIELD}", "array<variant>"))
-                     .alias("item_index", "_it"))
+    """S4 + P5: like S3 but the id may be absent.  Every accepted item is kept as
+    its full property map ``item``; a batch id replaces the item's own, without
+    one the item stays as it is.  Rejects as in S3."""
+    items = _batch_items(df, col, id_required=False)
     props = F.try_variant_get("_it", "$", "map<string,string>")
-    props = F.map_filter(props, lambda k, _: k != F.lit(ID_FIELD))
-    attached = F.map_concat(props, F.create_map(F.lit(ID_FIELD), F.col("_wid")))
-    return (items.withColumn("item", attached)
-                 .filter(F.col("item").getItem(TYPE_FIELD).isNotNull())
-                 .drop("_v", "_it", "_wid"))
+    with_id = F.map_concat(F.map_filter(props, lambda k, _: k != F.lit(ID_FIELD)),
+                           F.create_map(F.lit(ID_FIELD), F.col("_id")))
+    item = F.when(F.col("reject_reason").isNull(), F.when(F.col("_id").isNull(), props).otherwise(with_id))
+    return items.withColumn("item", item).drop("_v", "_it", "_id")
 
 
 def parse_gateway_batch(df: DataFrame, col: str = "payload") -> DataFrame:
@@ -299,13 +311,15 @@ def parse_gateway_batch(df: DataFrame, col: str = "payload") -> DataFrame:
                 .when(kind == "STRING", F.array(F.try_parse_json(F.try_variant_get(inner, "$", "string")))))
     groups = evaluated_once(groups, {
         "aggregator_id": F.try_variant_get("_v", f"$.{GATEWAY_FIELD}", "string"),
-        "batch_time": F.to_timestamp(F.try_variant_get("_v", f"$.{TIME_FIELD}", "string")),
+        "batch_time": F.try_to_timestamp(F.try_variant_get("_v", f"$.{TIME_FIELD}", "string")),
+        "_time": F.try_variant_get("_v", f"$.{TIME_FIELD}", "string"),
         "data_type": F.try_variant_get(g, f"$.{TYPE_FIELD}", "string"),
         "_kind": kind,
         "_glist": as_list})
     kind = F.col("_kind")
     groups = (groups.withColumn("reject_reason",
                                 F.when(F.col("_v").isNull(), F.lit("malformed json"))
+                                 .when(F.col("_time").isNotNull() & F.col("batch_time").isNull(), F.lit(f"bad {TIME_FIELD}"))
                                  .when(g.isNull(), F.lit("no data groups"))
                                  .when(kind.isNull(), F.lit("missing Data"))
                                  .when(F.col("_glist").isNull(), F.lit("unreadable Data"))))

@@ -46,11 +46,6 @@ def xml_escape(c: str | Column, attribute: bool = False) -> Column:
     return c
 
 
-def _text(c: Column) -> Column:
-    """Element text of a value: numbers without a forced ``.0``."""
-    return c
-
-
 def reading_xml(data_type: str | Column, value_text: str | Column, device: str | Column,
                 root: str = XML_READING_ROOT, id_attr: str = ID_FIELD) -> Column:
     """An indented XML document with the device id as attribute of the

@@ -42,7 +42,20 @@ def latest_state(spark: SparkSession, state_dir: str) -> DataFrame:
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     versions = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(p)
                 if s.getPath().getName().startswith("v=")]
-    return spark.read.parquet(state_path(state_dir, max(versions)))
+    done = [v for v in versions if is_complete(spark, state_path(state_dir, v))]
+    if not done:
+        raise FileNotFoundError(f"no complete state version in {state_dir}")
+    return spark.read.parquet(state_path(state_dir, max(done)))
+
+
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """A version counts once its write was committed (Spark's marker file)."""
+    return path_exists(spark, f"{path}/_SUCCESS")
+
+
+def drop_version(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def start_incremental(readings: DataFrame, step: Step, out_path: str, state_dir: str, checkpoint: str,
@@ -52,7 +65,9 @@ def start_incremental(readings: DataFrame, step: Step, out_path: str, state_dir:
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         prev = state_path(state_dir, batch_id - 1)
-        tails = spark.read.parquet(prev) if batch_id > 0 and path_exists(spark, prev) else None
+        if batch_id > 0 and not is_complete(spark, prev):
+            raise FileNotFoundError(f"state of micro-batch {batch_id - 1} is missing or incomplete: {prev}")
+        tails = spark.read.parquet(prev) if batch_id > 0 else None
         # the batch plan reads its inputs several times: keep them at hand
         batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
         held = [batch]
@@ -68,6 +83,9 @@ def start_incremental(readings: DataFrame, step: Step, out_path: str, state_dir:
             (out.withColumn("stream_batch", F.lit(batch_id).cast("long"))
                 .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
                 .partitionBy("stream_batch").parquet(out_path))
+            # a retry of this batch reads the version before; older ones are done with
+            if batch_id > 1:
+                drop_version(spark, state_path(state_dir, batch_id - 2))
         finally:
             for df in held:
                 df.unpersist()

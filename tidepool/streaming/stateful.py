@@ -102,6 +102,7 @@ def _inactivity_fn(hours: float):
         ts_us = pdf["ts"].astype("datetime64[us]").astype("int64").to_numpy()
         prev = state.get[0] if state.exists else None
         seq = ts_us if prev is None else np.concatenate([[prev], ts_us])
+        seq = np.maximum.accumulate(seq)     # a late reading never moves last-seen back
         gaps = np.nonzero(np.diff(seq) > gap_us)[0]
         since = seq[gaps]
         last = int(seq[-1])

@@ -1,6 +1,12 @@
 """T1 gateway flush and T2 device interval sums as watermarked tumbling
-windows (append mode: a window is written once, when the watermark passes
-its end; readings later than the watermark are dropped)."""
+windows, and T6 presence as the last event per device.
+
+All three run in update mode: every micro-batch writes the groups it changed,
+keyed by the group, and a reader takes the last version of each
+(``sinks.start_keyed_updates`` / ``latest_updates``).  So windows that are still
+open when the input ends are not lost.  The watermark only bounds the state:
+readings that come after it are not counted, so choose it above the expected
+delay."""
 
 from __future__ import annotations
 
@@ -31,6 +37,13 @@ def stream_interval_sum(readings: DataFrame, interval: str = DEVICE_INTERVAL,
     """Per device, type and interval the sum of truncated values."""
     s = readings.withColumn(time_col, F.col(time_col).cast("timestamp")).withWatermark(time_col, watermark)
     return (s.groupBy(*keys, F.window(time_col, interval).alias("interval"))
-             .agg(F.sum(F.col(value).cast("long")).alias("total"), F.count(F.lit(1)).alias("items"))
+             .agg(F.coalesce(F.sum(F.col(value).try_cast("long")), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("items"))
              .select(*keys, F.col("interval.start").alias("interval_start"),
                      F.col("interval.end").alias("interval_end"), "total", "items"))
+
+
+def stream_presence(events: DataFrame, device: str = "device_id", kind: str = "kind", time_col: str = "ts") -> DataFrame:
+    """The current connection state of each device; state is one event per device."""
+    at = F.struct(F.col(time_col).cast("timestamp").alias("ts"), F.col("seq"))
+    return (events.groupBy(device).agg(F.max_by(kind, at).alias("state"), F.max(at)["ts"].alias("since"))
+                  .withColumn("connected", F.col("state") == F.lit("connect")))
