@@ -17,16 +17,15 @@ Steps:
    member of a bucket is linked to its smallest member if the full sets confirm
    it, and the links are merged by union-find (``connected``).
 4. Buckets whose members then still lie in several components are compared member
-   by member, in blocks of at most ``BLOCK`` rows against each other, inside the
-   tasks: only pairs of different components whose signatures allow the threshold
-   leave a task, and each pair leaves from its first common band only.  They are
-   confirmed on the full sets and merged like the others.
+   by member, in blocks of at most about ``BLOCK`` rows against each other, inside
+   the tasks: pairs of different components are judged by their full sets, each in
+   its first common band only.  What leaves a task are the links that connect
+   components, less than one per member.  They are merged like the others.
 
 So every pair of classes that shares a band is either confirmed, refuted or known
 to be connected; no pair is dropped, and a group of near copies costs one link
 per member, not all pairs.  With 32 bands of 4, a pair at the threshold of 0.8
-shares no band with probability 5e-8.  A pair is refuted by signature only below
-an estimate of ``threshold - SLACK``, 6 standard deviations from the threshold.
+shares no band with probability 5e-8.
 
 Defined results: doc_id names a document, so rows that repeat it repeat the text and
 share one result; null texts and texts without words have empty sets and are linked
@@ -51,7 +50,6 @@ from tidepool.llm.common import staged
 from tidepool.llm.connected import components
 
 BANDS, ROWS = 32, 4
-SLACK = 0.21
 BLOCK = 256
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
                              0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
@@ -136,32 +134,53 @@ def _profile(words: int, size: int):
     return run
 
 
-def _compare_blocks(bands: int, rows: int, threshold: float):
-    """Pairs of different components inside a block of a bucket, or between two blocks."""
-    size, percent = bands * rows, round(threshold * 100)
+def _sets_of(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            blobs = [shingle_set(t, hashes, words).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], ["s_rep", "items"])
+    return run
+
+
+def _compare_blocks(threshold: float):
+    """Links between different components inside a block of a bucket, or between two
+    blocks, by their full sets.  What a link connects counts as one component from then on."""
+    percent = round(threshold * 100)
 
-    def pairs(a, b, band: int, same: bool):
-        (ids_a, comp_a, n_a, sig_a), (ids_b, comp_b, n_b, sig_b) = a, b
-        for i in range(len(ids_a)):
-            start = i + 1 if same else 0
-            small, large = np.minimum(n_b[start:], n_a[i]), np.maximum(n_b[start:], n_a[i])
-            other = np.flatnonzero((comp_b[start:] != comp_a[i]) & (100 * small >= percent * large)) + start
+    def links(a: dict, b: dict, band: int) -> Iterator[tuple[int, int]]:
+        for i in range(len(a["rep"])):
+            start = i + 1 if a is b else 0
+            n = a["n"][i]
+            small, large = np.minimum(b["n"][start:], n), np.maximum(b["n"][start:], n)
+            other = np.flatnonzero((b["comp"][start:] != a["comp"][i]) & (100 * small >= percent * large)) + start
+            # the pair is judged in the first band that it shares
+            other = other[(b["bands"][other] == a["bands"][i]).argmax(axis=1) == band]
             if not len(other):
                 continue
-            equal = sig_b[other] == sig_a[i]
-            close = equal.sum(axis=1) >= (threshold - SLACK) * size
-            whole = equal.reshape(len(other), bands, rows).all(axis=2)
-            for j in other[close & (whole.argmax(axis=1) == band)]:
-                yield min(ids_a[i], ids_b[j]), max(ids_a[i], ids_b[j])
+            mine = a["items"][i]
+            theirs = [b["items"][j] for j in other]
+            items = np.concatenate(theirs)
+            place = np.minimum(np.searchsorted(mine, items), len(mine) - 1)
+            sizes = b["n"][other]
+            both = np.add.reduceat((mine[place] == items).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+            for j in other[100 * both >= percent * (n + sizes - both)]:
+                old, new = b["comp"][j], a["comp"][i]
+                if old != new:
+                    for side in (a, b):
+                        side["comp"][side["comp"] == old] = new
+                    yield min(a["rep"][i], b["rep"][j]), max(a["rep"][i], b["rep"][j])
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         band, left, right = (key[0].as_py(), key[2].as_py(), key[3].as_py())
         sides = {}
         for block in {left, right}:
             t = table.filter(pc.equal(table.column("block"), block))
-            sig = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint32).reshape(-1, size)
-            sides[block] = (t.column("rep").to_numpy(), t.column("comp").to_numpy(), t.column("n").to_numpy(), sig)
-        found = list(pairs(sides[left], sides[right], band, left == right))
+            items = [np.frombuffer(x, np.uint64) for x in t.column("items").to_pylist()]
+            sides[block] = {"rep": t.column("rep").to_numpy(), "comp": t.column("comp").to_numpy().copy(), "items": items,
+                            "n": np.array([len(x) for x in items], np.int64),
+                            "bands": np.array(t.column("bands").to_pylist(), np.int64).reshape(len(items), -1)}
+        found = list(links(sides[left], sides[right], band))
         return pa.table({"a": pa.array([int(a) for a, _ in found], pa.int64()),
                          "b": pa.array([int(b) for _, b in found], pa.int64())})
 
@@ -215,7 +234,7 @@ def near_groups(docs: DataFrame, words: int = 5, threshold: float = 0.8, bands:
     member = staged(in_bands.join(staged(buckets, "buckets"), ["band", "bucket"]), "members")
     # The texts are shuffled once, for what shares a bucket with another class.
     needed = staged(member.select(F.col("rep").alias("id")).distinct(), "needed")
-    texts = staged(docs.select(F.col("doc_id").alias("id"), "text").join(needed, "id", "left_semi"), "texts")
+    texts = staged(docs.select(F.col("doc_id").alias("id"), "text").join(needed.hint("merge"), "id", "left_semi"), "texts")
     stars = member.filter("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b"))
     links = confirmed(stars, texts, words, threshold)
     tree = components(links)
@@ -225,17 +244,21 @@ def near_groups(docs: DataFrame, words: int = 5, threshold: float = 0.8, bands:
     rest = staged(rest, "rest")
     open_ = (rest.groupBy("band", "bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("members"))
              .filter("c0 <> c1").select("band", "bucket", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")))
-    rows_ = (rest.join(staged(open_, "open"), ["band", "bucket"])
-             .join(classes.select(F.col("rep").alias("c_rep"), "n", "signature"), F.col("rep") == F.col("c_rep"))
-             .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .withColumn("left", F.least("block", "other")).withColumn("right", F.greatest("block", "other")))
-    pairs = (rows_.select("band", "bucket", "left", "right", "block", "rep", "comp", "n", "signature")
-             .groupBy("band", "bucket", "left", "right")
-             .applyInArrow(_compare_blocks(bands, rows, threshold), "a long, b long"))
-    more = confirmed(pairs, texts, words, threshold)
-    if not more.isEmpty():
-        tree = components(links.unionByName(more))
+    open_ = staged(open_, "open")
+    if not open_.isEmpty():
+        rest = staged(rest.join(open_, ["band", "bucket"]), "open_rows")
+        judged = staged(rest.select(F.col("rep").alias("id")).distinct(), "judged")
+        sets = staged(texts.join(judged, "id", "left_semi").select("id", "text").mapInArrow(_sets_of(words), "s_rep long, items binary"), "sets")
+        all_bands = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.xxhash64(F.substring("signature", k * width + 1, F.lit(width))))
+        keys = staged(classes.join(judged, F.col("rep") == F.col("id"), "left_semi").select(F.col("rep").alias("k_rep"), all_bands.alias("bands")), "keys")
+        rows_ = (rest.join(keys, F.col("rep") == F.col("k_rep")).join(sets, F.col("rep") == F.col("s_rep"))
+                 .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+                 .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+                 .withColumn("left", F.least("block", "other")).withColumn("right", F.greatest("block", "other")))
+        more = staged(rows_.select("band", "bucket", "left", "right", "block", "rep", "comp", "bands", "items")
+                      .groupBy("band", "bucket", "left", "right").applyInArrow(_compare_blocks(threshold), "a long, b long"), "more")
+        if not more.isEmpty():
+            tree = components(links.unionByName(more))
 
     named = (classes.select("set_key", "rep").join(tree.withColumnRenamed("node", "t_node"), F.col("rep") == F.col("t_node"), "left")
              .select(F.col("set_key").alias("c_key"), F.coalesce("root", "rep").alias("component"),
@@ -250,4 +273,4 @@ def keep_rows(docs: DataFrame, **options) -> DataFrame:
     """The documents, all columns, of which one per component stays."""
     gone = staged(near_groups(docs, **options).filter("not kept").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
     row = docs.select(F.col("doc_id").cast("long").alias("row_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return row.join(gone, F.col("row_id") == F.col("gone_id"), "left_anti").select("row.*")
+    return row.join(gone.hint("merge"), F.col("row_id") == F.col("gone_id"), "left_anti").select("row.*")
