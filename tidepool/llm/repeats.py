@@ -132,6 +132,8 @@ def segments_of(docs: list[tuple[int, bytes]], hasher: Hasher, width: int, gram:
 
 def _merge(keys: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """By key: the rows that stay (one, the earliest), and the rows that repeat an earlier one."""
+    if not len(keys):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     order = np.lexsort((start, doc, keys))
     head = np.concatenate([[True], keys[order][1:] != keys[order][:-1]])
     lead = order[head][np.cumsum(head) - 1]          # the earliest of each row's key
