@@ -213,3 +213,74 @@ def test_topic_sink(spark, tmp_path):
     write_topics(msgs, str(tmp_path / "topics"))
     back = spark.read.text(str(tmp_path / "topics")).collect()
     assert sorted((r["topic"], r["value"]) for r in back) == [("T", "JSON:{}"), ("W", "XML:<a/>")]
+
+
+# -- rows that must not get lost, and rows that must not stop a job ------------
+
+def test_null_ids_and_times_keep_their_rows(spark):
+    from tidepool.operators import metrics as M, validate as V
+
+    rows = [(None, "t", 1.0, None, 0), (None, "t", 2.0, "2024-01-01 00:00:01", 1), ("d", "t", 3.0, None, 2),
+            ("d", None, 4.0, "2024-01-01 00:00:02", 3), ("d", "t", 5.0, "2024-01-01 00:00:03", 4), ("d", "t", 5.0, "2024-01-01 00:00:03", 4)]
+    df = spark.createDataFrame(rows, "device_id string, data_type string, value double, ts string, seq long").withColumn("ts", F.to_timestamp("ts"))
+    m = {(r["device_id"], r["data_type"], r["seq"]): r["history_size"] for r in M.rolling_metrics(df).collect()}
+    assert M.rolling_metrics(df).count() == V.validate_readings(df).count() == M.last_n_history(df).count() == len(rows)
+    assert m[(None, "t", 0)] == 1 and m[(None, "t", 1)] == 2 and m[("d", "t", 2)] == 1 and m[("d", None, 3)] == 1
+    assert M.metrics_with_fallback(df.withColumn("value", F.when(F.col("seq") != 1, F.col("value")))).count() == len(rows)
+
+
+def test_prefix_gate_keeps_equal_readings(spark):
+    from tidepool.operators.subscriptions import subscribed_readings
+
+    r = spark.createDataFrame([("view", 1), ("view", 1), ("vast", 1), ("click", 2), ("", 3), (None, 4)], "data_type string, seq long")
+    topics = spark.createDataFrame([("v",), ("vi",), ("v",)], "data_type string")
+    assert sorted(x["data_type"] for x in subscribed_readings(r, topics, prefix=True).collect()) == ["vast", "view", "view"]
+    every = spark.createDataFrame([("",)], "data_type string")
+    assert subscribed_readings(r, every, prefix=True).count() == 5
+
+
+def test_interval_sum_with_values_that_are_no_integers(spark):
+    from tidepool.operators.batching import interval_sum
+
+    rows = [("d", "t", float("nan"), "2024-01-01 00:00:01"), ("d", "t", float("inf"), "2024-01-01 00:00:01"), ("d", "t", -2.9, "2024-01-01 00:00:02")]
+    df = spark.createDataFrame(rows, "device_id string, data_type string, value double, ts string").withColumn("ts", F.to_timestamp("ts"))
+    r = interval_sum(df).first()
+    assert (r["total"], r["items"]) == (-2, 3)
+
+
+def test_late_reading_does_not_move_last_seen_back():
+    import pandas as pd
+
+    from tidepool.streaming.stateful import _inactivity_fn
+
+    class State:
+        exists, hasTimedOut, value = False, False, None
+        get = property(lambda self: self.value)
+
+        def update(self, v):
+            self.exists, self.value = True, v
+
+        def setTimeoutTimestamp(self, _):
+            pass
+
+        def getCurrentWatermarkMs(self):
+            return 0
+
+    state, fn, out = State(), _inactivity_fn(1.0), []
+    for n, times in enumerate((["10:00:50"], ["10:00:20"], ["11:00:40"], ["12:30:00"])):
+        pdf = pd.DataFrame({"ts": pd.to_datetime(["2024-01-01 " + t for t in times]), "seq": [n]})
+        out += [r for f in fn(("d",), iter([pdf]), state) for r in f.to_dict("records")]
+    assert [str(r["inactive_since"]) for r in out] == ["2024-01-01 11:00:40"]
+
+
+def test_stream_state_must_be_complete(spark):
+    import os
+
+    from tidepool.session import scratch_dir
+    from tidepool.streaming import incremental as SI
+
+    base = scratch_dir(spark, "state-test").removeprefix("file:")
+    spark.range(3).write.parquet(f"{base}/v=4")
+    os.makedirs(f"{base}/v=5")
+    assert SI.latest_state(spark, base).count() == 3          # the unfinished version does not count
+    assert SI.is_complete(spark, f"{base}/v=4") and not SI.is_complete(spark, f"{base}/v=5")
