@@ -12,7 +12,8 @@ from tidepool.llm import mixing, quality
 def test_every_stage_on_what_the_one_before_kept(spark):
     rows = [(i, t, g, "ab"[i % 2]) for i, t, g in corpus()]
     rows += [(300 + i, rows[i][1], "en", "a") for i in range(5)] + [(400 + i, rows[i][1] + f" tail{i}", "en", "b") for i in range(10, 16)]
-    docs = frame(spark, rows + AWKWARD, "kept", "row")
+    rows += [((i and i + 9_000), *r) for i, *r in AWKWARD]
+    docs = frame(spark, rows, "kept", "row")
     states = [docs]
     for _, stage in C.STAGES:
         states.append(C.staged(stage(spark, states[-1], ""), "t"))
