@@ -35,3 +35,35 @@ def test_no_cartesian_or_python_rows(spark, name):
     plan = _plan(QUERIES[name](spark, SF_SMALL))
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
         assert bad not in plan, f"{name}: {bad}"
+
+
+def _initial(df) -> str:
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+@pytest.mark.parametrize(("name", "scans"), [("batch_status", 1), ("clean_readings", 1), ("type_counts", 1), ("retention", 3),
+                                             ("retention_report", 10)])
+def test_scans(spark, name, scans):
+    assert _initial(QUERIES[name](spark, SF_SMALL)).count("FileScan parquet") <= scans
+
+
+def test_top_k_is_cut_before_the_shuffle(spark):
+    for name in ("last_100", "type_sample"):
+        assert "WindowGroupLimit" in _plan(QUERIES[name](spark, SF_SMALL)), name
+
+
+def test_stream_and_write_queries_plan_without_nested_loops(spark):
+    for name in ("history_range", "metrics_table", "subscription_file", "stream_flush", "stream_presence", "stream_atomic_write"):
+        plan = _plan(QUERIES[name](spark, SF_SMALL))
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_hot_type_and_hour_is_spread(spark):
+    """Readings of one type in one hour: the type-level pass puts them in many buckets."""
+    from pyspark.sql import functions as F
+
+    from tidepool.operators.validate import TYPE_BUCKET_SECONDS
+    from tidepool.plans.windows import time_bucket
+
+    hour = spark.range(3600).select(F.timestamp_seconds(F.col("id") + 1704067200).alias("ts"))
+    assert hour.select(time_bucket("ts", TYPE_BUCKET_SECONDS)).distinct().count() == 60

@@ -49,17 +49,26 @@ def apply_retention(measurements: DataFrame, mappings: DataFrame, devices: DataF
     }
 
 
-def retention_report(before: dict[str, DataFrame], after: dict[str, DataFrame]) -> DataFrame:
-    """Rows removed per table (before minus after counts)."""
-    parts = []
-    for name in ["measurements", "mappings", "devices", "gateways"]:
-        for side, frames in (("before", before), ("after", after)):
-            parts.append(frames[name].agg(F.count(F.lit(1)).alias("rows"))
-                         .select(F.lit(name).alias("table_name"), F.lit(side).alias("side"), "rows"))
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    g = u.groupBy("table_name").agg(
-        F.sum(F.when(F.col("side") == "before", F.col("rows"))).alias("before_rows"),
-        F.sum(F.when(F.col("side") == "after", F.col("rows"))).alias("after_rows"))
-    return g.withColumn("removed_rows", F.col("before_rows") - F.col("after_rows"))
+def retention_report(measurements: DataFrame, mappings: DataFrame, devices: DataFrame, gateways: DataFrame,
+                     now: Column, hours: float = INACTIVITY_HOURS, device: str = "device_id",
+                     gateway: str = "gateway_id") -> DataFrame:
+    """Rows per table before and after the cascade of ``apply_retention``, from
+    one pass over each table that marks the rows to go."""
+    dead_d = inactive(devices, now, hours).select(F.col(device).alias("_dead_d"))
+    dead_g = inactive(gateways, now, hours).select(F.col(gateway).alias("_dead_g"))
+
+    def counted(name: str, df: DataFrame, by_device: bool, by_gateway: bool) -> DataFrame:
+        lives = F.lit(True)
+        if by_device:
+            df, lives = df.join(dead_d, F.col(device) == F.col("_dead_d"), "left"), lives & F.col("_dead_d").isNull()
+        if by_gateway:
+            df, lives = df.join(dead_g, F.col(gateway) == F.col("_dead_g"), "left"), lives & F.col("_dead_g").isNull()
+        return (df.agg(F.count(F.lit(1)).alias("before_rows"), F.count_if(lives).alias("after_rows"))
+                  .select(F.lit(name).alias("table_name"), "before_rows", "after_rows"))
+
+    rows = counted("measurements", measurements.select(device, gateway), True, True)
+    for part in (counted("mappings", mappings.select(device, gateway), True, True),
+                 counted("devices", devices.select(device), True, False),
+                 counted("gateways", gateways.select(gateway), False, True)):
+        rows = rows.unionByName(part)
+    return rows.withColumn("removed_rows", F.col("before_rows") - F.col("after_rows"))

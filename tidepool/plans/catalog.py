@@ -255,8 +255,7 @@ def q_tag_reading(spark, sf_dir):
     """Typed readings with their source time, or the arrival time where it has none
     (here: the latest time of the table)."""
     r = FX.readings_with_gaps(spark, sf_dir)
-    last = FX.readings(spark, sf_dir).select(F.max("ts").alias("arrival"))
-    t = B.tag_reading(r.join(F.broadcast(last)), F.col("arrival"))     # one row
+    t = B.tag_reading(r, _now(FX.readings(spark, sf_dir)))
     return t.select("seq", "data_type", "value", "device_id", ntz("ts"))
 
 
@@ -301,6 +300,18 @@ def _registries(spark, sf_dir):
     return r, gw, dv, mp
 
 
+def _stored_registries(spark, sf_dir):
+    """The same, each registry built once and kept as a table."""
+    r, *registries = _registries(spark, sf_dir)
+    return (r, *(_stored(spark, df, "registry") for df in registries))
+
+
+def _stored(spark, df, name):
+    path = scratch_dir(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 @query("registry_upsert")
 def q_registry_upsert(spark, sf_dir):
     """Gateway and device registries, loaded in two upserts."""
@@ -347,23 +358,21 @@ def q_inactive_counts(spark, sf_dir):
 
 
 def _retention(spark, sf_dir):
-    r, gw, dv, mp = _registries(spark, sf_dir)
-    before = {"measurements": r, "mappings": mp, "devices": dv, "gateways": gw}
-    return before, RT.apply_retention(r, mp, dv, gw, _now(r))
+    r, gw, dv, mp = _stored_registries(spark, sf_dir)
+    return RT.apply_retention(r, mp, dv, gw, _now(r))
 
 
 @query("retention")
 def q_retention(spark, sf_dir):
     """Measurements that survive the cascaded retention delete."""
-    _, after = _retention(spark, sf_dir)
-    return after["measurements"].select("seq", "device_id", "gateway_id", "data_type")
+    return _retention(spark, sf_dir)["measurements"].select("seq", "device_id", "gateway_id", "data_type")
 
 
 @query("retention_report")
 def q_retention_report(spark, sf_dir):
     """Rows removed per table by the retention run."""
-    before, after = _retention(spark, sf_dir)
-    rep = RT.retention_report(before, after)
+    r, gw, dv, mp = _stored_registries(spark, sf_dir)
+    rep = RT.retention_report(r, mp, dv, gw, _now(r))
     return rep.select("table_name", *[F.col(c).cast("long").alias(c)
                                       for c in ["before_rows", "after_rows", "removed_rows"]])
 

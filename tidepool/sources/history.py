@@ -20,43 +20,34 @@ def _with_day(df: DataFrame, time_col: str = "ts") -> DataFrame:
     return df.withColumn("day", F.to_date(F.col(time_col).cast("timestamp")))
 
 
-FILES_PER_PARTITION = 8
+def _clustered(df: DataFrame, time_col: str) -> DataFrame:
+    """Rows grouped by table partition before writing.  Spark splits the large
+    partitions and merges the small ones from their measured sizes, so a hot
+    (type, day) is written by as many tasks as it needs and a small one by one."""
+    return _with_day(df, time_col).hint("rebalance", *PARTITIONS).sortWithinPartitions(*PARTITIONS)
 
 
-def _clustered(df: DataFrame, time_col: str, files_per_partition: int) -> DataFrame:
-    """Rows grouped by table partition before writing: each (type, day) is
-    spread over ``files_per_partition`` tasks by a hash salt, so a partition
-    gets at most that many files and a hot partition is not one task."""
-    d = _with_day(df, time_col)
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in d.columns if c not in PARTITIONS]),
-                  F.lit(files_per_partition))
-    return (d.repartition(*[F.col(c) for c in PARTITIONS], salt)
-             .sortWithinPartitions(*PARTITIONS))
-
-
-def write_measurements(df: DataFrame, path: str, mode: str = "append", time_col: str = "ts",
-                       files_per_partition: int = FILES_PER_PARTITION) -> None:
+def write_measurements(df: DataFrame, path: str, mode: str = "append", time_col: str = "ts") -> None:
     """Append measurements (device, gateway, type, value, time and the
     validation flags when present), partitioned by type and day."""
-    (_clustered(df, time_col, files_per_partition)
-        .write.mode(mode).partitionBy(*PARTITIONS).parquet(path))
+    _clustered(df, time_col).write.mode(mode).partitionBy(*PARTITIONS).parquet(path)
 
 
-def write_metrics(df: DataFrame, path: str, mode: str = "append", time_col: str = "ts",
-                  files_per_partition: int = FILES_PER_PARTITION) -> None:
+def write_metrics(df: DataFrame, path: str, mode: str = "append", time_col: str = "ts") -> None:
     """Append calculated metrics, same layout as the measurements."""
-    (_clustered(df, time_col, files_per_partition)
-        .write.mode(mode).partitionBy(*PARTITIONS).parquet(path))
+    _clustered(df, time_col).write.mode(mode).partitionBy(*PARTITIONS).parquet(path)
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int, time_col: str = "ts",
                 part_col: str = "stream_batch") -> None:
     """All-or-nothing, idempotent write of one batch: the batch lands in
     its own ``stream_batch=`` partition, replaced as a whole on a re-run
-    (dynamic partition overwrite), so a resent batch never duplicates rows."""
-    out = _clustered(df, time_col, FILES_PER_PARTITION).withColumn(part_col, F.lit(int(batch_id)).cast("long"))
+    (dynamic partition overwrite), so a resent batch never duplicates rows.
+    A micro-batch is small, so it is not split by type and day; compact finished
+    batches with ``write_measurements``."""
+    out = _with_day(df, time_col).hint("rebalance").withColumn(part_col, F.lit(int(batch_id)).cast("long"))
     (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy(part_col, *PARTITIONS).parquet(path))
+        .partitionBy(part_col).parquet(path))
 
 
 def history_range(df: DataFrame, device: str | Column | None, start, end,
