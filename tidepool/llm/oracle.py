@@ -35,4 +35,17 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
          AND row_number() OVER (PARTITION BY coalesce(text, ''), doc_id) = 1 AS kept,
        sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    "op5_chat": r"""
+WITH t AS (
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, content) AS pos, content
+  FROM (SELECT *, md5(coalesce('+' || role, '-') || chr(31) || coalesce('+' || text, '-')) AS content FROM conversations)
+  WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, count(*) AS n_turns, list(content ORDER BY pos) AS turns FROM t GROUP BY conv_id),
+whole AS (SELECT min(conv_id) AS conv_id, n_turns, md5(array_to_string(turns, ',')) AS h FROM c GROUP BY n_turns, turns),
+prefixes AS (SELECT DISTINCT md5(array_to_string(turns[1:k], ',')) AS h
+             FROM (SELECT turns, unnest(range(1, n_turns)) AS k FROM c)),
+kept AS (SELECT conv_id, n_turns FROM whole WHERE h NOT IN (SELECT h FROM prefixes))
+SELECT t.conv_id, kept.n_turns, (pos - 1) // 1000 AS part, count(*) AS part_turns,
+       string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY pos) AS text
+FROM t JOIN kept ON kept.conv_id = t.conv_id GROUP BY ALL""",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tidepool.llm import bpe, exact_dedup, language, mixing, near_dedup, pii, quality, repeats, sharding
+from tidepool.llm import bpe, chat, exact_dedup, language, mixing, near_dedup, pii, quality, repeats, sharding
 from tidepool.llm.common import documents
 from tidepool.llm.oracle import ORACLE as _SQL
 
@@ -27,6 +27,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(documents(spark, sf_dir))
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir))
 
@@ -52,6 +56,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_sharding": op4_sharding,
+    "op5_chat": op5_chat,
     "op6_quality": op6_quality,
     "op7_pii": op7_pii,
     "op8_repeats": op8_repeats,
