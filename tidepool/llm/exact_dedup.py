@@ -212,7 +212,7 @@ def keep_rows(docs: DataFrame, text: str = "text") -> DataFrame:
     row = docs.select(F.col("doc_id").cast("long").alias("row_id"), digest_of(F.col(text)).alias("row_digest"),
                       F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     same = F.col("row_id").eqNullSafe(F.col("gone_id")) & (F.col("row_digest") == F.col("gone_digest"))
-    single = row.join(gone.select("gone_id", "gone_digest"), same, "left_anti")
+    single = row.join(gone.select("gone_id", "gone_digest").hint("merge"), same, "left_anti")
     # Rows that repeat both text and doc_id of the row that stays: one of them comes back.
     again = gone.filter(F.col("gone_id").eqNullSafe(F.col("keep_id"))).select("gone_id", "gone_digest").distinct()
     repeated = (row.join(again, same, "left_semi")

@@ -97,4 +97,4 @@ def take_rows(docs: DataFrame, **options) -> DataFrame:
     same = (F.col("r_id").eqNullSafe(F.col("t_id")) & F.col("r_source").eqNullSafe(F.col("t_source"))
             & (F.col("r_size") == F.col("t_size")) & (F.col("r_nth") == F.col("t_nth")))
     copies = F.floor(F.col("taken") / F.col("t_size") + 0.5).cast("int")
-    return (row.join(taken, same).withColumn("row", F.explode(F.array_repeat("row", copies))).select("row.*"))
+    return (row.join(taken.hint("merge"), same).withColumn("row", F.explode(F.array_repeat("row", copies))).select("row.*"))
