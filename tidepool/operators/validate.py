@@ -193,9 +193,9 @@ def validate_readings(
     typed = keyed_positions(j, [type_col], order, time_col, min(bucket_seconds, TYPE_BUCKET_SECONDS),
                             sums=["_dsum", "_dn"], index_col="_tpos")
     if pool_offset is not None:
-        off = pool_offset.select(F.col(type_col), F.col("pool_sum").alias("_osum"),
+        off = pool_offset.select(F.col(type_col).alias("_otype"), F.col("pool_sum").alias("_osum"),
                                  F.col("pool_values").alias("_on"))
-        typed = (typed.join(off, type_col, "left")
+        typed = (typed.join(off, F.col(type_col).eqNullSafe(F.col("_otype")), "left").drop("_otype")
                       .withColumn("_dsum_before", F.col("_dsum_before") + F.coalesce("_osum", F.lit(0.0)))
                       .withColumn("_dn_before", F.col("_dn_before") + F.coalesce("_on", F.lit(0)))
                       .drop("_osum", "_on"))
@@ -249,22 +249,23 @@ def drop_invalid_batches(validated: DataFrame, status: DataFrame,
 
 
 def current_histories(validated: DataFrame, keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER,
-                      value: str = "value", history: int = HISTORY_SIZE) -> DataFrame:
+                      value: str = "value", history: int = HISTORY_SIZE, carry: Sequence[str] = ()) -> DataFrame:
     """The history of every key after its last reading, as rows (keys, order
-    columns, value): the last ``size`` kept values, where ``size`` follows the
-    eviction rule from the last reading's ``history_size`` and whether it was
+    columns, value, ``carry``): the last ``size`` kept values, where ``size`` follows
+    the eviction rule from the last reading's ``history_size`` and whether it was
     kept.  Needs ``validate_readings(..., internals=True)`` output.  One
     partial aggregation per key plus an equi join; at most ``history`` rows
     per key come out."""
-    last = validated.groupBy(*keys).agg(
+    key = F.struct(*[F.col(k) for k in keys])   # NULL is a key like any other
+    last = validated.groupBy(key.alias("_end_key")).agg(
         F.max_by(F.struct("history_size", "_keep"), F.struct(*order)).alias("_l"),
         F.sum("_keep").alias("_kept_total"))
     size = (F.col("_l.history_size") - F.when(F.col("_l.history_size") == history, 1).otherwise(0)
             + F.col("_l._keep"))
-    ends = last.select(*keys, (F.col("_kept_total") - size).alias("_from"))
-    kept = validated.filter(F.col("_keep") == 1).select(*keys, *order, value, "_c")
-    return (kept.join(ends, list(keys), "inner").filter(F.col("_c") >= F.col("_from"))
-                .drop("_c", "_from"))
+    ends = last.select("_end_key", (F.col("_kept_total") - size).alias("_from"))
+    kept = validated.filter(F.col("_keep") == 1).select(*keys, *order, value, "_c", *carry)
+    return (kept.join(ends, key == F.col("_end_key"), "inner").filter(F.col("_c") >= F.col("_from"))
+                .drop("_c", "_from", "_end_key"))
 
 
 def type_averages(df: DataFrame, rules=None, keys: Sequence[str] = KEYS, **kw) -> DataFrame:

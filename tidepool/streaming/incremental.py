@@ -10,9 +10,14 @@ and the tails are refreshed.  A hot key is split by the batch plan like any
 other data -- nothing is grouped into one task -- and the result equals one
 batch run over all data (the tails reproduce the state exactly).
 
-State and output are versioned by micro-batch id under the query's folders:
-batch N reads tails version N-1, writes tails version N, then its output into
-``stream_batch=N`` (dynamic overwrite), so a retried batch is idempotent.
+State is dealt to hash buckets of the keys.  Batch N reads and rewrites only the
+buckets that its keys fall in, so its cost follows the batch, not the number of
+keys; choose ``buckets`` so that a bucket's tails are a small file.  An index, one
+row per bucket, names the batch that wrote each bucket last (and, if the operator
+wants it, a summary of the bucket).  Batch N reads index N-1, which must be
+complete, writes its buckets, then index N, then its output into
+``stream_batch=N`` (dynamic overwrite).  A retry finds everything it read in
+place; what only index N-2 names is removed.
 """
 
 from __future__ import annotations
@@ -28,24 +33,51 @@ from tidepool.plans.windows import last_k_per_key
 from tidepool.schema import HISTORY_SIZE
 from tidepool.sources.history import path_exists
 
-# step(spark, new_rows, previous_tails_or_None) -> (output, new_tails, frames_to_unpersist)
-Step = Callable[[SparkSession, DataFrame, DataFrame | None], tuple[DataFrame, DataFrame, list]]
+# step(spark, new_rows, tails_of_touched_buckets_or_None, index_rows_of_the_other_buckets)
+# -> (output, new_tails, frames_to_unpersist); the tails carry the ``bucket`` column
+Step = Callable[[SparkSession, DataFrame, DataFrame | None, DataFrame | None], tuple[DataFrame, DataFrame, list]]
 
+BUCKETS = 16
 
-def state_path(state_dir: str, version: int) -> str:
-    return f"{state_dir.rstrip('/')}/v={version}"
+
+def with_bucket(df: DataFrame, keys: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
+    return df.withColumn("bucket", F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(buckets)).cast("int"))
+
+
+def _index_path(state_dir: str, version: int) -> str:
+    return f"{state_dir.rstrip('/')}/index/v={version}"
+
+
+def _bucket_path(state_dir: str, version: int, bucket: int) -> str:
+    return f"{state_dir.rstrip('/')}/data/v={version}/bucket={bucket}"
+
+
+def _index(spark: SparkSession, state_dir: str, version: int) -> tuple[DataFrame, dict[int, int]]:
+    """The index rows, and by bucket the version that holds it (one row per bucket comes to the driver)."""
+    path = _index_path(state_dir, version)
+    if not is_complete(spark, path):
+        raise FileNotFoundError(f"state of micro-batch {version} is missing or incomplete: {path}")
+    df = spark.read.parquet(path)
+    return df, {r["bucket"]: r["version"] for r in df.select("bucket", "version").distinct().collect()}
+
+
+def _tails(spark: SparkSession, state_dir: str, index: dict[int, int], wanted) -> DataFrame | None:
+    paths = [_bucket_path(state_dir, index[b], b) for b in sorted(wanted) if b in index]
+    return spark.read.parquet(*paths) if paths else None
 
 
 def latest_state(spark: SparkSession, state_dir: str) -> DataFrame:
+    """All tails as of the last complete micro-batch."""
     jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(state_dir)
+    p = jvm.org.apache.hadoop.fs.Path(f"{state_dir.rstrip('/')}/index")
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     versions = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(p)
                 if s.getPath().getName().startswith("v=")]
-    done = [v for v in versions if is_complete(spark, state_path(state_dir, v))]
+    done = [v for v in versions if is_complete(spark, _index_path(state_dir, v))]
     if not done:
-        raise FileNotFoundError(f"no complete state version in {state_dir}")
-    return spark.read.parquet(state_path(state_dir, max(done)))
+        raise FileNotFoundError(f"no complete state in {state_dir}")
+    _, index = _index(spark, state_dir, max(done))
+    return _tails(spark, state_dir, index, index)
 
 
 def is_complete(spark: SparkSession, path: str) -> bool:
@@ -59,33 +91,46 @@ def drop_version(spark: SparkSession, path: str) -> None:
 
 
 def start_incremental(readings: DataFrame, step: Step, out_path: str, state_dir: str, checkpoint: str,
-                      available_now: bool = True):
-    """Start the stream with ``foreachBatch``; returns the StreamingQuery."""
+                      available_now: bool = True, keys: Sequence[str] = ("device_id", "data_type"),
+                      buckets: int = BUCKETS, summary: Callable[[DataFrame], DataFrame] | None = None):
+    """Start the stream with ``foreachBatch``; returns the StreamingQuery.
+    ``summary`` turns the tails of some buckets into index rows (column ``bucket``)."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        prev = state_path(state_dir, batch_id - 1)
-        if batch_id > 0 and not is_complete(spark, prev):
-            raise FileNotFoundError(f"state of micro-batch {batch_id - 1} is missing or incomplete: {prev}")
-        tails = spark.read.parquet(prev) if batch_id > 0 else None
+        rows, index = _index(spark, state_dir, batch_id - 1) if batch_id > 0 else (None, {})
         # the batch plan reads its inputs several times: keep them at hand
-        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        batch = with_bucket(batch, keys, buckets).persist(StorageLevel.MEMORY_AND_DISK)
         held = [batch]
+        touched = sorted(r["bucket"] for r in batch.select("bucket").distinct().collect())   # at most `buckets`
+        tails = _tails(spark, state_dir, index, touched)
         if tails is not None:
-            tails = tails.persist(StorageLevel.MEMORY_AND_DISK)
+            tails = with_bucket(tails, keys, buckets).persist(StorageLevel.MEMORY_AND_DISK)
             held.append(tails)
-        out, new_tails, extra = step(spark, batch, tails)
+        others = rows.filter(~F.col("bucket").isin(touched)) if rows is not None else None
+        out, new_tails, extra = step(spark, batch, tails, others)
         held += extra
         try:
-            # state first: a crash before the output redoes batch N from
-            # version N-1, which is untouched
-            new_tails.write.mode("overwrite").parquet(state_path(state_dir, batch_id))
+            # state before output: a crash in between redoes batch N from index N-1, which is untouched
+            data = f"{state_dir.rstrip('/')}/data/v={batch_id}"
+            (new_tails.hint("rebalance", "bucket").sortWithinPartitions("bucket")
+                      .write.mode("overwrite").partitionBy("bucket").parquet(data))
+            written = [b for b in touched if path_exists(spark, _bucket_path(state_dir, batch_id, b))]
+            fresh = spark.createDataFrame([(b,) for b in written], "bucket int").withColumn("version", F.lit(batch_id).cast("long"))
+            if summary is not None and written:
+                own = _tails(spark, state_dir, dict.fromkeys(written, batch_id), written)
+                fresh = fresh.join(summary(with_bucket(own, keys, buckets)), "bucket", "left")
+            new_index = fresh if others is None else fresh.unionByName(others, allowMissingColumns=True)
+            new_index.coalesce(1).write.mode("overwrite").parquet(_index_path(state_dir, batch_id))   # some rows per bucket
             (out.withColumn("stream_batch", F.lit(batch_id).cast("long"))
                 .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
                 .partitionBy("stream_batch").parquet(out_path))
-            # a retry of this batch reads the version before; older ones are done with
-            if batch_id > 1:
-                drop_version(spark, state_path(state_dir, batch_id - 2))
+            # a retry of this batch reads index N-1; what only index N-2 names is done with
+            if batch_id > 1 and is_complete(spark, _index_path(state_dir, batch_id - 2)):
+                for b, v in _index(spark, state_dir, batch_id - 2)[1].items():
+                    if index.get(b) != v:
+                        drop_version(spark, _bucket_path(state_dir, v, b))
+                drop_version(spark, _index_path(state_dir, batch_id - 2))
         finally:
             for df in held:
                 df.unpersist()
@@ -97,9 +142,10 @@ def start_incremental(readings: DataFrame, step: Step, out_path: str, state_dir:
 
 
 def split_tails(new: DataFrame, tails: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """(tails of keys present in the batch, tails of the other keys)."""
-    touched = new.select(*keys).distinct()
-    return (tails.join(touched, list(keys), "left_semi"), tails.join(touched, list(keys), "left_anti"))
+    """(tails of keys present in the batch, tails of the other keys); NULL is a key like any other."""
+    touched = new.select(F.struct(*keys).alias("_touched")).distinct()
+    same = F.struct(*[F.col(k) for k in keys]) == F.col("_touched")
+    return tails.join(touched, same, "left_semi"), tails.join(touched, same, "left_anti")
 
 
 TAIL_COLUMNS = ("device_id", "data_type", "ts", "seq", "value")
@@ -109,25 +155,26 @@ def metrics_step(n: int = HISTORY_SIZE, keys: Sequence[str] = ("device_id", "dat
     """T3, skew-safe: rolling metrics of the new rows over the last ``n``
     values; the tails are the last ``n - 1`` values of each key."""
 
-    def step(spark, new, tails):
-        new = new.select(*TAIL_COLUMNS).withColumn("_replay", F.lit(False))
+    def step(spark, new, tails, others):
+        columns = [*TAIL_COLUMNS, "bucket"]
+        new = new.select(*columns).withColumn("_replay", F.lit(False))
         if tails is None:
             combined, untouched = new, None
         else:
             hot, untouched = split_tails(new, tails, keys)
             combined = new.unionByName(hot.withColumn("_replay", F.lit(True)))
         m = M.rolling_metrics(combined, n=n, keys=keys, **kw)
-        out = m.filter(~F.col("_replay")).drop("_replay")
-        after = last_k_per_key(combined, keys, ("ts", "seq"), n - 1).select(*TAIL_COLUMNS)
+        out = m.filter(~F.col("_replay")).drop("_replay", "bucket")
+        after = last_k_per_key(combined, keys, ("ts", "seq"), n - 1).select(*columns)
         if untouched is not None:
-            after = after.unionByName(untouched.select(*TAIL_COLUMNS))
+            after = after.unionByName(untouched.select(*columns))
         return out, after, []
 
     return step
 
 
 def start_metrics_stream(readings: DataFrame, out_path: str, state_dir: str, checkpoint: str,
-                         n: int = HISTORY_SIZE, **kw):
+                         n: int = HISTORY_SIZE, buckets: int = BUCKETS, **kw):
     """T3 on a stream without per-key grouping (see module doc)."""
     r = readings.select(*[F.col(c) for c in TAIL_COLUMNS])
-    return start_incremental(r, metrics_step(n, **kw), out_path, state_dir, checkpoint)
+    return start_incremental(r, metrics_step(n, **kw), out_path, state_dir, checkpoint, buckets=buckets)

@@ -13,66 +13,75 @@ reproduces its state exactly (the 99/100 rule included), so a stream gives the
 same result as one batch over all data, while no key is ever ordered inside
 one task.
 
-The history table is versioned by micro-batch id under the query's state
-folder (``streaming.incremental``): batch N reads version N-1 and writes
-version N; the output lands in partition ``stream_batch=N``, overwritten as a
-whole.  A re-run of batch N after a failure reads the same input state and
-replaces its own output -- idempotent, no partial writes visible.
+Histories lie in hash buckets (``streaming.incremental``): a batch reads and
+rewrites the buckets of its keys only.  The index keeps each bucket's pool sums per
+type, computed from the bucket's histories whenever it is written, so the constant
+for all other buckets is a sum of a few rows per bucket.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.operators import validate as V
-from tidepool.streaming.incremental import latest_state, start_incremental
+from tidepool.streaming.incremental import BUCKETS, latest_state, split_tails, start_incremental
 
 HISTORY_COLUMNS = ("device_id", "data_type", "ts", "seq", "value")
 
 
-def validate_micro_batch(spark: SparkSession, new: DataFrame, histories: DataFrame | None,
+def pool_sums(histories: DataFrame, type_col: str = "data_type") -> DataFrame:
+    """Per bucket and type the sum and number of the values in the histories."""
+    return histories.groupBy("bucket", type_col).agg(F.sum("value").alias("pool_sum"),
+                                                     F.count(F.lit(1)).alias("pool_values"))
+
+
+def validate_micro_batch(spark: SparkSession, new: DataFrame, histories: DataFrame | None, others: DataFrame | None,
                          rules=None, keys: Sequence[str] = ("device_id", "data_type"),
                          **kw) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """One step: (validated new readings, histories after the step, the
-    persisted frame both come from -- unpersist it when both are written)."""
+    """One step: (validated new readings, histories of the touched buckets after the
+    step, the persisted frame both come from -- unpersist it when both are written).
+    ``others`` has the pool sums of the other buckets."""
     type_col = keys[-1]
     new = new.withColumn("_replay", F.lit(False))
-    if histories is None:
-        combined, offset, untouched = new, None, None
-    else:
-        touched = new.select(*keys).distinct()
-        hist_in = histories.join(touched, list(keys), "left_semi")
-        untouched = histories.join(touched, list(keys), "left_anti")
-        offset = untouched.groupBy(type_col).agg(F.sum("value").alias("pool_sum"),
-                                                 F.count(F.lit(1)).alias("pool_values"))
+    combined, untouched = new, None
+    sums = [others.select(type_col, "pool_sum", "pool_values")] if others is not None else []
+    if histories is not None:
+        hist_in, untouched = split_tails(new, histories, keys)
+        sums.append(pool_sums(untouched, type_col).select(type_col, "pool_sum", "pool_values"))
         combined = new.unionByName(hist_in.withColumn("_replay", F.lit(True)), allowMissingColumns=True)
+    offset = None
+    if sums:
+        offset = (reduce(DataFrame.unionByName, sums).groupBy(type_col)
+                  .agg(F.sum("pool_sum").alias("pool_sum"), F.sum("pool_values").alias("pool_values")))
     validated = V.validate_readings(combined, rules=rules, keys=keys, pool_offset=offset,
                                     internals=True, **kw)
     # both the output and the next state derive from it: compute it once per
     # micro-batch (a cache, not a lineage cut: a lost block is recomputed)
     validated = validated.persist(StorageLevel.MEMORY_AND_DISK)
-    out = validated.filter(~F.col("_replay")).drop("_replay", "_keep", "_c")
-    after = V.current_histories(validated, keys=keys).select(*HISTORY_COLUMNS)
+    out = validated.filter(~F.col("_replay")).drop("_replay", "_keep", "_c", "bucket")
+    columns = [*HISTORY_COLUMNS, "bucket"]
+    after = V.current_histories(validated, keys=keys, carry=("bucket",)).select(*columns)
     if untouched is not None:
-        after = after.unionByName(untouched.select(*HISTORY_COLUMNS))
+        after = after.unionByName(untouched.select(*columns))
     return out, after, validated
 
 
 def start_validation_stream(readings: DataFrame, out_path: str, state_dir: str, checkpoint: str,
-                            rules=None, trigger_available_now: bool = True, **kw):
+                            rules=None, trigger_available_now: bool = True, buckets: int = BUCKETS, **kw):
     """Start the stream (``streaming.incremental`` runner); returns the
     StreamingQuery."""
 
-    def step(spark, batch, histories):
-        out, after, cached = validate_micro_batch(spark, batch, histories, rules=rules, **kw)
+    def step(spark, batch, histories, others):
+        out, after, cached = validate_micro_batch(spark, batch, histories, others, rules=rules, **kw)
         return out, after, [cached]
 
     return start_incremental(readings, step, out_path, state_dir, checkpoint,
-                             available_now=trigger_available_now)
+                             available_now=trigger_available_now, buckets=buckets, summary=pool_sums)
 
 
 def latest_histories(spark: SparkSession, state_dir: str) -> DataFrame:
