@@ -46,6 +46,7 @@ WIDTH, GRAM = 100, 32
 BUFFER = 1 << 20              # bytes hashed at once; positions in it fit the low bits of a key
 SHARD_BYTES = 16 << 20        # text whose anchors make up a shard
 BLOCK_BYTES = 2 << 20         # text of one suffix array, if no anchor has more
+CUT_ROWS = 4_000              # documents whose segments are held at once
 HOT_SEGMENTS = 10_000         # different segments of an anchor above which it is dealt by windows
 _BASE = 0x9E3779B97F4A7C15
 _ANCHOR = np.dtype([("anchor", "<u8"), ("doc", "<i8"), ("start", "<i8"), ("n", "<u2")])
@@ -214,7 +215,7 @@ def _cut(width: int):
     """The text of the spotted segments; equal ones in a batch merged to the earliest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, CUT_ROWS) for b in batches for at in range(0, b.num_rows, CUT_ROWS)):
             first: dict[tuple[int, bytes], tuple[int, int]] = {}
             gone = []
             for doc, text, lots in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(),
