@@ -71,6 +71,31 @@ def test_references_are_exact(spark):
         assert counts.sum() == len(docs) * Q.SCALE
 
 
+def test_foreign_words_of_natural_classes(spark):
+    import random
+
+    rng = random.Random(5)
+    foreign = [(300 + i, " ".join("".join(rng.choice("abcdefghiklmnoprstu") for _ in range(rng.choice([2, 3, 5, 6, 8]))) for _ in range(150)).capitalize() + ".",
+                "en" if i % 2 else None) for i in range(8)]
+    rows = corpus() + foreign
+    got = {r["doc_id"]: r for r in Q.judge(frame(spark, rows)).collect()}
+    assert all(got[i]["class_distance"] < Q.CLASS_LIMIT and got[i]["word_distance"] < Q.WORD_LIMIT and not got[i]["base_failed"] for i, *_ in foreign)
+    kept = set(range(120)) | {203, 204}
+    assert {i for i, r in got.items() if r["kept"]} == kept
+    assert {r["doc_id"] for r in Q.keep_rows(frame(spark, rows)).collect()} == kept
+
+
+def test_word_limits(spark):
+    near = [(True, 128, 0.2 + k / 1000, "en") for k in range(41)]
+    rows = (near + [(True, 128, 0.23, "en")] * 500 + [(False, 128, 0.4, "en")] * 50       # copies count once, rejected ones not at all
+            + [(True, 300, 0.21, "en")] + [(True, 129, 0.3, "xx")] * 9 + [(True, 128, 0.5, None)])
+    got = Q.word_limits(spark.createDataFrame(rows, f"kept boolean, n_words long, word_distance double, {Q.REFERENCE} string"))
+    assert set(got) == {("en", 14), ("en", 16), ("xx", 14)}
+    assert got["en", 14] == pytest.approx(0.2201 + Q.SPREADS * 0.1 * 0.2201, abs=1e-3)     # the spread's least value
+    assert got["en", 16] == got["en", 14]                                                  # too few at this length
+    assert 0.3 < got["xx", 14] < 0.35                                                      # too few of this language
+
+
 def test_distance():
     p, q = np.array([1.0, 2, 0, 5]), np.array([0.0, 2, 3, 5])
     m = (p / 8 + q / 10) / 2

@@ -8,6 +8,15 @@ its own histograms is above a limit, provided that it is long enough for the
 histogram to mean something.  A document whose language is null or has too few
 documents for a reference is compared with the nearest reference.
 
+The limit of the word distance comes from the documents themselves, as short ones
+stand farther off by chance: for every reference and length (half octaves of words),
+over the different distances of the documents that pass all other rules, the median
+plus ``SPREADS`` normal deviations.  The deviation is measured below the median, where
+poor documents do not reach, and is at least ``LEAST_SPREAD`` of the median, so that a
+group of near copies sets no narrow limit.  With fewer than ``LIMIT_DOCS`` distances
+those of all languages at this length decide, then the language's next shorter length;
+``WORD_LIMIT`` holds above all.
+
 Common words are exact, without a shuffle of the vocabulary: a task reports, per
 chunk of documents, those with at least half the share; a word that is common in the
 whole must then make up for the chunks that do not report it, which leaves at most
@@ -26,9 +35,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from tidepool.llm.common import staged
 
@@ -38,6 +47,9 @@ SCALE = 1_000_000            # a document's weight, in whole numbers so that sum
 CHUNK_WORDS = 1_000_000
 CLASS_LIMIT, CLASS_MIN_CHARS = 0.30, 200
 WORD_LIMIT, WORD_MIN_WORDS = 0.52, 80
+SPREADS, LEAST_SPREAD, LIMIT_DOCS = 4, 0.1, 30
+QUARTILE = 0.6745            # of the normal distribution, in deviations
+STEPS = 10_000               # steps of the distance in which limits are counted
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -193,18 +205,18 @@ def references(docs: DataFrame, common: float = COMMON, min_docs: int = REFERENC
 
 
 def _judge(refs: dict, limits: dict):
-    def distances(lang: str | None, raw: bytes, words: list[bytes]) -> tuple[float | None, float | None]:
-        near = [refs[lang]] if lang in refs else list(refs.values())
+    def distances(lang: str | None, raw: bytes, words: list[bytes]) -> tuple[float | None, float | None, str | None]:
+        near = {lang: refs[lang]} if lang in refs else refs
         if not near or not words:
-            return None, None
+            return None, None, None
         shape, forms = class_counts(raw), _common_forms(Counter(raw.lower().split()))
         best = []
-        for classes, bins, histogram in near:
+        for name, (classes, bins, histogram) in near.items():
             own = np.zeros(len(bins) + 1)
             for w, n in forms.items():
                 own[bins.get(w, -1)] += n
-            best.append((distance(shape, classes), distance(own, histogram)))
-        return min(best, key=sum)
+            best.append((distance(shape, classes), distance(own, histogram), name))
+        return min(best, key=lambda b: b[0] + b[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,43 +227,83 @@ def _judge(refs: dict, limits: dict):
                 words = raw.split()
                 again = repeated_words(words)
                 failed = len(words) < MIN_WORDS or 100 * again > REPEAT_PERCENT * len(words)
-                by_class, by_word = distances(lang, raw, words)
+                by_class, by_word, near = distances(lang, raw, words)
                 far = by_class is not None and (
                     (len(text) >= limits["class_chars"] and by_class > limits["class"])
                     or (len(words) >= limits["word_words"] and by_word > limits["word"]))
                 out.append((len(words), len(text) - sum(map(text.count, BLANKS)), sum(map(text.count, SYMBOLS)),
-                            repeated_lines(text), again, failed, not failed and not far, by_class, by_word))
-            columns = list(zip(*out)) if out else [()] * 9
-            types = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
+                            repeated_lines(text), again, failed, not failed and not far, by_class, by_word, near))
+            columns = list(zip(*out)) if out else [()] * 10
+            types = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2 + [pa.string()]
             yield pa.RecordBatch.from_arrays(
-                [*(pa.array(c, t) for c, t in zip(columns, types)), *batch.columns[3:], batch.column(0)], NAMES + batch.schema.names[3:] + batch.schema.names[:1])
+                [*(pa.array(c, t) for c, t in zip(columns, types)), *batch.columns[3:], batch.column(0)], [*NAMES, REFERENCE] + batch.schema.names[3:] + batch.schema.names[:1])
     return run
 
 
 NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance"]
-_TYPES = [LongType()] * 5 + [BooleanType()] * 2 + [DoubleType()] * 2
+REFERENCE = "_reference"     # the language whose reference was the nearest
+_TYPES = [LongType()] * 5 + [BooleanType()] * 2 + [DoubleType()] * 2 + [StringType()]
 
 
 def _judged(rows: DataFrame, refs: dict, class_limit: float, word_limit: float) -> DataFrame:
-    """``doc_id, lang, text`` and further columns -> the findings, the further columns, doc_id."""
+    """``doc_id, lang, text`` and further columns -> the findings, the reference, the further columns, doc_id.
+    ``kept`` is before the limits of the languages."""
     limits = {"class": class_limit, "class_chars": CLASS_MIN_CHARS, "word": word_limit, "word_words": WORD_MIN_WORDS}
-    found = [StructField(n, t) for n, t in zip(NAMES, _TYPES)]
+    found = [StructField(n, t) for n, t in zip([*NAMES, REFERENCE], _TYPES)]
     schema = StructType([*found, *rows.schema.fields[3:], rows.schema.fields[0]])
     return rows.mapInArrow(_judge(refs, limits), schema)
 
 
+def _length_step() -> Column:
+    return F.floor(2 * F.log2("n_words")).cast("int")
+
+
+def word_limits(judged: DataFrame) -> dict[tuple[str, int], float]:
+    """Limit of the word distance by reference and length, from the documents kept so far."""
+    rows = judged.filter(F.col("kept") & (F.col("n_words") >= WORD_MIN_WORDS) & F.col(REFERENCE).isNotNull())
+    # copies have equal distances and count once
+    once = rows.select(REFERENCE, _length_step().alias("length"), F.round(F.col("word_distance") * 1e12).alias("d")).distinct()
+    steps = staged(once.groupBy(REFERENCE, "length", F.floor(F.col("d") / (1e12 / STEPS)).alias("step")).agg(F.count("*").alias("n")), "steps")
+    quartiles = [F.sum("n").alias("n"), F.percentile("step", F.array(F.lit(0.25), F.lit(0.5)), F.col("n")).alias("q")]
+    limits = {}
+    for by in ([REFERENCE, "length"], ["length"]):
+        for r in steps.groupBy(*by).agg(*quartiles).collect():
+            low, middle = ((x + 1) / STEPS for x in r["q"])
+            limit = middle + SPREADS * max((middle - low) / QUARTILE, LEAST_SPREAD * middle)
+            limits[r[REFERENCE] if len(by) > 1 else None, r["length"]] = limit if r["n"] >= LIMIT_DOCS else None
+    out = {}
+    for lang in {name for name, _ in limits if name is not None}:
+        last = None
+        for length in sorted(n for name, n in limits if name == lang):
+            last = limits[lang, length] or limits[None, length] or last
+            if last is not None:
+                out[lang, length] = last
+    return out
+
+
+def _within_limits(judged: DataFrame) -> DataFrame:
+    """``judged`` (stored, as it is read twice) with ``kept`` after the limits of the languages."""
+    limits = [(*key, limit) for key, limit in word_limits(judged).items()]
+    table = judged.sparkSession.createDataFrame(limits, "_l_reference string, _l_length int, _l_limit double")
+    # at most two rows per reference and doubling of the length
+    joined = judged.join(F.broadcast(table), (F.col(REFERENCE) == F.col("_l_reference")) & (_length_step() == F.col("_l_length")), "left")
+    far = (F.col("n_words") >= WORD_MIN_WORDS) & (F.col("word_distance") > F.col("_l_limit"))
+    return joined.withColumn("kept", F.col("kept") & ~F.coalesce(far, F.lit(False))).drop(*table.columns)
+
+
 def judge(docs: DataFrame, refs: dict | None = None, class_limit: float = CLASS_LIMIT, word_limit: float = WORD_LIMIT,
           text: str = "text") -> DataFrame:
     """One row per document: ``doc_id``, the base counts, ``base_failed, kept`` and the two distances."""
     refs = references(docs, text=text) if refs is None else refs
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.col(text).alias("text"))
-    return _judged(rows, refs, class_limit, word_limit).select("doc_id", *NAMES)
+    found = staged(_judged(rows, refs, class_limit, word_limit), "judged")
+    return _within_limits(found).select("doc_id", *NAMES)
 
 
 def keep_rows(docs: DataFrame, class_limit: float = CLASS_LIMIT, word_limit: float = WORD_LIMIT, text: str = "text") -> DataFrame:
-    """The documents, all columns, that the rules keep: judged where they are, without a join."""
+    """The documents, all columns, that the rules keep: judged where they are, without moving a text."""
     names = [f"_row_{i}" for i in range(len(docs.columns))]
     rows = docs.select(F.lit(0).alias("_id"), F.col("lang").alias("_lang"), F.col(text).alias("_text"),
                        *[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)])
-    kept = _judged(rows, references(docs, text=text), class_limit, word_limit).filter("kept")
-    return kept.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names)])
+    kept = staged(_judged(rows, references(docs, text=text), class_limit, word_limit).filter("kept"), "judged")
+    return _within_limits(kept).filter("kept").select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names)])
