@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tidepool.llm import bpe, chat, exact_dedup, language, mixing, near_dedup, pii, quality, repeats, sharding
+from tidepool.llm import (bpe, centroids, chat, decontamination, exact_dedup, language, mixing, near_dedup, pii, quality, repeats,
+                          sharding, whitening)
 from tidepool.llm.common import documents
 from tidepool.llm.oracle import ORACLE as _SQL
 
@@ -51,6 +52,18 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(documents(spark, sf_dir), words=4)
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES = {
     "op1_language": op1_language,
     "op2_mixing": op2_mixing,
@@ -62,6 +75,9 @@ QUERIES = {
     "op8_repeats": op8_repeats,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_near_dedup": op10_near_dedup,
+    "op11_decontamination": op11_decontamination,
+    "op12_whitening": op12_whitening,
+    "op13_centroids": op13_centroids,
     "pipeline": corpus_pipeline.run,
 }
 
