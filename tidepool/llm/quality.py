@@ -20,10 +20,14 @@ those of all languages at this length decide, then the language's next shorter l
 Common words are exact, without a shuffle of the vocabulary: a task reports, per
 chunk of documents, those with at least half the share; a word that is common in the
 whole must then make up for the chunks that do not report it, which leaves at most
-``2 / COMMON`` words per language; a second pass counts those.
+``2 / COMMON`` words per language.  A second pass over the texts, the last one, counts those in
+every document, for the references and for the document itself, and takes the base counts; the
+distances come from these counts.
 
 Defined results: a null text has no words and fails the base rule, like an empty
-one; repeated rows are judged alike; with no reference at all the base rule
+one; very long texts are judged whole; a word that is exactly at a share counts as common, and a
+document exactly at a limit stays; the reference nearest by the sum of both distances is taken, at a tie the
+first by name; repeated rows are judged alike; with no reference at all the base rule
 decides; an empty table gives an empty result; further columns of the input are
 ignored, or returned untouched by ``keep_rows``.
 """
@@ -31,13 +35,14 @@ ignored, or returned untouched by ``keep_rows``.
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 from tidepool.llm.common import staged
 
@@ -45,6 +50,7 @@ COMMON = 0.002               # mean share of a document's words that makes a wor
 REFERENCE_DOCS = 10          # documents with words that a language needs for a reference
 SCALE = 1_000_000            # a document's weight, in whole numbers so that sums do not depend on their order
 CHUNK_WORDS = 1_000_000
+KNOWN_WORDS = 500_000        # words that a task remembers
 CLASS_LIMIT, CLASS_MIN_CHARS = 0.30, 200
 WORD_LIMIT, WORD_MIN_WORDS = 0.52, 80
 SPREADS, LEAST_SPREAD, LIMIT_DOCS = 4, 0.1, 30
@@ -90,16 +96,23 @@ def distance(p: np.ndarray, q: np.ndarray) -> float:
     return max(0.0, (part(p) + part(q)) / 2) ** 0.5
 
 
-def repeated_words(words: list[bytes]) -> int:
+def repeated_words(words: list[bytes], distinct: Iterable[bytes] | None = None) -> int:
     """Words that lie in 3-word windows which the text holds at least twice."""
     if len(words) < 4:
         return 0
-    number: dict[bytes, int] = {}
-    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
-    pairs = np.unique(ids[:-1] * len(number) + ids[1:], return_inverse=True)[1]
-    _, window, count = np.unique(pairs[:-1] * len(number) + ids[2:], return_inverse=True, return_counts=True)
-    again = np.zeros(len(words) + 3, np.int64)
-    at = np.flatnonzero(count[window] > 1)
+    number = {w: i for i, w in enumerate(dict.fromkeys(words) if distinct is None else distinct)}
+    ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+    kinds = len(number)
+    pairs = ids[:-1] * kinds + ids[1:]
+    if kinds >= 1 << 20:                                 # three numbers do not fit one
+        pairs, kinds = np.unique(pairs, return_inverse=True)[1], kinds
+    window = pairs[:-1] * kinds + ids[2:]
+    ordered = np.sort(window)
+    twice = ordered[1:][ordered[1:] == ordered[:-1]]
+    if not len(twice):
+        return 0
+    again = np.zeros(len(words) + 1, np.int64)
+    at = np.flatnonzero(np.isin(window, twice))
     again[at] += 1
     again[at + 3] -= 1
     return int((np.cumsum(again) > 0).sum())
@@ -116,71 +129,157 @@ def repeated_lines(text: str) -> int:
     return again
 
 
+class _Numbers(dict):
+    """Numbers of words, in the order in which they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        return number
+
+
 class _Tally:
     """Of the documents of a language: their number, weighted word shares, class shares."""
 
     def __init__(self):
-        self.docs, self.words, self.classes = 0, Counter(), np.zeros(CLASSES, np.int64)
+        self.docs, self.classes = 0, np.zeros(CLASSES, np.int64)
+        self.numbers, self.seen, self.shares = _Numbers(), [], []
 
     def add(self, raw: bytes, tokens: list[bytes]) -> None:
         self.docs += 1
-        for word, n in Counter(tokens).items():
-            self.words[word] += n * SCALE // len(tokens)
+        counts = Counter(tokens)
+        self.seen.append(np.fromiter(map(self.numbers.__getitem__, counts), np.int64, len(counts)))
+        self.shares.append(np.fromiter(counts.values(), np.int64, len(counts)) * SCALE // len(tokens))
         self.classes += class_counts(raw) * SCALE // len(raw)
 
-
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, _Tally]]:
-    """Tallies by language, per chunk of words."""
-    tallies, n = defaultdict(_Tally), 0
-    for batch in batches:
-        for lang, text in zip(*(c.to_pylist() for c in batch.columns)):
-            raw = text.encode()
-            tokens = raw.lower().split()
-            if tokens:
-                tallies[lang].add(raw, tokens)
-            n += len(tokens)
-            if n >= CHUNK_WORDS:
-                yield tallies
-                tallies, n = defaultdict(_Tally), 0
-    yield tallies
+    def forms(self) -> Counter:
+        out: Counter = Counter()
+        # whole numbers below 2 ** 53: exact in doubles
+        total = np.bincount(np.concatenate(self.seen), np.concatenate(self.shares)).astype(np.int64).tolist()
+        for word, n in zip(self.numbers, total):
+            out[common_form(word)] += n
+        return out
 
 
-def _common_forms(words: Counter) -> Counter:
-    forms: Counter = Counter()
-    for word, n in words.items():
-        forms[common_form(word)] += n
-    return forms
+def _report(share: float):
+    """Per chunk of words and language: weight and classes of its documents, and the words that may be common."""
+    schema = pa.schema([("lang", pa.string()), ("word", pa.binary()), ("n", pa.int64()), ("chunk", pa.int64()), ("classes", pa.list_(pa.int64()))])
 
+    def rows(tallies: dict[str, _Tally]) -> pa.RecordBatch:
+        out = []
+        for lang, tally in tallies.items():
+            total = tally.docs * SCALE
+            out.append((lang, None, 0, total, tally.classes.tolist()))
+            out += [(lang, w, n, total, None) for w, n in tally.forms().items() if n >= share / 2 * total and _has_letter(w)]
+        return pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in out], schema)
 
-def _report(share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tallies in _chunks(batches):
-            out = []
-            for lang, tally in tallies.items():
-                total = tally.docs * SCALE
-                out.append((lang, None, 0, total, tally.classes.tolist()))
-                out += [(lang, w, n, total, None) for w, n in _common_forms(tally.words).items()
-                        if n >= share / 2 * total and _has_letter(w)]
-            yield pa.RecordBatch.from_pylist([dict(zip(("lang", "word", "n", "chunk", "classes"), r)) for r in out], pa.schema(
-                [("lang", pa.string()), ("word", pa.binary()), ("n", pa.int64()), ("chunk", pa.int64()), ("classes", pa.list_(pa.int64()))]))
+        tallies, n = defaultdict(_Tally), 0
+        for batch in batches:
+            for lang, text in zip(*(c.to_pylist() for c in batch.columns)):
+                raw = text.encode()
+                tokens = raw.lower().split()
+                if tokens:
+                    tallies[lang].add(raw, tokens)
+                n += len(tokens)
+                if n >= CHUNK_WORDS:
+                    yield rows(tallies)
+                    tallies, n = defaultdict(_Tally), 0
+        yield rows(tallies)
     return run
 
 
-def _count(candidates: dict[str, set[bytes]]):
+class _Known(dict):
+    """Number of the lower-case word behind each word, if its common form is wanted, else -1;
+    ``form_of`` gives the form's number by the lower-case word's."""
+
+    def __init__(self, forms: dict[bytes, int]):
+        super().__init__()
+        self.forms, self.variants, self.form_of = forms, {}, []
+
+    def __missing__(self, word: bytes) -> int:
+        low = word.lower()
+        form = self.forms.get(common_form(low), -1)
+        if form < 0:
+            variant = -1
+        elif (variant := self.variants.get(low, -1)) < 0:
+            variant = self.variants[low] = len(self.form_of)
+            self.form_of.append(form)
+        if len(self) < KNOWN_WORDS:
+            self[word] = variant
+        return variant
+
+
+BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+_COUNTS = [("_lang", StringType()), ("_n_chars", LongType()), ("_classes", ArrayType(LongType())), ("_forms", ArrayType(IntegerType())),
+           ("_form_counts", ArrayType(LongType())), ("_t_lang", StringType()), ("_t_form", IntegerType()), ("_t_n", LongType())]
+
+
+def _measure(forms: dict[bytes, int], wanted: dict[str, set[int]], passing_only: bool):
+    """Rows of two kinds.  Documents: base counts, classes, and how often each wanted form stands in them.  And per
+    task and language the weighted shares of its wanted forms (``_t_*``)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tallies in _chunks(batches):
-            out = [(lang, w, n) for lang, tally in tallies.items() if lang in candidates
-                   for w, n in _common_forms(tally.words).items() if w in candidates[lang]]
-            yield pa.RecordBatch.from_pylist([dict(zip(("lang", "word", "n"), r)) for r in out], pa.schema(
-                [("lang", pa.string()), ("word", pa.binary()), ("n", pa.int64())]))
+        known = _Known(forms)
+        tally = {lang: np.zeros(len(forms), np.int64) for lang in wanted}
+        base_types = [pa.int64()] * 5 + [pa.bool_()]
+        count_types = [pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.string(), pa.int32(), pa.int64()]
+        names, fields = [], []
+        for batch in batches:
+            if len(known.form_of) > KNOWN_WORDS:
+                known = _Known(forms)
+            names, fields = batch.schema.names[2:], [f.type for f in batch.schema][2:]
+            out, stays = [], []
+            for row, (lang, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                text = text or ""
+                raw = text.encode()
+                words = raw.split()
+                counts = Counter(words)
+                n = np.fromiter(counts.values(), np.int64, len(counts))
+                variant = np.fromiter(map(known.__getitem__, counts), np.int64, len(counts))
+                common = variant >= 0
+                low, at = np.unique(variant[common], return_inverse=True)
+                times = np.bincount(at, n[common], minlength=len(low)).astype(np.int64)
+                form = np.array(known.form_of, np.int64)[low] if len(low) else low
+                if lang in tally and words:
+                    np.add.at(tally[lang], form, times * SCALE // len(words))
+                again = repeated_words(words, counts)
+                failed = len(words) < MIN_WORDS or 100 * again > REPEAT_PERCENT * len(words)
+                if failed and passing_only:
+                    continue
+                one, place = np.unique(form, return_inverse=True)
+                stays.append(row)
+                out.append((len(words), len(text) - sum(map(text.count, BLANKS)), sum(map(text.count, SYMBOLS)), repeated_lines(text), again, failed,
+                            lang, len(text), class_counts(raw), one, np.bincount(place, times, minlength=len(one)).astype(np.int64), None, None, None))
+            columns = list(zip(*out)) if out else [()] * (len(BASE) + len(_COUNTS))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, base_types + count_types)),
+                                              *(batch.column(i + 2).take(pa.array(stays, pa.int64())) for i in range(len(names)))],
+                                             [*BASE, *(c for c, _ in _COUNTS), *names])
+        for lang, shares in tally.items():
+            at = np.flatnonzero(shares)
+            if len(at) and fields:
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.nulls(len(at), t) for t in base_types + count_types[:-3]), pa.array([lang] * len(at), pa.string()),
+                     pa.array(at, pa.int32()), pa.array(shares[at]), *(pa.nulls(len(at), t) for t in fields)],
+                    [*BASE, *(c for c, _ in _COUNTS), *names])
     return run
 
 
-def references(docs: DataFrame, common: float = COMMON, min_docs: int = REFERENCE_DOCS,
-               text: str = "text") -> dict[str, tuple[np.ndarray, dict[bytes, int], np.ndarray]]:
-    """By language: class histogram, bins of the common words, histogram of the words
-    (last bin: all others).  At most ``1 / common`` words per language."""
-    rows = docs.select("lang", F.col(text).alias("text")).filter("lang is not null and text is not null")
+Reference = tuple[np.ndarray, dict[bytes, int], np.ndarray]
+
+
+def _measured(rows: DataFrame, words: dict[str, Iterable[bytes]], passing_only: bool = False, tallied: bool = True) -> tuple[DataFrame, list[bytes]]:
+    """``lang, text`` and further columns -> what ``_measure`` finds, stored, and the forms behind the numbers."""
+    forms = sorted({w for own in words.values() for w in own})
+    number = {w: i for i, w in enumerate(forms)}
+    wanted = {lang: {number[w] for w in own} for lang, own in words.items()} if tallied else {}
+    base = [StructField(n, t) for n, t in zip(BASE, [LongType()] * 5 + [BooleanType()])]
+    schema = StructType([*base, *(StructField(n, t) for n, t in _COUNTS), *(StructField(f.name, f.dataType) for f in rows.schema.fields[2:])])
+    return staged(rows.mapInArrow(_measure(number, wanted, passing_only), schema), "measured"), forms
+
+
+def _candidates(rows: DataFrame, common: float, min_docs: int) -> tuple[DataFrame, dict[str, list[bytes]]]:
+    """``lang, total, c0..`` of the languages with enough documents, and the words of each that may be common."""
+    rows = rows.filter("lang is not null and text is not null")
     seen = staged(rows.mapInArrow(_report(common), "lang string, word binary, n long, chunk long, classes array<long>"), "report")
     shape = [F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(CLASSES)]
     langs = seen.filter("word is null").groupBy("lang").agg(F.sum("chunk").alias("total"), *shape).filter(F.col("total") >= min_docs * SCALE)
@@ -188,70 +287,100 @@ def references(docs: DataFrame, common: float = COMMON, min_docs: int = REFERENC
     unseen = (F.col("total") - F.col("chunks")) * (common / 2)
     likely = (seen.filter("word is not null").groupBy("lang", "word").agg(F.sum("n").alias("n"), F.sum("chunk").alias("chunks"))
               .join(langs.select("lang", "total"), "lang").filter(F.col("n") + unseen >= F.col("total") * common))
-    candidates: dict[str, set[bytes]] = defaultdict(set)
+    words: dict[str, list[bytes]] = {r["lang"]: [] for r in langs.select("lang").collect()}
     for r in likely.select("lang", "word").collect():
-        candidates[r["lang"]].add(bytes(r["word"]))
+        words[r["lang"]].append(bytes(r["word"]))
+    return langs, words
+
+
+def _gathered(langs: DataFrame, words: dict[str, list[bytes]], measured: DataFrame, forms: list[bytes], common: float) -> dict[str, Reference]:
     counted: dict[str, list] = defaultdict(list)
-    exact = rows.mapInArrow(_count(dict(candidates)), "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    for r in exact.collect():
-        counted[r["lang"]].append((r["n"], bytes(r["word"])))
+    shares = measured.filter("_t_lang is not null").groupBy("_t_lang", "_t_form").agg(F.sum("_t_n").alias("n"))
+    own = {lang: set(w) for lang, w in words.items()}
+    for r in shares.collect():
+        if forms[r["_t_form"]] in own[r["_t_lang"]]:
+            counted[r["_t_lang"]].append((r["n"], forms[r["_t_form"]]))
     out = {}
     for r in langs.collect():
-        words = sorted((x for x in counted[r["lang"]] if x[0] >= common * r["total"]), reverse=True)
-        counts = [n for n, _ in words]
-        out[r["lang"]] = (np.array([r[f"c{i}"] for i in range(CLASSES)], float), {w: i for i, (_, w) in enumerate(words)},
+        found = sorted((x for x in counted[r["lang"]] if x[0] >= common * r["total"]), reverse=True)
+        counts = [n for n, _ in found]
+        out[r["lang"]] = (np.array([r[f"c{i}"] for i in range(CLASSES)], float), {w: i for i, (_, w) in enumerate(found)},
                           np.array([*counts, r["total"] - sum(counts)], float))
     return out
 
 
-def _judge(refs: dict, limits: dict):
-    def distances(lang: str | None, raw: bytes, words: list[bytes]) -> tuple[float | None, float | None, str | None]:
-        near = {lang: refs[lang]} if lang in refs else refs
-        if not near or not words:
-            return None, None, None
-        shape, forms = class_counts(raw), _common_forms(Counter(raw.lower().split()))
-        best = []
-        for name, (classes, bins, histogram) in near.items():
-            own = np.zeros(len(bins) + 1)
-            for w, n in forms.items():
-                own[bins.get(w, -1)] += n
-            best.append((distance(shape, classes), distance(own, histogram), name))
-        return min(best, key=lambda b: b[0] + b[1])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for lang, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                text = text or ""
-                raw = text.encode()
-                words = raw.split()
-                again = repeated_words(words)
-                failed = len(words) < MIN_WORDS or 100 * again > REPEAT_PERCENT * len(words)
-                by_class, by_word, near = distances(lang, raw, words)
-                far = by_class is not None and (
-                    (len(text) >= limits["class_chars"] and by_class > limits["class"])
-                    or (len(words) >= limits["word_words"] and by_word > limits["word"]))
-                out.append((len(words), len(text) - sum(map(text.count, BLANKS)), sum(map(text.count, SYMBOLS)),
-                            repeated_lines(text), again, failed, not failed and not far, by_class, by_word, near))
-            columns = list(zip(*out)) if out else [()] * 10
-            types = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2 + [pa.string()]
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.array(c, t) for c, t in zip(columns, types)), *batch.columns[3:], batch.column(0)], [*NAMES, REFERENCE] + batch.schema.names[3:] + batch.schema.names[:1])
-    return run
+def references(docs: DataFrame, common: float = COMMON, min_docs: int = REFERENCE_DOCS, text: str = "text") -> dict[str, Reference]:
+    """By language: class histogram, bins of the common words, histogram of the words
+    (last bin: all others).  At most ``1 / common`` words per language."""
+    rows = docs.select("lang", F.col(text).alias("text"))
+    langs, words = _candidates(rows, common, min_docs)
+    measured, forms = _measured(rows.withColumn("_row", F.lit(0)), words)
+    return _gathered(langs, words, measured, forms, common)
 
 
-NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance"]
+def distances(own: np.ndarray, reference: np.ndarray) -> np.ndarray:
+    """Jensen-Shannon distance of each row, a histogram, from the reference."""
+    p, q = own / own.sum(axis=1, keepdims=True), reference / reference.sum()
+    m = (p + q) / 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        left = np.where(p > 0, p * np.log2(p / m), 0.0).sum(axis=1)
+        right = np.where(q > 0, q * np.log2(q / m), 0.0).sum(axis=1)
+    return np.sqrt(np.maximum(0.0, (left + right) / 2))
+
+
+_FOUND = "class_distance double, word_distance double, _reference string"
+
+
+def _distances(refs: dict[str, Reference], forms: list[bytes]):
+    """Distances from the language's reference, or from the nearest."""
+    names = sorted(refs)
+    bins = {name: np.array([refs[name][1].get(w, len(refs[name][1])) for w in forms], np.int64) for name in names}
+
+    def part(rows: np.ndarray, name: str, n_words, classes, form, counts) -> tuple[np.ndarray, np.ndarray]:
+        shape, own_bins, histogram = refs[name]
+        other = len(own_bins)
+        own = np.zeros((len(rows), other + 1))
+        sizes = [len(form[r]) for r in rows]
+        if sum(sizes):
+            at = bins[name][np.concatenate([form[r] for r in rows]).astype(np.int64)]
+            np.add.at(own, (np.repeat(np.arange(len(rows)), sizes), at), np.concatenate([counts[r] for r in rows]))
+        own[:, other] += n_words[rows] - own.sum(axis=1)
+        return distances(np.array([classes[r] for r in rows], float), shape), distances(own, histogram)
+
+    def run(lang: pd.Series, n_words: pd.Series, classes: pd.Series, form: pd.Series, counts: pd.Series) -> pd.DataFrame:
+        size = len(lang)
+        by_class, by_word, near = np.full(size, np.nan), np.full(size, np.nan), np.full(size, None, object)
+        lang, n_words = lang.to_numpy(object), n_words.to_numpy(np.int64)
+        groups = defaultdict(list)
+        for row in np.flatnonzero(n_words > 0):
+            groups[lang[row] if lang[row] in refs else None].append(row)
+        for own, rows in groups.items():
+            for at in range(0, len(rows), 512):
+                some = np.array(rows[at:at + 512])
+                best = np.full(len(some), np.inf)
+                for name in names if own is None else [own]:
+                    a, b = part(some, name, n_words, classes, form, counts)
+                    better = a + b < best
+                    best[better] = (a + b)[better]
+                    by_class[some[better]], by_word[some[better]], near[some[better]] = a[better], b[better], name
+        return pd.DataFrame({"class_distance": pd.array(np.where(near == None, None, by_class), "Float64"),  # noqa: E711
+                             "word_distance": pd.array(np.where(near == None, None, by_word), "Float64"), "_reference": near})  # noqa: E711
+
+    return F.pandas_udf(run, _FOUND)
+
+
+NAMES = [*BASE, "kept", "class_distance", "word_distance"]
 REFERENCE = "_reference"     # the language whose reference was the nearest
-_TYPES = [LongType()] * 5 + [BooleanType()] * 2 + [DoubleType()] * 2 + [StringType()]
 
 
-def _judged(rows: DataFrame, refs: dict, class_limit: float, word_limit: float) -> DataFrame:
-    """``doc_id, lang, text`` and further columns -> the findings, the reference, the further columns, doc_id.
-    ``kept`` is before the limits of the languages."""
-    limits = {"class": class_limit, "class_chars": CLASS_MIN_CHARS, "word": word_limit, "word_words": WORD_MIN_WORDS}
-    found = [StructField(n, t) for n, t in zip([*NAMES, REFERENCE], _TYPES)]
-    schema = StructType([*found, *rows.schema.fields[3:], rows.schema.fields[0]])
-    return rows.mapInArrow(_judge(refs, limits), schema)
+def _judged(measured: DataFrame, refs: dict[str, Reference], forms: list[bytes], class_limit: float, word_limit: float) -> DataFrame:
+    """The documents with distances; ``kept`` is before the limits of the languages."""
+    docs = measured.filter("_t_lang is null")
+    found = docs.withColumn("_found", _distances(refs, forms)("_lang", "n_words", "_classes", "_forms", "_form_counts"))
+    found = found.select("*", "_found.*").drop("_found", "_classes", "_forms", "_form_counts", "_t_lang", "_t_form", "_t_n")
+    far = (((F.col("_n_chars") >= CLASS_MIN_CHARS) & (F.col("class_distance") > class_limit))
+           | ((F.col("n_words") >= WORD_MIN_WORDS) & (F.col("word_distance") > word_limit)))
+    return found.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False)))
 
 
 def _length_step() -> Column:
@@ -282,7 +411,7 @@ def word_limits(judged: DataFrame) -> dict[tuple[str, int], float]:
 
 
 def _within_limits(judged: DataFrame) -> DataFrame:
-    """``judged`` (stored, as it is read twice) with ``kept`` after the limits of the languages."""
+    """``judged`` (read twice) with ``kept`` after the limits of the languages."""
     limits = [(*key, limit) for key, limit in word_limits(judged).items()]
     table = judged.sparkSession.createDataFrame(limits, "_l_reference string, _l_length int, _l_limit double")
     # at most two rows per reference and doubling of the length
@@ -291,19 +420,28 @@ def _within_limits(judged: DataFrame) -> DataFrame:
     return joined.withColumn("kept", F.col("kept") & ~F.coalesce(far, F.lit(False))).drop(*table.columns)
 
 
+def _all_steps(rows: DataFrame, refs: dict[str, Reference] | None, class_limit: float, word_limit: float, passing_only: bool) -> DataFrame:
+    """``lang, text`` and further columns -> judged rows."""
+    if refs is None:
+        langs, words = _candidates(rows.select("lang", "text"), COMMON, REFERENCE_DOCS)
+        measured, forms = _measured(rows, words, passing_only)
+        refs = _gathered(langs, words, measured, forms, COMMON)
+    else:
+        measured, forms = _measured(rows, {lang: bins for lang, (_, bins, _) in refs.items()}, passing_only, tallied=False)
+    return _judged(measured, refs, forms, class_limit, word_limit)
+
+
 def judge(docs: DataFrame, refs: dict | None = None, class_limit: float = CLASS_LIMIT, word_limit: float = WORD_LIMIT,
           text: str = "text") -> DataFrame:
     """One row per document: ``doc_id``, the base counts, ``base_failed, kept`` and the two distances."""
-    refs = references(docs, text=text) if refs is None else refs
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.col(text).alias("text"))
-    found = staged(_judged(rows, refs, class_limit, word_limit), "judged")
+    rows = docs.select("lang", F.col(text).alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
+    found = staged(_all_steps(rows, refs, class_limit, word_limit, False), "judged")
     return _within_limits(found).select("doc_id", *NAMES)
 
 
 def keep_rows(docs: DataFrame, class_limit: float = CLASS_LIMIT, word_limit: float = WORD_LIMIT, text: str = "text") -> DataFrame:
-    """The documents, all columns, that the rules keep: judged where they are, without moving a text."""
+    """The documents, all columns, that the rules keep: judged where they are, without a shuffle of texts."""
     names = [f"_row_{i}" for i in range(len(docs.columns))]
-    rows = docs.select(F.lit(0).alias("_id"), F.col("lang").alias("_lang"), F.col(text).alias("_text"),
-                       *[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)])
-    kept = staged(_judged(rows, references(docs, text=text), class_limit, word_limit).filter("kept"), "judged")
+    rows = docs.select("lang", F.col(text).alias("text"), *[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)])
+    kept = _all_steps(rows, None, class_limit, word_limit, True).filter("kept")
     return _within_limits(kept).filter("kept").select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names)])
