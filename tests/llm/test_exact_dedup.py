@@ -86,3 +86,13 @@ def test_many_keys_against_the_plain_answer(spark):
     gone = rows.filter("doc_id % 3 = 0 and doc_id < 20000")
     after = X.update_index(index, rows.limit(0), gone)
     assert after.count() == 20_000 - gone.count()
+
+
+def test_a_key_added_often_holds_one_slot():
+    index = X.CuckooFilter(2)
+    for _ in range(50):
+        index.insert(12345)
+    assert sum(1 for x in index.table if x) == 1
+    for left in range(49, -1, -1):
+        assert index.contains(12345) and index.delete(12345)
+    assert not index.contains(12345) and not index.delete(12345)

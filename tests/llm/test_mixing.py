@@ -71,3 +71,15 @@ def test_rows_repeat(spark):
         if r["doc_id"] is not None and r["doc_id"] >= 100 and r["taken"] in (0, r["size"], 2 * r["size"]):
             assert taken.get(r["doc_id"], 0) * r["size"] == r["taken"]
     assert M.take_rows(docs.limit(0)).count() == 0 and M.mix(docs.limit(0)).count() == 0
+
+
+def test_null_text_has_no_words_without_ansi(spark):
+    from tidepool.llm.common import n_words
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(None,), ("",), (" a b\n",)], "text string").select(n_words(F.col("text")).alias("n"))
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        assert sorted(r["n"] for r in rows.collect()) == [0, 0, 2]
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")

@@ -37,5 +37,5 @@ def n_words(text: Column) -> Column:
     Blanks become spaces, every other character a letter ``x`` would need a scan
     per character; splitting on blank runs is the cheapest built-in form.
     """
-    clean = F.trim(F.translate(text, _BLANKS, " " * len(_BLANKS)))
+    clean = F.trim(F.translate(text_or_empty(text), _BLANKS, " " * len(_BLANKS)))
     return F.when(clean == "", F.lit(0)).otherwise(F.size(F.split(clean, " +"))).cast("long")

@@ -66,20 +66,19 @@ class CuckooFilter:
         return print_ in t[a * SLOTS:a * SLOTS + SLOTS] or print_ in t[b * SLOTS:b * SLOTS + SLOTS]
 
     def insert(self, key: int) -> None:
-        """Adds the key (again, if it is there); doubles the table if it finds no slot."""
+        """Adds the key, which has one slot however often it is added; doubles the table if it finds none."""
         self.keys[key] = self.keys.get(key, 0) + 1
-        if not self._place(key):
+        if self.keys[key] == 1 and not self._place(key):
             self._grow()
 
     def delete(self, key: int) -> bool:
-        """Gives back one slot of a key that was inserted; False if it was not."""
+        """Takes back one insertion of a key, with the last one its slot; False if it is not there."""
         left = self.keys.get(key, 0)
-        if not left:
-            return False
-        if left == 1:
-            del self.keys[key]
-        else:
+        if left > 1:
             self.keys[key] = left - 1
+        if left != 1:
+            return left > 1
+        del self.keys[key]
         print_, a, b = self._places(key)
         for bucket in (a, b):
             for i in range(bucket * SLOTS, bucket * SLOTS + SLOTS):
@@ -112,7 +111,7 @@ class CuckooFilter:
         buckets = (self.mask + 1) * 2
         while True:
             self._clear(buckets)
-            if all(self._place(k) for k, n in self.keys.items() for _ in range(n)):
+            if all(self._place(k) for k in self.keys):
                 return
             buckets *= 2
 

@@ -21,7 +21,6 @@ table gives an empty result; further columns of the input are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,10 +35,13 @@ LANDMARKS = 32
 RIDGE = 1e-2
 HELD_OUT = 2
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _MUL = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)]
 
 
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
 def presence(text: str) -> np.ndarray:
     """Which bins the n-grams of the whole text fall in."""
     points = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
@@ -59,7 +61,7 @@ def fold(doc_id: Column) -> Column:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [(r["lang"], r["h"], np.packbits(presence(r["text"])).tobytes())
-                for r in batch.to_pylist() if _LETTER.search(r["text"])]
+                for r in batch.to_pylist() if has_letter(r["text"])]
         lang, h, bits = zip(*rows) if rows else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(h, pa.int64()), pa.array(bits, pa.binary())],
                                          ["lang", "h", "bits"])
@@ -77,7 +79,8 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LA
     h = F.xxhash64(F.col("doc_id").cast("string"), F.lit("language"))
     share = {lang: min(1.0, 1.5 * per_language / n) for lang, n in counts.items()}
     limit = F.create_map(*[x for lang, s in share.items() for x in (F.lit(lang), F.lit(min(2 ** 63 - 1, int((2 * s - 1) * 2 ** 63))))])
-    picked = rows.withColumn("h", h).filter(F.col("h") <= limit[F.col("lang")]).select("lang", "h", "text")
+    picked = rows.withColumn("h", h).filter(F.col("h") <= limit[F.col("lang")])
+    picked = picked.groupBy("lang", "h").agg(F.min("text").alias("text"))   # a document that is repeated comes once
     by_lang: dict[str, list] = {}
     for r in sorted(picked.mapInArrow(_sets, "lang string, h long, bits binary").collect(), key=lambda r: (r["lang"], r["h"], r["bits"])):
         by_lang.setdefault(r["lang"], []).append(np.unpackbits(np.frombuffer(r["bits"], np.uint8)))
@@ -119,7 +122,7 @@ def _predict(model: dict | None):
                 part = batch.slice(at, 64)
                 texts = part.column(2).to_pylist()
                 out = [(UNKNOWN, 0.0)] * len(texts)
-                known = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if model else []
+                known = [i for i, t in enumerate(texts) if t and has_letter(t)] if model else []
                 if known:
                     for i, found in zip(known, scores([texts[i] for i in known])):
                         out[i] = found

@@ -87,13 +87,13 @@ def take_rows(docs: DataFrame, **options) -> DataFrame:
     size, where a last part counts as a whole document from one half on."""
     taken = staged(mix(docs, **options), "taken").filter("taken > 0").select(
         F.col("doc_id").alias("t_id"), F.col("source").alias("t_source"), F.col("size").alias("t_size"), "taken")
-    # Rows that repeat all three are alike for the mix: their copies are shared out in any order.
+    # Rows that repeat all three are alike for the mix: their copies are shared out in the order of their texts' digests.
     alike = Window.partitionBy("t_id", "t_source", "t_size").orderBy(F.desc("taken"))
     taken = taken.withColumn("t_nth", F.row_number().over(alike))
     row = docs.select(F.col("doc_id").alias("r_id"), F.col("source").alias("r_source"),
                       F.coalesce(n_words(F.col(options.get("text", "text"))), F.lit(0).cast("long")).alias("r_size"),
-                      F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    row = row.withColumn("r_nth", F.row_number().over(Window.partitionBy("r_id", "r_source", "r_size").orderBy(F.lit(1))))
+                      F.xxhash64(F.col(options.get("text", "text"))).alias("r_digest"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    row = row.withColumn("r_nth", F.row_number().over(Window.partitionBy("r_id", "r_source", "r_size").orderBy("r_digest")))
     same = (F.col("r_id").eqNullSafe(F.col("t_id")) & F.col("r_source").eqNullSafe(F.col("t_source"))
             & (F.col("r_size") == F.col("t_size")) & (F.col("r_nth") == F.col("t_nth")))
     copies = F.floor(F.col("taken") / F.col("t_size") + 0.5).cast("int")
