@@ -271,39 +271,3 @@ def test_late_reading_does_not_move_last_seen_back():
         pdf = pd.DataFrame({"ts": pd.to_datetime(["2024-01-01 " + t for t in times]), "seq": [n]})
         out += [r for f in fn(("d",), iter([pdf]), state) for r in f.to_dict("records")]
     assert [str(r["inactive_since"]) for r in out] == ["2024-01-01 11:00:40"]
-
-
-def test_stream_state_must_be_complete(spark):
-    from tidepool.session import scratch_dir
-    from tidepool.streaming import incremental as SI
-
-    base = scratch_dir(spark, "state-test")
-    spark.createDataFrame([(1, 5)], "bucket int, version long").write.parquet(f"{base}/index/v=4")
-    spark.range(3).write.parquet(f"{base}/data/v=5/bucket=1")
-    spark.range(9).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{base}/index/v=6")
-    assert SI.latest_state(spark, base).count() == 3          # the unfinished index does not count
-    with pytest.raises(FileNotFoundError):
-        SI._index(spark, base, 6)
-
-
-def test_stream_rewrites_touched_buckets_only(spark):
-    """Many keys: a batch that holds one key leaves the other buckets' files alone."""
-    import os
-
-    from tidepool.session import scratch_dir
-    from tidepool.streaming import incremental as SI
-    from tidepool.streaming import replay as SR
-
-    base = scratch_dir(spark, "touched").removeprefix("file:")
-    r = spark.range(400).select((F.col("id") % 200).cast("string").alias("device_id"), F.lit("t").alias("data_type"),
-                                F.timestamp_seconds(F.col("id")).alias("ts"), F.col("id").alias("seq"), F.col("id").cast("double").alias("value"))
-    late = r.filter("device_id = '7'").withColumn("ts", F.col("ts") + F.expr("interval 30 days")).withColumn("seq", F.col("seq") + 1000)
-    SR.replay_files(r.unionByName(late), f"{base}/source")
-    SR.run_available_now(lambda: SI.start_metrics_stream(SR.read_replay(spark, f"{base}/source", r.schema), f"{base}/out",
-                                                         f"{base}/state", f"{base}/checkpoint"))
-    data = f"{base}/state/data"
-    first, second = (sorted(d for d in os.listdir(f"{data}/v={v}") if d.startswith("bucket=")) for v in (0, 1))
-    assert len(first) == SI.BUCKETS and len(second) == 1
-    out = spark.read.parquet(f"{base}/out")
-    assert out.count() == 402 and out.agg(F.max("history_size")).first()[0] == 4
-    assert SI.latest_state(spark, f"{base}/state").count() == 402

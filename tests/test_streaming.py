@@ -9,7 +9,9 @@ from tidepool.plans import fixtures as FX
 from tidepool.session import scratch_dir
 from tidepool.sources.history import write_batch
 from tidepool.streaming import replay as SR
-from tidepool.streaming import validation as SV
+from tidepool.streaming import commits as SC
+from tidepool.streaming import tails as TL
+from tidepool.streaming import windows as SW
 
 COLS = ["seq", "cleaned_value", "was_modified", "history_size", "type_average"]
 
@@ -27,18 +29,21 @@ def test_validation_stream_resumes_from_checkpoint(spark):
 
     def run():
         s = SR.read_replay(spark, f"{base}/source", r.schema)
-        SR.run_available_now(lambda: SV.start_validation_stream(
-            s, f"{base}/out", f"{base}/state", f"{base}/checkpoint", rules=FX.FIXTURE_RULES))
+        SR.run_available_now(lambda: TL.start_validation_stream(s, f"{base}/tables", f"{base}/checkpoint", rules=FX.FIXTURE_RULES))
 
     run()
-    first = spark.read.parquet(f"{base}/out").count()
+    first = spark.read.parquet(f"{base}/tables/validated").count()
     # more data arrives; the query restarts from its checkpoint and state
     SR.replay_files(r.filter(F.col("ts") >= split), f"{base}/source", chunk_seconds=7 * 86400)
     run()
-    got = spark.read.parquet(f"{base}/out")
+    got = spark.read.parquet(f"{base}/tables/validated")
     assert 0 < first < got.count() == r.count()
     expected = V.validate_readings(r, rules=FX.FIXTURE_RULES)
     assert _rows(got) == _rows(expected)
+    # the pools carried along are the sums of the histories, to the last digit
+    pools = {r["data_type"]: (r["pool_sum"], r["pool_values"]) for r in TL.pool_averages(spark, f"{base}/tables").collect()}
+    whole = {r["data_type"]: (r["pool_sum"], r["pool_values"]) for r in V.type_averages(FX.readings(spark, SF_SMALL, with_nan=True), rules=FX.FIXTURE_RULES).collect()}
+    assert pools == whole
 
 
 def test_batch_write_is_idempotent(spark):
@@ -54,7 +59,6 @@ def test_batch_write_is_idempotent(spark):
 
 def test_metrics_stream_resumes_from_checkpoint(spark):
     from tidepool.operators import metrics as M
-    from tidepool.streaming import incremental as SI
 
     r = FX.readings(spark, SF_SMALL)
     base = scratch_dir(spark, "test-resume-metrics")
@@ -63,14 +67,13 @@ def test_metrics_stream_resumes_from_checkpoint(spark):
 
     def run():
         s = SR.read_replay(spark, f"{base}/source", r.schema)
-        SR.run_available_now(lambda: SI.start_metrics_stream(s, f"{base}/out", f"{base}/state",
-                                                             f"{base}/checkpoint"))
+        SR.run_available_now(lambda: TL.start_metrics_stream(s, f"{base}/tables", f"{base}/checkpoint"))
 
     run()
     SR.replay_files(r.filter(F.col("ts") >= split), f"{base}/source", chunk_seconds=7 * 86400)
     run()
     cols = ["seq", "history_size", "average_value", "variance", "trend_coefficient", "normalized_value"]
-    got = spark.read.parquet(f"{base}/out").select(*cols)
+    got = spark.read.parquet(f"{base}/tables/metrics").select(*cols)
     exp = M.rolling_metrics(r).select(*cols)
 
     def rows(df):
@@ -78,3 +81,109 @@ def test_metrics_stream_resumes_from_checkpoint(spark):
 
     assert got.count() == r.count()
     assert rows(got) == rows(exp)
+
+
+READING = "device_id string, data_type string, gateway_id string, value double, ts timestamp, seq long"
+
+
+def _reading(spark, *rows):
+    return spark.createDataFrame(rows, "device_id string, data_type string, gateway_id string, value double, t string, seq long").select(
+        "device_id", "data_type", "gateway_id", "value", F.to_timestamp("t").alias("ts"), "seq")
+
+
+def test_tails_of_null_keys_and_times(spark):
+    """History rows of NULL keys and of readings without a time come back from the state."""
+    base = scratch_dir(spark, "test-null-tails")
+    first = _reading(spark, (None, "t", "g", 1.0, None, 0), ("d", None, "g", 2.0, "2024-01-01 00:00:01", 1), ("d", "t", "g", 3.0, None, 2))
+    second = _reading(spark, (None, "t", "g", 4.0, "2024-01-02 00:00:00", 3), ("d", None, "g", 5.0, "2024-01-02 00:00:00", 4),
+                      ("d", "t", "g", 6.0, "2024-01-02 00:00:00", 5), ("new", "t", "g", float("nan"), "2024-01-02 00:00:00", 6))
+    for part in (first, second):
+        part.coalesce(1).write.mode("append").parquet(f"{base}/source")
+    s = SR.read_replay(spark, f"{base}/source", READING)
+    SR.run_available_now(lambda: TL.start_validation_stream(s, f"{base}/tables", f"{base}/checkpoint", rules=[]))
+    got = {r["seq"]: (r["history_size"], r["cleaned_value"]) for r in spark.read.parquet(f"{base}/tables/validated").collect()}
+    assert got[3] == (1, 4.0) and got[4] == (1, 5.0) and got[5] == (1, 6.0)
+    assert got[6] == (0, (1.0 + 3.0 + 4.0 + 6.0) / 4)          # the live average over all devices of the type
+
+
+def test_history_rule_across_batches(spark):
+    """100 kept values, then one that is not: the history has 99 from then on, also after the batch ends."""
+    base = scratch_dir(spark, "test-evict")
+    rows = [("d", "t", "g", float(i % 7), f"2024-01-01 00:{i // 60:02}:{i % 60:02}", i) for i in range(100)]
+    rows += [("d", "t", "g", float("inf"), "2024-01-01 01:00:00", 100)]
+    later = [("d", "t", "g", 1.0, "2024-01-01 02:00:00", 101), ("d", "t", "g", 2.0, "2024-01-01 02:00:01", 102)]
+    for part in (rows[:60], rows[60:], later):
+        _reading(spark, *part).coalesce(1).write.mode("append").parquet(f"{base}/source")
+    s = SR.read_replay(spark, f"{base}/source", READING)
+    SR.run_available_now(lambda: TL.start_validation_stream(s, f"{base}/tables", f"{base}/checkpoint", rules=[]))
+    got = {r["seq"]: r["history_size"] for r in spark.read.parquet(f"{base}/tables/validated").collect()}
+    want = {r["seq"]: r["history_size"] for r in V.validate_readings(_reading(spark, *rows, *later), rules=[]).collect()}
+    assert got == want and got[101] == 99 and got[102] == 100
+
+
+def test_late_readings_are_counted_and_kept(spark):
+    base = scratch_dir(spark, "test-late")
+    files = [[("d", "t", "g", 1.0, "2024-01-01 00:00:01", 0), ("d", "t", "g", 2.0, "2024-01-01 00:10:00", 1)],
+             [("d", "t", "g", 4.0, "2024-01-01 00:10:02", 2)],
+             [("d", "t", "g", 8.0, "2024-01-01 00:00:02", 3), ("d", "t", "g", 16.0, "2024-01-01 00:11:00", 4)]]
+    for rows in files:
+        _reading(spark, *rows).coalesce(1).write.mode("append").parquet(f"{base}/source")
+    sums = SW.interval_sums("1 minute")
+    s = SR.read_replay(spark, f"{base}/source", READING)
+    SR.run_available_now(lambda: SW.start_window_sums(s, sums, f"{base}/tables", f"{base}/checkpoint"))
+
+    def got():
+        return sorted((str(r["interval_start"])[11:16], r["total"], r["items"], r["late_items"]) for r in SW.window_sums(spark, f"{base}/tables", sums).collect())
+
+    want = [("00:00", 9, 2, 1), ("00:10", 6, 2, 0), ("00:11", 16, 1, 0)]
+    assert got() == want
+    assert [r["seq"] for r in SW.late_readings(spark, f"{base}/tables", READING).collect()] == [3]
+    # folding changes no sum, and batches after it add to it
+    assert SW.fold_window_sums(spark, f"{base}/tables", sums) == 2 and got() == want
+    _reading(spark, ("d", "t", "g", 32.0, "2024-01-01 00:00:03", 5)).coalesce(1).write.mode("append").parquet(f"{base}/source")
+    SR.run_available_now(lambda: SW.start_window_sums(s, sums, f"{base}/tables", f"{base}/checkpoint"))
+    assert got() == [("00:00", 41, 3, 2), *want[1:]]
+    assert SW.fold_window_sums(spark, f"{base}/tables", sums) == 3 and got() == [("00:00", 41, 3, 2), *want[1:]]
+
+
+def test_a_batch_killed_between_its_writes_is_invisible(spark):
+    """All tables of a batch appear with its commit, and a retry completes them without duplicates."""
+    root = scratch_dir(spark, "test-commits")
+    one, two = spark.range(3).toDF("a"), spark.range(5).toDF("b")
+    SC.write_together(spark, root, 0, {"one": one, "two": two})
+
+    class Killed(Exception):
+        pass
+
+    class Broken(dict):
+        def items(self):
+            yield "one", one
+            raise Killed            # after the first table of the batch was written
+
+    try:
+        SC.write_together(spark, root, 1, Broken())
+    except Killed:
+        pass
+    assert spark.read.parquet(f"{root}/one").count() == 6           # the files are there
+    for table, schema, rows in (("one", "a long", 3), ("two", "b long", 5)):
+        assert SC.read_committed(spark, root, table, schema).count() == rows
+    SC.write_together(spark, root, 1, {"one": one, "two": two})
+    SC.write_together(spark, root, 1, {"one": one, "two": two})
+    assert SC.last_commit(spark, root) == 1
+    assert SC.read_committed(spark, root, "one", "a long").count() == 6 and SC.read_committed(spark, root, "two", "b long").count() == 10
+    assert SC.read_committed(spark, root, "none", "c long").count() == 0
+
+
+def test_folding_keeps_the_last_row_of_a_key(spark):
+    root = scratch_dir(spark, "test-fold")
+    schema, merge = "id string, at long, v long", SC.latest(["id"], "at")
+    for n, rows in enumerate(([("a", 1, 1), ("b", 1, 1)], [("a", 3, 3)], [("a", 2, 2), (None, 1, 9)])):
+        SC.write_together(spark, root, n, {"t": spark.createDataFrame(rows, schema)})
+
+    def got():
+        return sorted(map(repr, map(tuple, SC.read_merged(spark, root, "t", schema, merge).collect())))
+
+    want = sorted(map(repr, [("a", 3, 3), ("b", 1, 1), (None, 1, 9)]))
+    assert got() == want and SC.fold(spark, root, "t", schema, merge) == 2 and got() == want
+    SC.write_together(spark, root, 3, {"t": spark.createDataFrame([("b", 5, 5)], schema)})
+    assert got() == sorted(map(repr, [("a", 3, 3), ("b", 5, 5), (None, 1, 9)]))

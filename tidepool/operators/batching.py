@@ -28,13 +28,14 @@ def interval_sum(df: DataFrame, interval: str = DEVICE_INTERVAL,
 
 def batch_by_type(df: DataFrame, interval: str = GATEWAY_FLUSH, gateway: str = "gateway_id",
                   type_col: str = "data_type", value: str = "value",
-                  time_col: str = "ts") -> DataFrame:
+                  time_col: str = "ts", extra: Sequence[str] = ()) -> DataFrame:
     """A2 + F5 (summary form): one row per (gateway, flush interval, type) that
-    has items -- empty types and empty batches are never produced."""
+    has items -- empty types and empty batches are never produced.  ``extra`` columns
+    divide the groups further."""
     w = F.window(F.col(time_col).cast("timestamp"), interval)
-    return (df.groupBy(gateway, w.alias("flush"), type_col)
+    return (df.groupBy(gateway, w.alias("flush"), type_col, *extra)
               .agg(F.count(F.lit(1)).alias("items"), F.sum(F.col(value)).alias("value_sum"))
-              .select(gateway, F.col("flush.start").alias("flush_start"), type_col, "items",
+              .select(gateway, F.col("flush.start").alias("flush_start"), type_col, *extra, "items",
                       "value_sum"))
 
 

@@ -44,6 +44,15 @@ from tidepool.schema import (ANOMALY_SIGMAS, DEFAULT_RULES, HISTORY_SIZE, MIN_AN
 KEYS = ("device_id", "data_type")
 ORDER = ("ts", "seq")
 TYPE_BUCKET_SECONDS = 60
+# Sums of values over devices: whole multiples of 1e-15, so that they are exact and do not
+# depend on the order of rows.  Values of 1e22 and more in size add nothing to them.
+EXACT_SCALE = 15
+EXACT = f"decimal(37,{EXACT_SCALE})"
+LARGEST = 1e22
+
+
+def exact(c: Column) -> Column:
+    return F.when(F.abs(c) < LARGEST, c.cast(EXACT)).otherwise(F.lit(0).cast(EXACT))
 
 
 def attach_rules(df: DataFrame, rules=None, type_col: str = "data_type") -> DataFrame:
@@ -58,6 +67,8 @@ def attach_rules(df: DataFrame, rules=None, type_col: str = "data_type") -> Data
     if isinstance(rules, DataFrame):
         r = rules.select(F.col("data_type").alias("_rt"), "min_value", "max_value")
         return (df.join(r, F.col(type_col) == F.col("_rt"), "left").drop("_rt"))
+    if not rules:
+        return df.withColumn("min_value", F.lit(None).cast("double")).withColumn("max_value", F.lit(None).cast("double"))
     lo = F.create_map(*[x for t, a, _ in rules for x in (F.lit(t), F.lit(float(a)))])
     hi = F.create_map(*[x for t, _, b in rules for x in (F.lit(t), F.lit(float(b)))])
     return (df.withColumn("min_value", lo[F.col(type_col)])
@@ -150,8 +161,9 @@ def history_statistics(
     # Live cross-device average per type: signed deltas of the history pool.
     keep = F.col("_keep") == 1
     evict = full
-    j = (j.withColumn("_dsum", F.when(keep, v).otherwise(F.lit(0.0)) -
-                      F.when(evict, F.col("_oldest")).otherwise(F.lit(0.0)))
+    zero = F.lit(0).cast(EXACT)
+    j = (j.withColumn("_dsum", (F.when(keep, exact(v)).otherwise(zero) -
+                                F.when(evict, exact(F.col("_oldest"))).otherwise(zero)).cast(EXACT))
           .withColumn("_dn", keep.cast("long") - evict.cast("long")))
     drop = ["_pos", "_u", "_snap_pos", "_n_full", "_m_full", "_s_full", "_m_short",
             "_s_short", "_oldest"] + ([] if internals else ["_keep", "_c"])
@@ -196,10 +208,10 @@ def validate_readings(
         off = pool_offset.select(F.col(type_col).alias("_otype"), F.col("pool_sum").alias("_osum"),
                                  F.col("pool_values").alias("_on"))
         typed = (typed.join(off, F.col(type_col).eqNullSafe(F.col("_otype")), "left").drop("_otype")
-                      .withColumn("_dsum_before", F.col("_dsum_before") + F.coalesce("_osum", F.lit(0.0)))
+                      .withColumn("_dsum_before", F.col("_dsum_before").cast(EXACT) + F.coalesce("_osum", F.lit(0).cast(EXACT)))
                       .withColumn("_dn_before", F.col("_dn_before") + F.coalesce("_on", F.lit(0)))
                       .drop("_osum", "_on"))
-    avg = F.when(F.col("_dn_before") > 0, F.col("_dsum_before") / F.col("_dn_before"))
+    avg = F.when(F.col("_dn_before") > 0, F.col("_dsum_before").cast("double") / F.col("_dn_before"))
     out = (typed.withColumn("type_average", avg)
                 .withColumn("original_value", v)
                 .withColumn("cleaned_value",
@@ -277,4 +289,4 @@ def type_averages(df: DataFrame, rules=None, keys: Sequence[str] = KEYS, **kw) -
     g = core.groupBy(type_col).agg(F.sum("_dsum").alias("pool_sum"),
                                    F.sum("_dn").alias("pool_values"))
     return g.withColumn("type_average",
-                        F.when(F.col("pool_values") > 0, F.col("pool_sum") / F.col("pool_values")))
+                        F.when(F.col("pool_values") > 0, F.col("pool_sum").cast("double") / F.col("pool_values")))

@@ -25,11 +25,11 @@ from tidepool.session import scratch_dir
 from tidepool.sources import decode as D
 from tidepool.sources import encode as EN
 from tidepool.sources import history as H
-from tidepool.streaming import incremental as SI
+from tidepool.streaming import commits as SC
 from tidepool.streaming import replay as SR
 from tidepool.streaming import sinks as SS
 from tidepool.streaming import stateful as ST
-from tidepool.streaming import validation as SV
+from tidepool.streaming import tails as TL
 from tidepool.streaming import windows as SW
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -666,6 +666,17 @@ def _run_updates(spark, sdf, base, keys):
     return SS.latest_updates(spark.read.parquet(f"{base}/out"), keys)
 
 
+def _written(spark, base, name):
+    """All rows of a table that a finished stream wrote."""
+    schema = spark.read.parquet(f"{base}/tables/{name}").drop("stream_batch").schema
+    return SC.read_committed(spark, f"{base}/tables", name, schema)
+
+
+def _run_window_sums(spark, sdf, base, sums):
+    SR.run_available_now(lambda: SW.start_window_sums(sdf, sums, f"{base}/tables", f"{base}/checkpoint"))
+    return SW.window_sums(spark, f"{base}/tables", sums)
+
+
 @query("stream_presence")
 def q_stream_presence(spark, sf_dir):
     """The current connection state per device, kept by a stream."""
@@ -681,7 +692,7 @@ def q_stream_presence(spark, sf_dir):
 def q_stream_flush(spark, sf_dir):
     """30 s gateway flush on a stream; equals the batch result."""
     base, s = _stream_source(spark, sf_dir, "stream-flush")
-    out = _run_updates(spark, SW.stream_flush(s), base, ["gateway_id", "flush_start", "data_type"])
+    out = _run_window_sums(spark, s, base, SW.flush_sums())
     return out.select("gateway_id", ntz("flush_start"), "data_type",
                       F.col("items").cast("long").alias("items"), rnd("value_sum").alias("value_sum"))
 
@@ -690,12 +701,24 @@ def q_stream_flush(spark, sf_dir):
 def q_stream_interval_sum(spark, sf_dir):
     """Interval sums on a stream (1 hour on this sparse table)."""
     base, s = _stream_source(spark, sf_dir, "stream-interval")
-    out = _run_updates(spark, SW.stream_interval_sum(s, interval="1 hour"), base,
-                       ["device_id", "data_type", "interval_start", "interval_end"])
+    out = _run_window_sums(spark, s, base, SW.interval_sums("1 hour"))
     return out.select("device_id", "data_type", ntz("interval_start"), ntz("interval_end"),
                       F.col("total").cast("long").alias("total"), F.col("items").cast("long").alias("items"))
 
 
+@query("stream_late")
+def q_stream_late(spark, sf_dir):
+    """T2 where every seventh reading comes after all others: nothing is lost, and the items whose
+    interval had ended are told apart."""
+    base = scratch_dir(spark, "stream-late")
+    r = FX.readings(spark, sf_dir)
+    SR.replay_files(r.filter(F.col("seq") % 7 != 0), f"{base}/source")
+    r.filter(F.col("seq") % 7 == 0).coalesce(1).write.mode("append").parquet(f"{base}/source")
+    out = _run_window_sums(spark, SR.read_replay(spark, f"{base}/source", r.schema), base, SW.interval_sums("1 hour"))
+    return out.select("device_id", "data_type", ntz("interval_start"), ntz("interval_end"), F.col("total").cast("long").alias("total"),
+                      F.col("items").cast("long").alias("items"), F.col("late_items").cast("long").alias("late_items"))
+
+
 @query("stream_metrics")
 def q_stream_metrics(spark, sf_dir):
     """Rolling metrics with bounded keyed state (last 100 values)."""
@@ -706,19 +729,13 @@ def q_stream_metrics(spark, sf_dir):
                       *[rnd(c).alias(c) for c in M.METRIC_COLUMNS])
 
 
-def _validation_stream(spark, sf_dir):
-    base, s = _stream_source(spark, sf_dir, "stream-validate", with_nan=True)
-    SR.run_available_now(lambda: SV.start_validation_stream(
-        s, f"{base}/out", f"{base}/state", f"{base}/checkpoint", rules=FX.FIXTURE_RULES))
-    return base
-
-
 @query("stream_validate")
 def q_stream_validate(spark, sf_dir):
     """T4: validation with the valid-only history and non-finite replacement
     on a stream, micro-batch by micro-batch; equals the batch result."""
-    base = _validation_stream(spark, sf_dir)
-    v = spark.read.parquet(f"{base}/out")
+    base, s = _stream_source(spark, sf_dir, "stream-validate", with_nan=True)
+    SR.run_available_now(lambda: TL.start_validation_stream(s, f"{base}/tables", f"{base}/checkpoint", rules=FX.FIXTURE_RULES))
+    v = _written(spark, base, TL.VALIDATED)
     return v.select("device_id", "data_type", "seq", "original_value",
                     rnd("cleaned_value").alias("cleaned_value"), "was_modified",
                     "validation_message", rnd("type_average").alias("type_average"))
@@ -726,9 +743,10 @@ def q_stream_validate(spark, sf_dir):
 
 @query("stream_type_average")
 def q_stream_type_average(spark, sf_dir):
-    """T5: the per-type pool average held by the stream's state at the end."""
-    base = _validation_stream(spark, sf_dir)
-    a = SV.pool_averages(SV.latest_histories(spark, f"{base}/state"))
+    """T5: the per-type average over the histories that the stream's state holds at the end."""
+    base, s = _stream_source(spark, sf_dir, "stream-pools", with_nan=True)
+    SR.run_available_now(lambda: TL.start_pool_stream(s, f"{base}/tables", f"{base}/checkpoint", rules=FX.FIXTURE_RULES))
+    a = TL.pool_averages(spark, f"{base}/tables")
     return a.select("data_type", F.col("pool_values").cast("long").alias("pool_values"),
                     rnd("pool_sum").alias("pool_sum"), rnd("type_average").alias("type_average"))
 
@@ -815,12 +833,11 @@ def q_topic_prefix_gate(spark, sf_dir):
 
 @query("stream_metrics_batched")
 def q_stream_metrics_batched(spark, sf_dir):
-    """T3 without per-key grouping: each micro-batch runs the skew-safe batch
+    """T3 without per-key grouping of readings: each micro-batch runs the skew-safe batch
     plan over its rows plus the last 99 values of the keys it touches."""
     base, s = _stream_source(spark, sf_dir, "stream-metrics-batched")
-    SR.run_available_now(lambda: SI.start_metrics_stream(s, f"{base}/out", f"{base}/state",
-                                                         f"{base}/checkpoint"))
-    out = spark.read.parquet(f"{base}/out")
+    SR.run_available_now(lambda: TL.start_metrics_stream(s, f"{base}/tables", f"{base}/checkpoint"))
+    out = _written(spark, base, TL.METRICS)
     return out.select("device_id", "data_type", "seq", ntz("ts"), F.col("value").alias("original_value"),
                       F.col("history_size").cast("long").alias("history_size"),
                       *[rnd(c).alias(c) for c in M.METRIC_COLUMNS])

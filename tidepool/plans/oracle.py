@@ -513,6 +513,14 @@ FROM readings"""
 # Streams: the same statements as the batch twins.
 ORACLE["stream_flush"] = ORACLE["batch_by_type"]
 ORACLE["stream_interval_sum"] = ORACLE["interval_sum"]
+ORACLE["stream_late"] = f"""
+WITH {READINGS},
+w AS (SELECT *, time_bucket(INTERVAL 1 HOUR, ts) AS interval_start FROM readings),
+newest AS (SELECT max(ts) AS t FROM readings WHERE seq % 7 <> 0)
+SELECT device_id, data_type, interval_start, interval_start + INTERVAL 1 HOUR AS interval_end,
+       CAST(sum(CAST(trunc(value) AS BIGINT)) AS BIGINT) AS total, count(*) AS items,
+       count(*) FILTER (seq % 7 = 0 AND interval_start + INTERVAL 1 HOUR <= t - INTERVAL 1 MINUTE) AS late_items
+FROM w, newest GROUP BY device_id, data_type, interval_start"""
 ORACLE["stream_presence"] = ORACLE["presence"]
 ORACLE["stream_metrics"] = ORACLE["rolling_metrics"]
 ORACLE["stream_validate"] = ORACLE["replace_nonfinite"]

@@ -31,6 +31,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 from pyspark.sql.window import WindowSpec
 
 UNBOUNDED = Window.unboundedPreceding
@@ -97,7 +98,11 @@ def keyed_positions(
     out = local.join(offsets, on=["_key", "_bkt"], how="inner")
     out = out.withColumn(index_col, (F.col("_off") + F.col("_rn") - 1).cast("long"))
     for s in sums:
-        out = out.withColumn(f"{s}_before", F.col(f"_os_{s}") + F.col(f"_ls_{s}"))
+        parts = [F.col(f"_os_{s}"), F.col(f"_ls_{s}")]
+        if isinstance(kind := df.schema[s].dataType, DecimalType):
+            # one digit less, so that the sum keeps the scale
+            parts = [p.cast(DecimalType(37, kind.scale)) for p in parts]
+        out = out.withColumn(f"{s}_before", parts[0] + parts[1])
     drop = ["_key", "_bkt", "_rn", "_off"] + [f"_os_{s}" for s in sums] + [f"_ls_{s}" for s in sums]
     return out.drop(*drop)
 

@@ -1,45 +1,101 @@
-"""T1 gateway flush and T2 device interval sums as watermarked tumbling
-windows, and T6 presence as the last event per device.
+"""T1 gateway flush and T2 device interval sums on a stream, and T6 presence as the last
+event per device.
 
-All three run in update mode: every micro-batch writes the groups it changed,
-keyed by the group, and a reader takes the last version of each
-(``sinks.start_keyed_updates`` / ``latest_updates``).  So windows that are still
-open when the input ends are not lost.  The watermark only bounds the state:
-readings that come after it are not counted, so choose it above the expected
-delay."""
+Sums and counts of a window can be added up, so a micro-batch needs no state of the
+windows before it: it writes the sums of its own rows, aggregated map-side, under its batch
+number (``commits``), and a reader adds up what the batches wrote.  No reading is dropped, however late it
+comes.  A reading whose window had ended, by the allowed ``delay``, behind the newest time of
+the batches before is *late*: it counts in ``late_items`` of its window as well, and
+goes to the table ``late`` as it is, so that receivers of a window that was already sent can be
+told.  ``fold_window_sums`` merges what has piled up to one row per window.
+
+T6 runs in update mode: every micro-batch writes the devices it changed, and a reader takes
+the last version of each (``sinks.start_keyed_updates`` / ``latest_updates``).
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import partial
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidepool.operators import batching as B
 from tidepool.schema import DEVICE_INTERVAL, GATEWAY_FLUSH
+from tidepool.streaming import commits as C
+
+DEFAULT_DELAY = "1 minute"
+SUMS, LATE, PROGRESS = "sums", "late", "progress"
+PROGRESS_SCHEMA = "newest timestamp"
+
 
-DEFAULT_WATERMARK = "1 minute"
+class WindowSums(NamedTuple):
+    """Sums per window: ``aggregate`` groups by ``keys`` and the column ``late`` and adds the ``sums``."""
 
+    aggregate: Callable[[DataFrame], DataFrame]
+    interval: str
+    schema: str
+    keys: tuple[str, ...]
+    sums: tuple[str, ...]
 
-def stream_flush(readings: DataFrame, interval: str = GATEWAY_FLUSH, watermark: str = DEFAULT_WATERMARK,
-                 gateway: str = "gateway_id", type_col: str = "data_type", value: str = "value",
-                 time_col: str = "ts") -> DataFrame:
+
+def flush_sums(interval: str = GATEWAY_FLUSH) -> WindowSums:
     """Items and value sum per (gateway, flush interval, type)."""
-    s = readings.withColumn(time_col, F.col(time_col).cast("timestamp")).withWatermark(time_col, watermark)
-    return (s.groupBy(gateway, F.window(time_col, interval).alias("flush"), type_col)
-             .agg(F.count(F.lit(1)).alias("items"), F.sum(F.col(value)).alias("value_sum"))
-             .select(gateway, F.col("flush.start").alias("flush_start"), type_col, "items", "value_sum"))
+    return WindowSums(partial(B.batch_by_type, interval=interval, extra=("late",)), interval,
+                      "gateway_id string, flush_start timestamp, data_type string, late boolean, items long, value_sum double",
+                      ("gateway_id", "flush_start", "data_type"), ("items", "value_sum"))
 
 
-def stream_interval_sum(readings: DataFrame, interval: str = DEVICE_INTERVAL,
-                        watermark: str = DEFAULT_WATERMARK,
-                        keys: Sequence[str] = ("device_id", "data_type"), value: str = "value",
-                        time_col: str = "ts") -> DataFrame:
+def interval_sums(interval: str = DEVICE_INTERVAL) -> WindowSums:
     """Per device, type and interval the sum of truncated values."""
-    s = readings.withColumn(time_col, F.col(time_col).cast("timestamp")).withWatermark(time_col, watermark)
-    return (s.groupBy(*keys, F.window(time_col, interval).alias("interval"))
-             .agg(F.coalesce(F.sum(F.col(value).try_cast("long")), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("items"))
-             .select(*keys, F.col("interval.start").alias("interval_start"),
-                     F.col("interval.end").alias("interval_end"), "total", "items"))
+    return WindowSums(partial(B.interval_sum, interval=interval, keys=("device_id", "data_type", "late")), interval,
+                      "device_id string, data_type string, late boolean, interval_start timestamp, interval_end timestamp, total long, items long",
+                      ("device_id", "data_type", "interval_start", "interval_end"), ("total", "items"))
+
+
+def newest_before(spark: SparkSession, root: str, batch_id: int):
+    """Newest time of the batches before this one, or None; each batch carries it on."""
+    rows = C.read_committed(spark, root, PROGRESS, PROGRESS_SCHEMA, batch_id - 2, batch_id - 1)
+    return rows.agg(F.max("newest")).first()[0]
+
+
+def start_window_sums(readings: DataFrame, sums: WindowSums, root: str, checkpoint: str, delay: str = DEFAULT_DELAY,
+                      time_col: str = "ts", available_now: bool = True):
+    """Start the stream; read the result with ``window_sums``."""
+    at = F.col(time_col).cast("timestamp")
+
+    def tables(batch: DataFrame, batch_id: int) -> dict[str, DataFrame]:
+        newest = newest_before(batch.sparkSession, root, batch_id)
+        ended = F.lit(False) if newest is None else F.coalesce(F.window(at, sums.interval)["end"] <= F.lit(newest) - F.expr(f"INTERVAL {delay}"), F.lit(False))
+        marked = batch.withColumn("late", ended)
+        return {SUMS: sums.aggregate(marked), LATE: marked.filter("late").drop("late"), PROGRESS: batch.agg(F.greatest(F.max(at), F.lit(newest).cast("timestamp")).alias("newest"))}
+
+    return C.start_together(readings, root, checkpoint, tables, available_now)
+
+
+def _added(sums: WindowSums) -> C.Merge:
+    def merge(df: DataFrame) -> DataFrame:
+        return df.groupBy(*sums.keys, "late").agg(*[F.sum(c).alias(c) for c in sums.sums]).select(*df.columns)
+
+    return merge
+
+
+def window_sums(spark: SparkSession, root: str, sums: WindowSums) -> DataFrame:
+    """The sums of every window over all committed batches, with the number of its late items."""
+    rows = C.read_merged(spark, root, SUMS, sums.schema, _added(sums))
+    return rows.groupBy(*sums.keys).agg(*[F.sum(c).alias(c) for c in sums.sums],
+                                        F.sum(F.when(F.col("late"), F.col("items")).otherwise(0)).alias("late_items"))
+
+
+def fold_window_sums(spark: SparkSession, root: str, sums: WindowSums) -> int:
+    return C.fold(spark, root, SUMS, sums.schema, _added(sums))
+
+
+def late_readings(spark: SparkSession, root: str, schema) -> DataFrame:
+    """The readings that came after their window had ended."""
+    return C.read_committed(spark, root, LATE, schema).drop("stream_batch")
 
 
 def stream_presence(events: DataFrame, device: str = "device_id", kind: str = "kind", time_col: str = "ts") -> DataFrame:
