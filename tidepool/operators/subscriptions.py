@@ -8,10 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidepool.plans.windows import DEFAULT_BUCKET_SECONDS, time_bucket
 from tidepool.schema import DEFAULT_SUBSCRIPTIONS
 
 SUBSCRIBE = "subscribe"
@@ -78,46 +77,71 @@ def publish_messages(readings: DataFrame, payload_col: str, fmt_col: str,
                            F.concat(F.col(fmt_col), F.lit(":"), F.col(payload_col)).alias("message"))
 
 
+# Actions whose pieces (see ``subscription_gate``) are sent to every task, and time buckets they are cut at.
+BROADCAST_ACTIONS = 100_000
+GATE_BUCKETS = 1000
+
+
+def action_spans(control: DataFrame, type_col: str = "data_type", time_col: str = "ts") -> DataFrame:
+    """Actions folded to ``type, from_ts, to_ts, action``: each holds until the next one of its type
+    (of actions at one time the last by ``seq``); the last one has no end.  NULL times come first."""
+    at = F.col(time_col).cast("timestamp")
+    last = control.groupBy(F.col(type_col).alias("type"), at.alias("from_ts")).agg(F.max_by("action", "seq").alias("action"))
+    order = Window.partitionBy("type").orderBy("from_ts")
+    return last.withColumn("to_ts", F.lead("from_ts").over(order)).select("type", "from_ts", "to_ts", "action")
+
+
 def subscription_gate(readings: DataFrame, control: DataFrame,
                       default: Sequence[str] = DEFAULT_SUBSCRIPTIONS,
                       type_col: str = "data_type", time_col: str = "ts",
-                      bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
+                      broadcast_actions: int = BROADCAST_ACTIONS, buckets: int = GATE_BUCKETS) -> DataFrame:
     """A reading passes if the last control action of its type at or
     before it (control first on equal times) is ``subscribe``; with no action
     yet, its default membership decides.  Adds ``gate_action`` and
-    ``subscribed``.
-
-    As-of lookup without a per-type window: the last action inside the
-    reading's own (type, time bucket) comes from a window over that bucket;
-    the carry from earlier buckets comes from a prefix over the small table of
-    per-bucket last actions."""
-    bkt = time_bucket(time_col, bucket_seconds)
-    ctl = control.select(F.col(type_col), F.col(time_col).cast("timestamp").alias(time_col),
-                         F.col("seq"), F.col("action")).withColumn("_bkt", bkt)
-    data = readings.withColumn("_bkt", bkt)
-
-    u = (data.withColumn("_prio", F.lit(1)).withColumn("action", F.lit(None).cast("string"))
-             .unionByName(ctl.withColumn("_prio", F.lit(0)), allowMissingColumns=True))
-    w = (Window.partitionBy(type_col, "_bkt").orderBy(time_col, "_prio", "seq")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    inb = u.withColumn("_in_bkt", F.last("action", ignorenulls=True).over(w)).filter(F.col("_prio") == 1)
-
-    per_bkt = ctl.groupBy(type_col, "_bkt").agg(
-        F.max_by("action", F.struct(time_col, "seq")).alias("_bkt_last"))
-    buckets = (data.select(type_col, "_bkt").distinct()
-                   .join(per_bkt, [type_col, "_bkt"], "full_outer"))
-    wc = Window.partitionBy(type_col).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-    carry = buckets.select(type_col, "_bkt", F.last("_bkt_last", ignorenulls=True).over(wc).alias("_carry"))
-
-    out = inb.join(carry, [type_col, "_bkt"], "left")
-    act = F.coalesce(F.col("_in_bkt"), F.col("_carry"))
-    default_member = F.col(type_col).isin(list(default)) if default else F.lit(False)
-    return (out.withColumn("gate_action", act)
-               .withColumn("subscribed", F.coalesce(act == F.lit(SUBSCRIBE), default_member))
-               .drop("_bkt", "_prio", "action", "_in_bkt", "_carry"))
-
+    ``subscribed``.  A reading without a type matches no subscription: it does
+    not pass.  One without a time comes before all actions.
+
+    Actions without a type or a time are left out.
+
+    An interval join: the actions, few against the readings, are folded to spans and cut at the
+    edges of equal time buckets over the actions' range, so that a reading looks only at the
+    pieces of its own type and bucket.  Up to ``broadcast_actions`` pieces (counted first) they are sent to every task, and the readings are not shuffled; beyond it
+    both sides meet by (type, bucket), whose hot ones Spark splits."""
+    ctl = control.filter(F.col(type_col).isNotNull() & F.col(time_col).isNotNull())
+    micros = F.unix_micros(F.col(time_col).cast("timestamp"))
+    size = ctl.agg(F.count(F.lit(1)).alias("n"), F.min(micros).alias("lo"), F.max(micros).alias("hi"),
+                   F.count_distinct(type_col).alias("types")).first()
+    member = F.coalesce(F.col(type_col).isin(list(default)), F.lit(False)) if default else F.lit(False)
+    if not size["n"]:
+        return readings.withColumn("gate_action", F.lit(None).cast("string")).withColumn("subscribed", member)
+    width = (size["hi"] - size["lo"]) // buckets + 1
+
+    def bucket(us: Column) -> Column:
+        # one bucket before the first action, the last one is open
+        return F.greatest(F.lit(-1), F.least(F.lit(buckets - 1), F.floor((us - F.lit(size["lo"])) / F.lit(width)))).cast("int")
+
+    spans = action_spans(ctl, type_col, time_col)
+    begin, end = F.unix_micros("from_ts"), F.unix_micros("to_ts")
+    pieces = spans.select(
+        F.col("type").alias("_type"), begin.alias("_from"), end.alias("_to"), F.col("action").alias("gate_action"),
+        F.explode(F.sequence(bucket(begin), F.coalesce(bucket(end - 1), F.lit(buckets - 1)))).alias("_bucket"))
+    if size["n"] + size["types"] * buckets <= broadcast_actions:       # a piece begins at an action or at an edge
+        pieces = F.broadcast(pieces)
+    us = F.unix_micros(F.col(time_col).cast("timestamp"))
+    held = (F.col(type_col) == F.col("_type")) & (bucket(us) == F.col("_bucket")) & (us >= F.col("_from")) & (
+        F.col("_to").isNull() | (us < F.col("_to")))
+    out = readings.join(pieces, held, "left").drop("_type", "_from", "_to", "_bucket")
+    return out.withColumn("subscribed", F.coalesce(F.col("gate_action") == F.lit(SUBSCRIBE), member))
 
 def write_topics(messages: DataFrame, path: str, mode: str = "append") -> None:
     """S12 sink: ``(topic, message)`` rows written as text files, one folder
     per topic (a Kafka sink takes the same two columns as key/value)."""
     messages.select("topic", F.col("message").alias("value")).write.mode(mode).partitionBy("topic").text(path)
+
+
+def start_topic_sink(messages: DataFrame, path: str, checkpoint: str, available_now: bool = True):
+    """S12 on a stream: ``(topic, message)`` as text files, one folder per topic, each message
+    once (Spark's file sink commits a micro-batch as a whole; readers of ``path`` see committed files only)."""
+    w = (messages.select("topic", F.col("message").alias("value")).writeStream.format("text").partitionBy("topic")
+         .option("path", path).option("checkpointLocation", checkpoint))
+    return (w.trigger(availableNow=True) if available_now else w).start()

@@ -25,7 +25,10 @@ from tidepool.session import scratch_dir
 from tidepool.sources import decode as D
 from tidepool.sources import encode as EN
 from tidepool.sources import history as H
+from tidepool.sources import stored as TS
 from tidepool.streaming import commits as SC
+from tidepool.streaming import envelopes as SE
+from tidepool.streaming import ingest as SI
 from tidepool.streaming import replay as SR
 from tidepool.streaming import sinks as SS
 from tidepool.streaming import stateful as ST
@@ -377,6 +380,22 @@ def q_retention_report(spark, sf_dir):
                                       for c in ["before_rows", "after_rows", "removed_rows"]])
 
 
+@query("retention_delete")
+def q_retention_delete(spark, sf_dir):
+    """J1, X3 as a write: stored tables, counts first, then only the partitions that hold dead rows
+    are rewritten; the rows left are counted again from the tables."""
+    r = FX.readings(spark, sf_dir)
+    base = scratch_dir(spark, "retention-delete")
+    at = TS.Registries(*[f"{base}/{t}" for t in TS.Registries._fields])
+    H.write_measurements(r, at.measurements)
+    TS.upsert_registries(r, at, buckets=8)
+    plan = TS.plan_retention(spark, at, _now(r))
+    TS.execute_retention(spark, plan)
+    after = H.table_counts(spark, TS.Registries._fields, lambda n: f"{base}/{n}")
+    counted = plan.report(spark).select("table_name", "before_rows", "removed_rows")
+    return counted.join(after, "table_name").select("table_name", "before_rows", F.col("row_count").alias("after_rows"), "removed_rows")
+
+
 @query("current_subscriptions")
 def q_current_subscriptions(spark, sf_dir):
     """The set after folding the control actions over the default list."""
@@ -388,11 +407,13 @@ def q_subscribed_readings(spark, sf_dir):
     """Readings on subscribed topics, as (topic, message)."""
     r = FX.readings(spark, sf_dir)
     s = SB.current_subscriptions(FX.control_events(spark, sf_dir), spark, FX.FIXTURE_DEFAULT_SUBSCRIPTIONS)
-    hit = SB.subscribed_readings(r, s)
-    msg = hit.withColumn("payload", F.to_json(F.struct(F.col("data_type").alias("DataType"),
-                                                       F.col("value").cast("long").alias("Value"),
-                                                       F.col("device_id").alias("WavyId"))))
-    return SB.publish_messages(msg.withColumn("fmt", F.lit("JSON")), "payload", "fmt", keep=["seq"])
+    return _published(SB.subscribed_readings(r, s), keep=["seq"])
+
+
+def _published(readings, keep=()):
+    payload = F.to_json(F.struct(F.col("data_type").alias(TYPE_FIELD), F.col("value").cast("long").alias(VALUE_FIELD),
+                                 F.col("device_id").alias(ID_FIELD)))
+    return SB.publish_messages(readings.withColumn("payload", payload).withColumn("fmt", F.lit("JSON")), "payload", "fmt", keep=keep)
 
 
 @query("subscription_gate")
@@ -719,6 +740,74 @@ def q_stream_late(spark, sf_dir):
                       F.col("items").cast("long").alias("items"), F.col("late_items").cast("long").alias("late_items"))
 
 
+@query("stream_envelopes")
+def q_stream_envelopes(spark, sf_dir):
+    """Every 30 s flush window of a gateway leaves the stream once, as one envelope; the windows open at the
+    end are flushed by a marker."""
+    base = scratch_dir(spark, "stream-envelopes")
+    r = FX.readings(spark, sf_dir).withColumn("marker", F.lit(False))
+    SR.replay_files(r, f"{base}/source")
+    SE.flush_marker(spark, r.schema, r.agg(F.max("ts")).first()[0]).select(*r.columns).coalesce(1).write.mode("append").parquet(f"{base}/source")
+    s = SR.read_replay(spark, f"{base}/source", r.schema)
+    out = _run_to_parquet(spark, SE.stream_envelopes(s).withColumn("payload", F.to_json(DATA_FIELD)).drop(DATA_FIELD), base)
+    return out.select(F.col(GATEWAY_FIELD).alias("gateway_id"), ntz("flush_start"), "payload")
+
+
+@query("stream_ingest")
+def q_stream_ingest(spark, sf_dir):
+    """Gateway envelopes decoded once, then measurements, metrics and registries of a micro-batch under one
+    commit; here the measurements with their metrics."""
+    base = scratch_dir(spark, "stream-ingest")
+    r = FX.readings(spark, sf_dir).withColumn("batch_id", _batch_id())
+    g = EN.gateway_batches(r, ["batch_id"], text_items=(F.col("seq") % 2 == 1))
+    envelopes = g.select((F.col("batch_id") * FX.GATEWAYS + F.col("gateway_id").cast("long")).alias("envelope_id"), "payload",
+                         F.col("batch_time").alias("ts"), F.col("batch_id").alias("seq"))
+    split = F.col("ts") < F.to_timestamp(F.lit(FX.REGISTRY_SPLIT))
+    for part in (envelopes.filter(split), envelopes.filter(~split)):         # both streams stop and go on
+        part.write.mode("append").parquet(f"{base}/source")
+        s = SR.read_replay(spark, f"{base}/source", envelopes.schema, files_per_trigger=1000)
+        SR.run_available_now(lambda: SI.start_decoding(s, f"{base}/items", f"{base}/checkpoint-items"))
+        items = SR.read_replay(spark, f"{base}/items", SI.ITEM, files_per_trigger=1000)
+        SR.run_available_now(lambda: SI.start_ingest(items, f"{base}/tables", f"{base}/checkpoint"))
+    m = _written(spark, base, SI.MEASUREMENTS).select("envelope_id", "device_id", "gateway_id", "data_type", "value", "seq")
+    c = _written(spark, base, SI.METRICS).select("device_id", "data_type", "seq", "history_size", "average_value")
+    joined = m.join(c, ["device_id", "data_type", "seq"], "left")
+    return joined.select("envelope_id", "device_id", "gateway_id", "data_type", "value", F.col("history_size").cast("long").alias("history_size"),
+                         rnd("average_value").alias("average_value"))
+
+
+@query("stream_publish")
+def q_stream_publish(spark, sf_dir):
+    """Messages of subscribed readings on a stream, written once each into a folder per topic."""
+    base, s = _stream_source(spark, sf_dir, "stream-publish")
+    subs = SB.current_subscriptions(FX.control_events(spark, sf_dir), spark, FX.FIXTURE_DEFAULT_SUBSCRIPTIONS)
+    msg = _published(SS.gate_stream(s, subs))
+    SR.run_available_now(lambda: SB.start_topic_sink(msg, f"{base}/topics", f"{base}/checkpoint"))
+    return spark.read.text(f"{base}/topics").select("topic", F.col("value").alias("message"))
+
+
+@query("stream_upsert")
+def q_stream_upsert(spark, sf_dir):
+    """The registries as stored tables, upserted micro-batch by micro-batch."""
+    base, s = _stream_source(spark, sf_dir, "stream-upsert")
+    at = TS.Registries(*[f"{base}/{t}" for t in TS.Registries._fields])
+    SR.run_available_now(lambda: TS.start_registry_stream(s, at, f"{base}/checkpoint", buckets=8))
+    g = TS.read_stored(spark, at.gateways).select(F.lit("gateway").alias("entity"), F.col("gateway_id").alias("id"), "last_seen", "last_seq")
+    d = TS.read_stored(spark, at.devices).select(F.lit("device").alias("entity"), F.col("device_id").alias("id"), "last_seen", "last_seq")
+    return g.unionByName(d).select("entity", "id", ntz("last_seen"), "last_seq")
+
+
+@query("stored_mapping")
+def q_stored_mapping(spark, sf_dir):
+    """A10: the device-gateway mapping as a stored table, from two loads."""
+    r, base = FX.readings(spark, sf_dir), scratch_dir(spark, "stored-mapping")
+    split = F.to_timestamp(F.lit(FX.REGISTRY_SPLIT))
+    for part in (r.filter(F.col("ts") < split), r.filter(F.col("ts") >= split)):
+        TS.upsert(f"{base}/mappings", part, ["device_id", "gateway_id"], TS.merge_mapping, buckets=8)
+    mp = TS.read_stored(spark, f"{base}/mappings")
+    return mp.select("device_id", "gateway_id", ntz("first_connected"), "first_seq", ntz("last_connected"), "last_seq")
+
+
 @query("stream_metrics")
 def q_stream_metrics(spark, sf_dir):
     """Rolling metrics with bounded keyed state (last 100 values)."""

@@ -513,6 +513,15 @@ FROM readings"""
 # Streams: the same statements as the batch twins.
 ORACLE["stream_flush"] = ORACLE["batch_by_type"]
 ORACLE["stream_interval_sum"] = ORACLE["interval_sum"]
+ORACLE["stream_publish"] = "SELECT topic, message FROM (" + ORACLE["subscribed_readings"] + ")"
+ORACLE["stream_ingest"] = f"""
+WITH {READINGS},
+e AS (SELECT *, seq // 8 * 3 + CAST(gateway_id AS BIGINT) AS envelope_id, min(ts) OVER (PARTITION BY seq // 8, gateway_id) AS sent FROM readings)
+SELECT envelope_id, device_id, gateway_id, data_type, value, count(*) OVER w AS history_size, {R('avg(value) OVER w')} AS average_value
+FROM e WINDOW w AS (PARTITION BY device_id, data_type ORDER BY sent, envelope_id, seq ROWS 99 PRECEDING)"""
+ORACLE["stream_upsert"] = ORACLE["registry_upsert"]
+ORACLE["stored_mapping"] = ORACLE["mapping_upsert"]
+ORACLE["retention_delete"] = ORACLE["retention_report"]
 ORACLE["stream_late"] = f"""
 WITH {READINGS},
 w AS (SELECT *, time_bucket(INTERVAL 1 HOUR, ts) AS interval_start FROM readings),
@@ -606,3 +615,5 @@ SELECT seq, CAST(CASE seq % 4 WHEN 0 THEN 4 WHEN 1 THEN 3 WHEN 2 THEN 0 END AS B
        CASE WHEN seq % 4 < 2 THEN device_id END AS device_id, CASE WHEN seq % 4 = 0 THEN '1 & "2"' END AS a,
        CASE seq % 4 WHEN 0 THEN '<m&' WHEN 1 THEN 'x' END AS unit, CASE WHEN seq % 4 < 2 THEN value END AS value
 FROM readings"""
+
+ORACLE["stream_envelopes"] = ORACLE["batch_envelopes"]

@@ -83,6 +83,15 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def drop_folders(spark: SparkSession, folders: Sequence[str]) -> None:
+    """Removes whole partition folders, given as file URIs: a step of the file system, for which Spark
+    has no writer."""
+    jvm = spark.sparkContext._jvm
+    for folder in folders:
+        p = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def table_counts(spark: SparkSession, names: Sequence[str], locate: Callable[[str], str]) -> DataFrame:
     """A4: rows per table, -1 for a table that does not exist.  Each count is
     a Parquet metadata count; only the existence checks run on the driver."""

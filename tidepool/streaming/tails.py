@@ -82,7 +82,7 @@ def _tail_state(n: int, eviction: bool):
         def total(rows: list) -> Decimal:
             return sum((Decimal(t[3]) for t in rows), Decimal(0))
 
-        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
             tail = [tuple(t) for t in self.tail.get()] if self.tail.exists() else []
             last = tuple(self.last.get()) if self.last.exists() else None
             before = self.held(tail, last)
@@ -125,7 +125,7 @@ def with_tails(readings: DataFrame, n: int, kept: Column | None = None, eviction
     return readings.withColumn("_kind", F.lit(NEW)).unionByName(tails, allowMissingColumns=True)
 
 
-def _split(batch: DataFrame) -> DataFrame:
+def split_kinds(batch: DataFrame) -> DataFrame:
     """New and old readings of a micro-batch, told apart by ``_replay``."""
     return batch.filter(F.col("_kind") != POOL).withColumn("_replay", F.col("_kind") == OLD).drop("_kind", "pool_sum", "pool_values")
 
@@ -137,7 +137,7 @@ def start_metrics_stream(readings: DataFrame, root: str, checkpoint: str, n: int
     Readings must be finite (T11)."""
 
     def tables(batch: DataFrame, batch_id: int) -> dict[str, DataFrame]:
-        m = M.rolling_metrics(_split(batch), n=n, **options)
+        m = M.rolling_metrics(split_kinds(batch), n=n, **options)
         return {METRICS: m.filter(~F.col("_replay")).drop("_replay")}
 
     return C.start_together(with_tails(readings, n - 1), root, checkpoint, tables, available_now)
@@ -176,7 +176,7 @@ def start_validation_stream(readings: DataFrame, root: str, checkpoint: str, rul
         # the pools without the keys at hand, whose histories are among the rows
         here = batch.filter(F.col("_kind") == OLD).select(
             "data_type", (-V.exact(F.col("value"))).alias("pool_sum"), F.lit(-1).cast("long").alias("pool_values"))
-        v = V.validate_readings(_split(batch), rules=rules, history=history, pool_offset=_summed(before, here), **options)
+        v = V.validate_readings(split_kinds(batch), rules=rules, history=history, pool_offset=_summed(before, here), **options)
         return {VALIDATED: v.filter(~F.col("_replay")).drop("_replay"),
                 POOLS: _summed(before, batch.filter(F.col("_kind") == POOL))}
 
