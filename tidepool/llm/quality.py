@@ -50,7 +50,8 @@ COMMON = 0.002               # mean share of a document's words that makes a wor
 REFERENCE_DOCS = 10          # documents with words that a language needs for a reference
 SCALE = 1_000_000            # a document's weight, in whole numbers so that sums do not depend on their order
 CHUNK_WORDS = 1_000_000
-KNOWN_WORDS = 500_000        # words that a task remembers
+KNOWN_WORDS = 200_000        # words that a task remembers
+STEP = 500                   # documents that a task looks at together
 CLASS_LIMIT, CLASS_MIN_CHARS = 0.30, 200
 WORD_LIMIT, WORD_MIN_WORDS = 0.52, 80
 SPREADS, LEAST_SPREAD, LIMIT_DOCS = 4, 0.1, 30
@@ -214,9 +215,10 @@ _COUNTS = [("_lang", StringType()), ("_n_chars", LongType()), ("_classes", Array
            ("_form_counts", ArrayType(LongType())), ("_t_lang", StringType()), ("_t_form", IntegerType()), ("_t_n", LongType())]
 
 
-def _measure(forms: dict[bytes, int], wanted: dict[str, set[int]], passing_only: bool):
+def _measure(forms: dict[bytes, int], wanted: dict[str, set[int]], text_at: int, carried: int, passing_only: bool):
     """Rows of two kinds.  Documents: base counts, classes, and how often each wanted form stands in them.  And per
-    task and language the weighted shares of its wanted forms (``_t_*``)."""
+    task and language the weighted shares of its wanted forms (``_t_*``).  Columns: the language, the text
+    at ``text_at``, and from ``carried`` on those that are passed on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Known(forms)
@@ -224,12 +226,12 @@ def _measure(forms: dict[bytes, int], wanted: dict[str, set[int]], passing_only:
         base_types = [pa.int64()] * 5 + [pa.bool_()]
         count_types = [pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.string(), pa.int32(), pa.int64()]
         names, fields = [], []
-        for batch in batches:
+        for batch in (b.slice(at, STEP) for b in batches for at in range(0, b.num_rows, STEP)):
             if len(known.form_of) > KNOWN_WORDS:
                 known = _Known(forms)
-            names, fields = batch.schema.names[2:], [f.type for f in batch.schema][2:]
+            names, fields = batch.schema.names[carried:], [f.type for f in batch.schema][carried:]
             out, stays = [], []
-            for row, (lang, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            for row, (lang, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(text_at).to_pylist())):
                 text = text or ""
                 raw = text.encode()
                 words = raw.split()
@@ -252,7 +254,7 @@ def _measure(forms: dict[bytes, int], wanted: dict[str, set[int]], passing_only:
                             lang, len(text), class_counts(raw), one, np.bincount(place, times, minlength=len(one)).astype(np.int64), None, None, None))
             columns = list(zip(*out)) if out else [()] * (len(BASE) + len(_COUNTS))
             yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, base_types + count_types)),
-                                              *(batch.column(i + 2).take(pa.array(stays, pa.int64())) for i in range(len(names)))],
+                                              *(batch.column(i + carried).take(pa.array(stays, pa.int64())) for i in range(len(names)))],
                                              [*BASE, *(c for c, _ in _COUNTS), *names])
         for lang, shares in tally.items():
             at = np.flatnonzero(shares)
@@ -267,14 +269,15 @@ def _measure(forms: dict[bytes, int], wanted: dict[str, set[int]], passing_only:
 Reference = tuple[np.ndarray, dict[bytes, int], np.ndarray]
 
 
-def _measured(rows: DataFrame, words: dict[str, Iterable[bytes]], passing_only: bool = False, tallied: bool = True) -> tuple[DataFrame, list[bytes]]:
-    """``lang, text`` and further columns -> what ``_measure`` finds, stored, and the forms behind the numbers."""
+def _measured(rows: DataFrame, words: dict[str, Iterable[bytes]], text_at: int = 1, carried: int = 2, passing_only: bool = False,
+              tallied: bool = True) -> tuple[DataFrame, list[bytes]]:
+    """What ``_measure`` finds, stored, and the forms behind the numbers."""
     forms = sorted({w for own in words.values() for w in own})
     number = {w: i for i, w in enumerate(forms)}
     wanted = {lang: {number[w] for w in own} for lang, own in words.items()} if tallied else {}
     base = [StructField(n, t) for n, t in zip(BASE, [LongType()] * 5 + [BooleanType()])]
-    schema = StructType([*base, *(StructField(n, t) for n, t in _COUNTS), *(StructField(f.name, f.dataType) for f in rows.schema.fields[2:])])
-    return staged(rows.mapInArrow(_measure(number, wanted, passing_only), schema), "measured"), forms
+    schema = StructType([*base, *(StructField(n, t) for n, t in _COUNTS), *(StructField(f.name, f.dataType) for f in rows.schema.fields[carried:])])
+    return staged(rows.mapInArrow(_measure(number, wanted, text_at, carried, passing_only), schema), "measured"), forms
 
 
 def _candidates(rows: DataFrame, common: float, min_docs: int) -> tuple[DataFrame, dict[str, list[bytes]]]:
@@ -420,14 +423,15 @@ def _within_limits(judged: DataFrame) -> DataFrame:
     return joined.withColumn("kept", F.col("kept") & ~F.coalesce(far, F.lit(False))).drop(*table.columns)
 
 
-def _all_steps(rows: DataFrame, refs: dict[str, Reference] | None, class_limit: float, word_limit: float, passing_only: bool) -> DataFrame:
-    """``lang, text`` and further columns -> judged rows."""
+def _all_steps(rows: DataFrame, refs: dict[str, Reference] | None, class_limit: float, word_limit: float, text_at: int = 1, carried: int = 2,
+               passing_only: bool = False) -> DataFrame:
+    """Judged rows; for the columns see ``_measure``."""
     if refs is None:
-        langs, words = _candidates(rows.select("lang", "text"), COMMON, REFERENCE_DOCS)
-        measured, forms = _measured(rows, words, passing_only)
+        langs, words = _candidates(rows.select(F.col(rows.columns[0]).alias("lang"), F.col(rows.columns[text_at]).alias("text")), COMMON, REFERENCE_DOCS)
+        measured, forms = _measured(rows, words, text_at, carried, passing_only)
         refs = _gathered(langs, words, measured, forms, COMMON)
     else:
-        measured, forms = _measured(rows, {lang: bins for lang, (_, bins, _) in refs.items()}, passing_only, tallied=False)
+        measured, forms = _measured(rows, {lang: bins for lang, (_, bins, _) in refs.items()}, text_at, carried, passing_only, tallied=False)
     return _judged(measured, refs, forms, class_limit, word_limit)
 
 
@@ -435,13 +439,13 @@ def judge(docs: DataFrame, refs: dict | None = None, class_limit: float = CLASS_
           text: str = "text") -> DataFrame:
     """One row per document: ``doc_id``, the base counts, ``base_failed, kept`` and the two distances."""
     rows = docs.select("lang", F.col(text).alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
-    found = staged(_all_steps(rows, refs, class_limit, word_limit, False), "judged")
+    found = staged(_all_steps(rows, refs, class_limit, word_limit), "judged")
     return _within_limits(found).select("doc_id", *NAMES)
 
 
 def keep_rows(docs: DataFrame, class_limit: float = CLASS_LIMIT, word_limit: float = WORD_LIMIT, text: str = "text") -> DataFrame:
     """The documents, all columns, that the rules keep: judged where they are, without a shuffle of texts."""
     names = [f"_row_{i}" for i in range(len(docs.columns))]
-    rows = docs.select("lang", F.col(text).alias("text"), *[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)])
-    kept = _all_steps(rows, None, class_limit, word_limit, True).filter("kept")
+    rows = docs.select(F.col("lang").alias("_of"), *[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)])
+    kept = _all_steps(rows, None, class_limit, word_limit, 1 + docs.columns.index(text), 1, True).filter("kept")
     return _within_limits(kept).filter("kept").select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names)])
