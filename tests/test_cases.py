@@ -271,3 +271,152 @@ def test_late_reading_does_not_move_last_seen_back():
         pdf = pd.DataFrame({"ts": pd.to_datetime(["2024-01-01 " + t for t in times]), "seq": [n]})
         out += [r for f in fn(("d",), iter([pdf]), state) for r in f.to_dict("records")]
     assert [str(r["inactive_since"]) for r in out] == ["2024-01-01 11:00:40"]
+
+
+# -- decoding: what a parser of the format would say ----------------------------
+
+def test_xml_general_documents(spark):
+    cases = [("<S id='&#233;&#x41;' a=\"x &lt; y\"><v>1&amp;<![CDATA[<m>]]></v><v> 2</v></S>", {"id": "éA", "a": "x < y", "v": " 2"}),
+             ("<S><n>t<i>in</i>ner</n><o><p>9</p><q>8</q></o></S>", {"n": "tinner", "o": "98"}),
+             ("<S xmlns:u='k'><u:x>7</u:x><e/><w> </w><c><![CDATA[ ]]></c></S>", {"xmlns:u": "k", "u:x": "7", "e": "", "w": "", "c": " "}),
+             ("<?xml version='1.0'?>\n<!-- c --><S/>", {}), ("<S><a>1</b></S>", None), ("no root", None), ("", None), (None, None),
+             ("<!DOCTYPE S [<!ENTITY x 'y'>]><S>&x;</S>", None), ("<S a='1' a='2'/>", None), ("<v>1</v>", {}), ("<S><id>1</id></S>tail", None)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, x string")
+    got = {r["i"]: r["m"] for r in df.select("i", D.xml_to_map("x").alias("m")).collect()}
+    assert [got[i] for i in range(len(cases))] == [want for _, want in cases]
+
+
+def test_last_of_a_repeated_json_name_counts(spark):
+    df = spark.createDataFrame([('{"a":"1","b":2.50,"a":"3","c":null}',), ("{}",), ("[1",)], "s string")
+    got = [r[0] for r in df.select(D.json_to_map("s")).collect()]
+    assert got == [{"a": "3", "b": "2.50", "c": None}, {}, None] or got[0]["a"] == "3" and got[1:] == [{}, None]
+    batch = spark.createDataFrame([('{"WavyId":"x","WavyId":"y","Data":[{"DataType":"t","Value":1,"Value":5}]}',)], "payload string")
+    r = D.parse_device_batch(batch).first()
+    assert (r["device_id"], r["value"], r["reject_reason"]) == ("y", 5.0, None)
+
+
+def test_batch_without_a_key_keeps_its_readings(spark):
+    from tidepool.operators import validate as V
+
+    rows = spark.createDataFrame([(None, "t", False), (1, "t", True), (2, None, None)], "batch_id long, data_type string, was_modified boolean")
+    kept = V.drop_invalid_batches(rows, V.batch_status(rows, ["batch_id"]), ["batch_id"])
+    assert sorted(map(repr, (r["batch_id"] for r in kept.collect()))) == ["1", "None"]
+
+
+def _gate_by_hand(readings, control, default):
+    out = {}
+    for i, kind, at in readings:
+        own = [(t, s, a) for k, t, s, a in control if k is not None and t is not None and k == kind and at is not None and t <= at]
+        action = max(own)[2] if own else None
+        out[i] = (action, action == "subscribe" if action else kind in default)
+    return out
+
+
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_gate_equals_a_lookup_by_hand(spark, broadcast):
+    import random
+
+    from tidepool.operators import subscriptions as SB
+
+    rng = random.Random(3)
+    times = [T0 + timedelta(seconds=rng.randrange(500)) for _ in range(200)]
+    control = [(rng.choice(["a", "b", None]), rng.choice(times[:40]), s, rng.choice(["subscribe", "unsubscribe"])) for s in range(60)]
+    control.append(("a", None, 99, "subscribe"))
+    readings = [(i, rng.choice(["a", "b", "c", None]), rng.choice([*times, None, T0 - timedelta(days=1), T0 + timedelta(days=9)])) for i in range(400)]
+    r = spark.createDataFrame(readings, "seq long, data_type string, ts timestamp")
+    c = spark.createDataFrame(control, "data_type string, ts timestamp, seq long, action string")
+    for buckets in (1, 7, 1000):
+        g = SB.subscription_gate(r, c, default=["c"], broadcast_actions=broadcast, buckets=buckets)
+        assert {x["seq"]: (x["gate_action"], x["subscribed"]) for x in g.collect()} == _gate_by_hand(readings, control, ["c"])
+    none = SB.subscription_gate(r, c.limit(0), default=["c"])
+    assert {x["seq"]: x["subscribed"] for x in none.collect()} == {i: k == "c" for i, k, _ in readings}
+
+
+# -- stored tables ---------------------------------------------------------------
+
+def _files(folder):
+    import os
+
+    return {d: sorted((f, os.stat(os.path.join(top, f)).st_mtime_ns) for f in names if f.endswith(".parquet"))
+            for top, _, names in os.walk(folder) if (d := os.path.relpath(top, folder)) != "."}
+
+
+def test_upsert_rewrites_touched_buckets_only(spark):
+    from tidepool.operators.registry import registry_upsert
+    from tidepool.session import scratch_dir
+    from tidepool.sources import stored as TS
+
+    path = scratch_dir(spark, "upsert").removeprefix("file:")
+    r = spark.range(300).select((F.col("id") % 100).cast("string").alias("device_id"), F.timestamp_seconds("id").alias("ts"), F.col("id").alias("seq"))
+    merge = TS.merge_registry("device_id")
+    assert len(TS.upsert(path, r, ["device_id"], merge, buckets=16)) == 16
+    before = _files(path)
+    late = spark.createDataFrame([("7", 5000), (None, 5001)], "device_id string, seq long").select("device_id", F.timestamp_seconds("seq").alias("ts"), "seq")
+    touched = TS.upsert(path, late, ["device_id"], merge, buckets=16)
+    after = _files(path)
+    assert 1 <= len(touched) <= 2 and {d for d in after if after[d] != before.get(d)} == {f"bucket={b}" for b in touched}
+    for _ in range(2):                                    # a retry changes nothing
+        TS.upsert(path, late, ["device_id"], merge, buckets=16)
+    want = registry_upsert(registry_upsert(None, r, ["device_id"]), late, ["device_id"])
+    assert sorted(map(repr, TS.read_stored(spark, path).collect())) == sorted(map(repr, want.collect()))
+    assert TS.upsert(path, late.limit(0), ["device_id"], merge, buckets=16) == []
+
+
+def _stored_tables(spark, rows):
+    from tidepool.session import scratch_dir
+    from tidepool.sources import history as H
+    from tidepool.sources import stored as TS
+
+    base = scratch_dir(spark, "stored").removeprefix("file:")
+    at = TS.Registries(*[f"{base}/{t}" for t in TS.Registries._fields])
+    r = spark.createDataFrame(rows, "device_id string, gateway_id string, data_type string, value double, ts timestamp, seq long")
+    H.write_measurements(r, at.measurements)
+    TS.upsert_registries(r, at, buckets=4)
+    return at, base
+
+
+def test_retention_run_on_stored_tables(spark):
+    from tidepool.sources import stored as TS
+
+    now = T0 + timedelta(days=3)
+    rows = [("old", "g1", "a b/c", 1.0, T0, 0), ("old", "g1", "t", 2.0, T0 + timedelta(days=1), 1), ("new", "gone", "u", 6.0, T0, 2),
+            ("new", "g1", "t", 3.0, T0 + timedelta(days=1), 3), ("new", "g1", "t", 4.0, now, 4), ("old", "gone", None, 5.0, T0, 5), (None, "g1", "t", 7.0, now, 6)]
+    at, base = _stored_tables(spark, rows)
+    before = _files(base)
+    plan = TS.plan_retention(spark, at, F.lit(now))
+    counts = {r["table_name"]: (r["before_rows"], r["after_rows"], r["removed_rows"]) for r in plan.report(spark).collect()}
+    assert counts == {"measurements": (7, 3, 4), "mappings": (5, 2, 3), "devices": (3, 2, 1), "gateways": (2, 1, 1)}
+    assert _files(base) == before                         # a run that is only planned changes nothing
+    TS.execute_retention(spark, plan)
+    left = spark.read.parquet(at.measurements)
+    assert sorted(r["seq"] for r in left.collect()) == [3, 4, 6]
+    for name, (_, rest, _) in counts.items():
+        assert spark.read.parquet(getattr(at, name)).count() == rest
+    after = _files(base)
+    days = [d for d in after if d.startswith("measurements/") and "day=" in d]
+    assert len(days) == 2 and all("data_type=t" in d for d in days)                     # the others held dead rows only
+    assert [d for d in days if after[d] == before[d]] == [d for d in days if str(now.date()) in d]
+    again = TS.plan_retention(spark, at, F.lit(now))
+    assert all(t.dead == 0 for t in again.tables)
+    TS.execute_retention(spark, again)
+    assert _files(base) == after
+
+
+def test_killed_retention_run_is_mended_by_the_next(spark, monkeypatch):
+    from tidepool.sources import stored as TS
+
+    now = T0 + timedelta(days=3)
+    rows = [(d, "g", "t", 1.0, T0 + timedelta(days=3 * (d == "new")), i) for i, d in enumerate(["old", "new"] * 3)]
+    at, _ = _stored_tables(spark, rows)
+    plan = TS.plan_retention(spark, at, F.lit(now))
+
+    def killed(*_):
+        raise RuntimeError("killed")
+
+    monkeypatch.setattr(TS, "drop_folders", killed)
+    with pytest.raises(RuntimeError):
+        TS.execute_retention(spark, plan)
+    monkeypatch.undo()
+    TS.execute_retention(spark, TS.plan_retention(spark, at, F.lit(now)))
+    assert {r["device_id"] for r in spark.read.parquet(at.measurements).collect()} == {"new"}
+    assert [r["device_id"] for r in TS.read_stored(spark, at.devices).collect()] == ["new"]

@@ -256,8 +256,9 @@ def batch_status(validated: DataFrame, batch_cols: Sequence[str],
 def drop_invalid_batches(validated: DataFrame, status: DataFrame,
                          batch_cols: Sequence[str]) -> DataFrame:
     """keep the readings of batches whose status is not INVALID."""
-    ok = status.filter(F.col("status") != F.lit(STATUS_INVALID[0])).select(*batch_cols)
-    return validated.join(ok, on=list(batch_cols), how="left_semi")
+    # NULL is a batch like any other
+    ok = status.filter(F.col("status") != F.lit(STATUS_INVALID[0])).select(F.struct(*batch_cols).alias("_ok"))
+    return validated.join(ok, F.struct(*[F.col(c) for c in batch_cols]) == F.col("_ok"), "left_semi")
 
 
 def current_histories(validated: DataFrame, keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER,

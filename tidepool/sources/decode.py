@@ -4,14 +4,15 @@ shapes (S1-S9, P1-P3, P5, F1, F2).
 JSON is parsed once into ``VARIANT`` (``try_parse_json``) and every decision
 that depends on a JSON *type* (text id vs number id, number vs numeric text,
 array vs string-encoded inner data) is taken with ``schema_of_variant`` --
-never by running two parsers over the same text.  Everything is a built-in
-expression; rows that cannot be decoded get a ``reject_reason`` instead of
+never by running two parsers over the same text.  Everything but XML of unknown
+fields is a built-in expression; rows that cannot be decoded get a ``reject_reason`` instead of
 being silently dropped, and ``split_rejects`` turns that into a dead-letter
 table (S9).
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,49 +75,83 @@ def detect_format(df: DataFrame, col: str = "message") -> DataFrame:
 
 def json_to_map(col: str | Column) -> Column:
     """A flat JSON object as ``map<string,string>`` (numbers keep their
-    text); malformed text -> NULL (the caller decides: empty or dead letter)."""
+    text; of a name that is repeated the last value counts); malformed text -> NULL (the caller
+    decides: empty or dead letter)."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.from_json(c, "map<string,string>")
-
-
-_XML_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")]
-
-
-def _xml_unescape(c: Column) -> Column:
-    for ent, ch in _XML_ENTITIES:
-        c = F.regexp_replace(c, ent, ch.replace("\\", "\\\\").replace("$", "\\$"))
-    return c
-
-
-_XML_NAME = r"[A-Za-z_][\w.:-]*"
-_XML_ATTRS = r"""((?:\s+[\w.:-]+\s*=\s*(?:"[^"]*"|'[^']*'))*)"""
-_XML_TEXT = r"((?:[^<]++|<!\[CDATA\[[\s\S]*?\]\]>)*+)"
-_CDATA = r"<!\[CDATA\[([\s\S]*?)\]\]>"
+    entries = F.map_entries(F.from_json(c, "map<string,string>"))     # holds every occurrence
+    names = F.transform(entries, lambda e: e["key"])
+    last = F.filter(entries, lambda e, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), e["key"]))
+    return F.map_from_entries(last)
+
+
+def _xml_reader():
+    """XML documents to their fields, in Arrow batches.  Made inside a function, so that it goes to the workers by value."""
+
+    def fields(text: str | None) -> dict[str, str] | None:
+        from xml.parsers import expat
+
+        out: dict[str, str] = {}
+        depth, name, parts, run, literal = 0, "", [], [], False
+
+        def end_of_run() -> None:
+            # white space between tags is no text, unless in a CDATA section
+            if literal or "".join(run).strip(" \t\r\n"):
+                parts.extend(run)
+            run.clear()
+
+        def start(tag: str, attributes: dict[str, str]) -> None:
+            nonlocal depth, name
+            end_of_run()
+            depth += 1
+            if depth == 1:
+                out.update(attributes)
+            elif depth == 2:
+                name = tag
+                parts.clear()
+
+        def end(tag: str) -> None:
+            nonlocal depth
+            end_of_run()
+            if depth == 2:
+                out[name] = "".join(parts)
+            depth -= 1
+
+        def section(begins: bool):
+            def at_edge() -> None:
+                nonlocal literal
+                end_of_run()
+                literal = begins
+            return at_edge
+
+        def refuse(*_) -> None:
+            raise ValueError("document types are not read")
+
+        if text is None:
+            return None
+        parser = expat.ParserCreate("utf-8")
+        parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, run.append
+        parser.StartCdataSectionHandler, parser.EndCdataSectionHandler = section(True), section(False)
+        parser.StartDoctypeDeclHandler = refuse
+        try:
+            parser.Parse(text.encode(), True)
+        except (expat.ExpatError, ValueError):
+            return None
+        return out
+
+    def run_batch(texts: pd.Series) -> pd.Series:
+        return texts.map(fields, na_action=None)
+
+    return F.pandas_udf(run_batch, "map<string,string>")
 
 
 def xml_to_map(col: str | Column) -> Column:
-    """A flat XML document -> ``map<string,string>`` of the root element's
-    attributes (quoted either way) and its child elements' text, CDATA sections
-    taken literally; later entries overwrite earlier ones of the same name.  An
-    empty root gives an empty map, a document without a root NULL."""
-    c = F.col(col) if isinstance(col, str) else col
-    body = F.regexp_replace(c, r"^\s*<\?xml[^>]*\?>", "")
-    body = F.regexp_replace(body, r"<!--[\s\S]*?-->", "")
-    root = rf"^\s*<{_XML_NAME}{_XML_ATTRS}\s*(?:/>\s*$|>([\s\S]*)</{_XML_NAME}\s*>\s*$)"
-    attr = r"""([\w.:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)')"""
-    child = rf"<({_XML_NAME})(?:\s[^>]*?)?(?:/>|>{_XML_TEXT}</\1\s*>)"
-    attrs, inner = F.regexp_extract(body, root, 1), F.regexp_extract(body, root, 2)
-
-    def all_of(text: Column, pattern: str, group: int) -> Column:
-        return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-
-    quoted = F.zip_with(all_of(attrs, attr, 2), all_of(attrs, attr, 3), lambda x, y: _xml_unescape(F.concat(x, y)))
-    texts = F.transform(all_of(inner, child, 2), lambda v: F.when(
-        v.contains("<![CDATA["), F.regexp_replace(v, _CDATA, "$1")).otherwise(_xml_unescape(v)))
-    keys = F.concat(all_of(attrs, attr, 1), all_of(inner, child, 1))
-    entries = F.zip_with(keys, F.concat(quoted, texts), lambda k, v: F.struct(k.alias("k"), v.alias("v")))
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(keys, i + 2, F.size(keys)), lambda k: k == e["k"]))
-    return F.when(body.rlike(root), F.map_from_entries(last))
+    """An XML document -> ``map<string,string>`` of the root element's
+    attributes and its child elements, each with all the text inside it (of nested elements
+    too, in document order), character references resolved, CDATA sections
+    taken literally, names as written (with their prefix); later entries overwrite earlier ones of the same
+    name.  An empty root gives an empty map; a text that is no well-formed document, or declares a
+    document type, NULL."""
+    return _xml_reader()(F.col(col) if isinstance(col, str) else col)
 
 
 # Fields of a sensor reading document: (name, is_attribute).
@@ -145,7 +180,7 @@ def decode_tagged(df: DataFrame, col: str = "message", xml_fields=SENSOR_XML_FIE
     ``fields`` is the key/value map, NULL (with a reject reason) when the
     content does not parse.  XML documents are read with Spark's XML reader
     for the given field list, or with the schema-less ``xml_to_map`` when
-    ``xml_fields`` is None (slower: regular expressions)."""
+    ``xml_fields`` is None (slower: a parser in Python workers)."""
     d = detect_format(df, col)
     if xml_fields is None:
         xml = xml_to_map("content")
@@ -244,9 +279,15 @@ def _is_object(v: Column) -> Column:
 # Batch parsers
 # --------------------------------------------------------------------------
 
+def _last_of_repeated_names(df: DataFrame) -> None:
+    """Lets the JSON parser take the last value of a repeated name, where it would reject the text."""
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
 def _batch_items(df: DataFrame, col: str, id_required: bool) -> DataFrame:
     """One row per item of a batch (``_v`` batch, ``_it`` item, ``item_index``), and one
     per batch that is rejected as a whole; ``reject_reason`` says why (F1, F2, S9)."""
+    _last_of_repeated_names(df)
     d = evaluated_once(df, {"_v": F.try_parse_json(F.col(col))})
     v = F.col("_v")
     id_kind = _vtype(v, f"$.{ID_FIELD}")
@@ -301,6 +342,7 @@ def parse_gateway_batch(df: DataFrame, col: str = "payload") -> DataFrame:
     Returns one row per accepted measurement (``aggregator_id, batch_time,
     data_type, device_id, value``) and, with ``reject_reason`` set, one row per
     rejected group or item."""
+    _last_of_repeated_names(df)
     head = evaluated_once(df, {"_v": F.try_parse_json(F.col(col))})
     groups = head.select("*", F.posexplode_outer(F.try_variant_get("_v", f"$.{DATA_FIELD}", "array<variant>"))
                          .alias("group_index", "_g"))
