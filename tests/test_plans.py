@@ -67,3 +67,11 @@ def test_hot_type_and_hour_is_spread(spark):
 
     hour = spark.range(3600).select(F.timestamp_seconds(F.col("id") + 1704067200).alias("ts"))
     assert hour.select(time_bucket("ts", TYPE_BUCKET_SECONDS)).distinct().count() == 60
+
+
+def test_gate_does_not_shuffle_readings(spark):
+    plan = _plan(QUERIES["subscription_gate"](spark, SF_SMALL))
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    # exchanges stand below the broadcast side only
+    left = plan.split("BroadcastExchange")[0]
+    assert "Exchange hashpartitioning" not in left
