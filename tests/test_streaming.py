@@ -4,6 +4,7 @@ the batch result; a re-run batch write replaces instead of duplicating."""
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
+from replay_files import replay_files
 from tidepool.operators import validate as V
 from tidepool.plans import fixtures as FX
 from tidepool.session import scratch_dir
@@ -25,7 +26,7 @@ def test_validation_stream_resumes_from_checkpoint(spark):
     r = FX.readings(spark, SF_SMALL, with_nan=True)
     base = scratch_dir(spark, "test-resume")
     split = F.to_timestamp(F.lit("2024-01-15 00:00:00"))
-    SR.replay_files(r.filter(F.col("ts") < split), f"{base}/source", chunk_seconds=7 * 86400)
+    replay_files(r.filter(F.col("ts") < split), f"{base}/source", chunk_seconds=7 * 86400)
 
     def run():
         s = SR.read_replay(spark, f"{base}/source", r.schema)
@@ -34,7 +35,7 @@ def test_validation_stream_resumes_from_checkpoint(spark):
     run()
     first = spark.read.parquet(f"{base}/tables/validated").count()
     # more data arrives; the query restarts from its checkpoint and state
-    SR.replay_files(r.filter(F.col("ts") >= split), f"{base}/source", chunk_seconds=7 * 86400)
+    replay_files(r.filter(F.col("ts") >= split), f"{base}/source", chunk_seconds=7 * 86400)
     run()
     got = spark.read.parquet(f"{base}/tables/validated")
     assert 0 < first < got.count() == r.count()
@@ -63,14 +64,14 @@ def test_metrics_stream_resumes_from_checkpoint(spark):
     r = FX.readings(spark, SF_SMALL)
     base = scratch_dir(spark, "test-resume-metrics")
     split = F.to_timestamp(F.lit("2024-01-15 00:00:00"))
-    SR.replay_files(r.filter(F.col("ts") < split), f"{base}/source", chunk_seconds=7 * 86400)
+    replay_files(r.filter(F.col("ts") < split), f"{base}/source", chunk_seconds=7 * 86400)
 
     def run():
         s = SR.read_replay(spark, f"{base}/source", r.schema)
         SR.run_available_now(lambda: TL.start_metrics_stream(s, f"{base}/tables", f"{base}/checkpoint"))
 
     run()
-    SR.replay_files(r.filter(F.col("ts") >= split), f"{base}/source", chunk_seconds=7 * 86400)
+    replay_files(r.filter(F.col("ts") >= split), f"{base}/source", chunk_seconds=7 * 86400)
     run()
     cols = ["seq", "history_size", "average_value", "variance", "trend_coefficient", "normalized_value"]
     got = spark.read.parquet(f"{base}/tables/metrics").select(*cols)

@@ -665,36 +665,31 @@ def q_resend_dedupe(spark, sf_dir):
 
 
 # --------------------------------------------------------------------------
-# Streaming twins: replay the readings as time-ordered files, run the stream
-# with availableNow, return what it wrote (a batch DataFrame)
+# Streaming twins: the readings arrive in parts, the stream runs with
+# availableNow after each, and what it wrote is returned (a batch DataFrame)
 # --------------------------------------------------------------------------
 
 
-def _stream_source(spark, sf_dir, name, with_nan=False):
-    base = scratch_dir(spark, name)
-    r = FX.readings(spark, sf_dir, with_nan=with_nan)
-    SR.replay_files(r, f"{base}/source")
-    return base, SR.read_replay(spark, f"{base}/source", r.schema)
+def _in_parts(df, base, *starts, parts=None):
+    """The rows arrive in two parts, in time order; the streams stop and go on in between."""
+    SR.run_in_parts(parts or SR.split_by_time(df, [FX.REGISTRY_SPLIT]), f"{base}/source", *starts)
 
 
-def _run_to_parquet(spark, sdf, base, mode="append"):
-    SR.run_available_now(SR.to_parquet(sdf, f"{base}/out", f"{base}/checkpoint", mode))
+def _run_to_parquet(spark, df, name, transform):
+    base = scratch_dir(spark, name)
+    _in_parts(df, base, lambda s: SR.to_parquet(transform(s), f"{base}/out", f"{base}/checkpoint")())
     return spark.read.parquet(f"{base}/out")
 
 
-def _run_updates(spark, sdf, base, keys):
-    SR.run_available_now(lambda: SS.start_keyed_updates(sdf, f"{base}/out", f"{base}/checkpoint"))
-    return SS.latest_updates(spark.read.parquet(f"{base}/out"), keys)
-
-
 def _written(spark, base, name):
     """All rows of a table that a finished stream wrote."""
     schema = spark.read.parquet(f"{base}/tables/{name}").drop("stream_batch").schema
     return SC.read_committed(spark, f"{base}/tables", name, schema)
 
 
-def _run_window_sums(spark, sdf, base, sums):
-    SR.run_available_now(lambda: SW.start_window_sums(sdf, sums, f"{base}/tables", f"{base}/checkpoint"))
+def _run_window_sums(spark, df, name, sums, parts=None):
+    base = scratch_dir(spark, name)
+    _in_parts(df, base, lambda s: SW.start_window_sums(s, sums, f"{base}/tables", f"{base}/checkpoint"), parts=parts)
     return SW.window_sums(spark, f"{base}/tables", sums)
 
 
@@ -702,18 +697,16 @@ def _run_window_sums(spark, sdf, base, sums):
 def q_stream_presence(spark, sf_dir):
     """The current connection state per device, kept by a stream."""
     base = scratch_dir(spark, "stream-presence")
-    e = FX.presence_events(spark, sf_dir)
-    SR.replay_files(e, f"{base}/source")
-    s = SR.read_replay(spark, f"{base}/source", e.schema)
-    out = _run_updates(spark, SW.stream_presence(s), base, ["device_id"])
+    _in_parts(FX.presence_events(spark, sf_dir), base,
+              lambda s: SS.start_keyed_updates(SW.stream_presence(s), f"{base}/out", f"{base}/checkpoint"))
+    out = SS.latest_updates(spark.read.parquet(f"{base}/out"), ["device_id"])
     return out.select("device_id", "state", ntz("since"), "connected")
 
 
 @query("stream_flush")
 def q_stream_flush(spark, sf_dir):
     """30 s gateway flush on a stream; equals the batch result."""
-    base, s = _stream_source(spark, sf_dir, "stream-flush")
-    out = _run_window_sums(spark, s, base, SW.flush_sums())
+    out = _run_window_sums(spark, FX.readings(spark, sf_dir), "stream-flush", SW.flush_sums())
     return out.select("gateway_id", ntz("flush_start"), "data_type",
                       F.col("items").cast("long").alias("items"), rnd("value_sum").alias("value_sum"))
 
@@ -721,8 +714,7 @@ def q_stream_flush(spark, sf_dir):
 @query("stream_interval_sum")
 def q_stream_interval_sum(spark, sf_dir):
     """Interval sums on a stream (1 hour on this sparse table)."""
-    base, s = _stream_source(spark, sf_dir, "stream-interval")
-    out = _run_window_sums(spark, s, base, SW.interval_sums("1 hour"))
+    out = _run_window_sums(spark, FX.readings(spark, sf_dir), "stream-interval", SW.interval_sums("1 hour"))
     return out.select("device_id", "data_type", ntz("interval_start"), ntz("interval_end"),
                       F.col("total").cast("long").alias("total"), F.col("items").cast("long").alias("items"))
 
@@ -731,11 +723,9 @@ def q_stream_interval_sum(spark, sf_dir):
 def q_stream_late(spark, sf_dir):
     """T2 where every seventh reading comes after all others: nothing is lost, and the items whose
     interval had ended are told apart."""
-    base = scratch_dir(spark, "stream-late")
     r = FX.readings(spark, sf_dir)
-    SR.replay_files(r.filter(F.col("seq") % 7 != 0), f"{base}/source")
-    r.filter(F.col("seq") % 7 == 0).coalesce(1).write.mode("append").parquet(f"{base}/source")
-    out = _run_window_sums(spark, SR.read_replay(spark, f"{base}/source", r.schema), base, SW.interval_sums("1 hour"))
+    parts = [r.filter(F.col("seq") % 7 != 0), r.filter(F.col("seq") % 7 == 0)]
+    out = _run_window_sums(spark, r, "stream-late", SW.interval_sums("1 hour"), parts)
     return out.select("device_id", "data_type", ntz("interval_start"), ntz("interval_end"), F.col("total").cast("long").alias("total"),
                       F.col("items").cast("long").alias("items"), F.col("late_items").cast("long").alias("late_items"))
 
@@ -744,12 +734,10 @@ def q_stream_late(spark, sf_dir):
 def q_stream_envelopes(spark, sf_dir):
     """Every 30 s flush window of a gateway leaves the stream once, as one envelope; the windows open at the
     end are flushed by a marker."""
-    base = scratch_dir(spark, "stream-envelopes")
     r = FX.readings(spark, sf_dir).withColumn("marker", F.lit(False))
-    SR.replay_files(r, f"{base}/source")
-    SE.flush_marker(spark, r.schema, r.agg(F.max("ts")).first()[0]).select(*r.columns).coalesce(1).write.mode("append").parquet(f"{base}/source")
-    s = SR.read_replay(spark, f"{base}/source", r.schema)
-    out = _run_to_parquet(spark, SE.stream_envelopes(s).withColumn("payload", F.to_json(DATA_FIELD)).drop(DATA_FIELD), base)
+    r = r.unionByName(SE.flush_marker(spark, r.schema, r.agg(F.max("ts")).first()[0]))
+    out = _run_to_parquet(spark, r, "stream-envelopes",
+                          lambda s: SE.stream_envelopes(s).withColumn("payload", F.to_json(DATA_FIELD)).drop(DATA_FIELD))
     return out.select(F.col(GATEWAY_FIELD).alias("gateway_id"), ntz("flush_start"), "payload")
 
 
@@ -762,13 +750,8 @@ def q_stream_ingest(spark, sf_dir):
     g = EN.gateway_batches(r, ["batch_id"], text_items=(F.col("seq") % 2 == 1))
     envelopes = g.select((F.col("batch_id") * FX.GATEWAYS + F.col("gateway_id").cast("long")).alias("envelope_id"), "payload",
                          F.col("batch_time").alias("ts"), F.col("batch_id").alias("seq"))
-    split = F.col("ts") < F.to_timestamp(F.lit(FX.REGISTRY_SPLIT))
-    for part in (envelopes.filter(split), envelopes.filter(~split)):         # both streams stop and go on
-        part.write.mode("append").parquet(f"{base}/source")
-        s = SR.read_replay(spark, f"{base}/source", envelopes.schema, files_per_trigger=1000)
-        SR.run_available_now(lambda: SI.start_decoding(s, f"{base}/items", f"{base}/checkpoint-items"))
-        items = SR.read_replay(spark, f"{base}/items", SI.ITEM, files_per_trigger=1000)
-        SR.run_available_now(lambda: SI.start_ingest(items, f"{base}/tables", f"{base}/checkpoint"))
+    _in_parts(envelopes, base, lambda s: SI.start_decoding(s, f"{base}/items", f"{base}/checkpoint-items"),
+              lambda _: SI.start_ingest(SR.read_landing(spark, f"{base}/items", SI.ITEM), f"{base}/tables", f"{base}/checkpoint"))
     m = _written(spark, base, SI.MEASUREMENTS).select("envelope_id", "device_id", "gateway_id", "data_type", "value", "seq")
     c = _written(spark, base, SI.METRICS).select("device_id", "data_type", "seq", "history_size", "average_value")
     joined = m.join(c, ["device_id", "data_type", "seq"], "left")
@@ -779,19 +762,19 @@ def q_stream_ingest(spark, sf_dir):
 @query("stream_publish")
 def q_stream_publish(spark, sf_dir):
     """Messages of subscribed readings on a stream, written once each into a folder per topic."""
-    base, s = _stream_source(spark, sf_dir, "stream-publish")
+    base = scratch_dir(spark, "stream-publish")
     subs = SB.current_subscriptions(FX.control_events(spark, sf_dir), spark, FX.FIXTURE_DEFAULT_SUBSCRIPTIONS)
-    msg = _published(SS.gate_stream(s, subs))
-    SR.run_available_now(lambda: SB.start_topic_sink(msg, f"{base}/topics", f"{base}/checkpoint"))
+    _in_parts(FX.readings(spark, sf_dir), base,
+              lambda s: SB.start_topic_sink(_published(SS.gate_stream(s, subs)), f"{base}/topics", f"{base}/checkpoint"))
     return spark.read.text(f"{base}/topics").select("topic", F.col("value").alias("message"))
 
 
 @query("stream_upsert")
 def q_stream_upsert(spark, sf_dir):
     """The registries as stored tables, upserted micro-batch by micro-batch."""
-    base, s = _stream_source(spark, sf_dir, "stream-upsert")
+    base = scratch_dir(spark, "stream-upsert")
     at = TS.Registries(*[f"{base}/{t}" for t in TS.Registries._fields])
-    SR.run_available_now(lambda: TS.start_registry_stream(s, at, f"{base}/checkpoint", buckets=8))
+    _in_parts(FX.readings(spark, sf_dir), base, lambda s: TS.start_registry_stream(s, at, f"{base}/checkpoint", buckets=8))
     g = TS.read_stored(spark, at.gateways).select(F.lit("gateway").alias("entity"), F.col("gateway_id").alias("id"), "last_seen", "last_seq")
     d = TS.read_stored(spark, at.devices).select(F.lit("device").alias("entity"), F.col("device_id").alias("id"), "last_seen", "last_seq")
     return g.unionByName(d).select("entity", "id", ntz("last_seen"), "last_seq")
@@ -811,8 +794,7 @@ def q_stored_mapping(spark, sf_dir):
 @query("stream_metrics")
 def q_stream_metrics(spark, sf_dir):
     """Rolling metrics with bounded keyed state (last 100 values)."""
-    base, s = _stream_source(spark, sf_dir, "stream-metrics")
-    out = _run_to_parquet(spark, ST.stream_rolling_metrics(s), base)
+    out = _run_to_parquet(spark, FX.readings(spark, sf_dir), "stream-metrics", ST.stream_rolling_metrics)
     return out.select("device_id", "data_type", "seq", ntz("ts"), "original_value",
                       F.col("history_size").cast("long").alias("history_size"),
                       *[rnd(c).alias(c) for c in M.METRIC_COLUMNS])
@@ -822,8 +804,9 @@ def q_stream_metrics(spark, sf_dir):
 def q_stream_validate(spark, sf_dir):
     """T4: validation with the valid-only history and non-finite replacement
     on a stream, micro-batch by micro-batch; equals the batch result."""
-    base, s = _stream_source(spark, sf_dir, "stream-validate", with_nan=True)
-    SR.run_available_now(lambda: TL.start_validation_stream(s, f"{base}/tables", f"{base}/checkpoint", rules=FX.FIXTURE_RULES))
+    base = scratch_dir(spark, "stream-validate")
+    _in_parts(FX.readings(spark, sf_dir, with_nan=True), base,
+              lambda s: TL.start_validation_stream(s, f"{base}/tables", f"{base}/checkpoint", rules=FX.FIXTURE_RULES))
     v = _written(spark, base, TL.VALIDATED)
     return v.select("device_id", "data_type", "seq", "original_value",
                     rnd("cleaned_value").alias("cleaned_value"), "was_modified",
@@ -833,8 +816,9 @@ def q_stream_validate(spark, sf_dir):
 @query("stream_type_average")
 def q_stream_type_average(spark, sf_dir):
     """T5: the per-type average over the histories that the stream's state holds at the end."""
-    base, s = _stream_source(spark, sf_dir, "stream-pools", with_nan=True)
-    SR.run_available_now(lambda: TL.start_pool_stream(s, f"{base}/tables", f"{base}/checkpoint", rules=FX.FIXTURE_RULES))
+    base = scratch_dir(spark, "stream-pools")
+    _in_parts(FX.readings(spark, sf_dir, with_nan=True), base,
+              lambda s: TL.start_pool_stream(s, f"{base}/tables", f"{base}/checkpoint", rules=FX.FIXTURE_RULES))
     a = TL.pool_averages(spark, f"{base}/tables")
     return a.select("data_type", F.col("pool_values").cast("long").alias("pool_values"),
                     rnd("pool_sum").alias("pool_sum"), rnd("type_average").alias("type_average"))
@@ -843,17 +827,16 @@ def q_stream_type_average(spark, sf_dir):
 @query("stream_gate")
 def q_stream_gate(spark, sf_dir):
     """Readings on subscribed types, stream-static semi join."""
-    base, s = _stream_source(spark, sf_dir, "stream-gate")
     subs = SB.current_subscriptions(FX.control_events(spark, sf_dir), spark, FX.FIXTURE_DEFAULT_SUBSCRIPTIONS)
-    out = _run_to_parquet(spark, SS.gate_stream(s, subs).select("seq", "data_type", "device_id"), base)
+    out = _run_to_parquet(spark, FX.readings(spark, sf_dir), "stream-gate",
+                          lambda s: SS.gate_stream(s, subs).select("seq", "data_type", "device_id"))
     return out.select("seq", "data_type", "device_id")
 
 
 @query("stream_inactivity")
 def q_stream_inactivity(spark, sf_dir):
     """Inactivity periods (1 h) from an event-time timer per device."""
-    base, s = _stream_source(spark, sf_dir, "stream-inactivity")
-    out = _run_to_parquet(spark, ST.stream_inactivity(s), base)
+    out = _run_to_parquet(spark, FX.readings(spark, sf_dir), "stream-inactivity", ST.stream_inactivity)
     return out.select("device_id", ntz("inactive_since"))
 
 
@@ -869,16 +852,17 @@ def q_stream_atomic_write(spark, sf_dir):
         ["envelope_id", "device_id"])
     sends = b.withColumn("code", F.lit(201)).unionByName(
         b.filter(F.col("envelope_id") % 4 == 0).withColumn("code", F.lit(202)))
-    SR.replay_files(sends, f"{base}/source")
-    s = SR.read_replay(spark, f"{base}/source", sends.schema)
-    d = SS.dedupe_stream(s.withColumnRenamed("ts", "batch_time"), ["envelope_id", "device_id"])
 
     def decode(df):
         items, _ = D.split_rejects(D.parse_device_batch(df.select("envelope_id", "payload", "batch_time")))
         return items.withColumnRenamed("batch_time", "ts").select("envelope_id", "device_id", "data_type",
                                                                   "value", "ts")
 
-    SR.run_available_now(lambda: SS.start_batch_writer(d, f"{base}/out", f"{base}/checkpoint", decode))
+    def start(s):
+        d = SS.dedupe_stream(s.withColumnRenamed("ts", "batch_time"), ["envelope_id", "device_id"])
+        return SS.start_batch_writer(d, f"{base}/out", f"{base}/checkpoint", decode)
+
+    _in_parts(sends, base, start)
     m = spark.read.parquet(f"{base}/out")
     return m.select(F.col("envelope_id").alias("batch_id"), "device_id", "data_type", "value")
 
@@ -924,8 +908,8 @@ def q_topic_prefix_gate(spark, sf_dir):
 def q_stream_metrics_batched(spark, sf_dir):
     """T3 without per-key grouping of readings: each micro-batch runs the skew-safe batch
     plan over its rows plus the last 99 values of the keys it touches."""
-    base, s = _stream_source(spark, sf_dir, "stream-metrics-batched")
-    SR.run_available_now(lambda: TL.start_metrics_stream(s, f"{base}/tables", f"{base}/checkpoint"))
+    base = scratch_dir(spark, "stream-metrics-batched")
+    _in_parts(FX.readings(spark, sf_dir), base, lambda s: TL.start_metrics_stream(s, f"{base}/tables", f"{base}/checkpoint"))
     out = _written(spark, base, TL.METRICS)
     return out.select("device_id", "data_type", "seq", ntz("ts"), F.col("value").alias("original_value"),
                       F.col("history_size").cast("long").alias("history_size"),

@@ -1,37 +1,42 @@
-"""Replay a table as a stream of files (tests and the query catalogue).
+"""A table fed to a stream in parts.
 
-A live deployment reads Kafka or a landing folder; to check stream = batch,
-a DataFrame is written as a sequence of files in time order, one write per
-time chunk, and read back with ``maxFilesPerTrigger = 1`` so that every
-micro-batch holds one chunk and micro-batches follow time order.
+A live deployment reads a broker or a landing folder.  To run a stream over a table, its rows arrive in
+a few parts, in time order, each written to the landing folder by one distributed job; the
+stream takes a part and stops, and goes on from its checkpoint with the next one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-REPLAY_CHUNK_SECONDS = 5 * 86400
-
-
-def replay_files(df: DataFrame, path: str, time_col: str = "ts",
-                 chunk_seconds: int = REPLAY_CHUNK_SECONDS, order=("ts", "seq")) -> int:
-    """Write ``df`` under ``path`` as one file per time chunk, oldest first.
-    Returns the number of chunks."""
-    chunk = F.floor(F.unix_seconds(F.col(time_col).cast("timestamp")) / F.lit(chunk_seconds)).cast("long")
-    d = df.withColumn("_chunk", chunk).persist(StorageLevel.MEMORY_AND_DISK)   # one scan, many writes
-    try:
-        ids = [r[0] for r in d.select("_chunk").distinct().orderBy("_chunk").collect()]
-        for c in ids:
-            (d.filter(F.col("_chunk") == c).drop("_chunk").coalesce(1)
-              .sortWithinPartitions(*order).write.mode("append").parquet(path))
-    finally:
-        d.unpersist()
-    return len(ids)
+
+def split_by_time(df: DataFrame, cuts: Sequence[str], time_col: str = "ts") -> list[DataFrame]:
+    """The rows before the first cut (and those without a time), between each two, and from the last on."""
+    at = F.col(time_col).cast("timestamp")
+    edges = [F.to_timestamp(F.lit(c)) for c in cuts]
+    parts = []
+    for i in range(len(edges) + 1):
+        begin = at >= edges[i - 1] if i else F.lit(True)
+        end = F.coalesce(at < edges[i], F.lit(i == 0)) if i < len(edges) else F.lit(True)
+        parts.append(df.filter(begin & end))
+    return parts
+
+
+def run_in_parts(parts: Sequence[DataFrame], path: str, *starts: Callable[[DataFrame], StreamingQuery]) -> None:
+    """Each part lands in ``path``, then every query of ``starts`` reads what is new there and stops."""
+    for part in parts:
+        part.write.mode("append").parquet(path)
+        for start in starts:
+            run_available_now(lambda: start(read_landing(part.sparkSession, path, part.schema)))
+
+
+def read_landing(spark: SparkSession, path: str, schema) -> DataFrame:
+    """All new files of a folder in one micro-batch."""
+    return spark.readStream.schema(schema).parquet(path)
 
 
 def read_replay(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
