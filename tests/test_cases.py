@@ -420,3 +420,84 @@ def test_killed_retention_run_is_mended_by_the_next(spark, monkeypatch):
     TS.execute_retention(spark, TS.plan_retention(spark, at, F.lit(now)))
     assert {r["device_id"] for r in spark.read.parquet(at.measurements).collect()} == {"new"}
     assert [r["device_id"] for r in TS.read_stored(spark, at.devices).collect()] == ["new"]
+
+
+# -- validation, replayed row by row -----------------------------------------------
+
+class _Service:
+    """The rules as stated: one history per device and type, looked at and changed reading by reading."""
+
+    def __init__(self, rules):
+        self.rules, self.histories = {t: (lo, hi) for t, lo, hi in rules}, {}
+
+    def read(self, device, kind, value):
+        history = self.histories.setdefault((device, kind), [])
+        lo, hi = self.rules.get(kind, (-math.inf, math.inf))
+        cleaned, modified = value, False
+        if value < lo:
+            cleaned, modified = lo, True
+        elif value > hi:
+            cleaned, modified = hi, True
+        pool = [v for (_, k), h in self.histories.items() if k == kind for v in h]
+        if math.isnan(value) or math.isinf(value):
+            cleaned, modified = (sum(pool) / len(pool) if pool else 0.0), True
+        size = len(history)
+        mean = sum(history) / size if size else None
+        sigma = math.sqrt(sum((v - mean) ** 2 for v in history) / size) if size else None
+        anomaly = size >= 5 and not math.isnan(value) and abs(value - mean) > 3 * sigma
+        if size >= 100:
+            history.pop(0)
+        if not modified:
+            history.append(value)
+        return size, mean, sigma, anomaly, cleaned, modified
+
+    def pools(self):
+        out = {}
+        for (_, kind), h in self.histories.items():
+            out.setdefault(kind, []).extend(h)
+        return {k: (len(v), sum(v)) for k, v in out.items() if v}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_validation_equals_a_replay_row_by_row(spark, seed):
+    import random
+
+    from tidepool.operators import validate as V
+
+    rng = random.Random(seed)
+    rules = [("t", 0.0, 100.0), ("u", -5.0, 5.0)]
+    bad = [0.02, 0.5, 0.9][seed - 1]                      # share of readings that are not kept
+    rows = []
+    for seq in range(1500):
+        kind = rng.choice(["t", "u", "free", None])
+        value = rng.gauss(50, 20) if kind == "t" else rng.gauss(0, 2)
+        if rng.random() < bad:
+            value = rng.choice([1e6, -1e6, float("nan"), float("inf"), -float("inf")])
+        rows.append((rng.choice(["a", "b", None]), kind, value, T0 + timedelta(seconds=rng.randrange(4) + seq), seq))
+    rows.sort(key=lambda r: (r[3], r[4]))
+    service = _Service(rules)
+    want = {r[4]: service.read(*r[:3]) for r in rows}
+    df = spark.createDataFrame(rows, "device_id string, data_type string, value double, ts timestamp, seq long").repartition(5)
+    got = V.validate_readings(df, rules=rules, bucket_seconds=300, chunk_rows=128).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        size, mean, sigma, anomaly, cleaned, modified = want[r["seq"]]
+        assert (r["history_size"], r["is_anomaly"], r["was_modified"]) == (size, anomaly, modified)
+        assert r["cleaned_value"] == pytest.approx(cleaned, rel=1e-9, abs=1e-9)
+        if size:
+            assert r["history_mean"] == pytest.approx(mean, rel=1e-9, abs=1e-9) and r["history_std"] == pytest.approx(sigma, rel=1e-6, abs=1e-6)
+    pools = {r["data_type"]: (r["pool_values"], float(r["pool_sum"])) for r in V.type_averages(df, rules=rules).collect()}
+    assert pools == {k: (n, pytest.approx(s, rel=1e-9, abs=1e-9)) for k, (n, s) in service.pools().items()}
+
+
+def test_pool_sums_do_not_depend_on_the_partitioning(spark):
+    from tidepool.operators import validate as V
+
+    rows = [("d%d" % (i % 7), "t", (i * 0.1 + 1e9 * (i % 3) - 1e-7 * i), T0 + timedelta(seconds=i), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "device_id string, data_type string, value double, ts timestamp, seq long")
+    found = set()
+    for parts in (1, 3, 8):
+        a = V.validate_readings(df.withColumn("value", F.when(F.col("seq") % 50 == 49, float("nan")).otherwise(F.col("value"))).repartition(parts), rules=[])
+        found.add(tuple(sorted((r["seq"], r["cleaned_value"], r["type_average"]) for r in a.filter("seq % 50 = 49").collect())))
+        found.add(("sum", str(V.type_averages(df.repartition(parts), rules=[]).first()["pool_sum"])))
+    assert len(found) == 2

@@ -101,3 +101,21 @@ def test_last_k_matches_row_number(spark):
     w = Window.partitionBy("data_type").orderBy(F.desc("ts"), F.desc("seq"))
     ref = r.withColumn("recency_rank", F.row_number().over(w)).filter("recency_rank <= 7")
     assert _rows(got, ["seq", "recency_rank"]) == _rows(ref, ["seq", "recency_rank"])
+
+
+def test_rows_without_a_time_are_dealt_to_several_buckets(spark, monkeypatch):
+    """A key without times: ordered by seq, in ranges of it, in both directions."""
+    from pyspark.sql import functions as F
+
+    from tidepool.plans import windows as W
+
+    monkeypatch.setattr(W, "NO_TIME_ROWS", 10)
+    df = spark.range(95).select(F.lit("k").alias("k"), F.when(F.col("id") % 19 == 18, F.timestamp_seconds("id")).alias("ts"),
+                                (F.col("id") * 7 % 95 - 20).alias("seq"))
+    pos = {r["seq"]: r["pos"] for r in W.keyed_positions(df, ["k"], ["ts", "seq"]).collect()}
+    rows = sorted(df.collect(), key=lambda r: (r["ts"] is not None, r["ts"] and r["ts"].timestamp(), r["seq"]))
+    assert pos == {r["seq"]: i for i, r in enumerate(rows)}
+    last = [r["seq"] for r in sorted(W.last_k_per_key(df, ["k"], ["ts", "seq"], 30).collect(), key=lambda r: r["recency_rank"])]
+    assert last == [r["seq"] for r in rows[::-1][:30]]
+    buckets = df.filter("ts IS NULL").select(W.time_bucket("ts", 3600, F.col("seq")).alias("b")).distinct().count()
+    assert buckets >= 9

@@ -46,10 +46,11 @@ def rolling_metrics(
     bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
     chunk_rows: int = DEFAULT_CHUNK_ROWS,
     regression: bool = False,
+    bucket: Column | None = None,
 ) -> DataFrame:
     """W1-W6 (and W12 with ``regression=True``): add the metric columns and
-    ``history_size`` to every reading."""
-    pos = keyed_positions(df, keys, order, time_col, bucket_seconds, index_col="_pos")
+    ``history_size`` to every reading.  ``bucket`` as in ``keyed_positions``."""
+    pos = keyed_positions(df, keys, order, time_col, bucket_seconds, index_col="_pos", bucket=bucket)
     v = F.col(value)
     # Positions inside a frame are consecutive, so the abscissa's mean and
     # variance are closed forms ((n-1)/2 from the oldest, (n^2-1)/12): one

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tidepool.functions.scalar import fixed2, is_nonfinite, plain_number_text
 from tidepool.plans.windows import (DEFAULT_BUCKET_SECONDS, DEFAULT_CHUNK_ROWS,
-                                    chunked_rolling, keyed_positions)
+                                    chunked_rolling, keyed_positions, last_k_per_key)
 from tidepool.schema import (ANOMALY_SIGMAS, DEFAULT_RULES, HISTORY_SIZE, MIN_ANOMALY_HISTORY,
                              MSG_ABOVE, MSG_ANOMALY, MSG_BELOW, MSG_NONFINITE, MSG_VALID,
                              STATUS_INVALID, STATUS_OK, STATUS_PARTIAL)
@@ -110,17 +110,16 @@ def history_statistics(
     sigmas: float = ANOMALY_SIGMAS,
     bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
     chunk_rows: int = DEFAULT_CHUNK_ROWS,
-    internals: bool = False,
+    bucket: Column | None = None,
 ) -> DataFrame:
     """Cleaning, history statistics, anomaly flag and the signed pool deltas
     ``_dsum``/``_dn`` of each reading (what it adds to / evicts from the
-    history pool of its type).  ``internals`` keeps ``_keep`` (1 if the value
-    entered the history) and ``_c`` (values kept before the reading)."""
+    history pool of its type).  ``bucket`` as in ``keyed_positions``."""
     type_col = keys[-1]
     base = clean_readings(df, rules, value, type_col)
     base = base.withColumn("_keep", (~F.col("was_modified")).cast("long"))
     pos = keyed_positions(base, keys, order, time_col, bucket_seconds,
-                          sums=["_keep"], index_col="_pos")
+                          sums=["_keep"], index_col="_pos", bucket=bucket)
     pos = pos.withColumnRenamed("_keep_before", "_c")
 
     # History snapshots: after each kept value, stats of the last 100 / 99 kept.
@@ -166,7 +165,7 @@ def history_statistics(
                                 F.when(evict, exact(F.col("_oldest"))).otherwise(zero)).cast(EXACT))
           .withColumn("_dn", keep.cast("long") - evict.cast("long")))
     drop = ["_pos", "_u", "_snap_pos", "_n_full", "_m_full", "_s_full", "_m_short",
-            "_s_short", "_oldest"] + ([] if internals else ["_keep", "_c"])
+            "_s_short", "_oldest", "_keep", "_c"]
     return j.drop(*drop)
 
 
@@ -183,7 +182,7 @@ def validate_readings(
     bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
     chunk_rows: int = DEFAULT_CHUNK_ROWS,
     pool_offset: DataFrame | None = None,
-    internals: bool = False,
+    bucket: Column | None = None,
 ) -> DataFrame:
     """U2 per reading: cleaning (P9-P11), valid-only history statistics (W7),
     the 3-sigma flag (W8, P12) and non-finite replacement by the live
@@ -200,7 +199,7 @@ def validate_readings(
     type_col = keys[-1]
     v = F.col(value)
     j = history_statistics(df, rules, keys, order, value, time_col, history, min_history, sigmas,
-                      bucket_seconds, chunk_rows, internals=internals)
+                      bucket_seconds, chunk_rows, bucket)
     # all devices of a type share a bucket here: a narrow one keeps the task small
     typed = keyed_positions(j, [type_col], order, time_col, min(bucket_seconds, TYPE_BUCKET_SECONDS),
                             sums=["_dsum", "_dn"], index_col="_tpos")
@@ -261,33 +260,23 @@ def drop_invalid_batches(validated: DataFrame, status: DataFrame,
     return validated.join(ok, F.struct(*[F.col(c) for c in batch_cols]) == F.col("_ok"), "left_semi")
 
 
-def current_histories(validated: DataFrame, keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER,
-                      value: str = "value", history: int = HISTORY_SIZE, carry: Sequence[str] = ()) -> DataFrame:
-    """The history of every key after its last reading, as rows (keys, order
-    columns, value, ``carry``): the last ``size`` kept values, where ``size`` follows
-    the eviction rule from the last reading's ``history_size`` and whether it was
-    kept.  Needs ``validate_readings(..., internals=True)`` output.  One
-    partial aggregation per key plus an equi join; at most ``history`` rows
-    per key come out."""
-    key = F.struct(*[F.col(k) for k in keys])   # NULL is a key like any other
-    last = validated.groupBy(key.alias("_end_key")).agg(
-        F.max_by(F.struct("history_size", "_keep"), F.struct(*order)).alias("_l"),
-        F.sum("_keep").alias("_kept_total"))
-    size = (F.col("_l.history_size") - F.when(F.col("_l.history_size") == history, 1).otherwise(0)
-            + F.col("_l._keep"))
-    ends = last.select("_end_key", (F.col("_kept_total") - size).alias("_from"))
-    kept = validated.filter(F.col("_keep") == 1).select(*keys, *order, value, "_c", *carry)
-    return (kept.join(ends, key == F.col("_end_key"), "inner").filter(F.col("_c") >= F.col("_from"))
-                .drop("_c", "_from", "_end_key"))
-
-
-def type_averages(df: DataFrame, rules=None, keys: Sequence[str] = KEYS, **kw) -> DataFrame:
+def end_histories(df: DataFrame, rules=None, keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER, value: str = "value",
+                  time_col: str = "ts", history: int = HISTORY_SIZE, bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
+    """The history of every key after its last reading: its last ``history`` kept values, one less if it is
+    full and the last reading was not kept (which evicted a value).  Only the last kept values of a key and whether its
+    last reading was kept matter, so no frame slides over the readings."""
+    base = clean_readings(df, rules, value, keys[-1]).withColumn("_keep", ~F.col("was_modified"))
+    key = F.struct(*[F.col(k) for k in keys])             # NULL is a key like any other
+    last = base.groupBy(key.alias("_end_key")).agg(F.max_by("_keep", F.struct(*order)).alias("_last"), F.count_if("_keep").alias("_kept"))
+    size = F.when((F.col("_kept") >= history) & ~F.col("_last"), F.lit(history - 1)).otherwise(F.lit(history))
+    tails = last_k_per_key(base.filter("_keep").select(*df.columns), keys, order, history, time_col, bucket_seconds, rank_col="_rank")
+    ends = last.select("_end_key", size.alias("_size"))
+    return tails.join(ends, key == F.col("_end_key")).filter(F.col("_rank") <= F.col("_size")).drop("_rank", "_size", "_end_key")
+
+
+def type_averages(df: DataFrame, rules=None, keys: Sequence[str] = KEYS, value: str = "value", **kw) -> DataFrame:
     """Average per type over the union of all devices' current
-    (end-state) histories.  The pool of a type is the sum of the signed deltas
-    of its readings, so this is a plain aggregation (partial sums map-side)."""
-    type_col = keys[-1]
-    core = history_statistics(df, rules, keys, **kw)
-    g = core.groupBy(type_col).agg(F.sum("_dsum").alias("pool_sum"),
-                                   F.sum("_dn").alias("pool_values"))
-    return g.withColumn("type_average",
-                        F.when(F.col("pool_values") > 0, F.col("pool_sum").cast("double") / F.col("pool_values")))
+    (end-state) histories; the sums are exact (``exact``)."""
+    g = end_histories(df, rules, keys, value=value, **kw).groupBy(keys[-1]).agg(
+        F.sum(exact(F.col(value))).cast(EXACT).alias("pool_sum"), F.count(F.lit(1)).alias("pool_values"))
+    return g.withColumn("type_average", F.col("pool_sum").cast("double") / F.col("pool_values"))

@@ -31,7 +31,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DecimalType
+from pyspark.sql.types import DecimalType, IntegralType
 from pyspark.sql.window import WindowSpec
 
 UNBOUNDED = Window.unboundedPreceding
@@ -41,14 +41,24 @@ UNBOUNDED = Window.unboundedPreceding
 DEFAULT_BUCKET_SECONDS = 3600
 # Rows per chunk of a sliding window (each chunk is one window partition).
 DEFAULT_CHUNK_ROWS = 1 << 20
-# Bucket of rows without a time: before (or, reversed, after) all others.
+# Buckets of rows without a time: before (or, reversed, after) all others, by ranges of the
+# second order column where that is a whole number.
 NO_TIME = -(1 << 62)
+NO_TIME_ROWS = 1 << 20
 
 
-def time_bucket(time_col: str, bucket_seconds: int) -> Column:
-    """Bucket number of a timestamp column (floor of epoch / width)."""
+def time_bucket(time_col: str, bucket_seconds: int, within: Column | None = None) -> Column:
+    """Bucket number of a timestamp column (floor of epoch / width); rows without a time are
+    dealt by ranges of ``within``, a whole number that orders them."""
     micros = F.unix_micros(F.col(time_col).cast("timestamp"))
-    return F.coalesce(F.floor(micros / F.lit(int(bucket_seconds) * 1_000_000)).cast("long"), F.lit(NO_TIME))
+    untimed = F.lit(NO_TIME) if within is None else F.lit(NO_TIME) + F.coalesce(F.floor(within / F.lit(NO_TIME_ROWS)).cast("long"), F.lit(-(1 << 60)))
+    return F.coalesce(F.floor(micros / F.lit(int(bucket_seconds) * 1_000_000)).cast("long"), untimed)
+
+
+def _within(df: DataFrame, order: Sequence[str | Column]) -> Column | None:
+    """The second order column, if it is a whole number."""
+    name = order[1] if len(order) > 1 else None
+    return F.col(name) if isinstance(name, str) and isinstance(df.schema[name].dataType, IntegralType) else None
 
 
 def keyed_positions(
@@ -72,7 +82,7 @@ def keyed_positions(
     rows that cannot be among the first k of their key (a plain row-number
     filter, which Spark turns into a group limit).
     """
-    bkt = bucket if bucket is not None else time_bucket(time_col, bucket_seconds)
+    bkt = bucket if bucket is not None else time_bucket(time_col, bucket_seconds, _within(df, order))
     d = df.withColumn("_bkt", bkt).withColumn("_key", F.struct(*[F.col(k) for k in keys]))
 
     # Level 2 first: per (key, bucket) totals, partially aggregated map-side.
@@ -159,7 +169,7 @@ def last_k_per_key(
     for the newest row."""
     newest = [(F.col(c) if isinstance(c, str) else c).desc() for c in order]
     p = keyed_positions(df, keys, newest, time_col, index_col="_p", keep_first=k,
-                        bucket=-time_bucket(time_col, bucket_seconds))
+                        bucket=-time_bucket(time_col, bucket_seconds, _within(df, order)))
     return (p.filter(F.col("_p") < F.lit(k))
              .withColumn(rank_col, (F.col("_p") + 1).cast("long"))
              .drop("_p"))
