@@ -38,8 +38,8 @@ from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
@@ -49,7 +49,7 @@ from tidepool.llm.common import staged
 COMMON = 0.002               # mean share of a document's words that makes a word common
 REFERENCE_DOCS = 10          # documents with words that a language needs for a reference
 SCALE = 1_000_000            # a document's weight, in whole numbers so that sums do not depend on their order
-CHUNK_WORDS = 1_000_000
+CHUNK_WORDS = 400_000
 KNOWN_WORDS = 200_000        # words that a task remembers
 STEP = 500                   # documents that a task looks at together
 CLASS_LIMIT, CLASS_MIN_CHARS = 0.30, 200
@@ -130,6 +130,10 @@ def repeated_lines(text: str) -> int:
     return again
 
 
+def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (b.slice(at, STEP) for b in batches for at in range(0, b.num_rows, STEP))
+
+
 class _Numbers(dict):
     """Numbers of words, in the order in which they come."""
 
@@ -175,7 +179,7 @@ def _report(share: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tallies, n = defaultdict(_Tally), 0
-        for batch in batches:
+        for batch in _steps(batches):
             for lang, text in zip(*(c.to_pylist() for c in batch.columns)):
                 raw = text.encode()
                 tokens = raw.lower().split()
@@ -226,7 +230,7 @@ def _measure(forms: dict[bytes, int], wanted: dict[str, set[int]], text_at: int,
         base_types = [pa.int64()] * 5 + [pa.bool_()]
         count_types = [pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.string(), pa.int32(), pa.int64()]
         names, fields = [], []
-        for batch in (b.slice(at, STEP) for b in batches for at in range(0, b.num_rows, STEP)):
+        for batch in _steps(batches):
             if len(known.form_of) > KNOWN_WORDS:
                 known = _Known(forms)
             names, fields = batch.schema.names[carried:], [f.type for f in batch.schema][carried:]
@@ -339,37 +343,39 @@ def _distances(refs: dict[str, Reference], forms: list[bytes]):
     names = sorted(refs)
     bins = {name: np.array([refs[name][1].get(w, len(refs[name][1])) for w in forms], np.int64) for name in names}
 
-    def part(rows: np.ndarray, name: str, n_words, classes, form, counts) -> tuple[np.ndarray, np.ndarray]:
+    def part(rows: np.ndarray, name: str, n_words: np.ndarray, classes: np.ndarray, at: np.ndarray, form: np.ndarray, counts: np.ndarray):
         shape, own_bins, histogram = refs[name]
         other = len(own_bins)
         own = np.zeros((len(rows), other + 1))
-        sizes = [len(form[r]) for r in rows]
-        if sum(sizes):
-            at = bins[name][np.concatenate([form[r] for r in rows]).astype(np.int64)]
-            np.add.at(own, (np.repeat(np.arange(len(rows)), sizes), at), np.concatenate([counts[r] for r in rows]))
+        for i, r in enumerate(rows):
+            np.add.at(own[i], bins[name][form[at[r]:at[r + 1]]], counts[at[r]:at[r + 1]])
         own[:, other] += n_words[rows] - own.sum(axis=1)
-        return distances(np.array([classes[r] for r in rows], float), shape), distances(own, histogram)
+        return distances(classes[rows], shape), distances(own, histogram)
 
-    def run(lang: pd.Series, n_words: pd.Series, classes: pd.Series, form: pd.Series, counts: pd.Series) -> pd.DataFrame:
+    def run(lang: pa.Array, n_words: pa.Array, classes: pa.Array, forms: pa.Array, counts: pa.Array) -> pa.Array:
         size = len(lang)
-        by_class, by_word, near = np.full(size, np.nan), np.full(size, np.nan), np.full(size, None, object)
-        lang, n_words = lang.to_numpy(object), n_words.to_numpy(np.int64)
+        lang, n_words = lang.to_pylist(), n_words.to_numpy(zero_copy_only=False)
+        classes = classes.flatten().to_numpy(zero_copy_only=False).reshape(size, CLASSES).astype(float)
+        at = np.concatenate([[0], np.cumsum(pc.list_value_length(forms).to_numpy(zero_copy_only=False))])
+        form, counts = forms.flatten().to_numpy(zero_copy_only=False), counts.flatten().to_numpy(zero_copy_only=False)
+        by_class, by_word, near = np.zeros(size), np.zeros(size), np.full(size, None, object)
         groups = defaultdict(list)
         for row in np.flatnonzero(n_words > 0):
             groups[lang[row] if lang[row] in refs else None].append(row)
         for own, rows in groups.items():
-            for at in range(0, len(rows), 512):
-                some = np.array(rows[at:at + 512])
+            for first in range(0, len(rows), STEP):
+                some = np.array(rows[first:first + STEP])
                 best = np.full(len(some), np.inf)
                 for name in names if own is None else [own]:
-                    a, b = part(some, name, n_words, classes, form, counts)
+                    a, b = part(some, name, n_words, classes, at, form, counts)
                     better = a + b < best
                     best[better] = (a + b)[better]
                     by_class[some[better]], by_word[some[better]], near[some[better]] = a[better], b[better], name
-        return pd.DataFrame({"class_distance": pd.array(np.where(near == None, None, by_class), "Float64"),  # noqa: E711
-                             "word_distance": pd.array(np.where(near == None, None, by_word), "Float64"), "_reference": near})  # noqa: E711
+        none = np.array([x is None for x in near], bool)
+        return pa.StructArray.from_arrays([pa.array(by_class, mask=none), pa.array(by_word, mask=none), pa.array(near, pa.string())],
+                                          ["class_distance", "word_distance", "_reference"])
 
-    return F.pandas_udf(run, _FOUND)
+    return F.arrow_udf(run, _FOUND)
 
 
 NAMES = [*BASE, "kept", "class_distance", "word_distance"]
