@@ -296,3 +296,21 @@ def test_published_messages_are_there_once_after_a_restart(spark):
             s = SR.read_replay(spark, f"{base}/source", schema)
             SR.run_available_now(lambda: SB.start_topic_sink(s, f"{base}/topics", f"{base}/checkpoint"))
     assert sorted(map(tuple, spark.read.text(f"{base}/topics").select("topic", "value").collect())) == [("a", "1"), ("a", "3"), ("b", "2")]
+
+
+def test_presence_takes_the_last_event_however_late(spark):
+    base = scratch_dir(spark, "test-presence")
+    schema = "device_id string, kind string, ts timestamp, seq long"
+
+    def feed(*rows):
+        spark.createDataFrame(rows, "device_id string, kind string, t string, seq long").select(
+            "device_id", "kind", F.to_timestamp("t").alias("ts"), "seq").coalesce(1).write.mode("append").parquet(f"{base}/source")
+        s = SR.read_replay(spark, f"{base}/source", schema)
+        SR.run_available_now(lambda: SW.start_presence(s, f"{base}/tables", f"{base}/checkpoint"))
+        return {r["device_id"]: (r["state"], str(r["since"])[11:], r["connected"]) for r in SW.current_presence(spark, f"{base}/tables").collect()}
+
+    assert feed(("a", "connect", "2024-01-01 10:00:00", 1), (None, "connect", "2024-01-01 10:00:00", 2), ("a", "disconnect", "2024-01-01 10:00:00", 3)) == {
+        "a": ("disconnect", "10:00:00", False), None: ("connect", "10:00:00", True)}
+    SW.fold_presence(spark, f"{base}/tables")
+    assert feed(("a", "connect", "2024-01-01 09:00:00", 4), ("b", "connect", "2024-01-01 11:00:00", 5)) == {
+        "a": ("disconnect", "10:00:00", False), "b": ("connect", "11:00:00", True), None: ("connect", "10:00:00", True)}

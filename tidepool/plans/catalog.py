@@ -697,9 +697,9 @@ def _run_window_sums(spark, df, name, sums, parts=None):
 def q_stream_presence(spark, sf_dir):
     """The current connection state per device, kept by a stream."""
     base = scratch_dir(spark, "stream-presence")
-    _in_parts(FX.presence_events(spark, sf_dir), base,
-              lambda s: SS.start_keyed_updates(SW.stream_presence(s), f"{base}/out", f"{base}/checkpoint"))
-    out = SS.latest_updates(spark.read.parquet(f"{base}/out"), ["device_id"])
+    _in_parts(FX.presence_events(spark, sf_dir), base, lambda s: SW.start_presence(s, f"{base}/tables", f"{base}/checkpoint"))
+    SW.fold_presence(spark, f"{base}/tables")
+    out = SW.current_presence(spark, f"{base}/tables")
     return out.select("device_id", "state", ntz("since"), "connected")
 
 

@@ -41,25 +41,3 @@ def gate_stream(readings: DataFrame, subscriptions: DataFrame, type_col: str = "
     """A stream-static left semi join with the (per-type) subscription table."""
     s = subscriptions.select(F.col(type_col).alias("_topic")).distinct()
     return readings.join(s, F.col(type_col) == F.col("_topic"), "left_semi")
-
-
-def start_keyed_updates(updates: DataFrame, out_path: str, checkpoint: str, available_now: bool = True):
-    """The changed groups of an aggregation, one partition per micro-batch; a
-    retried batch replaces its own."""
-
-    def step(df: DataFrame, batch_id: int) -> None:
-        (df.withColumn("stream_batch", F.lit(batch_id).cast("long"))
-           .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-           .partitionBy("stream_batch").parquet(out_path))
-
-    w = updates.writeStream.outputMode("update").foreachBatch(step).option("checkpointLocation", checkpoint)
-    if available_now:
-        w = w.trigger(availableNow=True)
-    return w.start()
-
-
-def latest_updates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The last version of each group written by ``start_keyed_updates``."""
-    rest = [c for c in df.columns if c not in keys and c != "stream_batch"]
-    last = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), "stream_batch").alias("_l"))
-    return last.select(*keys, *[F.col(f"_l.{c}").alias(c) for c in rest])

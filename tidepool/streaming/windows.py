@@ -9,8 +9,8 @@ the batches before is *late*: it counts in ``late_items`` of its window as well,
 goes to the table ``late`` as it is, so that receivers of a window that was already sent can be
 told.  ``fold_window_sums`` merges what has piled up to one row per window.
 
-T6 runs in update mode: every micro-batch writes the devices it changed, and a reader takes
-the last version of each (``sinks.start_keyed_updates`` / ``latest_updates``).
+T6 works the same way: a micro-batch writes the last event of each of its devices, and a reader takes
+the last of those.
 """
 
 from __future__ import annotations
@@ -27,7 +27,8 @@ from tidepool.schema import DEVICE_INTERVAL, GATEWAY_FLUSH
 from tidepool.streaming import commits as C
 
 DEFAULT_DELAY = "1 minute"
-SUMS, LATE, PROGRESS = "sums", "late", "progress"
+SUMS, LATE, PROGRESS, PRESENCE = "sums", "late", "progress", "presence"
+PRESENCE_SCHEMA = "device_id string, state string, since timestamp, seq long"
 PROGRESS_SCHEMA = "newest timestamp"
 
 
@@ -98,8 +99,30 @@ def late_readings(spark: SparkSession, root: str, schema) -> DataFrame:
     return C.read_committed(spark, root, LATE, schema).drop("stream_batch")
 
 
-def stream_presence(events: DataFrame, device: str = "device_id", kind: str = "kind", time_col: str = "ts") -> DataFrame:
-    """The current connection state of each device; state is one event per device."""
-    at = F.struct(F.col(time_col).cast("timestamp").alias("ts"), F.col("seq"))
-    return (events.groupBy(device).agg(F.max_by(kind, at).alias("state"), F.max(at)["ts"].alias("since"))
-                  .withColumn("connected", F.col("state") == F.lit("connect")))
+def _last_events(df: DataFrame) -> DataFrame:
+    """Per device the event that came last by time, then by ``seq``."""
+    at = F.struct("since", "seq")
+    return df.groupBy("device_id").agg(F.max_by(F.struct("state", "since", "seq"), at).alias("_l")).select("device_id", "_l.*")
+
+
+def start_presence(events: DataFrame, root: str, checkpoint: str, device: str = "device_id", kind: str = "kind", time_col: str = "ts",
+                   available_now: bool = True):
+    """Connect and disconnect events; read the current states with ``current_presence``.
+    A batch writes the last event of each of its devices, so it needs no state."""
+
+    def tables(batch: DataFrame, batch_id: int) -> dict[str, DataFrame]:
+        rows = batch.select(F.col(device).alias("device_id"), F.col(kind).alias("state"), F.col(time_col).cast("timestamp").alias("since"),
+                            F.col("seq").cast("long").alias("seq"))
+        return {PRESENCE: _last_events(rows)}
+
+    return C.start_together(events, root, checkpoint, tables, available_now)
+
+
+def current_presence(spark: SparkSession, root: str) -> DataFrame:
+    """``device_id, state, since, connected`` as of the last batch."""
+    rows = C.read_merged(spark, root, PRESENCE, PRESENCE_SCHEMA, _last_events)
+    return rows.select("device_id", "state", "since", (F.col("state") == F.lit("connect")).alias("connected"))
+
+
+def fold_presence(spark: SparkSession, root: str) -> int:
+    return C.fold(spark, root, PRESENCE, PRESENCE_SCHEMA, _last_events)
