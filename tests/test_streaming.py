@@ -314,3 +314,26 @@ def test_presence_takes_the_last_event_however_late(spark):
     SW.fold_presence(spark, f"{base}/tables")
     assert feed(("a", "connect", "2024-01-01 09:00:00", 4), ("b", "connect", "2024-01-01 11:00:00", 5)) == {
         "a": ("disconnect", "10:00:00", False), "b": ("connect", "11:00:00", True), None: ("connect", "10:00:00", True)}
+
+
+def test_inactivity_sees_every_silence_of_a_hot_device(spark):
+    import random
+
+    from tidepool.streaming import stateful as ST
+
+    rng = random.Random(4)
+    base, at, rows = scratch_dir(spark, "test-silence"), 1_704_067_200, []
+    for i in range(4000):
+        at += rng.choice([1, 1, 1, 5, 60]) if rng.random() > 0.01 else rng.choice([3599, 3600, 3601, 9000])
+        rows.append(("d", at, i))
+    times = [t for _, t, _ in rows]
+    want = sorted(a for a, b in zip(times, times[1:]) if b - a > 3600)
+    parts = [rows[:1500], rows[1500:]]
+    for part in parts:
+        rng.shuffle(part)
+        spark.createDataFrame(part, "device_id string, t long, seq long").select("device_id", F.timestamp_seconds("t").alias("ts"), "seq").coalesce(1) \
+            .write.mode("append").parquet(f"{base}/source")
+    s = SR.read_replay(spark, f"{base}/source", "device_id string, ts timestamp, seq long")
+    SR.run_available_now(SR.to_parquet(ST.stream_inactivity(s), f"{base}/out", f"{base}/checkpoint"))
+    got = sorted(r["t"] for r in spark.read.parquet(f"{base}/out").select(F.unix_seconds("inactive_since").alias("t")).collect())
+    assert got == want and len(want) > 10

@@ -122,13 +122,29 @@ def _inactivity_fn(hours: float):
     return fn
 
 
+def _first_and_last(hours: float):
+    """Of each piece of rows the first and the last time of every device in every stretch of ``hours``: between
+    them no silence is longer than that, so nothing else matters."""
+    width = int(hours * 3600 * 1_000_000)
+
+    def run(pieces: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for piece in pieces:
+            piece = piece.reset_index(drop=True)
+            stretch = piece["ts"].astype("datetime64[us, UTC]" if piece["ts"].dt.tz is not None else "datetime64[us]").astype("int64") // width
+            times = piece.groupby([piece["device_id"], stretch], dropna=False, sort=False)["ts"]
+            yield piece.loc[times.idxmin().to_list() + times.idxmax().to_list()]
+    return run
+
+
 def stream_inactivity(readings: DataFrame, hours: float = INACTIVITY_HOURS, watermark: str = "1 minute",
                       device: str = "device_id") -> DataFrame:
     """One row per inactivity period of a device (``inactive_since`` =
     its last reading before the silence).  A period is reported once: by the
     event-time timer when the watermark passes ``last seen + hours``, or on
-    the next reading when that comes more than ``hours`` later."""
-    r = (readings.select(F.col(device).alias("device_id"), "seq", F.col("ts").cast("timestamp").alias("ts"))
-                 .withWatermark("ts", watermark))
+    the next reading when that comes more than ``hours`` later.  Before the shuffle a
+    device's readings are cut to two per stretch of ``hours`` and piece of rows, so a hot device costs
+    little.  Readings without a time say nothing about a silence."""
+    r = readings.select(F.col(device).alias("device_id"), "seq", F.col("ts").cast("timestamp").alias("ts")).filter("ts IS NOT NULL")
+    r = r.mapInPandas(_first_and_last(hours), r.schema).withWatermark("ts", watermark)
     return r.groupBy("device_id").applyInPandasWithState(
         _inactivity_fn(hours), INACTIVE_OUT, INACTIVE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
