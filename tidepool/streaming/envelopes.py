@@ -1,8 +1,8 @@
 """T1 as outgoing batches: every flush window of a gateway leaves once, as one envelope.
 
-Open windows lie in Spark's keyed state (``transformWithStateInPandas``: map state by window, on
-RocksDB).  An event-time timer at the window's end sends it when the watermark, the newest
-time less the allowed ``delay``, has passed, and drops it from the state.  A reading that
+Readings of open windows lie in Spark's keyed state (``transformWithStateInPandas``: list state, on
+RocksDB).  An event-time timer at the end of a gateway's earliest open window sends all its windows that the
+watermark, the newest time less the allowed ``delay``, has passed, and drops them from the state.  A reading that
 comes after that leaves at once, in an envelope of its own window marked ``late``; none is lost.
 A marker row, later than all readings by more than interval and delay, moves the watermark past
 every open window: written at the end of the input, it flushes them.
@@ -24,6 +24,7 @@ from tidepool.schema import DATA_FIELD, GATEWAY_FIELD, GATEWAY_FLUSH, ID_FIELD,
 from tidepool.streaming.tails import ROCKSDB, STORE
 
 _WINDOW = "items array<struct<data_type:string,us:bigint,seq:bigint,value:double,device:string>>"
+_OPEN = "start long, data_type string, us long, seq long, value double, device string"
 _OUT = f"gateway_id string, flush_start timestamp, late boolean, {_WINDOW}"
 
 
@@ -33,7 +34,7 @@ def _windows(interval_us: int):
     class Windows(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            self.open = handle.getMapState("open", "start long", _WINDOW)
+            self.open = handle.getListState("open", _OPEN)
 
         @staticmethod
         def _out(gateway, envelopes: list[tuple[int, bool, list]]) -> pd.DataFrame:
@@ -50,25 +51,29 @@ def _windows(interval_us: int):
                 start = piece["us"] - piece["us"] % interval_us
                 for s, *item in zip(start.tolist(), piece["data_type"], piece["us"].tolist(), piece["seq"].tolist(), piece["value"].tolist(), piece["device"]):
                     windows.setdefault(s, []).append(tuple(item))
-            late = []
-            for s, items in sorted(windows.items()):
-                if s + interval_us <= watermark:
-                    late.append((s, True, items))
-                    continue
-                if self.open.containsKey((s,)):
-                    items = [tuple(i) for i in self.open.getValue((s,))[0]] + items
-                else:
-                    self.handle.registerTimer((s + interval_us) // 1000)
-                self.open.updateValue((s,), (items,))
+            late = [(s, True, items) for s, items in sorted(windows.items()) if s + interval_us <= watermark]
+            waits = [(s, *i) for s, items in windows.items() if s + interval_us > watermark for i in items]
+            if waits:
+                self.open.appendList(waits)
+                self.handle.registerTimer((min(w[0] for w in waits) + interval_us) // 1000)
             if late:
                 yield self._out(key[0], late)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            s = expiredTimerInfo.getExpiryTimeInMs() * 1000 - interval_us
-            if self.open.containsKey((s,)):
-                items = [tuple(i) for i in self.open.getValue((s,))[0]]
-                self.open.removeKey((s,))
-                yield self._out(key[0], [(s, False, items)])
+            watermark = timerValues.getCurrentWatermarkInMs() * 1000
+            rows = [tuple(r) for r in self.open.get()] if self.open.exists() else []
+            done: dict[int, list] = {}
+            for s, *item in rows:
+                if s + interval_us <= watermark:
+                    done.setdefault(s, []).append(tuple(item))
+            if done:
+                waits = [r for r in rows if r[0] not in done]
+                if waits:
+                    self.open.put(waits)
+                    self.handle.registerTimer((min(w[0] for w in waits) + interval_us) // 1000)
+                else:
+                    self.open.clear()
+                yield self._out(key[0], [(s, False, items) for s, items in sorted(done.items())])
 
         def close(self) -> None:
             pass
