@@ -1,30 +1,40 @@
-"""Personal data: pattern spans, and information-theoretic sanitisation of what
-stands around them.  DataFrame operations only.
+"""Personal data: pattern spans, and information-theoretic sanitisation of the
+terms that give them away.  DataFrame operations only.
 
 Base spans come from four patterns (e-mail, IP, card, phone).  A text is split by
-a pattern; the lengths of the pieces and matches add up to the places.  The
-patterns are possessive and start at the edge of a run, so that long runs cost
-linear time and no stack; they find the same matches as the plain forms.
+a pattern; running sums of the lengths of pieces and matches, by doubling, are the
+places.  The patterns are possessive and start at the edge of a run, so that long
+runs cost linear time and no stack; they find the same matches as the plain forms.
 
-A value that base spans hold in at least ``MIN_TEXTS`` different texts is a
-protected entity.  Masking it is not enough if a term beside it gives it away, so
-the corpus is asked how strongly a term reveals an entity (Sanchez and Batet,
-C-sanitized).  With document frequencies over different texts,
+Every value of a base span is a protected entity.  Masking it is not enough if a
+term of the text gives it away, so the corpus is asked how strongly a term reveals
+it (Sanchez and Batet, C-sanitized).  With document frequencies over different texts,
 
-    IC(e) = -log2 p(e)      PMI(e; t) = log2 p(e, t) / (p(e) p(t)),
+    IC(e) = -log2 p(e)      PMI(e; t) = log2 p(e | t) / p(e),
 
-and a term (a word of at least ``TERM_CHARS`` letters or digits, in lower case)
-within ``CONTEXT`` characters of a mention discloses the entity if it does so in at
-least ``MIN_TEXTS`` texts and PMI(e; t) >= ``DISCLOSURE`` * IC(e): at 1, the term
-never occurs without the entity.  Such terms get a span of kind ``term`` wherever
-they stand beside the entity.  Sanitising generalises a term to its first letters
-if so many texts have a term with these letters that the disclosure falls below
-the threshold (bounded from below by the most frequent such term); else it goes.
+and a term (a run of letters or digits, of any length, anywhere in a text of the
+entity) discloses it if PMI(e; t) >= ``DISCLOSURE`` * IC(e): at 1, the term never
+stands without the entity.  p(e | t) is the share of the term's texts that hold the
+entity.  One or two joint texts are thin evidence: there the share is taken over
+the other texts, as the text at hand would speak for itself, and ``PRIOR`` texts at
+the rate p(e) are added.  So a term that stands in one text reveals nothing.
+
+A value of one text says nothing by itself and is scored as its class (mail domain,
+network, first digits of a card or phone number), or, if that stands in one text
+too, as its kind.  Entities and classes that stand in exactly the same texts have
+the same scores and are scored once, by a digest of the set of their texts.
+
+Such terms get a span of kind ``term`` wherever they stand in the entity's texts
+outside of base spans.  Sanitising generalises a term to its first letters if so
+many texts have a term with these letters that the disclosure falls below the
+threshold (bounded from below by the most frequent such term); else it goes.
 
 Exact copies are no evidence: a text counts once.  Rows that share doc_id repeat
-the text; rows without doc_id get their base spans, and terms found through others
-by an equal text.  A null text counts as empty; texts without matches have no
-spans; an empty table gives an empty result; further columns are ignored.
+the text; rows without doc_id are treated like others, by the digest of their text.
+Very long texts are read whole, in time near to linear in matches and characters;
+a term at the threshold discloses.  A null text counts as empty; texts without
+matches have no spans; an empty table gives an empty result; further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -34,10 +44,9 @@ from pyspark.sql import functions as F
 
 from tidepool.llm.common import staged, text_or_empty
 
-MIN_TEXTS = 3
-CONTEXT = 100
-TERM_CHARS = 4
 DISCLOSURE = 0.9
+THIN = 2      # up to so many joint texts, the share is smoothed
+PRIOR = 0.5
 LETTERS = 3
 KINDS = ("email", "ip", "card", "phone")
 
@@ -82,23 +91,37 @@ _VALID = {
 _VALUE = {"email": F.lower, "ip": lambda m: m, "card": _digits, "phone": _digits}
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value evaluated once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _running(values: Column, combine) -> Column:
+    """Sums or maxima of whole numbers from 0 up to and with each element: each step
+    combines with the result from twice as far back."""
+    def step(done: Column, far: Column) -> Column:
+        back = F.concat(F.array_repeat(F.lit(0), far), F.slice(done, 1, F.size(done) - far))
+        return F.zip_with(done, back, combine)
+
+    steps = F.filter(F.array(*[F.lit(1 << k) for k in range(30)]), lambda far: far < F.size(values))
+    return F.aggregate(steps, values, step)
+
+
 def matches(text: Column, pattern: str, valid, wrap) -> Column:
     """Array of ``wrap(match, start, end)`` for the valid matches of a pattern, in order.
 
     Splitting and extracting find the same leftmost matches without overlap."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.transform(F.split(text, pattern, -1), F.length)
-    found = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), pieces.alias("p"))
-    item = wrap(F.lit(""), F.lit(0), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.filter(F.array(item), lambda _: F.lit(False)).alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["p"]
-        end = begin + F.length(x["m"])
-        kept = F.when(valid(x["m"]), F.array_append(acc["out"], wrap(x["m"], begin, end))).otherwise(acc["out"])
-        return F.struct(F.coalesce(end, begin).alias("at"), kept.alias("out"))
+    def placed(v: Column) -> Column:
+        # the piece after the last match has no match beside it
+        steps = F.zip_with(v["m"], F.slice(v["p"], 1, F.size(v["m"])), lambda m, p: F.length(m) + p)
+        ends = _once(steps, lambda lengths: _running(lengths, lambda x, y: x + y))
+        return F.zip_with(v["m"], ends, lambda m, end: F.struct(m.alias("m"), end.alias("end")))
 
-    # the piece after the last match has no match beside it
-    return F.aggregate(F.filter(found, lambda x: x["m"].isNotNull()), start, step, lambda acc: acc["out"])
+    kept = F.filter(_once(F.struct(found.alias("m"), pieces.alias("p")), placed), lambda x: valid(x["m"]))
+    return F.transform(kept, lambda x: wrap(x["m"], x["end"] - F.length(x["m"]), x["end"]))
 
 
 def _span(kind: str):
@@ -114,80 +137,120 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.when(_MAY_HOLD[kind](text), matches(text, PATTERNS[kind], _VALID[kind], _span(kind))).otherwise(none)
 
 
-def _context(text: Column, span: Column, chars: int) -> Column:
-    """Terms within ``chars`` characters of a span: ``array<struct<term, start, end>>``."""
-    def terms(part: Column, offset: Column) -> Column:
-        def wrap(match: Column, start: Column, end: Column) -> Column:
-            return F.struct(F.lower(match).alias("term"), (start + offset).alias("start"), (end + offset).alias("end"))
-        return matches(part, _TERM, lambda m: F.length(m) >= TERM_CHARS, wrap)
+def _class(entity: Column) -> Column:
+    """What is known of a value by its form: mail domain, network, first digits."""
+    return (F.when(entity.startswith("email:"), F.concat(F.lit("email@"), F.substring_index(entity, "@", -1)))
+            .when(entity.startswith("ip:"), F.substring_index(entity, ".", 2))
+            .otherwise(F.regexp_extract(entity, "^[a-z]+:[0-9]{2}", 0)))
+
+
+def _groups(mention: DataFrame) -> DataFrame:
+    """``digest, g, g_texts, here``: the entities, classes and kinds that a text holds,
+    by the digest of the set of their texts; ``here`` if some value of the text is scored so."""
+    names = {"entity": F.col("entity"), "class": F.concat(F.lit("class "), _class(F.col("entity"))),
+             "kind": F.concat(F.lit("kind "), F.substring_index("entity", ":", 1))}
+    named = staged(mention.select("digest", *[c.alias(k) for k, c in names.items()]), "mentions")
+    each = named.select("digest", F.explode(F.array(*names)).alias("name")).distinct()
+    sets = each.groupBy("name").agg(F.count("*").alias("g_texts"), F.bit_xor(F.xxhash64("digest")).alias("x"),
+                                    F.bit_xor(F.xxhash64(F.lit("set"), "digest")).alias("y"))
+    sets = staged(sets.select("name", "g_texts", F.md5(F.concat_ws(",", "g_texts", "x", "y")).alias("g")), "sets")
 
-    begin = F.greatest(F.lit(0), span["start"] - chars)
-    left = F.substring(text, begin + 1, span["start"] - begin)
-    right = F.substring(text, span["end"] + 1, F.lit(chars))
-    # a word that the window cuts is left out
-    shorter_right = F.when(F.length(right) == chars, F.regexp_replace(right, r"[\p{L}\p{N}]+$", "")).otherwise(right)
-    shorter_left = F.when(begin > 0, F.regexp_replace(left, r"^[\p{L}\p{N}]+", "")).otherwise(left)
-    return F.concat(terms(shorter_left, begin + F.length(left) - F.length(shorter_left)), terms(shorter_right, span["end"]))
+    def texts_of(name: str) -> DataFrame:
+        return sets.select(F.col("name").alias(name), F.col("g_texts").alias(f"{name}_texts"))
 
+    level = (F.when(F.col("entity_texts") > 1, F.col("entity")).when(F.col("class_texts") > 1, F.col("class")).otherwise(F.col("kind")))
+    scored = (named.join(texts_of("entity"), "entity").join(texts_of("class"), "class")
+              .select("digest", level.alias("name"), F.lit(True).alias("here")))
+    held = each.withColumn("here", F.lit(False)).unionByName(scored)
+    held = staged(held.groupBy("digest", "name").agg(F.max("here").alias("here")), "held")
+    return staged(held.join(sets, "name").groupBy("digest", "g").agg(F.max("g_texts").alias("g_texts"), F.max("here").alias("here")), "groups")
 
-def find(docs: DataFrame, text: str = "text", min_texts: int = MIN_TEXTS, context: int = CONTEXT,
-         disclosure: float = DISCLOSURE) -> DataFrame:
+
+def _apart(terms: Column, base: Column) -> Column:
+    """The terms that overlap no base span.  In order of start and, for terms, of the last
+    place, a term is clear if all base spans before it end before it."""
+    none = F.lit(None).cast("struct<kind:string,start:int,end:int,action:string>")
+    events = F.array_sort(F.concat(
+        F.transform(base, lambda s: F.struct(s["start"].alias("at"), F.lit(0).alias("order"), s["end"].alias("end"), none.alias("term"))),
+        F.transform(terms, lambda t: F.struct((t["end"] - 1).alias("at"), F.lit(1).alias("order"), F.lit(0).alias("end"), t.alias("term")))))
+
+    def clear(e: Column) -> Column:
+        reach = _once(F.transform(e, lambda x: x["end"]), lambda ends: _running(ends, lambda x, y: F.greatest(x, y)))
+        both = F.zip_with(e, reach, lambda x, r: F.struct(x["term"].alias("term"), r.alias("reach")))
+        clear_terms = F.filter(both, lambda b: b["term"].isNotNull() & (b["term"]["start"] >= b["reach"]))
+        return F.transform(clear_terms, lambda b: b["term"])
+
+    return F.sort_array(_once(events, clear))
+
+
+def disclosing(n_texts: Column, g_texts: Column, t_texts: Column, both: Column, disclosure: float = DISCLOSURE) -> Column:
+    """Whether a term of ``t_texts`` texts, ``both`` of them with the entity, gives it away."""
+    rate = g_texts / n_texts
+    share = (F.when(both > THIN, both / t_texts)
+             .otherwise((both - 1 + PRIOR * rate) / (t_texts - 1 + PRIOR)))
+    return (rate < 1) & (F.log2(share / rate) >= -disclosure * F.log2(rate))
+
+
+def find(docs: DataFrame, text: str = "text", disclosure: float = DISCLOSURE) -> DataFrame:
     """One row per document: ``doc_id, digest`` and ``spans``, an array of
     ``kind, start, end, action`` by kind and start; ``action`` is ``mask`` for base
     spans, ``generalise`` or ``remove`` for terms."""
     body = text_or_empty(text)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body.alias("text"))
-    rows = docs.select("doc_id", F.md5("text").alias("digest"), "text", *[base_spans(F.col("text"), k).alias(k) for k in KINDS])
-    rows = rows.select("doc_id", "digest", F.transform(
-        F.concat(*KINDS), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["entity"].alias("entity"),
-                                             _context(F.col("text"), s, context).alias("context"))).alias("spans"))
-    rows = staged(rows, "spans")
-
-    # Different texts that mention an entity, or a term beside it.
-    mention = rows.filter(F.size("spans") > 0).select("digest", F.explode("spans").alias("s")).select("digest", "s.entity", "s.context")
-    entity = staged(mention.select("entity", "digest").distinct().groupBy("entity").agg(F.count("*").alias("e_texts"))
-                    .filter(F.col("e_texts") >= min_texts), "entities")
-    beside = mention.select("entity", "digest", F.explode("context.term").alias("term")).distinct()
-    pair = staged(beside.groupBy("entity", "term").agg(F.count("*").alias("both")).filter(F.col("both") >= min_texts), "pairs")
-    pair = staged(pair.join(entity, "entity"), "protected")
+    rows = docs.select("doc_id", F.md5("text").alias("digest"), F.concat(*[base_spans(F.col("text"), k) for k in KINDS]).alias("spans"), "text")
+    rows = staged(rows.withColumn("text", F.when(F.size("spans") > 0, F.col("text"))), "spans")
+
+    mention = rows.filter(F.size("spans") > 0).select("digest", F.explode("spans.entity").alias("entity")).distinct()
+    group = _groups(staged(mention, "values"))
+    most_texts = group.agg(F.coalesce(F.max("g_texts"), F.lit(0))).first()[0]
 
     # Texts by term, over one document of each text (with or without doc_id); where its
     # row is repeated, the terms are counted once by the text's digest.
     first = rows.groupBy("digest", "doc_id").agg(F.count("*").alias("n")).groupBy("digest").agg(F.min(F.struct("doc_id", "n")).alias("f"))
     first = staged(first.select(F.col("digest").alias("f_digest"), F.col("f.doc_id").alias("f_doc_id"), F.when(F.col("f.n") > 1, F.col("digest")).alias("again")), "first")
-    n_texts = F.lit(first.count()).cast("double")
+    n = first.count()
+    n_texts = F.lit(n).cast("double")
     one_each = (docs.withColumn("digest", F.md5("text"))
                 .join(first.hint("merge"), F.col("doc_id").eqNullSafe(F.col("f_doc_id")) & (F.col("digest") == F.col("f_digest"))))
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_TERM), F.lit(0)))
-    texts = (one_each.select("again", F.explode(words).alias("t_term")).filter(F.length("t_term") >= TERM_CHARS)
+    texts = (one_each.select("again", F.explode(words).alias("t_term"))
              .groupBy("t_term", "again").agg(F.count("*").alias("n"))
              .groupBy("t_term").agg(F.sum(F.when(F.col("again").isNull(), F.col("n")).otherwise(F.lit(1))).alias("t_texts")))
-    wanted = pair.select("term").distinct()
-    stems = wanted.select(F.substring("term", 1, LETTERS).alias("stem")).distinct()
-    texts = staged(texts.withColumn("stem", F.substring("t_term", 1, LETTERS)).join(staged(stems, "stems"), "stem", "left_semi"), "texts")
-    most = texts.groupBy(F.col("stem").alias("m_stem")).agg(F.max("t_texts").alias("stem_texts"))
-
-    content = F.log2(n_texts / F.col("e_texts"))
-
-    def discloses(together: Column, alone: Column) -> Column:
-        return F.log2(n_texts * together / (F.col("e_texts") * alone)) >= disclosure * content
-
-    reveals = (pair.join(texts, F.col("term") == F.col("t_term")).filter(content > 0)
-               .filter(discloses(F.col("both"), F.col("t_texts")))
-               .join(staged(most, "stem_texts"), F.col("stem") == F.col("m_stem"))
-               .select(F.col("entity").alias("r_entity"), F.col("term").alias("r_term"),
-                       F.when(discloses(F.least("e_texts", "stem_texts"), F.col("stem_texts")), "remove").otherwise("generalise").alias("action")))
-    reveals = staged(reveals, "reveals")
-
-    place = rows.filter(F.size("spans") > 0).select("digest", F.explode("spans").alias("s")).distinct()
-    place = place.select("digest", "s.entity", F.explode("s.context").alias("c")).select("digest", "entity", "c.*")
-    hit = (place.join(reveals, (F.col("entity") == F.col("r_entity")) & (F.col("term") == F.col("r_term")))
-           .groupBy("digest", "start", "end").agg(F.max("action").alias("action")))  # remove over generalise
+    # A term of one text reveals nothing; one of more texts than this falls short of any entity's threshold.
+    def most(g_texts: Column) -> Column:
+        return F.pow(g_texts, F.lit(disclosure)) * F.pow(n_texts, F.lit(1 - disclosure)) + 1
+    texts = staged(texts.filter(F.col("t_texts") > 1).withColumn("stem", F.substring("t_term", 1, LETTERS)), "texts")
+
+    held = staged(rows.filter(F.size("spans") > 0).select("digest", "text").dropDuplicates(["digest"]), "texts_with_values")
+    words = held.select("digest", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_TERM), F.lit(0)))).alias("term"))
+    near = texts.filter(F.col("t_texts") <= most(F.lit(most_texts)))
+    words = staged(words.join(near, F.col("term") == F.col("t_term")).select("digest", "term", "t_texts", "stem"), "words")
+    beside = words.join(group, "digest").filter(F.col("t_texts") <= most(F.col("g_texts")))
+    beside = staged(beside.select("digest", "g", "g_texts", "here", "term", "t_texts", "stem"), "beside")
+    pair = beside.groupBy("g", "g_texts", "term", "t_texts", "stem").agg(F.count("*").alias("both"), F.max("here").alias("here"))
+    pair = staged(pair.filter("here").filter(disclosing(n_texts, F.col("g_texts"), F.col("t_texts"), F.col("both"), disclosure)), "pairs")
+
+    stems = staged(pair.select("stem").distinct(), "stems")
+    stem_texts = texts.join(stems, "stem", "left_semi").groupBy(F.col("stem").alias("m_stem")).agg(F.max("t_texts").alias("stem_texts"))
+    wide = F.log2(n_texts * F.least("g_texts", "stem_texts") / (F.col("g_texts") * F.col("stem_texts"))) >= disclosure * F.log2(n_texts / F.col("g_texts"))
+    reveals = staged(pair.join(staged(stem_texts, "stem_texts"), F.col("stem") == F.col("m_stem"))
+                     .select("g", "term", F.when(wide, "remove").otherwise("generalise").alias("action")), "reveals")
+    told = (beside.filter("here").select("digest", "g", "term").join(reveals, ["g", "term"])
+            .groupBy("digest", "term").agg(F.max("action").alias("action")))  # remove over generalise
+    told = staged(told, "told")
+
+    def word(match: Column, start: Column, end: Column) -> Column:
+        return F.struct(F.lower(match).alias("term"), start.alias("start"), end.alias("end"))
+
+    place = (held.join(told.select("digest").distinct(), "digest", "left_semi")
+             .select("digest", F.explode(matches(F.col("text"), _TERM, lambda m: F.lit(True), word)).alias("w")).select("digest", "w.*"))
+    hit = place.join(told, ["digest", "term"]).select("digest", "start", "end", "action")
     by_text = hit.groupBy(F.col("digest").alias("h_digest")).agg(F.sort_array(F.collect_list(F.struct(
         F.lit("term").alias("kind"), "start", "end", "action"))).alias("terms"))
     base = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit("mask").alias("action")))
-    return (rows.select("doc_id", "digest", base.alias("base")).join(staged(by_text, "terms"), F.col("digest") == F.col("h_digest"), "left")
-            .select("doc_id", "digest", F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.concat("base", "terms")).alias("spans")))
+    whole = rows.select("doc_id", "digest", base.alias("base")).join(staged(by_text, "terms"), F.col("digest") == F.col("h_digest"), "left")
+    apart = F.concat("base", _apart(F.col("terms"), F.col("base")))
+    return whole.select("doc_id", "digest", F.when(F.col("terms").isNull(), F.col("base")).otherwise(apart).alias("spans"))
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
