@@ -222,6 +222,31 @@ def test_envelopes_leave_once_and_late_readings_too(spark):
     assert sorted(map(str, got)) == sorted(map(str, want))
 
 
+def test_envelope_state_is_held_by_span(spark):
+    from tidepool.streaming import envelopes as SE
+
+    base = scratch_dir(spark, "test-envelope-spans")
+    rows = [("d", "t", "g", float(i), f"2024-01-01 {i // 60:02}:{i % 60:02}:00", i) for i in range(600)]
+    _append(spark, base, *rows)
+
+    def run():
+        s = SR.read_replay(spark, f"{base}/source", f"{READING}, marker boolean")
+        out = SE.stream_envelopes(s, interval_seconds=30).withColumn("Data", F.to_json("Data"))
+        SR.run_available_now(SR.to_parquet(out, f"{base}/out", f"{base}/checkpoint", "append"))
+
+    SR.run_available_now(SR.to_parquet(SE.stream_envelopes(SR.read_replay(spark, f"{base}/source", f"{READING}, marker boolean"), 30, "1 day"),
+                                       f"{base}/held-out", f"{base}/held"))
+    held = spark.read.format("statestore").option("stateVarName", "open").load(f"{base}/held").groupBy("key").count()
+    # ten hours of one gateway: no state, and so no call, holds more than its hour
+    assert sorted(r["count"] for r in held.collect()) == [60] * 10
+    run()
+    SE.flush_marker(spark, spark.read.parquet(f"{base}/source").schema, "2024-01-01 10:00:00").select(
+        "device_id", "data_type", "gateway_id", "value", "ts", "seq", "marker").coalesce(1).write.mode("append").parquet(f"{base}/source")
+    run()
+    got = sorted((str(r["flush_start"]), r["late"], r["Data"]) for r in spark.read.parquet(f"{base}/out").collect())
+    assert got == [(r[4], False, f'[{{"DataType":"t","Data":[{{"Value":{r[3]},"WavyId":"d"}}]}}]') for r in rows]
+
+
 def _envelope(number, gateway, at, *items):
     data = ",".join(f'{{"DataType":"{t}","Data":[{{"Value":{v},"WavyId":"{d}"}}]}}' for d, t, v in items)
     return number, f'{{"AggregatorId":"{gateway}","Timestamp":"2024-01-01T{at}Z","Data":[{data}]}}'

@@ -1,14 +1,15 @@
 """T1 as outgoing batches: every flush window of a gateway leaves once, as one envelope.
 
 Readings of open windows lie in Spark's keyed state (``transformWithStateInPandas``: list state, on
-RocksDB).  An event-time timer at the end of a gateway's earliest open window sends all its windows that the
+RocksDB).  An event-time timer at the end of a span's earliest open window sends all its windows that the
 watermark, the newest time less the allowed ``delay``, has passed, and drops them from the state.  A reading that
 comes after that leaves at once, in an envelope of its own window marked ``late``; none is lost.
 A marker row, later than all readings by more than interval and delay, moves the watermark past
 every open window: written at the end of the input, it flushes them.
 
-A call holds one gateway's readings of one trigger and its open windows: an envelope is one message, so
-its size is the gateway's rate times the interval, as in the batch form.
+State, timers and calls are by gateway and span, ``SPAN`` intervals: a call holds one gateway's readings of one
+span, not of a whole trigger, whatever piles up there.  An envelope is one message, so its size is the gateway's
+rate times the interval, as in the batch form.
 """
 
 from __future__ import annotations
@@ -23,13 +24,15 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from tidepool.schema import DATA_FIELD, GATEWAY_FIELD, GATEWAY_FLUSH, ID_FIELD, TYPE_FIELD, UNKNOWN_ID, VALUE_FIELD
 from tidepool.streaming.tails import ROCKSDB, STORE
 
+SPAN = 120                    # windows of a gateway that share one state; with 30 s, an hour
+
 _WINDOW = "items array<struct<data_type:string,us:bigint,seq:bigint,value:double,device:string>>"
 _OPEN = "start long, data_type string, us long, seq long, value double, device string"
 _OUT = f"gateway_id string, flush_start timestamp, late boolean, {_WINDOW}"
 
 
 def _windows(interval_us: int):
-    """State of one gateway.  Made inside a function, so that it goes to the workers by value."""
+    """State of one gateway's span.  Made inside a function, so that it goes to the workers by value."""
 
     class Windows(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
@@ -85,13 +88,15 @@ def stream_envelopes(readings: DataFrame, interval_seconds: int | None = None, d
     """``AggregatorId, flush_start, late, Data`` as ``batch_envelopes`` gives them, each window once.
     ``readings`` may hold marker rows (``flush_marker``); readings without a time are left out, as in the batch form."""
     seconds = int(GATEWAY_FLUSH.split()[0]) if interval_seconds is None else interval_seconds
+    interval_us = seconds * 1_000_000
     readings.sparkSession.conf.set(STORE, ROCKSDB)
     marker = F.coalesce(F.col("marker"), F.lit(False)) if "marker" in readings.columns else F.lit(False)
     rows = readings.withColumn("ts", F.col("ts").cast("timestamp")).filter("ts IS NOT NULL").withWatermark("ts", delay)
     # the state decides what is late, so the time goes there as a number
     rows = rows.select("gateway_id", "data_type", F.unix_micros("ts").alias("us"), "seq", F.col("value").cast("double").alias("value"),
                        F.coalesce(F.col("device_id"), F.lit(UNKNOWN_ID)).alias("device"), marker.alias("marker"))
-    sent = rows.groupBy("gateway_id").transformWithStateInPandas(_windows(seconds * 1_000_000), _OUT, "Append", "EventTime")
+    rows = rows.withColumn("span", F.col("us") - F.pmod(F.col("us"), F.lit(SPAN * interval_us)))
+    sent = rows.groupBy("gateway_id", "span").transformWithStateInPandas(_windows(interval_us), _OUT, "Append", "EventTime")
     types = F.array_sort(F.array_distinct(F.transform("items", lambda i: i["data_type"])))
 
     def group(t):
