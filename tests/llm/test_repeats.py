@@ -80,3 +80,19 @@ def test_suffix_arrays():
                     assert shared[y] == n
         finally:
             S.SMALL_ALPHABET = kept
+
+
+def test_anchors_travel_packed():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    rows = np.empty(2_000, R._ANCHOR)
+    rows["anchor"] = rng.integers(0, 1 << 64, len(rows), np.uint64)
+    rows["doc"], rows["start"] = 1_000_000 + rng.integers(0, 10_000, len(rows)), rng.integers(0, 3_000, len(rows))
+    rows["n"] = rng.integers(1, 70, len(rows))
+    rows["doc"][:3] = [-(1 << 63), (1 << 63) - 1, -1]
+    back = R._unpack(R._pack(rows))
+    assert sorted(back.tolist()) == sorted(rows.tolist())
+    assert len(R._unpack(R._pack(rows[:0]))) == 0
+    # eight random bytes of anchor, and less than six for the rest of the 26
+    assert len(pa.compress(R._pack(rows), codec="lz4_raw", asbytes=True)) < 14 * len(rows)

@@ -16,14 +16,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back.
+def staged(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read back; ``codec``, if not the session's.
 
     Cuts the lineage in a way that survives lost executors, and lets several
     consumers share one evaluation.
     """
     path = scratch_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

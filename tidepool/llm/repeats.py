@@ -47,6 +47,7 @@ BUFFER = 1 << 20              # bytes hashed at once; positions in it fit the lo
 SHARD_BYTES = 16 << 20        # text whose anchors make up a shard
 BLOCK_BYTES = 2 << 20         # text of one suffix array, if no anchor has more
 CUT_ROWS = 4_000              # documents whose segments are held at once
+DENSE = "zstd"                # of the staged anchors and segments, whose bytes count as disk
 HOT_SEGMENTS = 10_000         # different segments of an anchor above which it is dealt by windows
 _BASE = 0x9E3779B97F4A7C15
 _ANCHOR = np.dtype([("anchor", "<u8"), ("doc", "<i8"), ("start", "<i8"), ("n", "<u2")])
@@ -142,6 +143,21 @@ def _merge(keys: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.nda
     return order[head], order[repeat]
 
 
+def _pack(rows: np.ndarray) -> bytes:
+    """Anchor rows, by document and start, as planes of bytes with documents as steps: the bytes that hardly
+    change lie together, so that compression leaves little more than anchor, low bytes of start and length."""
+    rows = rows[np.lexsort((rows["start"], rows["doc"]))]
+    rows["doc"][1:] = np.diff(rows["doc"])
+    return rows.view(np.uint8).reshape(len(rows), _ANCHOR.itemsize).T.tobytes()
+
+
+def _unpack(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(blob, np.uint8).reshape(_ANCHOR.itemsize, len(blob) // _ANCHOR.itemsize)
+    rows = planes.T.copy().view(_ANCHOR).reshape(-1)
+    rows["doc"] = np.cumsum(rows["doc"])
+    return rows
+
+
 def _utf8(batch: pa.RecordBatch) -> list[tuple[int, bytes]]:
     return [(d, t) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist())]
 
@@ -158,17 +174,17 @@ def _anchors(shards: int, width: int, gram: int):
             shard = (rows["anchor"] >> np.uint64(16)) % np.uint64(shards)
             order = np.argsort(shard, kind="stable")
             ids, at = np.unique(shard[order], return_index=True)
-            blobs = [part.tobytes() for part in np.split(rows[order], at[1:])]
+            blobs = [_pack(part) for part in np.split(rows[order], at[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(blobs, pa.binary())], ["shard", "blob"])
             # repeats travel as a row of their own kind
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([gone.tobytes()], pa.binary())], ["shard", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([_pack(gone)], pa.binary())], ["shard", "blob"])
     return run
 
 
 def _runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for blob in batch.column(0).to_pylist():
-            yield _run_batch(np.frombuffer(blob, _ANCHOR))
+            yield _run_batch(_unpack(blob))
 
 
 def _run_batch(rows: np.ndarray) -> pa.RecordBatch:
@@ -187,7 +203,7 @@ def _spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """By shard (rows come sorted by it): the segments whose anchor occurs again, by document."""
 
     def repeated(blobs: list[bytes]) -> pa.RecordBatch:
-        rows = np.frombuffer(b"".join(blobs), _ANCHOR)
+        rows = np.concatenate([_unpack(b) for b in blobs])
         rows = rows[np.argsort(rows["anchor"], kind="stable")]
         same = rows["anchor"][1:] == rows["anchor"][:-1]
         rows = rows[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
@@ -358,13 +374,13 @@ def repeated_runs(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Data
     ``docs`` has ``doc_id, text``, neither null."""
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / SHARD_BYTES))
-    marks = staged(docs.mapInArrow(_anchors(8 * parts, width, gram), "shard int, blob binary"), "anchors")
+    marks = staged(docs.mapInArrow(_anchors(8 * parts, width, gram), "shard int, blob binary"), "anchors", DENSE)
     early = marks.filter("shard < 0").select("blob").mapInArrow(_runs_of, RUN)
     spots = (marks.filter("shard >= 0").repartition(parts, "shard").sortWithinPartitions("shard")
              .mapInArrow(_spots, "doc_id long, spots binary"))
     spots = staged(spots.groupBy("doc_id").agg(F.collect_list("spots").alias("spots")), "spots")
     segments = staged(docs.join(spots, "doc_id").select("doc_id", "text", "spots").mapInArrow(
-        _cut(width), "anchor long, segment binary, doc_id long, start long, n long"), "segments")
+        _cut(width), "anchor long, segment binary, doc_id long, start long, n long"), "segments", DENSE)
     live = segments.filter("segment is not null")
     hot = staged(live.groupBy("anchor").count().filter(F.col("count") > HOT_SEGMENTS).select("anchor"), "hot")
     dealt = (live.join(hot, "anchor", "left_anti")
