@@ -119,3 +119,27 @@ def test_rows_without_a_time_are_dealt_to_several_buckets(spark, monkeypatch):
     assert last == [r["seq"] for r in rows[::-1][:30]]
     buckets = df.filter("ts IS NULL").select(W.time_bucket("ts", 3600, F.col("seq")).alias("b")).distinct().count()
     assert buckets >= 9
+
+
+def test_history_snapshots_have_the_digits_of_sliding_windows(spark):
+    import random
+
+    from pyspark.sql import functions as F
+    from tidepool.operators import validate as V
+    from tidepool.plans.windows import chunked_rolling
+
+    rng = random.Random(7)
+    rows = [(k, "t", u, 3 * u, None if u % 17 == 5 else 0.1 if k == "same" else rng.uniform(-1, 1) * 10 ** rng.randint(-9, 9))
+            for k, n in (("a", 230), ("same", 60), (None, 12), ("one", 1)) for u in range(n)]
+    kept = spark.createDataFrame(rows, "device_id string, data_type string, _u long, _snap_pos long, _hv double")
+    hv = F.col("_hv")
+    want = chunked_rolling(kept, V.KEYS, "_u", 10, {
+        "_m_full": lambda f, x: F.avg(hv).over(f()),
+        "_s_full": lambda f, x: F.stddev_pop(hv).over(f()),
+        "_m_short": lambda f, x: F.avg(hv).over(f(9)),
+        "_s_short": lambda f, x: F.stddev_pop(hv).over(f(9)),
+        "_oldest": lambda f, x: F.first(hv).over(f()),
+    }, 50).drop("_hv")
+    got = V.history_snapshots(kept, V.KEYS, 10, 50)
+    assert got.columns == want.columns
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.count() == len(rows)

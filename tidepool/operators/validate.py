@@ -15,11 +15,12 @@ Per reading, in (ts, seq) order inside its (device, type):
 4. Anomaly: with ``k >= 5`` values, flag when ``|value - mean| > 3 sigma``
    (population sigma, raw value, history before the reading; NaN never flags).
 
-Plan (no per-key window, no Python):
+Plan (no per-key window):
 
 * ``keyed_positions`` gives each reading its position ``pos`` and ``c``;
 * the unmodified readings, indexed by ``c``, get sliding 100- and 99-frame
-  statistics (``chunked_rolling``) -- the history snapshot after each kept value;
+  statistics (``history_snapshots``: chunks of a key, whose frames are added up side by side in
+  NumPy, value by value in the order of Spark's own aggregates) -- the history snapshot after each kept value;
 * each reading joins the snapshot at index ``c - 1`` (equi join on key and
   index, so a hot key spreads over tasks): ``k``, mean, sigma and the value an
   eviction removes;
@@ -29,14 +30,16 @@ Plan (no per-key window, no Python):
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.functions.scalar import fixed2, is_nonfinite, plain_number_text
 from tidepool.plans.windows import (DEFAULT_BUCKET_SECONDS, DEFAULT_CHUNK_ROWS,
-                                    chunked_rolling, keyed_positions, last_k_per_key)
+                                    keyed_positions, last_k_per_key, with_halo)
 from tidepool.schema import (ANOMALY_SIGMAS, DEFAULT_RULES, HISTORY_SIZE, MIN_ANOMALY_HISTORY,
                              MSG_ABOVE, MSG_ANOMALY, MSG_BELOW, MSG_NONFINITE, MSG_VALID,
                              STATUS_INVALID, STATUS_OK, STATUS_PARTIAL)
@@ -98,6 +101,64 @@ def clean_readings(df: DataFrame, rules=None, value: str = "value",
              .withColumn("cleaned_value", cleaned))
 
 
+FRAME_ROWS = 8_192           # frames added up side by side
+
+
+def _snapshots(keys: Sequence[str], history: int):
+    """Of one chunk.  Made inside a function, so that it goes to the workers by value."""
+    keys, block = list(keys), FRAME_ROWS
+
+    def frames(x: np.ndarray, there: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number, mean and deviation of the last ``n`` values at each row, oldest first: sum over number and Welford's
+        steps, as ``avg`` and ``stddev_pop`` take them, so the digits are theirs."""
+        x, there = np.concatenate([np.zeros(n - 1), x]), np.concatenate([np.zeros(n - 1, bool), there])
+        size, mean, deviation = (np.zeros(len(x) - n + 1) for _ in range(3))
+        for at in range(0, len(size), block):
+            rows = min(block, len(size) - at)
+            number, total, middle, squares = (np.zeros(rows) for _ in range(4))
+            for i in range(at, at + n):
+                v, here = x[i:i + rows], there[i:i + rows]
+                number = number + here
+                total += v
+                delta = np.where(here, v - middle, 0.0)
+                step = delta / np.maximum(number, 1.0)
+                middle += step
+                squares += delta * (delta - step)
+            part = slice(at, at + rows)
+            size[part], mean[part], deviation[part] = number, total / np.maximum(number, 1.0), np.sqrt(squares / np.maximum(number, 1.0))
+        return size, mean, deviation
+
+    def run(chunk: pa.Table) -> pa.Table:
+        chunk = chunk.sort_by("_u").combine_chunks()
+        value = chunk["_hv"]
+        there = value.is_valid().to_numpy()
+        x = np.where(there, value.fill_null(0.0).to_numpy(), 0.0)
+        at = np.arange(len(x))
+        oldest = np.maximum(at - (history - 1), 0)
+        out = {c: chunk[c] for c in (*keys, "_u", "_snap_pos")}
+        with np.errstate(all="ignore"):
+            for name, n in (("full", history), ("short", history - 1)):
+                size, mean, deviation = frames(x, there, n)
+                out[f"_m_{name}"] = pa.array(mean, mask=size == 0)
+                out[f"_s_{name}"] = pa.array(deviation, mask=size == 0)
+        out["_oldest"] = pa.array(x[oldest], mask=~there[oldest])
+        return pa.table(out).filter(pa.array((chunk["_home"].to_numpy() == chunk["_chunk"].to_numpy())))
+
+    return run
+
+
+def history_snapshots(kept: DataFrame, keys: Sequence[str], history: int, chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
+    """Mean, deviation and first value of the last ``history`` (``full``) and ``history - 1`` (``short``) values up to each kept value.
+
+    ``kept`` has the keys, ``_u`` (dense position in the key), ``_snap_pos`` and ``_hv``, the value."""
+    if history < 2:
+        raise ValueError("a history must hold two values at least")
+    chunks = with_halo(kept.withColumn("_hv", F.col("_hv").cast("double")), "_u", history, chunk_rows)
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.select(*keys, "_u", "_snap_pos").schema.fields]
+    stats = [f"{c} double" for c in ("_m_full", "_s_full", "_m_short", "_s_short", "_oldest")]
+    return chunks.groupBy(*keys, "_chunk").applyInArrow(_snapshots(keys, history), ", ".join(fields + stats))
+
+
 def history_statistics(
     df: DataFrame,
     rules=None,
@@ -126,15 +187,7 @@ def history_statistics(
     v = F.col(value)
     kept = pos.filter(F.col("_keep") == 1).select(*keys, F.col("_c").alias("_u"),
                                                    F.col("_pos").alias("_snap_pos"), v.alias("_hv"))
-    hv = F.col("_hv")
-    snaps = chunked_rolling(kept, keys, "_u", history, {
-        "_n_full": lambda f, x: F.count(hv).over(f()),
-        "_m_full": lambda f, x: F.avg(hv).over(f()),
-        "_s_full": lambda f, x: F.stddev_pop(hv).over(f()),
-        "_m_short": lambda f, x: F.avg(hv).over(f(history - 1)),
-        "_s_short": lambda f, x: F.stddev_pop(hv).over(f(history - 1)),
-        "_oldest": lambda f, x: F.first(hv).over(f()),
-    }, chunk_rows).drop("_hv")
+    snaps = history_snapshots(kept, keys, history, chunk_rows)
 
     j = _join_snapshot(pos, snaps, keys)
     c = F.col("_c")
@@ -164,7 +217,7 @@ def history_statistics(
     j = (j.withColumn("_dsum", (F.when(keep, exact(v)).otherwise(zero) -
                                 F.when(evict, exact(F.col("_oldest"))).otherwise(zero)).cast(EXACT))
           .withColumn("_dn", keep.cast("long") - evict.cast("long")))
-    drop = ["_pos", "_u", "_snap_pos", "_n_full", "_m_full", "_s_full", "_m_short",
+    drop = ["_pos", "_u", "_snap_pos", "_m_full", "_s_full", "_m_short",
             "_s_short", "_oldest", "_keep", "_c"]
     return j.drop(*drop)
 
@@ -183,6 +236,7 @@ def validate_readings(
     chunk_rows: int = DEFAULT_CHUNK_ROWS,
     pool_offset: DataFrame | None = None,
     bucket: Column | None = None,
+    hold: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """U2 per reading: cleaning (P9-P11), valid-only history statistics (W7),
     the 3-sigma flag (W8, P12) and non-finite replacement by the live
@@ -195,11 +249,15 @@ def validate_readings(
 
     ``pool_offset`` ``(data_type, pool_sum, pool_values)`` adds histories that
     are not among the input rows (devices without readings in an incremental
-    run) to the cross-device pool; it has one row per type."""
+    run) to the cross-device pool; it has one row per type.
+
+    The readings with their statistics are read twice, for the pool's totals and for its running
+    sums: ``hold`` may return them kept (``DataFrame.persist``), for a caller that can let them go."""
     type_col = keys[-1]
     v = F.col(value)
     j = history_statistics(df, rules, keys, order, value, time_col, history, min_history, sigmas,
                       bucket_seconds, chunk_rows, bucket)
+    j = j if hold is None else hold(j)
     # all devices of a type share a bucket here: a narrow one keeps the task small
     typed = keyed_positions(j, [type_col], order, time_col, min(bucket_seconds, TYPE_BUCKET_SECONDS),
                             sums=["_dsum", "_dn"], index_col="_tpos")

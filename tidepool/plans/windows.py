@@ -117,6 +117,19 @@ def keyed_positions(
     return out.drop(*drop)
 
 
+def with_halo(df: DataFrame, index_col: str, n: int, chunk_rows: int) -> DataFrame:
+    """The rows by chunks of ``chunk_rows`` positions: ``_chunk``, and ``_home``, which differs from it for the
+    last ``n - 1`` rows of the chunk before."""
+    if chunk_rows < n:
+        raise ValueError("chunk_rows must be at least the frame length")
+    pos = F.col(index_col)
+    home = F.floor(pos / F.lit(chunk_rows)).cast("long")
+    halo = (pos % F.lit(chunk_rows)) >= F.lit(chunk_rows - (n - 1))
+    return (df.withColumn("_home", home)
+              .withColumn("_chunk", F.explode(F.when(halo, F.array(home, home + 1))
+                                               .otherwise(F.array(home)))))
+
+
 def chunked_rolling(
     df: DataFrame,
     keys: Sequence[str],
@@ -133,14 +146,8 @@ def chunked_rolling(
     ``m <= n`` rows and ``x`` a double position usable as a regression abscissa
     (shift-invariant statistics only).
     """
-    if chunk_rows < n:
-        raise ValueError("chunk_rows must be at least the frame length")
+    d = with_halo(df, index_col, n, chunk_rows)
     pos = F.col(index_col)
-    home = F.floor(pos / F.lit(chunk_rows)).cast("long")
-    halo = (pos % F.lit(chunk_rows)) >= F.lit(chunk_rows - (n - 1))
-    d = (df.withColumn("_home", home)
-           .withColumn("_chunk", F.explode(F.when(halo, F.array(home, home + 1))
-                                            .otherwise(F.array(home)))))
     base = Window.partitionBy(*keys, "_chunk").orderBy(index_col)
 
     def frame(m: int = n) -> WindowSpec:

@@ -98,9 +98,9 @@ def fold(spark: SparkSession, root: str, name: str, schema: StructType | str, me
 
 
 def start_together(stream: DataFrame, root: str, checkpoint: str, tables: Callable[[DataFrame, int], Mapping[str, DataFrame]],
-                   available_now: bool = True):
+                   available_now: bool = True, done: Callable[[], None] | None = None):
     """``foreachBatch``: the micro-batch is held, ``tables(batch, batch_id)`` derives the rows of each
-    table from it, and all are written under the batch's number."""
+    table from it, and all are written under the batch's number; ``done`` is called after each batch, failed ones too."""
 
     def step(df: DataFrame, batch_id: int) -> None:
         df = df.persist()               # several tables come from it
@@ -108,6 +108,8 @@ def start_together(stream: DataFrame, root: str, checkpoint: str, tables: Callab
             write_together(df.sparkSession, root, batch_id, tables(df, batch_id))
         finally:
             df.unpersist()
+            if done is not None:
+                done()
 
     w = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     if available_now:

@@ -46,7 +46,7 @@ NEW, OLD, POOL = "new", "old", "pool"
 POOLS, VALIDATED, METRICS = "pools", "validated", "metrics"
 POOLS_SCHEMA = f"data_type string, pool_sum {V.EXACT}, pool_values long"
 
-_ENTRY = "device_id string, data_type string, us long, seq long, value double, kept boolean, exact string"
+_ENTRY = "device_id string, data_type string, us long, seq long, value double, kept boolean"
 _STATE_OUT = f"device_id string, data_type string, ts timestamp, seq long, value double, _kind string, pool_sum {V.EXACT}, pool_values long"
 
 
@@ -118,10 +118,9 @@ def with_tails(readings: DataFrame, n: int, kept: Column | None = None, eviction
     readings = readings.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("value", F.col("value").cast("double"))
     readings.sparkSession.conf.set(STORE, ROCKSDB)
     entries = readings.select(*KEYS, F.coalesce(F.unix_micros("ts"), F.lit(NO_TIME)).alias("us"), "seq", "value",
-                              F.coalesce(kept, F.lit(False)).alias("kept") if kept is not None else F.lit(True).alias("kept"),
-                              V.exact(F.col("value")).cast("string").alias("exact"))
-    tails = entries.mapInPandas(_cut(n, KEYS), _ENTRY).groupBy(*KEYS).transformWithStateInPandas(
-        _tail_state(n, eviction), _STATE_OUT, "Append", "None")
+                              F.coalesce(kept, F.lit(False)).alias("kept") if kept is not None else F.lit(True).alias("kept"))
+    entries = entries.mapInPandas(_cut(n, KEYS), _ENTRY).withColumn("exact", V.exact(F.col("value")).cast("string"))
+    tails = entries.groupBy(*KEYS).transformWithStateInPandas(_tail_state(n, eviction), _STATE_OUT, "Append", "None")
     return readings.withColumn("_kind", F.lit(NEW)).unionByName(tails, allowMissingColumns=True)
 
 
@@ -170,17 +169,26 @@ def _summed(*pools: DataFrame) -> DataFrame:
 def start_validation_stream(readings: DataFrame, root: str, checkpoint: str, rules=None, history: int = HISTORY_SIZE,
                             available_now: bool = True, **options):
     """T4: ``validate_readings`` on a stream, in the table ``validated``; equal to one batch over all data."""
+    held: list[DataFrame] = []
+
+    def hold(rows: DataFrame) -> DataFrame:
+        held.append(rows.persist())
+        return held[-1]
+
+    def let_go() -> None:
+        while held:
+            held.pop().unpersist()
 
     def tables(batch: DataFrame, batch_id: int) -> dict[str, DataFrame]:
         before = _pools_before(batch.sparkSession, root, batch_id)
         # the pools without the keys at hand, whose histories are among the rows
         here = batch.filter(F.col("_kind") == OLD).select(
             "data_type", (-V.exact(F.col("value"))).alias("pool_sum"), F.lit(-1).cast("long").alias("pool_values"))
-        v = V.validate_readings(split_kinds(batch), rules=rules, history=history, pool_offset=_summed(before, here), **options)
+        v = V.validate_readings(split_kinds(batch), rules=rules, history=history, pool_offset=_summed(before, here), hold=hold, **options)
         return {VALIDATED: v.filter(~F.col("_replay")).drop("_replay"),
                 POOLS: _summed(before, batch.filter(F.col("_kind") == POOL))}
 
-    return C.start_together(_validation_tails(readings, rules, history), root, checkpoint, tables, available_now)
+    return C.start_together(_validation_tails(readings, rules, history), root, checkpoint, tables, available_now, let_go)
 
 
 def start_pool_stream(readings: DataFrame, root: str, checkpoint: str, rules=None, history: int = HISTORY_SIZE, available_now: bool = True):
